@@ -14,15 +14,14 @@ MAX_STEPS = 64
 def _stars(e: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u, v) with u > v."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    # large star: every larger neighbour points at the least of the closed neighbourhood
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-    large = large.unionByName(e.join(least, "u").select("u", F.col("m").alias("v")).where("u > v")).distinct()
-    # small star: every smaller neighbour, and the node itself, points at the least one
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    # large star: the larger neighbours of a node, and the node, point at the least of its closed neighbourhood
+    near = both.where("v > u").join(least, "u").select("v", F.least("m", "u").alias("m"), "u")
+    large = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v")))
+    # small star: the smaller neighbours of a node, and the node, point at the least of them
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u")
-    small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-    return small.where("u > v").distinct()
+    small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    return small.select("e.u", "e.v").where("u > v").distinct()
 
 
 def _state(e: DataFrame) -> tuple:

@@ -7,12 +7,11 @@ similarity. Four registers make a band; documents that agree in a whole band are
 estimate of the similarity, corrected for registers that agree by accident, throws out candidates far below
 the threshold; the rest is verified on the full sets.
 
-Groups of any size stay linear: documents with the same shingle set are one node. In a bucket
-of candidates, every member is first compared with one pivot only; after the links found are
-closed, just pairs of members that are still in different components are left, so a group of
-copies never expands into all its pairs. Where those pairs are many, members that share too
-few shingles with all others together to link to any are set aside. Rounds with
-other pivots go on until the pairs left are few against the rows, and then all of them are compared.
+Groups of copies stay linear: documents with the same shingle set are one node, and in a bucket
+of candidates every member is first compared with the bucket's pivot only. After the links found are
+closed, only members that are still in different components need comparing. Of these, nodes that share
+too few shingles with all others together to link to any are set aside, and the rest is
+compared across components, so a linked group is never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -39,12 +38,8 @@ PERCENT = 75
 SIGMAS = 5.0
 #: ...and applies to sets with so many shingles at least; smaller ones fill registers from few hashes.
 ESTIMATE_FROM = 2 * REGISTERS
-#: Pairs left after a pivot round, as a multiple of the candidate rows, that are compared without another round.
-PAIRS_PER_ROW = 4
-#: Rounds with pivots at most; what is then left is compared in full, so this bounds no result.
-PIVOT_ROUNDS = 2
-#: Times that members which cannot link are set aside at most.
-PEELS = 4
+#: Ids of candidates that may be broadcast to read their texts (8 bytes each); more are joined by shuffling.
+BROADCAST_IDS = 500_000
 
 _TOP = np.uint64(64 - 7)
 _REST = np.uint64((1 << 57) - 1)
@@ -142,63 +137,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate and sizes allow a link."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+def _near(n: Column, m: Column, r: Column, t: Column) -> Column:
+    """Whether the estimate allows a link."""
     j = PERCENT / 100
     slack = SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
-    sizes = (100 * F.least("n_a", "n_b")) >= (PERCENT * F.greatest("n_a", "n_b"))
-    near = (F.least("n_a", "n_b") < ESTIMATE_FROM) | (estimate(F.col("r_a"), F.col("r_b"), F.col("n_a"), F.col("n_b")) >= F.lit(j - slack))
-    return both.where(sizes & near).select("a", "b")
-
-
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs, those that link by their full sets."""
-    pairs = materialise(_plausible(pairs, nodes), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    used = texts.join(ids, "id", "left_semi")
-    with_b = pairs.join(used.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(used.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    return (F.least(n, m) < ESTIMATE_FROM) | (estimate(r, t, n, m) >= F.lit(j - slack))
 
 
-def _unresolved(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (key, id, label, c, n) of buckets that hold more than one label."""
-    m = members.select("key", "id", "c", "n")
-    if labels is None:
-        m = m.withColumn("label", F.col("id"))
-    else:
-        m = m.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return m.join(mixed.select("key"), "key", "left_semi")
+def _may_link(shared: Column, n: Column, m: Column) -> Column:
+    """A link of sets of sizes n and m needs 7 * intersection >= 3 * (n + m), at 75 %."""
+    return F.lit(100 + PERCENT) * shared >= F.lit(PERCENT) * (n + m)
 
 
-def _across(left: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) with two labels that share a bucket, without those that their sizes or shared shingles rule out.
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those that link by their full sets."""
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    For two labels that meet in some bucket, the smaller group is expanded first, so the rows
-    before the condition are linear; the condition is part of the second join.
-    """
-    ids = materialise(left.select("label", "id", "c", "n").distinct(), "labelled")
-    sizes = ids.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    keys = groups.select("key", "label").join(sizes, "label")
-    other = keys.select("key", F.col("label").alias("big"), F.col("size").alias("big_size"))
-    smaller = (F.col("size") < F.col("big_size")) | ((F.col("size") == F.col("big_size")) & (F.col("label") < F.col("big")))
-    meet = keys.join(other, "key").where(smaller).select("label", "big").distinct()
-    first = meet.join(ids, "label").select(F.col("big").alias("label"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    y = ids.select(F.col("label").alias("y_label"), F.col("id").alias("y"), "c", "n")
-    on = (F.col("label") == F.col("y_label")) & _may_link(F.least("cx", "c"), F.col("nx"), F.col("n"))
-    return first.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _left(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame, int, float]:
-    """What is unresolved: its rows, its (key, label) groups, and how many rows and pairs of rows with two labels there are."""
-    left = materialise(_unresolved(members, labels), "unresolved")
-    groups = left.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    keys = groups.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    row = keys.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-    return left, groups, int(row[1] or 0), row[0] or 0.0
+
+def _pivot_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot, where sizes and estimate allow a link."""
+    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.where(_may_link(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")) & _near(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"))).select("a", "b")
+
+
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, band, id, label) of buckets that hold more than one label, without the pivot, which has been compared with all."""
+    m = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return m.where("id <> pivot").join(mixed, "key", "left_semi").select("key", "band", "id", "label")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,24 +179,43 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc, np.int64)), pa.array(s.view(np.int64))], ["id", "shingle"])
 
 
-def _peel(left: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (key, id) that may still link within their bucket.
+def _shareable(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, c, n) of nodes that may link to one of `ids`: c leaves out shingles that occur in no other of these sets.
 
-    A link of sets of sizes n and m needs 7 * intersection >= 3 * (n + m), at 75 %. What a set
-    shares with any other member is at most c, the number of its shingles that occur in
-    some other member. Where even the smallest set of the bucket is too large for c, the row goes.
+    A set of size n can link to none if 7 c < 3 (n + 3/4 n).
     """
-    ids = left.select("id").distinct()
-    rows = materialise(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_shingle_rows, "id long, shingle long"), "shingles")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
-    able = rows.join(common, "shingle", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("c")).join(nodes.select("id", "n"), "id")
-    sized = left.select("key", "id").join(able, "id")
-    least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    return sized.join(least, "key").where(_may_link(F.col("c"), F.col("n"), F.col("least"))).select("key", "id", "c", "n")
+    rows = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_shingle_rows, "id long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sized = nodes.select("id", "n").join(ids, "id", "left_semi").join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
+    return sized.where(F.lit(100) * F.col("c") >= F.lit(PERCENT) * F.col("n")).select("id", "c", "n")
 
 
-def _may_link(shared: Column, n: Column, m: Column) -> Column:
-    return F.lit(100 + PERCENT) * shared >= F.lit(PERCENT) * (n + m)
+def _able(left: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of `left` with c, n and regs of nodes that may link to another one; twice, as what is set aside takes its shingles with it."""
+    able = _shareable(left.select("id").distinct(), nodes, texts)
+    rows = materialise(left.join(able, "id"), "able")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    ids = rows.join(least, "key").where(_may_link(F.col("c"), F.col("n"), F.col("least"))).select("id").distinct()
+    able = materialise(_shareable(ids, nodes, texts), "able")
+    return left.join(able.join(nodes.select("id", "regs"), "id"), "id")
+
+
+def _rest_pairs(able: DataFrame) -> DataFrame:
+    """Pairs (a, b) with two labels that share a bucket and may link, each in the first bucket that both are in.
+
+    In each bucket, members without its most frequent label are compared with all members, so a
+    large group that is linked already is not compared within itself. The conditions are part of the join.
+    """
+    rows = materialise(able, "rest")
+    most = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("x"))
+    minor = rows.join(most.select("key", F.col("x.label").alias("most")), "key").where("label <> most")
+    x = minor.select("key", *[F.col(c).alias(f"{c}_x") for c in ("band", "id", "label", "c", "n", "regs", "most")])
+    y = rows.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "label", "c", "n", "regs")])
+    once = (F.col("label_y") == F.col("most_x")) | (F.col("id_x") < F.col("id_y"))
+    first = F.array_position(F.zip_with("regs_x", "regs_y", lambda p, q: p == q), F.lit(True)) == F.col("band_x") + 1
+    on = (F.col("label_x") != F.col("label_y")) & once & _may_link(F.least("c_x", "c_y"), F.col("n_x"), F.col("n_y")) & first & _near(F.col("n_x"), F.col("n_y"), F.col("regs_x"), F.col("regs_y"))
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & on)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,46 +237,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x")).select("fp1", "fp2", F.col("x.doc_id").alias("id"), "x.n", "x.regs"), "classes")
     nodes = classes.select("id", "n", "regs")
-    banded = nodes.select("id", F.posexplode("regs").alias("band", "four")).select(F.xxhash64("band", "four").alias("key"), "id")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = materialise(banded.join(shared.select("key"), "key", "left_semi").join(nodes.select("id", F.col("n").alias("c"), "n"), "id"), "members")
-    ids = members.select("id").distinct()
-    nodes = materialise(nodes.join(ids, "id", "left_semi"), "nodes")
-    # the text of a node: its row in the input with the class's digest
+    banded = nodes.select("id", F.posexplode("regs").alias("band", "four")).select(F.xxhash64("band", "four").alias("key"), "band", "id")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
+    members = materialise(banded.join(shared, "key"), "members")
+    nodes = materialise(nodes.join(members.select("id").distinct(), "id", "left_semi"), "nodes")
+    ids = nodes.select("id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    links, labels, tried = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        left, groups, rows_left, pairs_left = _left(members, labels)
-        for _ in range(PEELS if turn == 1 else 0):
-            if pairs_left <= PAIRS_PER_ROW * rows_left:
-                break
-            before, members = rows_left, materialise(_peel(left, nodes, texts), "members")
-            left, groups, rows_left, pairs_left = _left(members, labels)
-            if rows_left > 0.95 * before:
-                break
-        if not rows_left:
-            break
-        last = pairs_left <= PAIRS_PER_ROW * rows_left or turn == PIVOT_ROUNDS
-        if last:
-            pairs = _across(left, groups)
-        else:
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            pivots = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "label")).alias("p"))
-            pairs = left.join(pivots.select("key", F.col("p.id").alias("x"), F.col("p.label").alias("other")), "key").where("label <> other")
-            pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-        pairs = materialise(pairs.distinct(), "candidates")
-        fresh = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(_links(fresh, nodes, texts), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = materialise(connected_components(links), "labels")
-        if last:
-            break
+    texts = materialise(texts.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
+    links = materialise(_links(materialise(_pivot_pairs(members, nodes), "pairs"), texts), "links")
+    labels = materialise(connected_components(links), "labels")
+    left = materialise(_unresolved(members, labels), "unresolved")
+    more = materialise(_links(materialise(_rest_pairs(_able(left, nodes, texts)), "pairs"), texts), "links")
+    if not more.isEmpty():
+        labels = materialise(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
     named = classes.select("fp1", "fp2", "id")
-    if labels is not None:
-        named = named.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp1", "fp2", F.coalesce("label", "id").alias("component"))
-    else:
-        named = named.select("fp1", "fp2", F.col("id").alias("component"))
+    named = named.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp1", "fp2", F.coalesce("label", "id").alias("component"))
     inside = some.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"]).select("doc_id", "n", "component")
     outside = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
     return inside.unionByName(outside).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
