@@ -32,6 +32,8 @@ REGISTERS = 128
 ROWS_PER_BAND = 4
 BANDS = REGISTERS // ROWS_PER_BAND
 MANTISSA_BITS = 10
+#: Cells of the counts that bound what two small sets can share.
+CELLS = 128
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: The estimate must be below the threshold by so many standard deviations to drop a candidate...
@@ -76,21 +78,26 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
-        n, high, low, packed = [], [], [], []
+        n, high, low, packed, cells = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(hasher(words_of(text)))
             d = xxhash.xxh3_128_digest(s.tobytes())
             n.append(len(s))
             high.append(int.from_bytes(d[:8], "little", signed=True))
             low.append(int.from_bytes(d[8:], "little", signed=True))
+            c = np.bincount(s.astype(np.int64) & (CELLS - 1), minlength=CELLS)
+            cells.append(c.tolist() if len(s) and c.max() < 128 else None)
             packed.append(registers(s).view(np.int64) if len(s) else np.empty(0, np.int64))
         lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, packed)], dtype=np.int32), pa.array(np.concatenate(packed) if packed else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], ["doc_id", "n", "fp1", "fp2", "regs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists, pa.array(cells, pa.list_(pa.int8()))], ["doc_id", "n", "fp1", "fp2", "regs", "cells"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set), fp1 and fp2 (128-bit digest of the set), regs (packed registers)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, "doc_id long, n long, fp1 long, fp2 long, regs array<long>")
+    """doc_id, n (size of the shingle set), fp1 and fp2 (128-bit digest of the set), regs (packed registers), cells.
+
+    cells counts the set's shingles by 7 bits of their hash; null where a count needs more than a byte.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, "doc_id long, n long, fp1 long, fp2 long, regs array<long>, cells array<byte>")
 
 
 def estimate(a: Column, b: Column, n: Column, m: Column) -> Column:
@@ -149,6 +156,12 @@ def _may_link(shared: Column, n: Column, m: Column) -> Column:
     return F.lit(100 + PERCENT) * shared >= F.lit(PERCENT) * (n + m)
 
 
+def _cells_allow(n: Column, m: Column, x: Column, y: Column) -> Column:
+    """Two sets share at most the sum of the lesser counts of their cells; this is exact, and sharp for small sets."""
+    most = F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v.cast("int"))
+    return x.isNull() | y.isNull() | _may_link(most, n, m)
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those that link by their full sets."""
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -159,9 +172,9 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _pivot_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's pivot, where sizes and estimate allow a link."""
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"), F.col("cells").alias(f"k_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.where(_may_link(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")) & _near(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"))).select("a", "b")
+    return both.where(_may_link(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")) & _near(F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b")) & _cells_allow(F.col("n_a"), F.col("n_b"), F.col("k_a"), F.col("k_b"))).select("a", "b")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,7 +210,7 @@ def _able(left: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     ids = rows.join(least, "key").where(_may_link(F.col("c"), F.col("n"), F.col("least"))).select("id").distinct()
     able = materialise(_shareable(ids, nodes, texts), "able")
-    return left.join(able.join(nodes.select("id", "regs"), "id"), "id")
+    return left.join(able.join(nodes.select("id", "regs", "cells"), "id"), "id")
 
 
 def _rest_pairs(able: DataFrame) -> DataFrame:
@@ -209,11 +222,11 @@ def _rest_pairs(able: DataFrame) -> DataFrame:
     rows = materialise(able, "rest")
     most = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("x"))
     minor = rows.join(most.select("key", F.col("x.label").alias("most")), "key").where("label <> most")
-    x = minor.select("key", *[F.col(c).alias(f"{c}_x") for c in ("band", "id", "label", "c", "n", "regs", "most")])
-    y = rows.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "label", "c", "n", "regs")])
+    x = minor.select("key", *[F.col(c).alias(f"{c}_x") for c in ("band", "id", "label", "c", "n", "regs", "cells", "most")])
+    y = rows.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "label", "c", "n", "regs", "cells")])
     once = (F.col("label_y") == F.col("most_x")) | (F.col("id_x") < F.col("id_y"))
     first = F.array_position(F.zip_with("regs_x", "regs_y", lambda p, q: p == q), F.lit(True)) == F.col("band_x") + 1
-    on = (F.col("label_x") != F.col("label_y")) & once & _may_link(F.least("c_x", "c_y"), F.col("n_x"), F.col("n_y")) & first & _near(F.col("n_x"), F.col("n_y"), F.col("regs_x"), F.col("regs_y"))
+    on = (F.col("label_x") != F.col("label_y")) & once & _may_link(F.least("c_x", "c_y"), F.col("n_x"), F.col("n_y")) & first & _near(F.col("n_x"), F.col("n_y"), F.col("regs_x"), F.col("regs_y")) & _cells_allow(F.col("n_x"), F.col("n_y"), F.col("cells_x"), F.col("cells_y"))
     pairs = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & on)
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
@@ -235,8 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     has_columns(docs, "doc_id", "text")
     rows = materialise(sketches(docs), "sketches")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x")).select("fp1", "fp2", F.col("x.doc_id").alias("id"), "x.n", "x.regs"), "classes")
-    nodes = classes.select("id", "n", "regs")
+    classes = materialise(some.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n", "regs", "cells")).alias("x")).select("fp1", "fp2", F.col("x.doc_id").alias("id"), "x.n", "x.regs", "x.cells"), "classes")
+    nodes = classes.select("id", "n", "regs", "cells")
     banded = nodes.select("id", F.posexplode("regs").alias("band", "four")).select(F.xxhash64("band", "four").alias("key"), "band", "id")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
     members = materialise(banded.join(shared, "key"), "members")
