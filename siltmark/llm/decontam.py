@@ -194,7 +194,13 @@ def verify(block: Block, words: list[bytes], found: list[tuple[int, int, float]]
         masks, answer_masks = cache[k]
         stretch = max(size, math.ceil(size * STRETCH))
         step = max(1, size // 4)
-        for a in range(max(0, start - size), max(1, min(len(words), start + 2 * HALF) - size // 2), step):
+        begin, end = max(0, start - size), max(1, min(len(words), start + 2 * HALF) - size // 2)
+        there = 0
+        for w in set(words[begin : end + stretch]):
+            there |= masks.get(w, 0)
+        if there.bit_count() < PARAPHRASE_SHARE * size:  # words of the passage that occur at all bound the subsequence
+            continue
+        for a in range(begin, end, step):
             part = words[a : a + stretch]
             share = lcs(masks, size, part) / size
             if share < PARAPHRASE_SHARE or (k in best and best[k][1] >= share):
