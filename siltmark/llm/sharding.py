@@ -1,7 +1,7 @@
 """Proportional stratified interleaving of rows into shards, with DataFrame functions only.
 
 Rows of each source are shuffled by a seeded key and ranked; the rank r of n is the fraction
-(2 r - 1) / (2 n). Sorted by fraction, the sources interleave in proportion, so cutting the order
+(r - phase) / n, with a phase between 0 and 1 that the seed gives each source. Sorted by fraction, the sources interleave in proportion, so cutting the order
 into equal runs of rows gives shards that all match the mixture (each source within one row or so of its share).
 
 No window spans a source: rows are dealt to buckets by the leading bits of their key, buckets are
@@ -21,6 +21,7 @@ from siltmark.llm.common import has_columns, materialise, unsigned_crc32
 BUCKET_ROWS = 5_000
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
+PHASES = 1024
 
 
 def _prefix(counts: DataFrame, by: list[str], bucket: str, count: str) -> Column:
@@ -53,8 +54,11 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, source: str =
     counts = rows.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("c"))
     counts = counts.select("stratum", "b", _prefix(counts, ["stratum"], "b", "c").alias("before"), F.sum("c").over(Window.partitionBy("stratum")).alias("n"))
     ranked = rows.join(counts, ["stratum", "b"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "text_crc32", "size")))
-    twice = F.lit(2) * F.col("r") - 1
-    ranked = ranked.select("doc_id", "stratum", "size", "text_crc32", "h", (twice / (F.lit(2) * F.col("n"))).alias("f"), F.floor(twice * F.lit(buckets) / (F.lit(2) * F.col("n"))).cast("long").alias("g"))
+    # a seeded phase for each source, so that sources of equal size do not come in step
+    phase = F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(PHASES - 1)) + 1
+    above = F.col("r") * PHASES - phase
+    ranked = ranked.withColumns({"above": above, "below": F.col("n") * PHASES})
+    ranked = ranked.select("doc_id", "stratum", "size", "text_crc32", "h", (F.col("above") / F.col("below")).alias("f"), F.expr(f"(above * {buckets}) div below").alias("g"))
     ranked = materialise(ranked, "ranked")
     heads = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     heads = heads.select("g", _prefix(heads, [], "g", "c").alias("before"))
