@@ -117,3 +117,24 @@ def near_duplicate_values(vh: DataFrame, config: Config = DEFAULT, k: int = 3) -
     shared = both.groupBy(F.col("x.table").alias("table"), F.col("x.column").alias("column"), F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b")).agg(F.count(F.lit(1)).alias("shared"))
     j = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     return shared.withColumn("jaccard", j).where(F.col("jaccard") >= config.near_dupe_threshold).select("table", "column", "value_a", "value_b", "jaccard")
+
+
+def non_numeric(vh: DataFrame) -> DataFrame:
+    """Values that are no numbers in columns whose values are numbers nearly everywhere (95 % of rows): table, column, value, cnt."""
+    v = F.col("value")
+    number = canon.try_number(canon.strip(v)).isNotNull()
+    share = vh.groupBy("table", "column").agg((F.sum(F.when(number, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("share")).where("share >= 0.95")
+    return vh.where(canon.is_value(v) & ~number).join(share, ["table", "column"], "left_semi").select("table", "column", "value", "cnt")
+
+
+def domain_concentration(vh: DataFrame) -> DataFrame:
+    """Address columns of which one domain of several has over 80 %: table, column, domain, share."""
+    v = F.col("value")
+    by = vh.where(canon.is_value(v) & v.rlike(EMAIL)).groupBy("table", "column", F.substring_index(F.lower(v), "@", -1).alias("domain")).agg(F.sum("cnt").alias("cnt"))
+    w = Window.partitionBy("table", "column")
+    return by.withColumns({"share": F.col("cnt") / F.sum("cnt").over(w), "n": F.count(F.lit(1)).over(w)}).where("share > 0.8 AND n > 1").select("table", "column", "domain", "share")
+
+
+def under_age(df: DataFrame, column: str, least: int = 13) -> DataFrame:
+    """Rows of an age column below the least age; columns not named so give none."""
+    return df.where((canon.try_number(df[column].cast("string")) < least) if "age" in column.lower() else F.lit(False))

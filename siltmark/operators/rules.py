@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -183,11 +183,46 @@ def sibling_lookup(df: DataFrame, column: str, parent: DataFrame, key: str, take
     return df.join(one, column, "left")
 
 
-def masks(df: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> tuple[DataFrame, list[Rule], list[Rule]]:
-    """`df` with one boolean column `_v_<id>` for each rule, in one projection; and the rules that compiled and those that did not."""
+ALIASES = {"referential": "referential_cross_table"}
+
+
+def named(rule: Rule) -> Rule:
+    """The rule under its usual type and parameter names."""
+    p = dict(rule.params)
+    for old, new in (("ref_table", "parent_table"), ("ref_column", "parent_column")):
+        if old in p:
+            p.setdefault(new, p.pop(old))
+    if rule.type == "sentinel_check" and "sentinel_values" in p:
+        values = p.pop("sentinel_values")
+        p.setdefault("strings", [v for v in values if isinstance(v, str)])
+        p.setdefault("numbers", [v for v in values if not isinstance(v, str)])
+    return replace(rule, type=ALIASES.get(rule.type, rule.type), params=p)
+
+
+def _orphan(df: DataFrame, rule: Rule, tables: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+    """`df` joined with the distinct keys of the rule's parent, and the mask of rows whose value is none of them."""
+    p = rule.params
+    if p.get("parent_table") not in tables or p.get("parent_column") not in tables[p["parent_table"]].columns or rule.column not in df.columns:
+        raise Unsupported(rule.type)
+    parent, key, hit = tables[p["parent_table"]], p["parent_column"], f"_k_{rule.rule_id}"
+    keys = parent.select(canon.key_text(canon.text(parent[key], parent.schema[key].dataType)).alias(hit)).where(f"`{hit}` IS NOT NULL").distinct()
+    value = canon.key_text(canon.text(df[rule.column], df.schema[rule.column].dataType))
+    return df.join(keys, value == keys[hit], "left"), value.isNotNull() & F.col(hit).isNull()
+
+
+def masks(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[Rule], list[Rule]]:
+    """`df` with one boolean column `_v_<id>` for each rule, in one projection; and the rules that compiled and those that did not.
+
+    Rules on another table join its distinct keys, one join for each such rule; they need `tables`.
+    """
     done, out, failed = [], [], []
-    for r in rules:
+    for r in map(named, rules):
         try:
+            if r.type == "referential_cross_table":
+                df, orphan = _orphan(df, r, tables or {})
+                out.append(F.coalesce(orphan, F.lit(False)).alias(f"_v_{r.rule_id}"))
+                done.append(r)
+                continue
             out.append(compile_rule(df, r, config).alias(f"_v_{r.rule_id}"))
             done.append(r)
         except (Unsupported, KeyError):
@@ -195,16 +230,34 @@ def masks(df: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> tuple[D
     return df.select("*", *out), done, failed
 
 
-def rule_summary(df: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> DataFrame:
+def rule_summary(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Violations and their rate for each rule, in one pass."""
-    marked, done, _ = masks(df, rules, config)
+    marked, done, _ = masks(df, rules, config, tables)
     total = F.count(F.lit(1))
     parts = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.count_if(F.col(f"_v_{r.rule_id}")).alias("violations"), F.round(F.try_divide(F.count_if(F.col(f"_v_{r.rule_id}")), total), 3).alias("rate")) for r in done]
     return marked.agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def violation_records(df: DataFrame, rules: list[Rule], keys: list[str], config: Config = DEFAULT) -> DataFrame:
-    """Rows that violate some rule, with the ids of the rules joined, without a shuffle."""
-    marked, done, _ = masks(df, rules, config)
+def violation_records(df: DataFrame, rules: list[Rule], keys: list[str], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rows that violate some rule, with the ids of the rules joined, without a shuffle where no rule needs one."""
+    marked, done, _ = masks(df, rules, config, tables)
     ids = F.array_compact(F.array(*[F.when(F.col(f"_v_{r.rule_id}"), F.lit(r.rule_id)) for r in done]))
     return marked.select(*keys, ids.alias("_ids")).where(F.size("_ids") > 0).select(*keys, F.concat_ws(" | ", "_ids").alias("rules"), F.size("_ids").cast("long").alias("n_rules"))
+
+
+def failed_values(df: DataFrame, rules: list[Rule], keys: list[str], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row for each violation: keys, rule_id, column and the value that failed (that of `col_b` where the rule names a second column)."""
+    marked, done, _ = masks(df, rules, config, tables)
+    parts = []
+    for r in done:
+        second = r.params.get("col_b")
+        column = second if second in df.columns and second != r.column else r.column if r.column in df.columns else r.params.get("col_a")
+        value = canon.text(F.col(f"`{column}`"), df.schema[column].dataType) if column in df.columns else F.lit("—")
+        parts.append(F.when(F.col(f"_v_{r.rule_id}"), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(column or "—").alias("column"), value.alias("value"))))
+    return marked.select(*keys, F.explode(F.array_compact(F.array(*parts))).alias("_f")).select(*keys, "_f.*")
+
+
+def sample_violations(df: DataFrame, rules: list[Rule], keys: list[str], k: int = 5, config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The first k violations of each rule by the keys, which is what a report shows."""
+    w = Window.partitionBy("rule_id").orderBy(*keys)
+    return failed_values(df, rules, keys, config, tables).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
