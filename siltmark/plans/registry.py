@@ -13,6 +13,7 @@ from siltmark.operators import profile as P
 from siltmark.operators import relations as R
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.rules import Rule, compile_rule, referential, rule_summary, sibling_lookup, violation_records
+from siltmark.plans import extra
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = {
@@ -197,7 +198,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         "v14_range": (Rule("a", "range", "l_quantity", {"min": 5, "max": 45}), "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity < 5 OR l_quantity > 45"),
     }.items():
         out[name] = (_rule(rule, table, keys), f"SELECT {', '.join(keys)} FROM {table} WHERE {where}")
-    return out
+    return out | extra.catalog()
 
 
 def queries() -> dict[str, Query]:
