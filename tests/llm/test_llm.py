@@ -131,6 +131,9 @@ def test_secret_layers():
         got = secrets.scan(f"é {text} end")
         assert got["layers"] and any(k == "assign" and a == 2 for k, a, _ in got["spans"])
         assert "24be64439e3e49cf46" not in secrets.redact(f"é {text} end", got["spans"])
+    # half of the secret escaped, one way or both, with its name outside the escaped run
+    for text in ("é token = 24be%36439e3e49", "é token = 24be\\u0036439e3e49", "é token = 24be%36439e3\\u00654%39"):
+        assert ("assign", 2, len(text)) in secrets.scan(text)["spans"], text
     assert secrets.scan("password: short7")["base"] == [] and secrets.scan("ſecret=abcdefgh")["base"] == []
     assert secrets.scan("AKIA" + "A" * 12)["base"] == [("access", 0, 16)]
 
