@@ -131,3 +131,12 @@ def test_stream(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
     with pytest.raises(ValueError):
         validate_stream(stream, [Rule("1", "uniqueness", "v")], ["id"], "x", "y")
+
+
+def test_ordinal_domains(spark):
+    from siltmark.operators import relations
+
+    rank, other = [str(i) for i in range(1, 8)], [f"{i}.0" for i in range(1, 8)]
+    h = union([vh(spark, "a", rank=rank), vh(spark, "b", rank=other)])
+    got = relations.classify(relations.overlaps(h, relations.pair_catalog(spark, [("a", "rank"), ("b", "rank")]))).first()
+    assert (got.interpretation, got.overlap) == ("unreported_ordinal_domain", 7)
