@@ -134,6 +134,13 @@ def test_secret_layers():
     # half of the secret escaped, one way or both, with its name outside the escaped run
     for text in ("é token = 24be%36439e3e49", "é token = 24be\\u0036439e3e49", "é token = 24be%36439e3\\u00654%39"):
         assert ("assign", 2, len(text)) in secrets.scan(text)["spans"], text
+    # base64 glued to a path, plain or compressed, and two-digit escapes
+    glued = base64.b64encode(secret.encode()).decode().rstrip("=")
+    for head in ("/a", "/ab/", "https://h/abc/", "x_"):
+        assert any(k == "assign" for k, _, _ in secrets.scan(f"{head}{glued} end")["spans"]), head
+        packed = base64.b64encode(zlib.compress(secret.encode())).decode()
+        assert any(k == "assign" for k, _, _ in secrets.scan(f"{head}{packed} end")["spans"]), head
+    assert ("assign", 0, 26) in secrets.scan("token=\\x61\\U00000062cdefgh")["spans"]
     assert secrets.scan("password: short7")["base"] == [] and secrets.scan("ſecret=abcdefgh")["base"] == []
     assert secrets.scan("AKIA" + "A" * 12)["base"] == [("access", 0, 16)]
 
