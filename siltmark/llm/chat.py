@@ -23,12 +23,14 @@ class Mapping:
 
     `fields`: (role, path) pairs for flat layouts, in order; a second path is joined to the first by a blank line.
     `turns`: (path of the array, role field, text field) for lists of messages.
+    `turn`: (path of the role, path of the text) for a single message, whose role is kept as it is.
     """
 
     name: str
     examples: tuple[dict, ...]
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     turns: tuple[str, str, str] | None = None
+    turn: tuple[str, str] | None = None
 
 
 #: Role names of other layouts, and ours.
@@ -41,6 +43,7 @@ MAPPINGS = (
     Mapping("question", ({"question": "a", "answer": "b"},), fields=(("user", ("$.question",)), ("assistant", ("$.answer",)))),
     Mapping("messages", ({"messages": [{"role": "r", "content": "c"}]}, {"id": 1, "messages": [{"role": "r", "content": "c"}]}), turns=("$.messages", "role", "content")),
     Mapping("conversations", ({"conversations": [{"from": "r", "value": "c"}]}, {"id": 1, "conversations": [{"from": "r", "value": "c"}]}), turns=("$.conversations", "from", "value")),
+    Mapping("message", ({"role": "r", "content": "c"},), turn=("$.role", "$.content")),
 )
 
 
@@ -79,6 +82,9 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mappi
         if m.turns:
             path, role, text = m.turns
             got = F.transform(F.try_variant_get(v, path, f"array<struct<`{role}`:string,`{text}`:string>>"), _turn(role, text))
+        elif m.turn:
+            role, text = (F.coalesce(get(p), F.lit("")) for p in m.turn)
+            got = F.array(F.struct(role.alias("role"), text.alias("text")))
         else:
             parts = [
                 F.when(
@@ -117,57 +123,92 @@ def format_turns(turns: Column) -> Column:
     return F.concat_ws("", F.transform(turns, one))
 
 
+def _running(lengths: Column) -> Column:
+    """The sum of all lengths before each, by blocks of about sqrt(n): an accumulator that copied the whole array at each step would take n^2."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def within(block: Column) -> Column:
+        return F.aggregate(block, zero, step, lambda acc: acc["out"])
+
+    side = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    whole = F.struct(lengths.alias("all"), side.alias("side"))
+    # an array of one struct: what the lambda below refers to is then evaluated once
+    blocks = F.flatten(F.transform(F.array(whole), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(w["side"] - 1, F.lit(0))), lambda i: F.slice(w["all"], i * w["side"] + 1, w["side"]))))
+    parts = F.transform(blocks, lambda b: F.struct(within(b).alias("starts"), F.aggregate(b, F.lit(0), lambda x, y: x + y).alias("total")))
+
+    def joined(p: Column) -> Column:
+        return F.flatten(F.zip_with(p["parts"], p["bases"], lambda one, base: F.transform(one["starts"], lambda x: x + base)))
+
+    both = F.transform(F.array(parts), lambda ps: F.struct(ps.alias("parts"), within(F.transform(ps, lambda one: one["total"])).alias("bases")))
+    return F.transform(both, joined)[0]
+
+
+def segments_of(formatted: Column) -> Column:
+    """The turns of a formatted text, each without its first control."""
+    return F.filter(F.split(formatted, r"<\|turn\|>"), lambda s: s != "")
+
+
 def parse_turns(formatted: Column) -> Column:
     """Turns read back from the template, with the offset of each escaped text in it: role, text, start, length."""
-    segments = F.filter(F.split(formatted, r"<\|turn\|>"), lambda s: s != "")
 
     def piece(s: Column) -> Column:
         cut = F.split(s, r"<\|text\|>", 2)
         raw = F.regexp_replace(cut[1], r"<\|end\|>$", "")
         return F.struct(unescape(cut[0]).alias("role"), unescape(raw).alias("text"), F.char_length(s).alias("all"), F.char_length(cut[0]).alias("head"), F.char_length(raw).alias("length"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int,length:int>>").alias("out"))
+    def placed(x: Column, at: Column) -> Column:
+        return F.struct(x["role"].alias("role"), x["text"].alias("text"), (at + len(START) + x["head"] + len(MIDDLE)).cast("int").alias("start"), x["length"].alias("length"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + len(START) + x["head"] + len(MIDDLE)
-        return F.struct(
-            (acc["at"] + len(START) + x["all"]).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.struct(x["role"].alias("role"), x["text"].alias("text"), start.cast("int").alias("start"), x["length"].cast("int").alias("length")))).alias("out"),
-        )
+    pieces = F.array(F.transform(segments_of(formatted), piece))
+    return F.transform(pieces, lambda ps: F.zip_with(ps, _running(F.transform(ps, lambda x: x["all"] + len(START))), placed))[0]
 
-    return F.aggregate(F.transform(segments, piece), zero, step, lambda acc: acc["out"])
+
+def format_turn_arrays(df: DataFrame) -> DataFrame:
+    """`df` (with `turns`) and `formatted`, `parsed` (the turns read back from it) and `loss_spans`: (start, length) of assistant texts in it, in code points."""
+    df = df.withColumn("formatted", format_turns(F.col("turns"))).withColumn("parsed", parse_turns(F.col("formatted")))
+    spans = F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    return df.withColumn("loss_spans", spans)
 
 
 def format_records(df: DataFrame, record: str = "record") -> DataFrame:
     """`df` with fingerprint, layout, turns, `formatted`, and `loss_spans`: (start, length) of assistant texts in it, in code points."""
-    df = canonical_turns(df, record).withColumn("formatted", format_turns(F.col("turns"))).withColumn("_back", parse_turns(F.col("formatted")))
-    spans = F.transform(F.filter("_back", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
-    return df.withColumn("loss_spans", spans).drop("_back")
+    return format_turn_arrays(canonical_turns(df, record)).drop("parsed")
 
 
 def records(conversations: DataFrame) -> DataFrame:
-    """One JSON record in the messages layout for each conv_id, from rows (conv_id, turn, role, text).
+    """conv_id, turn and one JSON record in the message layout for each row (conv_id, turn, role, text); null roles and texts are empty."""
+    message = F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.to_json(message).alias("record"))
+
+
+def conversations_of(rows: DataFrame) -> DataFrame:
+    """conv_id, layout and turns from rows (conv_id, turn, record): each record is mapped where it is read, then its turns are gathered.
 
-    Turns are in the order of `turn`, ties in that of role and text; null roles and texts are empty.
-    One conversation becomes one row, whatever its length: its output is one sequence.
+    Turns are in the order of `turn`, ties in that of role and text. One conversation becomes one row, whatever its length: its output
+    is one sequence. A record of no known layout (a text beyond the size that a variant can hold, too) ends the query; nothing is lost silently.
     """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return rows.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    one = canonical_turns(rows, "record").withColumn("layout", F.coalesce("layout", F.raise_error(F.lit("a record has no known layout")).cast("string")))
+    turns = F.col("turns")[0]
+    kept = one.select("conv_id", "layout", F.struct("turn", turns["role"].alias("role"), turns["text"].alias("text")).alias("t"))
+    return kept.groupBy("conv_id").agg(F.min("layout").alias("layout"), F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, layout, read back from the template."""
-    done = format_records(records(conversations)).select("conv_id", "layout", "formatted", "loss_spans")
-    done = done.withColumn("back", parse_turns(F.col("formatted")))
-    loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))))
-    return done.select(
+    done = format_turn_arrays(conversations_of(records(conversations))).drop("turns")
+    # texts under the mask, cut from the turn that each span lies in: an offset into the whole text is found by walking it
+    turn = lambda s, t: F.struct(s.alias("segment"), t["role"].alias("role"), (t["start"] - F.char_length(F.split(s, r"<\|text\|>", 2)[0]) - len(MIDDLE)).alias("at"))
+    learned = F.filter(F.zip_with(segments_of(F.col("formatted")), F.col("parsed"), turn), lambda x: x["role"] == "assistant")
+    loss = F.concat_ws("", F.zip_with(learned, F.col("loss_spans"), lambda x, s: unescape(F.substring(x["segment"], s["start"] - x["at"] + 1, s["length"]))))
+    return done.withColumn("loss", loss).select(
         "conv_id",
-        F.size("back").cast("long").alias("n_turns"),
-        F.sha2(F.concat_ws("", F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.size("parsed").cast("long").alias("n_turns"),
+        F.sha2(F.concat_ws("", F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
         "layout",
     )

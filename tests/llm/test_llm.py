@@ -192,6 +192,20 @@ def test_chat(spark):
     assert [(t.role, t.text) for t in back] == [("user", "a <|turn|> <||x| <"), ("assistant", "")]
 
 
+def test_chat_digests(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"é <|end|> {k}") for k in range(3001)]
+    rows += [(2, 0, None, None), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (None, 0, "assistant", "x<|turn|>"), (3, 0, "human", "a")]
+    got = {r.conv_id: r for r in chat.chat_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for key in (1, 2, 3, None):
+        mine = [(r[2] or "", r[3] or "") for r in rows if r[0] == key]
+        loss = "".join(t for r, t in mine if r == "assistant")
+        assert (got[key].n_turns, got[key].turns_sha256) == (len(mine), sha("".join(f"{r}\n{t}\n" for r, t in mine)))
+        assert (got[key].loss_chars, got[key].loss_sha256) == (len(loss), sha(loss))
+    starts = spark.createDataFrame([([],), ([5],), (list(range(50)),)], "x array<int>").select(chat._running(F.col("x"))).collect()
+    assert [r[0] for r in starts] == [[], [0], [sum(range(k)) for k in range(50)]]
+
+
 def test_toxicity_clauses():
     s = toxicity.Scorer([("idiot", False, 1.0)])
     plain, negated, said, aimed = (s.clauses(t)[0] for t in ("an idiot came", "not an idiot", "one said idiot", "you idiot"))
