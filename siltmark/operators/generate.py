@@ -5,6 +5,7 @@ What reads data is a DataFrame of one row for each finding; what edits rules wor
 
 from __future__ import annotations
 
+import ast
 import re
 from collections.abc import Iterable
 from dataclasses import replace
@@ -159,6 +160,60 @@ def custom_to_typed(rules: list[Rule], actions: dict[str, list[str]] | None = No
     return [r for r in out if not (r.type == "custom" and (m := _EQUAL.match(str(r.params.get("logic", "")))) and m["c"] in listed)]
 
 
+class _WholeWords(ast.NodeTransformer):
+    """`'x' in row['c']`, with or without str() and case folding, and `any(v in row['c'] for v in ['x', 'y'])` become searches for whole words."""
+
+    @staticmethod
+    def _of_row(n: ast.AST) -> ast.AST | None:
+        """The column under str(), lower() and upper(), or None."""
+        while isinstance(n, ast.Call):
+            if isinstance(n.func, ast.Attribute) and n.func.attr in ("lower", "upper") and not n.args:
+                n = n.func.value
+            elif isinstance(n.func, ast.Name) and n.func.id == "str" and len(n.args) == 1:
+                n = n.args[0]
+            else:
+                return None
+        return n if isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and n.value.id in ("row", "df") else None
+
+    @staticmethod
+    def _search(words: list[str], column: ast.AST) -> ast.AST:
+        pattern = rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w.casefold()) for w in words)})(?![a-z0-9])"
+        return ast.parse(f"re.search({pattern!r}, str({ast.unparse(column)}).lower())", mode="eval").body
+
+    def visit_Compare(self, n: ast.Compare) -> ast.AST:
+        text = n.left.value if isinstance(n.left, ast.Constant) else None
+        column = self._of_row(n.comparators[0]) if len(n.ops) == 1 and isinstance(n.ops[0], (ast.In, ast.NotIn)) else None
+        if not isinstance(text, str) or not text or column is None:
+            return self.generic_visit(n)
+        found = self._search([text], column)
+        return found if isinstance(n.ops[0], ast.In) else ast.UnaryOp(ast.Not(), found)
+
+    def visit_Call(self, n: ast.Call) -> ast.AST:
+        g = n.args[0] if isinstance(n.func, ast.Name) and n.func.id == "any" and len(n.args) == 1 else None
+        if isinstance(g, ast.GeneratorExp) and len(g.generators) == 1 and not g.generators[0].ifs:
+            each, test = g.generators[0], g.elt
+            words = [e.value for e in each.iter.elts if isinstance(e, ast.Constant) and isinstance(e.value, str) and e.value] if isinstance(each.iter, (ast.List, ast.Tuple, ast.Set)) else []
+            if words and len(words) == len(each.iter.elts) and isinstance(test, ast.Compare) and len(test.ops) == 1 and isinstance(test.ops[0], ast.In) and ast.dump(test.left) == ast.dump(ast.Name(getattr(each.target, "id", ""), ast.Load())):
+                if (column := self._of_row(test.comparators[0])) is not None:
+                    return self._search(words, column)
+        return self.generic_visit(n)
+
+
+def whole_words(rules: list[Rule]) -> list[Rule]:
+    """Custom rules on several columns look for whole words, whatever their case, where they looked for a part of a text: `cat` is not in `category`."""
+    out = []
+    for r in rules:
+        logic = str(r.params.get("logic", "")) if r.type == "custom" else ""
+        if " in " in logic and len(set(re.findall(_COLUMN.replace("?P<c>", ""), logic))) > 1:
+            try:
+                tree = _WholeWords().visit(ast.parse(logic, mode="eval"))
+                r = replace(r, params=r.params | {"logic": ast.unparse(ast.fix_missing_locations(tree))})
+            except SyntaxError:
+                pass
+        out.append(r)
+    return out
+
+
 def boolean_enumerations(rules: list[Rule], spellings: dict[str, dict[bool, str]]) -> list[Rule]:
     """Enumerations of truth values keep the most frequent spelling of each (column -> truth -> spelling)."""
     known = {*TRUE_SPELLINGS, *FALSE_SPELLINGS}
@@ -174,7 +229,7 @@ def boolean_enumerations(rules: list[Rule], spellings: dict[str, dict[bool, str]
 def clean_up(rules: list[Rule], keys: Iterable[str] = (), fences: dict[str, tuple[float, float]] | None = None, codes: dict[str, int | None] | None = None, actions: dict[str, list[str]] | None = None, spellings: dict[str, dict[bool, str]] | None = None, config: Config = DEFAULT) -> list[Rule]:
     """All passes over proposed rules, in order."""
     rules = ranges_to_formats(drop_ranges(rules, keys, fences or {}, config), codes or {})
-    return renumber(boolean_enumerations(custom_to_typed(rules, actions), spellings or {}))
+    return renumber(boolean_enumerations(whole_words(custom_to_typed(rules, actions)), spellings or {}))
 
 
 def offline_rules(columns: Iterable[dict]) -> list[Rule]:

@@ -210,17 +210,30 @@ def _orphan(df: DataFrame, rule: Rule, tables: dict[str, DataFrame]) -> tuple[Da
     return df.join(keys, value == keys[hit], "left"), value.isNotNull() & F.col(hit).isNull()
 
 
+def _repeated(df: DataFrame, rule: Rule) -> tuple[DataFrame, Column]:
+    """`df` joined with the values that repeat, and the mask of their rows.
+
+    Only values are shuffled, after map-side counts; few values repeat in a column that should be unique, so that AQE can broadcast them once it
+    has measured them. A window would bring all rows of a frequent value, or all gaps, to one task.
+    """
+    if rule.column not in df.columns:
+        raise Unsupported(rule.type)
+    hit = f"_u_{rule.rule_id}"
+    repeats = df.select(df[rule.column].alias(hit)).where(F.col(hit).isNotNull()).groupBy(hit).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(hit)
+    return df.join(repeats, df[rule.column] == repeats[hit], "left"), F.col(hit).isNotNull()
+
+
 def masks(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[Rule], list[Rule]]:
     """`df` with one boolean column `_v_<id>` for each rule, in one projection; and the rules that compiled and those that did not.
 
-    Rules on another table join its distinct keys, one join for each such rule; they need `tables`.
+    Rules on another table join its distinct keys, one join for each such rule; they need `tables`. Uniqueness joins the values that repeat.
     """
     done, out, failed = [], [], []
     for r in map(named, rules):
         try:
-            if r.type == "referential_cross_table":
-                df, orphan = _orphan(df, r, tables or {})
-                out.append(F.coalesce(orphan, F.lit(False)).alias(f"_v_{r.rule_id}"))
+            if r.type in ("referential_cross_table", "uniqueness"):
+                df, bad = _orphan(df, r, tables or {}) if r.type == "referential_cross_table" else _repeated(df, r)
+                out.append(F.coalesce(bad, F.lit(False)).alias(f"_v_{r.rule_id}"))
                 done.append(r)
                 continue
             out.append(compile_rule(df, r, config).alias(f"_v_{r.rule_id}"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark import config as C
-from siltmark.operators import casts, detectors, facts, generate, identifier, sketches
+from siltmark.operators import casts, detectors, facts, generate, identifier, samples, sketches
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.rules import Rule, compile_rule, failed_values
 from siltmark.plans import pipeline
@@ -155,6 +155,11 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
             lambda s, d: failed_values(_dirty(s), [Rule("1", "not_null", "email"), Rule("2", "date_ordering", "start", {"col_a": "start", "col_b": "stop"}), Rule("3", "range", "amount", {"min": 0})], ["id"]),
             f"{fx} SELECT id, '1' AS rule_id, 'email' AS \"column\", email AS value FROM fx WHERE email IS NULL UNION ALL SELECT id, '2', 'stop', stop FROM fx WHERE {day('start')} > {day('stop')} UNION ALL SELECT id, '3', 'amount', amount FROM fx WHERE TRY_CAST(amount AS DOUBLE) < 0",
         ),
+        "j18_stratified_sample": (
+            lambda s, d: samples.stratified_sample(_t(s, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice") > 450000, "o_orderkey", 40),
+            """WITH b AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 450000 ORDER BY o_orderkey LIMIT 20), g AS (SELECT o_orderkey, o_totalprice FROM orders WHERE NOT o_totalprice > 450000 ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 40)
+            SELECT o_orderkey, o_totalprice FROM (SELECT *, 0 AS s, '' AS h FROM b UNION ALL SELECT *, 1, md5('42:' || o_orderkey) FROM g) ORDER BY s, h, o_orderkey LIMIT 40""",
+        ),
         "x1_full_run": (full_run, None),
     }
     text = lambda c: f"({c} IS NOT NULL AND trim({c}) <> '')"

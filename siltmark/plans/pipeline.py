@@ -5,19 +5,23 @@ from __future__ import annotations
 import os
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltmark.config import DEFAULT, Config
-from siltmark.operators import detectors, facts, generate, relations, sketches
+from siltmark.functions import canon
+from siltmark.operators import detectors, facts, generate, relations, samples, sketches
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.identifier import record_identifiers
-from siltmark.operators.rules import Rule, masks, rule_summary, violation_records
-from siltmark.plans.replies import SUSPECT_RATE, Offline, Provider, with_references
+from siltmark.operators.rules import Rule, masks, rule_summary, sample_violations, violation_records
+from siltmark.plans.replies import SUSPECT_RATE, Offline, Provider, Remembering, with_references
 from siltmark.sources import readers, sinks
 
 #: Rounds of revising suspect rules.
 MAX_ROUNDS = 2
+#: Rows that a provider is shown of a table, and values of those that fail a rule.
+SAMPLE_ROWS, FAILING_VALUES = 30, 5
 
 
 @dataclass
@@ -65,14 +69,16 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
             said = with_references(provider.describe(t, [facts.evidence(r, config) for r in rows]), paths, t)
             out.dictionaries[t] = [r | s | {"facts": facts.sentences(r)} for r, s in zip(rows, said, strict=True)]
             coded = {c: n for (u, c), n in codes.items() if u == t and isinstance(df.schema[c].dataType, T.StringType)}
+            key = ids.get(t, df.columns[0]) if df.columns else None
+            sample = [r.asDict() for r in samples.stratified_sample(df, _odd(df, rows, fences), key, SAMPLE_ROWS).collect()] if key and type(provider) is not Offline else []
             proposed = generate.clean_up(
-                provider.propose(t, rows), [c for u, c in keys if u == t], fences, {c: n for c, n in coded.items() if c in numeric},
+                provider.propose(t, rows, sample), [c for u, c in keys if u == t], fences, {c: n for c, n in coded.items() if c in numeric},
                 {r["column_name"]: r["recommended_actions"] for r in said}, {c: v for (u, c), v in truth.items() if u == t}, config,
             )
             rules = generate.supplement(t, vh, df, proposed, paths, numeric, coded, config)
             summary = _check(df, rules, tables, config)
             for _ in range(MAX_ROUNDS):
-                suspect = [s for s in summary if (s["rate"] or 0) >= SUSPECT_RATE]
+                suspect = _inspected(provider, t, df, rules, [s for s in summary if (s["rate"] or 0) >= SUSPECT_RATE], key, tables, config)
                 revised = generate.renumber(provider.revise(t, rules, suspect)) if suspect else rules
                 if revised == rules:
                     break
@@ -86,6 +92,33 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
         vh.unpersist()
 
 
+def _odd(df: DataFrame, rows: list[dict], fences: dict[str, tuple[float, float]]) -> Column:
+    """Rows that profiling finds fault with: a gap in a column that is mostly filled, or a number beyond the fences."""
+    odd = F.lit(False)
+    for r in rows:
+        c = F.col(f"`{r['column']}`")
+        if 0 < r["missing_count"] < r["n_total"] / 2:
+            odd = odd | c.isNull()
+        if r["column"] in fences:
+            low, high = fences[r["column"]]
+            number = canon.try_number(c.cast("string"))
+            odd = odd | F.coalesce((number < low) | (number > high), F.lit(False))
+    return odd
+
+
+def _inspected(provider: Provider, table: str, df: DataFrame, rules: list[Rule], suspect: list[dict], key: str | None, tables: dict[str, DataFrame], config: Config) -> list[dict]:
+    """Suspect rules that the provider assesses as doubtful, each with what it says of them when it has seen some failing values."""
+    if not suspect or not key:
+        return suspect
+    chosen = set(provider.assess(table, rules, suspect))
+    doubtful = [r for r in rules if r.rule_id in chosen]
+    failing: dict[str, list] = {}
+    for r in sample_violations(df, doubtful, [key], FAILING_VALUES, config, tables).collect() if doubtful and type(provider) is not Offline else ():
+        failing.setdefault(r["rule_id"], []).append(r["value"])
+    issues = {r.rule_id: provider.inspect(table, r, failing.get(r.rule_id, [])) for r in doubtful}
+    return [s | {"issue": issues[s["rule_id"]]} for s in suspect if s["rule_id"] in issues]
+
+
 def _check(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame], config: Config) -> list[dict]:
     text = {r.rule_id: r.text for r in rules}
     if not masks(df, rules, config, tables)[1]:
@@ -93,8 +126,10 @@ def _check(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame], confi
     return [r.asDict() | {"text": text[r["rule_id"]]} for r in rule_summary(df, rules, config, tables).collect()]
 
 
-def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | None = None, config: Config = DEFAULT) -> Result:
-    """Read files, run, and write dictionaries, rules, violations and a report to a new folder under `out`."""
+def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | None = None, config: Config = DEFAULT, replies: str | None = None) -> Result:
+    """Read files, run, and write dictionaries, rules, violations and a report to a new folder under `out`. A provider's answers are kept in the folder `replies` and used again."""
+    if provider and replies:
+        provider = Remembering(provider, replies)
     tables = {t: readers.clean(df) for t, df in readers.read_all(spark, paths).items()}
     result = run_tables(spark, tables, provider, config)
     folder = result.folder = sinks.run_folder(out, tables)

@@ -12,7 +12,7 @@ from siltmark.operators import detectors as D
 from siltmark.operators import profile as P
 from siltmark.operators import relations as R
 from siltmark.operators.histogram import union, value_histogram
-from siltmark.operators.rules import Rule, compile_rule, referential, rule_summary, sibling_lookup, violation_records
+from siltmark.operators.rules import Rule, masks, referential, rule_summary, sibling_lookup, violation_records
 from siltmark.plans import extra
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,8 +98,8 @@ FENCES = "f AS (SELECT count(*) n, quantile_cont(x, 0.25) q1, quantile_cont(x, 0
 
 def _rule(rule: Rule, table: str, keys: list[str]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        df = _t(spark, d, table)
-        return df.select(*keys, compile_rule(df, rule).alias("_bad")).where("_bad").select(*keys)
+        marked = masks(_t(spark, d, table), [rule])[0]
+        return marked.where(F.col(f"_v_{rule.rule_id}")).select(*keys)
 
     return run
 

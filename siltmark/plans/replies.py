@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any, Protocol
 
 from siltmark.operators.generate import offline_rules
 from siltmark.operators.rules import Rule
+from siltmark.plans.ordering import Embed, semantic_chunks, trigram_vectors
+from siltmark.sources import sinks
 
 NO_ACTION = "[No Immediate Action]"
 REQUIRED = ("column_name", "description", "recommended_actions")
@@ -20,8 +24,14 @@ class Provider(Protocol):
     def describe(self, table: str, evidence: list[dict]) -> list[dict]:
         """Dictionary rows for columns: column_name, description, recommended_actions."""
 
-    def propose(self, table: str, columns: list[dict]) -> list[Rule]:
-        """Rules for a table."""
+    def propose(self, table: str, columns: list[dict], sample: Iterable[dict] = ()) -> list[Rule]:
+        """Rules for a table, from facts of its columns and a small sample of its dirty and clean rows."""
+
+    def assess(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[str]:
+        """Of the rules that fail nearly everywhere, the ids of those to be inspected."""
+
+    def inspect(self, table: str, rule: Rule, failing: list) -> str:
+        """What is wrong with a rule, given some of the values that fail it; empty where the data are at fault."""
 
     def revise(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[Rule]:
         """Rules after those that fail nearly everywhere have been looked at."""
@@ -36,9 +46,15 @@ class Offline:
     def describe(self, table: str, evidence: list[dict]) -> list[dict]:
         return [{"column_name": e["column_name"], "description": "; ".join(e["facts"]), "recommended_actions": [NO_ACTION]} for e in evidence]
 
-    def propose(self, table: str, columns: list[dict]) -> list[Rule]:
+    def propose(self, table: str, columns: list[dict], sample: Iterable[dict] = ()) -> list[Rule]:
         return offline_rules(columns)
 
+    def assess(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[str]:
+        return [s["rule_id"] for s in suspect]
+
+    def inspect(self, table: str, rule: Rule, failing: list) -> str:
+        return ""
+
     def revise(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[Rule]:
         return rules
 
@@ -49,8 +65,8 @@ class Offline:
 class Prompting(Offline):
     """A provider behind `call(prompt) -> reply`; what it cannot answer validly in some tries is answered offline."""
 
-    def __init__(self, call: Callable[[str], str], chunk: int = 1, tries: int = 3) -> None:
-        self.call, self.chunk, self.tries = call, chunk, tries
+    def __init__(self, call: Callable[[str], str], chunk: int = 1, tries: int = 3, embed: Embed = trigram_vectors) -> None:
+        self.call, self.chunk, self.tries, self.embed = call, chunk, tries, embed
 
     def _ask(self, prompt: str, read: Callable[[str], Any]) -> Any:
         """The first reply that `read` takes, or None. Only replies that cannot be read are asked for again."""
@@ -63,12 +79,13 @@ class Prompting(Offline):
 
     def describe(self, table: str, evidence: list[dict]) -> list[dict]:
         out = []
-        for part in chunks(evidence, self.chunk):
+        for part in semantic_chunks(evidence, self.chunk, self.embed) if self.chunk > 1 else chunks(evidence, self.chunk):
             rows = self._describe(table, part)
             if rows is None and len(part) > 1:
                 rows = [r for e in part for r in self._describe(table, [e]) or super(Prompting, self).describe(table, [e])]
             out += rows or super().describe(table, part)
-        return out
+        by = {r["column_name"]: r for r in out}
+        return [by[e["column_name"]] for e in evidence]
 
     def _describe(self, table: str, part: list[dict]) -> list[dict] | None:
         names = [e["column_name"] for e in part]
@@ -76,10 +93,22 @@ class Prompting(Offline):
         rows = self._ask(prompt, lambda reply: checked_rows(parse_reply(reply), names))
         return rows and [r | {"recommended_actions": clean_actions(r["recommended_actions"])} for r in rows]
 
-    def propose(self, table: str, columns: list[dict]) -> list[Rule]:
-        prompt = f"Propose validation rules for the table {table}. Reply with a JSON array of objects with type, column, params, text.\n{json.dumps(columns, ensure_ascii=False, default=str)}"
+    def propose(self, table: str, columns: list[dict], sample: Iterable[dict] = ()) -> list[Rule]:
+        rows = list(sample)
+        prompt = f"Propose validation rules for the table {table}. Reply with a JSON array of objects with type, column, params, text.\n{json.dumps(columns, ensure_ascii=False, default=str)}\nSome rows:\n{json.dumps(rows, ensure_ascii=False, default=str)}"
         rules = self._ask(prompt, lambda reply: rules_of(parse_reply(reply)))
-        return super().propose(table, columns) if rules is None else rules
+        return super().propose(table, columns, rows) if rules is None else rules
+
+    def assess(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[str]:
+        ids = {s["rule_id"] for s in suspect}
+        prompt = f"These rules of the table {table} fail on most rows. Reply with a JSON array of objects with rule_id, one for each rule whose wording may be at fault.\n{json.dumps(suspect, ensure_ascii=False, default=str)}"
+        found = self._ask(prompt, lambda reply: [str(r["rule_id"]) for r in parse_reply(reply) if str(r.get("rule_id")) in ids])
+        return sorted(ids) if found is None else found
+
+    def inspect(self, table: str, rule: Rule, failing: list) -> str:
+        prompt = f"The rule {rule.type} on {table}.{rule.column} with {json.dumps(rule.params, default=str)} fails on values such as {json.dumps(failing, ensure_ascii=False, default=str)}. Reply with a JSON object with issue: what is wrong with the rule, or an empty text."
+        found = self._ask(prompt, lambda reply: [str(r.get("issue") or "") for r in parse_reply(reply)])
+        return found[0] if found else ""
 
     def revise(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[Rule]:
         if not suspect:
@@ -93,6 +122,44 @@ class Prompting(Offline):
         return without_thoughts(self.call(f"Summarise in one paragraph. {subject}\n" + "\n".join(facts))).strip() or super().summarise(subject, facts)
 
 
+class Remembering:
+    """A provider whose answers are kept in a folder, one file for each question, so that a run that was cut off goes on where it was.
+
+    The name of a file holds a digest of the question: an answer is used only for the very same facts.
+    """
+
+    def __init__(self, provider: Provider, folder: str) -> None:
+        self.provider, self.folder = provider, folder
+
+    def _kept(self, kind: str, table: str, question: Any, ask: Callable[[], Any]) -> Any:
+        digest = hashlib.sha256(json.dumps(sinks.plain(question), sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+        path = os.path.join(self.folder, f"{table}_{kind}_{digest}.json")
+        known = sinks.read_json_file(path)
+        if known is None:
+            known = {"answer": sinks.plain(ask())}
+            sinks.write_json(known, path)
+        return known["answer"]
+
+    def describe(self, table: str, evidence: list[dict]) -> list[dict]:
+        return self._kept("columns", table, evidence, lambda: self.provider.describe(table, evidence))
+
+    def propose(self, table: str, columns: list[dict], sample: Iterable[dict] = ()) -> list[Rule]:
+        rows = list(sample)
+        return [Rule(**r) for r in self._kept("rules", table, [columns, rows], lambda: self.provider.propose(table, columns, rows))]
+
+    def assess(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[str]:
+        return self._kept("assessment", table, [rules, suspect], lambda: self.provider.assess(table, rules, suspect))
+
+    def inspect(self, table: str, rule: Rule, failing: list) -> str:
+        return self._kept("inspection", table, [rule, failing], lambda: self.provider.inspect(table, rule, failing))
+
+    def revise(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[Rule]:
+        return [Rule(**r) for r in self._kept("revision", table, [rules, suspect], lambda: self.provider.revise(table, rules, suspect))]
+
+    def summarise(self, subject: str, facts: list[str]) -> str:
+        return self._kept("summary", "", [subject, facts], lambda: self.provider.summarise(subject, facts))
+
+
 def chunks(rows: list, n: int) -> Iterator[list]:
     for i in range(0, len(rows), max(1, n)):
         yield rows[i : i + max(1, n)]

@@ -5,10 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.operators import casts, facts, generate, identifier, sketches
+from siltmark.operators import casts, facts, generate, identifier, samples, sketches
 from siltmark.operators.histogram import union, value_histogram
-from siltmark.operators.rules import Rule, rule_summary
-from siltmark.plans import pipeline, replies
+from siltmark.operators.rules import Rule, compile_expression, rule_summary
+from siltmark.plans import ordering, pipeline, replies
 from siltmark.sources import sinks
 from siltmark.streaming.validate import validate_stream
 
@@ -140,3 +140,71 @@ def test_ordinal_domains(spark):
     h = union([vh(spark, "a", rank=rank), vh(spark, "b", rank=other)])
     got = relations.classify(relations.overlaps(h, relations.pair_catalog(spark, [("a", "rank"), ("b", "rank")]))).first()
     assert (got.interpretation, got.overlap) == ("unreported_ordinal_domain", 7)
+
+
+def test_whole_words(spark):
+    df = spark.createDataFrame([("Cat food", "x"), ("category", "x"), ("dog", "y"), (None, "x")], "a string, b string")
+    cases = {
+        "'cat' in str(row['a']).lower() and row['b'] == 'x'": ["Cat food"], "'cat' not in row['a'] and row['b'] == 'x'": ["category"],
+        "any(v in str(row['a']).lower() for v in ['cat', 'dog']) and row['b'] != 'x'": ["dog"],
+    }
+    for logic, want in cases.items():
+        (rule,) = generate.whole_words([Rule("1", "custom", "a", {"logic": logic})])
+        assert [r.a for r in df.where(compile_expression(df, rule.params["logic"])).collect()] == want
+    same = [Rule("1", "custom", "a", {"logic": "'cat' in row['a']"}), Rule("2", "custom", "a", {"logic": "row['b'] in ['x'] and row['a'] == 'y'"}), Rule("3", "custom", "a", {"logic": "row['a'] in ("})]
+    assert generate.whole_words(same) == same
+
+
+def test_stratified_sample(spark):
+    df = spark.range(100).withColumn("x", F.when(F.col("id") % 10 != 0, F.col("id")))
+    got = [r.id for r in samples.stratified_sample(df, F.col("x").isNull(), "id", 8).collect()]
+    assert got[:4] == [0, 10, 20, 30] and len(got) == 8 and all(i % 10 for i in got[4:])
+    assert samples.stratified_sample(df, F.lit(None).cast("boolean"), "id", 8).count() == 8
+    assert samples.stratified_sample(df.limit(0), F.lit(True), "id", 8).count() == 0
+    assert [r.id for r in samples.stratified_sample(df.where("id < 3"), F.col("id") == 1, "id", 8).collect()][0] == 1
+
+
+def test_ordering():
+    names = ["weight", "billing_city", "height", "billing_street", "weight_unit"]
+    got = ordering.semantic_chunks([{"column_name": n, "data_type": "string"} for n in names], 3)
+    flat = [e["column_name"] for part in got for e in part]
+    assert sorted(flat) == sorted(names) and flat[0] == "weight" and max(map(len, got)) <= 3
+    assert flat.index("weight_unit") == flat.index("weight") + 1 and abs(flat.index("billing_city") - flat.index("billing_street")) == 1
+    assert ordering.semantic_chunks([], 3) == [] and len(ordering.semantic_chunks([{"column_name": "a"}], 3)) == 1
+    assert ordering.units_after_values([1, 0], ["LengthUnit", "Length"]) == [1, 0]
+
+
+class Scripted(replies.Offline):
+    """Proposes a rule that fails everywhere, and drops it when it is told so."""
+
+    def __init__(self):
+        self.asked, self.sample = [], []
+
+    def propose(self, table, columns, sample=()):
+        self.asked.append("propose")
+        self.sample = list(sample)
+        return [Rule("1", "enumeration", "grade", {"values": ["never"]}), Rule("2", "not_null", "grade")]
+
+    def inspect(self, table, rule, failing):
+        self.asked.append(("inspect", rule.rule_id, tuple(failing)))
+        return "no value is allowed"
+
+    def revise(self, table, rules, suspect):
+        self.asked.append(("revise", tuple((s["rule_id"], s["issue"]) for s in suspect)))
+        return [r for r in rules if r.rule_id not in {s["rule_id"] for s in suspect}]
+
+
+def test_inspection_and_memory(spark, tmp_path):
+    (tmp_path / "marks.csv").write_text("mark_id,grade\n" + "".join(f"{i},{'AB'[i % 2] if i % 9 else ''}\n" for i in range(1, 41)))
+    provider, kept = Scripted(), str(tmp_path / "replies")
+    got = pipeline.run(spark, [str(tmp_path / "marks.csv")], str(tmp_path / "out"), provider, replies=kept)
+    assert "enumeration" not in [r.type for r in got.rules["marks"]] and "not_null" in [r.type for r in got.rules["marks"]]
+    assert provider.asked[1][:2] == ("inspect", "1") and set(provider.asked[1][2]) <= {"A", "B"} and provider.asked[2] == ("revise", (("1", "no value is allowed"),))
+    assert any(r["grade"] is None for r in provider.sample) and len(provider.sample) == pipeline.SAMPLE_ROWS
+    again = Scripted()
+    assert pipeline.run(spark, [str(tmp_path / "marks.csv")], str(tmp_path / "out"), again, replies=kept).rules == got.rules and again.asked == []
+
+
+def test_repeats(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "k string")
+    assert rule_summary(df, [Rule("1", "uniqueness", "k"), Rule("2", "not_null", "k")]).collect()[0].violations == 2
