@@ -154,7 +154,18 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
             lambda s, d: _rounded(D.sentinels(_t(s, d, "events"), "value"), 6, "value", "share"),
             f"WITH t AS (SELECT value x FROM events WHERE value IS NOT NULL), {FENCES}, o AS (SELECT x, CASE WHEN x > q3 + m * (q3 - q1) THEN 'high' ELSE 'low' END side FROM t, g WHERE x > q3 + m * (q3 - q1) OR x < q1 - m * (q3 - q1)), c AS (SELECT side, x AS value, count(*) AS cnt FROM o GROUP BY 1, 2), s AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY side) AS share FROM c) SELECT side, round(value, 6) AS value, cnt, round(share, 6) AS share FROM s WHERE share >= 0.8",
         ),
+        "d20_sentinels_coded": (
+            lambda s, d: _rounded(D.sentinels(_t(s, d, "events").select(F.when(F.col("event_id") % 10 == 0, F.lit(99999.0)).otherwise(F.col("value")).alias("value")), "value"), 6, "value", "share"),
+            f"WITH t AS (SELECT CASE WHEN event_id % 10 = 0 THEN 99999 ELSE value END x FROM events), {FENCES}, o AS (SELECT x, CASE WHEN x > q3 + m * (q3 - q1) THEN 'high' ELSE 'low' END side FROM t, g WHERE x > q3 + m * (q3 - q1) OR x < q1 - m * (q3 - q1)), c AS (SELECT side, x AS value, count(*) AS cnt FROM o GROUP BY 1, 2), s AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY side) AS share FROM c) SELECT side, round(value, 6) AS value, cnt, round(share, 6) AS share FROM s WHERE share >= 0.8",
+        ),
         "d17_contaminated": (lambda s, d: _longs(D.contaminated(text(s, d)), "n"), f'{VH} SELECT "table", "column", count(*) AS n_distinct, CAST(sum(cnt) AS BIGINT) AS n FROM v GROUP BY 1, 2 HAVING count(*) > 50 AND count(*) / sum(cnt) < 0.05'),
+        "d19_near_duplicates_long": (
+            lambda s, d: _rounded(D.near_duplicate_values(value_histogram(_t(s, d, "part").select(F.concat(F.lit("spare part of the kind "), "p_type", F.lit(" "), "p_size").alias("kind")), "part")), 6, "jaccard"),
+            f"""WITH vh AS (SELECT 'part' AS "table", 'kind' AS "column", 'spare part of the kind ' || p_type || ' ' || p_size AS value, count(*) AS cnt FROM part GROUP BY 3), v AS (SELECT "table", "column", value FROM vh WHERE {VALUE}), w AS (SELECT * FROM v WHERE ("table", "column") IN (SELECT ("table", "column") FROM v GROUP BY "table", "column" HAVING count(*) BETWEEN 2 AND 2000)),
+            g AS (SELECT DISTINCT "table", "column", value, substr(value, CAST(i AS BIGINT), 3) gram FROM (SELECT *, unnest(range(1, greatest(length(value) - 2, 1) + 1)) i FROM w)), n AS (SELECT "table", "column", value, count(*) k FROM g GROUP BY 1, 2, 3),
+            b AS (SELECT x."table", x."column", x.value value_a, y.value value_b, count(*) s FROM g x JOIN g y ON x."table" = y."table" AND x."column" = y."column" AND x.gram = y.gram AND x.value < y.value GROUP BY 1, 2, 3, 4)
+            SELECT b."table", b."column", value_a, value_b, round(s / (p.k + q.k - s), 6) AS jaccard FROM b JOIN n p ON p."table" = b."table" AND p."column" = b."column" AND p.value = value_a JOIN n q ON q."table" = b."table" AND q."column" = b."column" AND q.value = value_b WHERE s / (p.k + q.k - s) >= 0.88""",
+        ),
         "d19_near_duplicates": (
             lambda s, d: _rounded(D.near_duplicate_values(value_histogram(_t(s, d, "part"), "part", ["p_brand", "p_type"])), 6, "jaccard"),
             f"""WITH vh AS ({_sql_vh({"part": ["p_brand", "p_type"]})}), v AS (SELECT "table", "column", value FROM vh WHERE {VALUE}), w AS (SELECT * FROM v WHERE ("table", "column") IN (SELECT ("table", "column") FROM v GROUP BY "table", "column" HAVING count(*) BETWEEN 2 AND 2000)),
@@ -166,6 +177,10 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
             lambda s, d: referential(_t(s, d, "orders"), "o_custkey", _t(s, d, "customer"), "c_custkey").select("o_orderkey"),
             "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)",
         ),
+        "v11_referential_orphans": (
+            lambda s, d: referential(_t(s, d, "orders"), "o_custkey", _t(s, d, "customer").where("c_custkey % 3 <> 0"), "c_custkey").select("o_orderkey"),
+            "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 <> 0)",
+        ),
         "v15_uniqueness": (_rule(Rule("u", "uniqueness", "l_orderkey"), "lineitem", ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) c FROM lineitem) WHERE c > 1"),
         "v19_custom_expr": (
             _rule(Rule("x", "custom", "l_discount", {"logic": "row['l_discount'] > 0.05 and row['l_quantity'] * 2 >= 80 and row['l_returnflag'] not in ['A', 'N']"}), "lineitem", ["l_orderkey", "l_linenumber"]),
@@ -198,6 +213,9 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         "v14_range": (Rule("a", "range", "l_quantity", {"min": 5, "max": 45}), "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity < 5 OR l_quantity > 45"),
     }.items():
         out[name] = (_rule(rule, table, keys), f"SELECT {', '.join(keys)} FROM {table} WHERE {where}")
+    gaps = lambda s, d: _t(s, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+    for name, rule in (("v5_null_consistency_gaps", Rule("a", "null_consistency", "", {"col_a": "event_id", "col_b": "value"})), ("v13_not_null_gaps", Rule("a", "not_null", "value"))):
+        out[name] = (lambda s, d, rule=rule: masks(gaps(s, d), [rule])[0].where("_v_a").select("event_id"), "SELECT event_id FROM events WHERE event_id % 7 = 0 OR value IS NULL")
     return out | extra.catalog()
 
 
