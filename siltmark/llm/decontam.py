@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences and answer checks.
 
 Benchmark passages are TF-IDF vectors (document frequencies are counted over all documents). A distributed randomised
-SVD gives a latent space in which every window of every document is compared with all passages by
-cosine. Candidates are verified on the words: the longest common subsequence of the passage and a stretch of
+SVD gives latent spaces in which every window of every document is compared with all passages by
+cosine. A space takes no more passages than its rank and is split while one of them loses energy in it. Candidates are verified on the words: the longest common subsequence of the passage and a stretch of
 the document of about its length, and for weaker matches, as paraphrases are, whether the passage's last sentence (the answer) is there as well.
 
-Passages are the query set. They are taken in blocks of a bounded size, each block against all documents.
+Passages are the query set. They are taken in blocks of a bounded size, each block, with its spaces, against all documents.
 """
 
 from __future__ import annotations
@@ -17,14 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm.common import has_columns, materialise, tune
 
-#: Passages in a block: bounds what goes to every worker (some MB).
+#: Passages in a block, and bytes of its spaces: bound what goes to every worker.
 BLOCK_ITEMS = 4_000
+BLOCK_BYTES = 64 << 20
+#: Rank of a space, which takes as many passages at most, and its bytes.
 RANK = 192
+SPACE_BYTES = 16 << 20
+#: The share of its energy that each passage keeps in its space.
+ENERGY_SHARE = 0.999
 OVERSAMPLE = 16
 POWER_STEPS = 2
 #: Words in half a window; windows overlap by half.
@@ -79,14 +84,45 @@ class Block:
         self.answers = [answer_of(t) for _, t in items]
         self.vocab = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.idf = np.ones(len(self.vocab) + 1)
-        self.basis = np.zeros((len(self.vocab), 0), np.float32)
-        self.latent = np.zeros((len(items), 0), np.float32)
+        self.spaces: list[Space] = []
 
-    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of a passage, their counts and their weights."""
         c = Counter(self.vocab[w] for w in self.words[k])
         cols = np.fromiter(c, np.int64, len(c))
-        x = np.fromiter(c.values(), float, len(c)) * self.idf[cols]
-        return cols, x / (np.linalg.norm(x) or 1.0)
+        counts = np.fromiter(c.values(), np.int64, len(c))
+        return cols, counts, counts * self.idf[cols]
+
+
+class Space:
+    """The latent space of some passages of a block."""
+
+    def __init__(self, block: Block, members: list[int]) -> None:
+        self.members = np.array(members)
+        rows = [block.row(k) for k in members]
+        terms = np.unique(np.concatenate([c for c, _, _ in rows]))
+        self.local = np.full(len(block.vocab) + 1, -1, np.int32)
+        self.local[terms] = np.arange(len(terms))
+        norms = np.array([np.linalg.norm(x) for _, _, x in rows])
+        self.rows = [(self.local[c], x / norm) for (c, _, x), norm in zip(rows, norms, strict=True)]
+        self.counts = np.zeros((len(terms), len(members)), np.int32)
+        for i, (c, counts, _) in enumerate(rows):
+            self.counts[self.local[c], i] = counts
+        sizes = np.array([len(block.words[k]) for k in members])
+        #: Words of the passage that a text must have.
+        self.least_words = PARAPHRASE_SHARE * sizes
+        self.basis = np.zeros((len(terms), 0), np.float32)
+        self.latent = np.zeros((len(members), 0), np.float32)
+
+    def fit(self, spark: SparkSession, rank: int) -> float:
+        """Basis, and passages in it at length 1; the least share of its energy that one of them has kept."""
+        table = spark.createDataFrame([(c.tolist(), x.tolist()) for c, x in self.rows], "cols array<long>, vals array<double>").coalesce(4)
+        self.basis = randomised_svd(table, len(self.counts), min(rank, len(self.rows)))
+        latent = np.stack([x.astype(np.float32) @ self.basis[c] for c, x in self.rows])
+        kept = np.linalg.norm(latent, axis=1)
+        self.latent = latent / np.maximum(kept, 1e-9)[:, None]
+        self.rows = []
+        return float(kept.min() ** 2)
 
 
 def document_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -145,20 +181,31 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, seed: int = 11) -> np
 
 
 def fit_block(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> Block:
-    """Weights and latent space of a block of passages, of which none is empty."""
-    spark = docs.sparkSession
+    """Weights and latent spaces of a block of passages, of which none is empty."""
     block = Block(items)
     df, n = document_frequencies(docs, block.vocab)
     block.idf = np.append(np.log((n + 1) / (df + 1)) + 0.05, math.log(n + 1) + 0.05)
-    rows = [block.row(k) for k in range(len(items))]
-    table = spark.createDataFrame([(c.tolist(), x.tolist()) for c, x in rows], "cols array<long>, vals array<double>").coalesce(4)
-    block.basis = randomised_svd(table, len(block.vocab), min(rank, len(items)))
-    block.latent = np.stack([x.astype(np.float32) @ block.basis[c] for c, x in rows])
+    work, members, terms = [], [], set()
+    for k, words in enumerate(block.words):
+        terms.update(words)
+        members.append(k)
+        if len(members) == rank or 8 * len(members) * len(terms) >= SPACE_BYTES:
+            work.append(members)
+            members, terms = [], set()
+    work = [m for m in (*work, members) if m][::-1]
+    while work:
+        members = work.pop()
+        space = Space(block, members)
+        if space.fit(docs.sparkSession, rank) < ENERGY_SHARE and len(members) > 1:
+            half = len(members) // 2
+            work += [members[half:], members[:half]]
+        else:
+            block.spaces.append(space)
     return block
 
 
 def candidates(block: Block, words: list[bytes]) -> list[tuple[int, int, float]]:
-    """(first word of the window, passage, cosine) of windows near a passage in the latent space; cosines are against the windows' whole vectors."""
+    """(first word of the window, passage, cosine) of windows near a passage in its latent space; cosines are against the windows' whole vectors."""
     n = len(words)
     if not n:
         return []
@@ -166,21 +213,30 @@ def candidates(block: Block, words: list[bytes]) -> list[tuple[int, int, float]]
     get = block.vocab.get
     col = np.fromiter((get(w, other) for w in words), np.int64, n)
     weight = block.idf[col].astype(np.float32)
-    inside = np.flatnonzero(col < other)
-    if not len(inside):
-        return []
     halves = -(-n // HALF)
-    half = inside // HALF
-    first = np.flatnonzero(np.diff(half, prepend=-1))
-    part = np.zeros((halves + 1, block.basis.shape[1]), np.float32)
-    part[half[first]] = np.add.reduceat(block.basis[col[inside]] * weight[inside, None], first, axis=0)
-    window = part[:-1] + part[1:]
-    # squared norms over distinct words would need counts; summing over occurrences bounds them from below, so cosines from above
-    squares = np.add.reduceat(weight * weight, np.arange(0, n, HALF))
-    norm = np.sqrt(squares + np.append(squares[1:], 0.0))
-    cosine = (window / np.maximum(norm, 1e-9)[:, None]) @ block.latent.T
-    at, item = np.nonzero(cosine >= CANDIDATE_COSINE)
-    return [(int(a) * HALF, int(i), float(cosine[a, i])) for a, i in zip(at, item, strict=True)]
+    norm = None
+    out: list[tuple[int, int, float]] = []
+    for space in block.spaces:
+        term = space.local[col]
+        inside = np.flatnonzero(term >= 0)
+        term = term[inside]
+        # words of a passage that the text has anywhere bound the subsequence
+        live = np.flatnonzero(space.counts[np.unique(term)].sum(axis=0) >= space.least_words)
+        if not len(live):
+            continue
+        half = inside // HALF
+        first = np.flatnonzero(np.diff(half, prepend=-1))
+        part = np.zeros((halves + 1, space.basis.shape[1]), np.float32)
+        part[half[first]] = np.add.reduceat(space.basis[term] * weight[inside, None], first, axis=0)
+        if norm is None:
+            # squared norms over distinct words would need counts; summing over occurrences bounds them from below, so cosines from above
+            squares = np.add.reduceat(weight * weight, np.arange(0, n, HALF))
+            norm = np.maximum(np.sqrt(squares + np.append(squares[1:], 0.0)), 1e-9)[:, None]
+        held = (part[:-1] + part[1:]) @ space.latent[live].T
+        cosine = held / norm
+        at, item = np.nonzero(cosine >= CANDIDATE_COSINE)
+        out += [(int(a) * HALF, int(space.members[live[i]]), float(cosine[a, i])) for a, i in zip(at, item, strict=True)]
+    return out
 
 
 def verify(block: Block, words: list[bytes], found: list[tuple[int, int, float]], cache: dict) -> dict[int, tuple[float, float, float, int]]:
@@ -194,10 +250,12 @@ def verify(block: Block, words: list[bytes], found: list[tuple[int, int, float]]
         masks, answer_masks = cache[k]
         stretch = max(size, math.ceil(size * STRETCH))
         step = max(1, size // 4)
-        begin, end = max(0, start - size), max(1, min(len(words), start + 2 * HALF) - size // 2)
+        # where less than half of a passage of up to a window's length begins in this window, the next one holds more of it
+        reach = size // 2 if size <= 2 * HALF else 0
+        begin, end = max(0, start - size), max(1, min(len(words) - size // 2, start + 2 * HALF - reach))
         there = 0
-        for w in set(words[begin : end + stretch]):
-            there |= masks.get(w, 0)
+        for w in set(words[begin : end + stretch]).intersection(masks):
+            there |= masks[w]
         if there.bit_count() < PARAPHRASE_SHARE * size:  # words of the passage that occur at all bound the subsequence
             continue
         for a in range(begin, end, step):
@@ -226,6 +284,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     items: list[tuple[int, str]] = []
+    space, terms = 0, set()  # bytes of the spaces at most, and words of the last one
 
     def search(items: list[tuple[int, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(fit_block(texts, items))
@@ -244,11 +303,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     names = [f.split()[0] for f in schema.split(", ")]
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id").toLocalIterator():
-        if tokens(r["text"]):
+        if words := tokens(r["text"]):
+            if len(items) % RANK == 0:
+                terms.clear()
+            space += 8 * RANK * len(set(words) - terms)
+            terms.update(words)
             items.append((r["item_id"], r["text"]))
-        if len(items) == BLOCK_ITEMS:
+        if len(items) == BLOCK_ITEMS or space >= BLOCK_BYTES:
             part = materialise(search(items), "leaks")
-            out, items = (part if out is None else out.unionByName(part)), []
+            out, items, space = (part if out is None else out.unionByName(part)), [], 0
+            terms.clear()
     if items:
         part = search(items)
         out = part if out is None else out.unionByName(part)
