@@ -35,6 +35,8 @@ POWER_STEPS = 2
 #: Words in half a window; windows overlap by half.
 HALF = 32
 CANDIDATE_COSINE = 0.18
+#: Or: a window holds this share of what one window at least holds of a passage that is copied word by word.
+CONTAINED_SHARE = 0.3
 #: A leak: this share of the passage in order within about its length, or the lesser share with its answer.
 LCS_SHARE = 0.6
 PARAPHRASE_SHARE = 0.5
@@ -75,6 +77,11 @@ def masks_of(words: list[bytes]) -> dict[bytes, int]:
     return out
 
 
+def least_held(size: int) -> float:
+    """The share of the weight of a copied passage of `size` words that the best window holds at least: windows overlap by half, and every other one tiles the text."""
+    return 1.0 if size <= HALF + 1 else 1 / (math.ceil((size - 1) / (2 * HALF)) + 1)
+
+
 class Block:
     """A block of passages with their weights: what workers hold."""
 
@@ -109,8 +116,9 @@ class Space:
         for i, (c, counts, _) in enumerate(rows):
             self.counts[self.local[c], i] = counts
         sizes = np.array([len(block.words[k]) for k in members])
-        #: Words of the passage that a text must have.
+        #: Words of the passage that a text must have, and its weight that a window must hold.
         self.least_words = PARAPHRASE_SHARE * sizes
+        self.least_weight = (CONTAINED_SHARE * norms * [least_held(int(n)) for n in sizes]).astype(np.float32)
         self.basis = np.zeros((len(terms), 0), np.float32)
         self.latent = np.zeros((len(members), 0), np.float32)
 
@@ -184,7 +192,7 @@ def fit_block(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -
     """Weights and latent spaces of a block of passages, of which none is empty."""
     block = Block(items)
     df, n = document_frequencies(docs, block.vocab)
-    block.idf = np.append(np.log((n + 1) / (df + 1)) + 0.05, math.log(n + 1) + 0.05)
+    block.idf = np.append(np.log((n + 1) / (df + 1)) + 0.05, 0.0)  # other words have no weight: what they weigh would grow with the number of documents
     work, members, terms = [], [], set()
     for k, words in enumerate(block.words):
         terms.update(words)
@@ -205,7 +213,10 @@ def fit_block(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -
 
 
 def candidates(block: Block, words: list[bytes]) -> list[tuple[int, int, float]]:
-    """(first word of the window, passage, cosine) of windows near a passage in its latent space; cosines are against the windows' whole vectors."""
+    """(first word of the window, passage, cosine) of windows near a passage in its latent space.
+
+    Words that no passage of the block has are left out of a window's norm. A window that holds enough of a passage is one whatever else is in it.
+    """
     n = len(words)
     if not n:
         return []
@@ -234,7 +245,7 @@ def candidates(block: Block, words: list[bytes]) -> list[tuple[int, int, float]]
             norm = np.maximum(np.sqrt(squares + np.append(squares[1:], 0.0)), 1e-9)[:, None]
         held = (part[:-1] + part[1:]) @ space.latent[live].T
         cosine = held / norm
-        at, item = np.nonzero(cosine >= CANDIDATE_COSINE)
+        at, item = np.nonzero((cosine >= CANDIDATE_COSINE) | (held >= space.least_weight[live]))
         out += [(int(a) * HALF, int(space.members[live[i]]), float(cosine[a, i])) for a, i in zip(at, item, strict=True)]
     return out
 

@@ -254,6 +254,15 @@ def test_leaks_of_a_large_benchmark(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i * 8) for i in range(300)}
 
 
+def test_leaks_among_words_of_no_passage(spark):
+    common = [f"c{k}" for k in range(30)]
+    items = [(0, " ".join(common[:15])), (1, " ".join(common[15:]))]
+    rows = [(i, " ".join(common[::-1]) if i % 2 else "x") for i in range(4000)]
+    rows += [(-1 - k, " ".join([*(f"a{j}" for j in range(100)), *items[k][1].split(), *(f"b{j}" for j in range(100))])) for k in range(2)]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(-1, 0), (-2, 1)}
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(200):
