@@ -110,16 +110,22 @@ def _readable(data: bytes) -> str | None:
     return text if text and good == len(text) else None
 
 
-def _opened(data: bytes) -> tuple[str | None, int]:
-    """The text in decoded bytes, after up to nine layers of compression, and how many parts were too large."""
-    oversized = 0
+def _opened(data: bytes) -> tuple[str | None, bool, int]:
+    """The text in decoded bytes, after up to nine layers of compression, whether all of them are text, and how many parts were too large.
+
+    Inflated bytes of which some are readable are a text with replacements: its secrets are ASCII, whatever stands next to them.
+    """
+    oversized, inflated = 0, False
     for _ in range(9):
         more, big = _unpacked(data)
         oversized += big
         if more is None:
             break
-        data = more
-    return _readable(data), oversized
+        data, inflated = more, True
+    text = _readable(data)
+    if text is None and inflated and READABLE.search(data):
+        return data.decode("utf-8", "replace"), False, oversized
+    return text, text is not None, oversized
 
 
 def _decoded(body: str) -> bytes:
@@ -137,17 +143,17 @@ def _unwrapped(run: str) -> Iterator[tuple[int, int, str | None, int]]:
     """
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 != 1:
-        text, big = _opened(_decoded(body))
+        text, whole, big = _opened(_decoded(body))
         yield 0, len(run), text, big
-        if text is not None:
+        if whole:
             return
     for m in PACKED.finditer(body):
         # the header is tried on a short piece first: most places only look like one
         if not _starts_packed(_decoded(body[m.start() : m.start() + 64])):
             continue
-        text, big = _opened(_decoded(body[m.start() :]))
+        text, whole, big = _opened(_decoded(body[m.start() :]))
         yield m.start(), len(run), text, big
-        if text is not None:
+        if whole:
             break
     for phase in range(4):
         for m in READABLE.finditer(_decoded(body[phase:])):

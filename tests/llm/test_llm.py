@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 from tokenizers import Tokenizer
@@ -145,6 +146,18 @@ def test_secret_layers():
     assert secrets.scan("AKIA" + "A" * 12)["base"] == [("access", 0, 16)]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.compress, lambda b: gzip.compress(zlib.compress(b))])
+def test_secret_in_packed_bytes_that_are_not_all_text(pack):
+    secret = b'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    for near in ("\xa0".encode(), "\ufeff".encode(), "\u202f\u3000\u200b".encode(), b"\x00", b"\x0c", b"\xff\xfe\x80", "é".encode("latin-1"), os.urandom(512)):
+        for data in (near + secret, secret + near, b"un texte\n" + near + secret + near):
+            packed = base64.b64encode(pack(data)).decode()
+            for head in ("", "/ab/"):
+                got = secrets.scan(f"é {head}{packed} end")
+                assert {k for k, _, _ in got["spans"]} >= {"assign", "hex"}, (near, head)
+                assert packed[8:] not in secrets.redact(f"é {head}{packed} end", got["spans"])
+
+
 @pytest.mark.parametrize("n", [0, 1, 576, 577, 57600, 700_001])
 def test_media_round_trip(n):
     payload = media.padded(os.urandom(n))
