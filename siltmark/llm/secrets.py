@@ -30,6 +30,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 PERCENT = re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}(?:[^\s%]|%[0-9A-Fa-f]{2})*")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Between two lines of wrapped base64, and a last line that is short.
+LINE_END = re.compile(r"\r?\n[ \t]*")
+LAST_LINE = re.compile(r"[A-Za-z0-9+/_-]{1,15}={0,2}(?=[ \t]*(?:[\r\n]|\Z))")
 #: How gzip, zstd and zlib begin in base64.
 PACKED = re.compile(r"H4sI|KLUv|e[AFJN]")
 #: ASCII text, or UTF-8 beyond it, in decoded bytes.
@@ -162,6 +165,39 @@ def _unwrapped(run: str) -> Iterator[tuple[int, int, str | None, int]]:
                 yield phase + m.start() // 3 * 4, min(phase + -(-m.end() // 3) * 4, len(run)), text, 0
 
 
+def _wrapped(text: str, runs: list[re.Match]) -> Iterator[list[tuple[int, int]]]:
+    """Base64 that is wrapped at a width: spans of its lines in `text`, two at least, of which the last may be shorter.
+
+    The first may stand behind other characters of its line, and is then of any length.
+    """
+    k = 0
+    while k < len(runs):
+        lines = [runs[k].span()]
+        k += 1
+        begin, stop = lines[0]
+        if not LINE_END.match(text, stop):
+            continue
+        glued = bool(text[text.rfind("\n", 0, begin) + 1 : begin].strip(" \t"))
+        while text[lines[-1][1] - 1] != "=" and (gap := LINE_END.match(text, lines[-1][1])):
+            width = lines[-1][1] - lines[-1][0]
+            free = glued and len(lines) == 1
+            if more := k < len(runs) and runs[k].start() == gap.end():
+                line = runs[k].span()
+            elif last := LAST_LINE.match(text, gap.end()):
+                line = last.span()
+            else:
+                break
+            size = line[1] - line[0]
+            if not free and (width % 4 or size > width):
+                break
+            lines.append(line)
+            k += more
+            if not more or (not free and size < width):
+                break
+        if len(lines) > 1:
+            yield lines
+
+
 def _starts_packed(head: bytes) -> bool:
     try:
         if head[:4] == b"\x28\xb5\x2f\xfd":
@@ -247,11 +283,18 @@ def scan(text: str | None) -> dict:
         if "\\" in layer.text and (parts := [(m, _escaped(layer, m)) for m in ESCAPED.finditer(layer.text)]):
             found.append(_with_escapes(layer, parts))
         if _B64_RUN in raw.translate(_B64_MAP):
-            for m in BASE64.finditer(layer.text):
+            runs = list(BASE64.finditer(layer.text))
+            for m in runs:
                 for a, b, got, big in _unwrapped(m[0]):
                     oversized += big
                     if got is not None:
                         found.append(layer.whole(m.start() + a, m.start() + b, got))
+            for lines in _wrapped(layer.text, runs):
+                places = [i for a, b in lines for i in range(a, b)]
+                for a, b, got, big in _unwrapped("".join(layer.text[x:y] for x, y in lines)):
+                    oversized += big
+                    if got is not None:
+                        found.append(layer.whole(places[a], places[b - 1] + 1, got))
         for got in found:
             raw = got.text.encode("utf-8", "surrogatepass")
             key = hashlib.sha1(raw + b"@%d" % (int(got.starts.min()) if len(got.text) else 0)).digest()

@@ -158,6 +158,21 @@ def test_secret_in_packed_bytes_that_are_not_all_text(pack):
                 assert packed[8:] not in secrets.redact(f"é {head}{packed} end", got["spans"])
 
 
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_secret_in_wrapped_base64(width, end):
+    secret = b'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    for data in (b"x" * 40 + secret, secret, gzip.compress(os.urandom(300) + secret), zlib.compress(b"un texte " * 9 + secret)):
+        for pad in range(3):
+            code = base64.b64encode(data + b" " * pad).decode()
+            lines = end.join(code[k : k + width] for k in range(0, len(code), width))
+            for text in (f"é\n{lines}\nend of it", f"{lines}", f"-----BEGIN CERTIFICATE-----\n{lines}\n-----END CERTIFICATE-----\n", f"data: {lines}\n"):
+                got = secrets.scan(text)
+                assert {k for k, _, _ in got["spans"]} >= {"assign", "hex"}, text
+                assert "end of it" not in text or secrets.redact(text, got["spans"]).endswith("\nend of it")
+    assert secrets.scan(base64.b64encode(b"nothing to be found").decode() + "\nThen it ends")["layers"] == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 576, 577, 57600, 700_001])
 def test_media_round_trip(n):
     payload = media.padded(os.urandom(n))
