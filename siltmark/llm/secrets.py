@@ -114,12 +114,13 @@ def _readable(data: bytes) -> str | None:
 
 
 def _opened(data: bytes) -> tuple[str | None, bool, int]:
-    """The text in decoded bytes, after up to nine layers of compression, whether all of them are text, and how many parts were too large.
+    """The text in decoded bytes, after all layers of compression, whether all of them are text, and how many parts were too large.
 
     Inflated bytes of which some are readable are a text with replacements: its secrets are ASCII, whatever stands next to them.
     """
-    oversized, inflated = 0, False
-    for _ in range(9):
+    oversized, inflated, seen = 0, False, set()
+    while (key := hashlib.sha1(data).digest()) not in seen:  # a stream may hold itself
+        seen.add(key)
         more, big = _unpacked(data)
         oversized += big
         if more is None:
@@ -145,19 +146,22 @@ def _unwrapped(run: str) -> Iterator[tuple[int, int, str | None, int]]:
     Compressed parts are tried at each place where their first characters stand.
     """
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 != 1:
+    whole, tried = False, len(body) % 4 != 1
+    if tried:
         text, whole, big = _opened(_decoded(body))
         yield 0, len(run), text, big
-        if whole:
+        if whole and not PACKED.match(body):
             return
     for m in PACKED.finditer(body):
-        # the header is tried on a short piece first: most places only look like one
-        if not _starts_packed(_decoded(body[m.start() : m.start() + 64])):
+        if tried and not m.start():
             continue
-        text, whole, big = _opened(_decoded(body[m.start() :]))
+        # the header is tried on short pieces first: most places only look like one
+        if not all(_starts_packed(_decoded(body[m.start() : m.start() + n])) for n in (64, 4096)):
+            continue
+        text, _, big = _opened(_decoded(body[m.start() :]))
         yield m.start(), len(run), text, big
-        if whole:
-            break
+    if whole:
+        return
     for phase in range(4):
         for m in READABLE.finditer(_decoded(body[phase:])):
             text = m[0].decode("utf-8", "ignore")
@@ -202,7 +206,7 @@ def _starts_packed(head: bytes) -> bool:
     try:
         if head[:4] == b"\x28\xb5\x2f\xfd":
             return True
-        zlib.decompressobj(47).decompress(head, 256)
+        zlib.decompressobj(47).decompress(head, 16 * len(head))
         return True
     except zlib.error:
         return False

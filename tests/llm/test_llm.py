@@ -158,6 +158,19 @@ def test_secret_in_packed_bytes_that_are_not_all_text(pack):
                 assert packed[8:] not in secrets.redact(f"é {head}{packed} end", got["spans"])
 
 
+def test_secrets_packed_deep_or_one_after_another():
+    first, second = b'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', b"password = hunter2hunter2"
+    data = first
+    for _ in range(30):
+        data = gzip.compress(data)
+    assert {k for k, _, _ in secrets.scan(base64.b64encode(data).decode())["spans"]} >= {"assign", "hex"}
+    code = [base64.b64encode(gzip.compress(x)).decode().rstrip("=") for x in (first, second)]
+    for head in ("", "/ab/"):
+        text = f"{head}{code[0]}/{code[1]}"
+        starts = {a for _, a, _ in secrets.scan(text)["spans"]}
+        assert starts >= {len(head), text.index(code[1])}
+
+
 @pytest.mark.parametrize("width", [20, 64, 76])
 @pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
 def test_secret_in_wrapped_base64(width, end):
