@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: bounds what a Python worker holds, as texts may be very long.
+#: Rows and bytes in one Arrow batch: bound what a Python worker holds, as texts may be very long. A row above the bytes is a batch of its own.
 ARROW_ROWS = 512
-#: Words whose hash a Python worker remembers.
-WORD_CACHE = 400_000
+ARROW_BYTES = 4 << 20
+#: Words whose hash a Python worker remembers (some 150 bytes each), and words that are hashed at a time.
+WORD_CACHE = 100_000
+WORD_SLICE = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the batches that go to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the batches that go to Python workers. A session's own bounds stay where they are tighter."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        text = str(spark.conf.get(key)).removesuffix("b")
+        now = int(text) if text.isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, one of our own on this machine, which only a local master shares with its executors: any other is refused.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = getattr(spark.sparkContext, "_siltmark_shared", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="siltmark-")
         spark.sparkContext._siltmark_shared = where
         spark.sparkContext.setCheckpointDir(where)
@@ -66,21 +78,25 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHasher:
-    """64-bit hashes of words, remembered up to WORD_CACHE words."""
+    """64-bit hashes of words, remembered up to WORD_CACHE words; long texts are hashed in slices."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > WORD_CACHE:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        parts = []
+        for at in range(0, len(words), WORD_SLICE):
+            part = words[at : at + WORD_SLICE] if len(words) > WORD_SLICE else words
+            new = set(part).difference(known)
+            if new:
+                if len(known) + len(new) > WORD_CACHE:
+                    known.clear()
+                    new = set(part)
+                for w in new:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            parts.append(np.fromiter(map(known.__getitem__, part), np.uint64, len(part)))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

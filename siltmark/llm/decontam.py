@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,12 @@ OVERSAMPLE = 16
 POWER_STEPS = 2
 #: Words in half a window; windows overlap by half.
 HALF = 32
-CANDIDATE_COSINE = 0.18
-#: Or: a window holds this share of what one window at least holds of a passage that is copied word by word.
-CONTAINED_SHARE = 0.3
+#: A candidate window's projection on a passage is this share of what one window at least has where the passage is copied word by word.
+#: The bound is on the projection and not on the cosine, whose norm would take in whatever else the window holds.
+CONTAINED_SHARE = 0.25
+#: Words of a text that are compared at a time, and the characters that are cut into words at a time: bound what a text of any length needs.
+SECTION_WORDS = 16_384
+SECTION_CHARS = 1 << 20
 #: A leak: this share of the passage in order within about its length, or the lesser share with its answer.
 LCS_SHARE = 0.6
 PARAPHRASE_SHARE = 0.5
@@ -52,6 +56,36 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
+def word_parts(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time: it is cut at blanks."""
+    text, at = text or "", 0
+    while len(text) - at > SECTION_CHARS and (cut := text.find(" ", at + SECTION_CHARS)) >= 0:
+        yield tokens(text[at:cut])
+        at = cut
+    yield tokens(text[at:] if at else text)
+
+
+def sections(text: str | None, margin: int) -> Iterator[tuple[int, list[bytes], int, int]]:
+    """(first word, words, first and last window start + 1) of overlapping sections of a text.
+
+    Each window belongs to one section, which has `margin` words at least on both sides of it, or all that there are.
+    So what is found does not depend on the sections. Window starts are multiples of HALF in the text.
+    """
+    core = max(SECTION_WORDS, 4 * margin) // HALF * HALF
+    margin = -(-margin // HALF) * HALF
+    held: list[bytes] = []
+    first, start = 0, 0  # of what is held; of the windows that are still to come
+    for part in word_parts(text):
+        held = held + part if held else part
+        while first + len(held) >= start + core + margin:
+            yield first, held[: start + core + margin - first], start, start + core
+            start += core
+            drop = max(0, start - margin - first)
+            held, first = held[drop:], first + drop
+    if first + len(held) > start or not start:
+        yield first, held, start, first + len(held)
+
+
 def answer_of(text: str) -> list[bytes]:
     """Words of the last sentence."""
     parts = [p for p in re.split(r"[.?!:\n]+", text) if p.strip()]
@@ -92,6 +126,8 @@ class Block:
         self.vocab = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.idf = np.ones(len(self.vocab) + 1)
         self.spaces: list[Space] = []
+        #: Words around a window that verification may read.
+        self.margin = max(len(ws) + math.ceil(len(ws) * STRETCH) for ws in self.words) + 4 * HALF
 
     def row(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of a passage, their counts and their weights."""
@@ -119,16 +155,16 @@ class Space:
         #: Words of the passage that a text must have, and its weight that a window must hold.
         self.least_words = PARAPHRASE_SHARE * sizes
         self.least_weight = (CONTAINED_SHARE * norms * [least_held(int(n)) for n in sizes]).astype(np.float32)
-        self.basis = np.zeros((len(terms), 0), np.float32)
-        self.latent = np.zeros((len(members), 0), np.float32)
+        #: The basis times the passages in it: what a word adds to a window's projection on each passage.
+        self.projection = np.zeros((len(terms), len(members)), np.float32)
 
     def fit(self, spark: SparkSession, rank: int) -> float:
-        """Basis, and passages in it at length 1; the least share of its energy that one of them has kept."""
+        """The projection, with passages at length 1 in the latent space; the least share of its energy that one of them has kept."""
         table = spark.createDataFrame([(c.tolist(), x.tolist()) for c, x in self.rows], "cols array<long>, vals array<double>").coalesce(4)
-        self.basis = randomised_svd(table, len(self.counts), min(rank, len(self.rows)))
-        latent = np.stack([x.astype(np.float32) @ self.basis[c] for c, x in self.rows])
+        basis = randomised_svd(table, len(self.counts), min(rank, len(self.rows)))
+        latent = np.stack([x.astype(np.float32) @ basis[c] for c, x in self.rows])
         kept = np.linalg.norm(latent, axis=1)
-        self.latent = latent / np.maximum(kept, 1e-9)[:, None]
+        self.projection = basis @ (latent / np.maximum(kept, 1e-9)[:, None]).T
         self.rows = []
         return float(kept.min() ** 2)
 
@@ -142,7 +178,7 @@ def document_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.n
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                for w in known & set(tokens(text)):
+                for w in set().union(*(known & set(part) for part in word_parts(text))):
                     counts[vocab[w]] += 1
         counts[-1] = n
         at = np.flatnonzero(counts)
@@ -212,48 +248,50 @@ def fit_block(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -
     return block
 
 
-def candidates(block: Block, words: list[bytes]) -> list[tuple[int, int, float]]:
-    """(first word of the window, passage, cosine) of windows near a passage in its latent space.
+def candidates(block: Block, words: list[bytes], first: int = 0, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """(first word of the window in `words`, passage) of windows near a passage in its latent space.
 
-    Words that no passage of the block has are left out of a window's norm. A window that holds enough of a passage is one whatever else is in it.
+    `words` begin at word `first` of the text; of their windows, those that begin at `begin` to `end` of the text are asked for.
     """
     n = len(words)
     if not n:
         return []
     other = len(block.vocab)
-    get = block.vocab.get
-    col = np.fromiter((get(w, other) for w in words), np.int64, n)
+    col = np.fromiter(map(block.vocab.get, words, repeat(other)), np.int64, n)
     weight = block.idf[col].astype(np.float32)
     halves = -(-n // HALF)
-    norm = None
-    out: list[tuple[int, int, float]] = []
+    lo, hi = (begin - first) // HALF, halves if end is None else min(halves, -(-(end - first) // HALF))
+    out: list[tuple[int, int]] = []
     for space in block.spaces:
         term = space.local[col]
         inside = np.flatnonzero(term >= 0)
         term = term[inside]
-        # words of a passage that the text has anywhere bound the subsequence
+        # words of a passage that the section has anywhere bound the subsequence
         live = np.flatnonzero(space.counts[np.unique(term)].sum(axis=0) >= space.least_words)
         if not len(live):
             continue
         half = inside // HALF
-        first = np.flatnonzero(np.diff(half, prepend=-1))
-        part = np.zeros((halves + 1, space.basis.shape[1]), np.float32)
-        part[half[first]] = np.add.reduceat(space.basis[term] * weight[inside, None], first, axis=0)
-        if norm is None:
-            # squared norms over distinct words would need counts; summing over occurrences bounds them from below, so cosines from above
-            squares = np.add.reduceat(weight * weight, np.arange(0, n, HALF))
-            norm = np.maximum(np.sqrt(squares + np.append(squares[1:], 0.0)), 1e-9)[:, None]
-        held = (part[:-1] + part[1:]) @ space.latent[live].T
-        cosine = held / norm
-        at, item = np.nonzero((cosine >= CANDIDATE_COSINE) | (held >= space.least_weight[live]))
-        out += [(int(a) * HALF, int(space.members[live[i]]), float(cosine[a, i])) for a, i in zip(at, item, strict=True)]
+        heads = np.flatnonzero(np.diff(half, prepend=-1))
+        part = np.zeros((halves + 1, len(live)), np.float32)
+        part[half[heads]] = np.add.reduceat(space.projection[term[:, None], live[None, :]] * weight[inside, None], heads, axis=0)
+        held = part[lo:hi] + part[lo + 1 : hi + 1]
+        at, item = np.nonzero(held >= space.least_weight[live])
+        out += [((lo + int(a)) * HALF, int(space.members[live[i]])) for a, i in zip(at, item, strict=True)]
     return out
 
 
-def verify(block: Block, words: list[bytes], found: list[tuple[int, int, float]], cache: dict) -> dict[int, tuple[float, float, float, int]]:
-    """Of the candidates, leaks: passage -> (cosine, share in order, share of the answer, first word)."""
-    best: dict[int, tuple[float, float, float, int]] = {}
-    for start, k, cosine in found:
+def cosine_of(block: Block, k: int, part: list[bytes]) -> float:
+    """Cosine of a passage and a stretch of text over the words of the passage."""
+    cols, _, x = block.row(k)
+    said = Counter(block.vocab[w] for w in part if w in block.vocab)
+    y = np.array([said.get(int(c), 0) for c in cols]) * block.idf[cols]
+    return float(x @ y / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-12))
+
+
+def verify(block: Block, words: list[bytes], found: list[tuple[int, int]], cache: dict, first: int = 0) -> dict[int, tuple[float, float, float, int]]:
+    """Of the candidates, leaks: passage -> (cosine, share in order, share of the answer, first word in the text)."""
+    best: dict[int, tuple[float, float, int]] = {}
+    for start, k in found:
         item = block.words[k]
         size = len(item)
         if k not in cache:
@@ -272,13 +310,23 @@ def verify(block: Block, words: list[bytes], found: list[tuple[int, int, float]]
         for a in range(begin, end, step):
             part = words[a : a + stretch]
             share = lcs(masks, size, part) / size
-            if share < PARAPHRASE_SHARE or (k in best and best[k][1] >= share):
+            if share < PARAPHRASE_SHARE or (k in best and best[k][0] >= share):
                 continue
             answer = block.answers[k]
             said = lcs(answer_masks, len(answer), part) / len(answer) if answer else 0.0
             if share >= LCS_SHARE or said >= ANSWER_SHARE:
-                best[k] = (cosine, share, said, a)
-    return best
+                best[k] = (share, said, a)
+    return {k: (cosine_of(block, k, words[a : a + max(len(block.words[k]), math.ceil(len(block.words[k]) * STRETCH))]), share, said, first + a) for k, (share, said, a) in best.items()}
+
+
+def matches(block: Block, text: str | None, cache: dict) -> dict[int, tuple[float, float, float, int]]:
+    """Leaks of a text: passage -> (cosine, share in order, share of the answer, first word)."""
+    out: dict[int, tuple[float, float, float, int]] = {}
+    for first, words, begin, end in sections(text, block.margin):
+        for k, got in verify(block, words, candidates(block, words, first, begin, end), cache, first).items():
+            if k not in out or got[1] > out[k][1]:
+                out[k] = got
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -305,8 +353,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = tokens(text)
-                    for k, (cosine, share, said, a) in verify(block, words, candidates(block, words), cache).items():
+                    for k, (cosine, share, said, a) in matches(block, text, cache).items():
                         rows.append((doc, block.ids[k], cosine, share, said, a))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()], strict=True))))
 
