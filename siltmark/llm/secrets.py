@@ -12,8 +12,8 @@ import base64
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,13 @@ LAST_LINE = re.compile(r"[A-Za-z0-9+/_-]{1,15}={0,2}(?=[ \t]*(?:[\r\n]|\Z))")
 PACKED = re.compile(r"H4sI|KLUv|e[AFJN]")
 #: ASCII text, or UTF-8 beyond it, in decoded bytes.
 READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF4][\x80-\xBF]{3}){12,}")
-#: Bytes that one compressed part may expand to; a bomb beyond it is left as it is and counted in `oversized`.
-MAX_INFLATED = 64 << 20
+#: What a compressed part gives back is one layer up to so many bytes; beyond, it is read as a stream, in layers that are cut at white space.
+LAYER_BYTES = 8 << 20
+#: A run without white space in such a stream is cut at so many bytes, with an overlap; such cuts are counted in `oversized`.
+RUN_BYTES = 16 << 20
+OVERLAP = 1 << 16
+PIECE = 1 << 20
+SPACES = (b" ", b"\n", b"\t", b"\r")
 REDACTED = "[SECRET]"
 
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -85,23 +90,61 @@ class Layer:
     def whole(self, a: int, b: int, text: str) -> Layer:
         """A layer all of which comes from characters a to b of this one."""
         s, e = self.origin(a, b)
-        return Layer(text, np.full(len(text), s), np.full(len(text), e))
+        return Layer(text, np.broadcast_to(np.int64(s), len(text)), np.broadcast_to(np.int64(e), len(text)))
 
 
-def _unpacked(data: bytes) -> tuple[bytes | None, bool]:
-    """What zlib, gzip or zstd gives back, and whether it was too large."""
+class _Source:
+    """A readable file over chunks of bytes."""
+
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks, self.held = chunks, b""
+
+    def read(self, size: int = -1) -> bytes:
+        while not self.held:
+            got = next(self.chunks, None)
+            if got is None:
+                return b""
+            self.held = got
+        size = len(self.held) if size < 0 else size
+        out, self.held = self.held[:size], self.held[size:]
+        return out
+
+
+def _kind(head: bytes) -> str | None:
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and int.from_bytes(head[:2], "big") % 31 == 0):
+        return "zlib"
+    return "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What zlib, gzip or zstd gives back, some bytes at a time: all members, and what follows the last one as it is. Nothing where it is not compressed.
+
+    A stream that breaks off gives what came before.
+    """
+    pending = next(chunks, b"")
+    kind = _kind(pending)
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0):
+        if kind == "zstd":
+            with zstandard.ZstdDecompressor().stream_reader(_Source(chain([pending], chunks)), read_across_frames=True) as r:
+                while got := r.read(PIECE):
+                    yield got
+        elif kind == "zlib":
             d = zlib.decompressobj(47)
-            out = d.decompress(data, MAX_INFLATED)
-            return (None, True) if d.unconsumed_tail else (out, False)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(MAX_INFLATED + 1)
-            return (None, True) if len(out) > MAX_INFLATED else (out, False)
+            while pending:
+                if got := d.decompress(pending, PIECE):
+                    yield got
+                pending = d.unconsumed_tail
+                if d.eof:
+                    pending = d.unused_data or next(chunks, b"")
+                    if _kind(pending) != "zlib":
+                        yield pending
+                        yield from chunks
+                        return
+                    d = zlib.decompressobj(47)
+                elif not pending:
+                    pending = next(chunks, b"")
     except (zlib.error, zstandard.ZstdError):
-        pass
-    return None, False
+        return
 
 
 def _readable(data: bytes) -> str | None:
@@ -113,23 +156,49 @@ def _readable(data: bytes) -> str | None:
     return text if text and good == len(text) else None
 
 
-def _opened(data: bytes) -> tuple[str | None, bool, int]:
-    """The text in decoded bytes, after all layers of compression, whether all of them are text, and how many parts were too large.
+def _opened(data: bytes) -> tuple[Iterator[tuple[str, int]], bool]:
+    """The texts in decoded bytes, after all layers of compression, each with the number of runs that were cut; and whether all of the bytes are text.
 
     Inflated bytes of which some are readable are a text with replacements: its secrets are ASCII, whatever stands next to them.
     """
-    oversized, inflated, seen = 0, False, set()
+    inflated, seen = False, set()
     while (key := hashlib.sha1(data).digest()) not in seen:  # a stream may hold itself
         seen.add(key)
-        more, big = _unpacked(data)
-        oversized += big
-        if more is None:
+        more, got = bytearray(), _inflated(iter([data]))
+        for piece in got:
+            more += piece
+            if len(more) > LAYER_BYTES:
+                return _blocks(chain([bytes(more)], got)), False
+        if not more:
             break
-        data, inflated = more, True
+        data, inflated = bytes(more), True
     text = _readable(data)
+    whole = text is not None
     if text is None and inflated and READABLE.search(data):
-        return data.decode("utf-8", "replace"), False, oversized
-    return text, text is not None, oversized
+        text = data.decode("utf-8", "replace")
+    return iter([] if text is None else [(text, 0)]), whole
+
+
+def _blocks(chunks: Iterator[bytes]) -> Iterator[tuple[str, int]]:
+    """Texts of a long stream, itself inflated as long as it is compressed, cut at white space; a run that is too long is cut with an overlap."""
+    seen: set[bytes] = set()
+    while _kind(head := next(chunks, b"")) and (key := hashlib.sha1(head).digest()) not in seen:
+        seen.add(key)
+        first = next(inner := _inflated(chain([head], chunks)), b"")
+        if not first:  # it only looks compressed
+            break
+        head, chunks = b"", chain([first], inner)
+    held, space = bytearray(head), max(map(head.rfind, SPACES))
+    for piece in chunks:
+        if (at := max(map(piece.rfind, SPACES))) >= 0:
+            space = len(held) + at
+        held += piece
+        if len(held) < LAYER_BYTES or (space <= 0 and len(held) < RUN_BYTES):
+            continue
+        yield (held[:space] if space > 0 else held).decode("utf-8", "replace"), int(space <= 0)
+        held, space = held[space:] if space > 0 else held[-OVERLAP:], -1
+    if held:
+        yield held.decode("utf-8", "replace"), 0
 
 
 def _decoded(body: str) -> bytes:
@@ -138,8 +207,8 @@ def _decoded(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _unwrapped(run: str) -> Iterator[tuple[int, int, str | None, int]]:
-    """Texts in a base64 run: (start, end, text, oversized).
+def _unwrapped(run: str) -> Iterator[tuple[int, int, str, int]]:
+    """Texts in a base64 run: (start, end, text, runs cut).
 
     The run as a whole comes first. Where it does not decode to text, other characters of the alphabet may be glued
     to it, as those of a path are: each of the four alignments is decoded once, and readable stretches of it are texts.
@@ -148,8 +217,9 @@ def _unwrapped(run: str) -> Iterator[tuple[int, int, str | None, int]]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     whole, tried = False, len(body) % 4 != 1
     if tried:
-        text, whole, big = _opened(_decoded(body))
-        yield 0, len(run), text, big
+        texts, whole = _opened(_decoded(body))
+        for text, cut in texts:
+            yield 0, len(run), text, cut
         if whole and not PACKED.match(body):
             return
     for m in PACKED.finditer(body):
@@ -158,8 +228,8 @@ def _unwrapped(run: str) -> Iterator[tuple[int, int, str | None, int]]:
         # the header is tried on short pieces first: most places only look like one
         if not all(_starts_packed(_decoded(body[m.start() : m.start() + n])) for n in (64, 4096)):
             continue
-        text, _, big = _opened(_decoded(body[m.start() :]))
-        yield m.start(), len(run), text, big
+        for text, cut in _opened(_decoded(body[m.start() :]))[0]:
+            yield m.start(), len(run), text, cut
     if whole:
         return
     for phase in range(4):
@@ -205,10 +275,11 @@ def _wrapped(text: str, runs: list[re.Match]) -> Iterator[list[tuple[int, int]]]
 def _starts_packed(head: bytes) -> bool:
     try:
         if head[:4] == b"\x28\xb5\x2f\xfd":
-            return True
-        zlib.decompressobj(47).decompress(head, 16 * len(head))
+            zstandard.ZstdDecompressor().stream_reader(head).read(16 * len(head))
+        else:
+            zlib.decompressobj(47).decompress(head, 16 * len(head))
         return True
-    except zlib.error:
+    except (zlib.error, zstandard.ZstdError):
         return False
 
 
@@ -272,43 +343,51 @@ def _with_escapes(layer: Layer, parts: list[tuple[re.Match, Layer]]) -> Layer:
     return Layer("".join(text), np.concatenate(starts), np.concatenate(ends))
 
 
+def _unwrap_layer(layer: Layer, raw: bytes) -> Iterator[tuple[Layer, int]]:
+    """The layers that stand encoded in one, each with the number of runs that were cut to get it."""
+    if "%" in layer.text and (parts := [(m, _percent(layer, m)) for m in PERCENT.finditer(layer.text)]):
+        yield _with_escapes(layer, parts), 0
+    if "\\" in layer.text and (parts := [(m, _escaped(layer, m)) for m in ESCAPED.finditer(layer.text)]):
+        yield _with_escapes(layer, parts), 0
+    if _B64_RUN not in raw.translate(_B64_MAP):
+        return
+    runs = list(BASE64.finditer(layer.text))
+    for m in runs:
+        for a, b, got, cut in _unwrapped(m[0]):
+            yield layer.whole(m.start() + a, m.start() + b, got), cut
+    for lines in _wrapped(layer.text, runs):
+        places = [i for a, b in lines for i in range(a, b)]
+        for a, b, got, cut in _unwrapped("".join(layer.text[x:y] for x, y in lines)):
+            yield layer.whole(places[a], places[b - 1] + 1, got), cut
+
+
 def scan(text: str | None) -> dict:
-    """base (spans in the text itself), spans (those and what decoding adds), layers, oversized."""
+    """base (spans in the text itself), spans (those and what decoding adds), layers, oversized (runs that were cut).
+
+    The worklist is a stack of iterators over the layers of a layer, so that one path of layers is held at a time.
+    """
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     base = base_spans(text, raw)
-    spans = list(base)
-    seen, work, layers, oversized = {hashlib.sha1(raw).digest()}, deque([(Layer(text, None, None), raw)]), 0, 0
+    spans, seen, layers, oversized = set(base), {hashlib.sha1(raw).digest()}, 0, 0
+    work = [_unwrap_layer(Layer(text, None, None), raw)]
     while work:
-        layer, raw = work.popleft()
-        found: list[Layer] = []
-        if "%" in layer.text and (parts := [(m, _percent(layer, m)) for m in PERCENT.finditer(layer.text)]):
-            found.append(_with_escapes(layer, parts))
-        if "\\" in layer.text and (parts := [(m, _escaped(layer, m)) for m in ESCAPED.finditer(layer.text)]):
-            found.append(_with_escapes(layer, parts))
-        if _B64_RUN in raw.translate(_B64_MAP):
-            runs = list(BASE64.finditer(layer.text))
-            for m in runs:
-                for a, b, got, big in _unwrapped(m[0]):
-                    oversized += big
-                    if got is not None:
-                        found.append(layer.whole(m.start() + a, m.start() + b, got))
-            for lines in _wrapped(layer.text, runs):
-                places = [i for a, b in lines for i in range(a, b)]
-                for a, b, got, big in _unwrapped("".join(layer.text[x:y] for x, y in lines)):
-                    oversized += big
-                    if got is not None:
-                        found.append(layer.whole(places[a], places[b - 1] + 1, got))
-        for got in found:
-            raw = got.text.encode("utf-8", "surrogatepass")
-            key = hashlib.sha1(raw + b"@%d" % (int(got.starts.min()) if len(got.text) else 0)).digest()
-            if key in seen or not got.text:
-                continue
-            seen.add(key)
-            layers += 1
-            spans += [(k, *got.origin(a, b)) for k, a, b in base_spans(got.text, raw)]
-            work.append((got, raw))
-    return {"base": base, "spans": sort_spans(spans) if layers else base, "layers": layers, "oversized": oversized}
+        got, cut = next(work[-1], (None, 0))
+        oversized += cut
+        if got is None:
+            work.pop()
+            continue
+        if not got.text:
+            continue
+        raw = got.text.encode("utf-8", "surrogatepass")
+        key = hashlib.sha1(raw + b"@%d" % int(got.starts.min())).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        spans.update((k, *got.origin(a, b)) for k, a, b in base_spans(got.text, raw))
+        work.append(_unwrap_layer(got, raw))
+    return {"base": base, "spans": sort_spans(list(spans)) if layers else base, "layers": layers, "oversized": oversized}
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -365,8 +444,12 @@ def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex (of the base), base_sha256, spans, n_layers for each row of `docs` (doc_id, text)."""
+    """doc_id, n_assign, n_access, n_hex (of the base), base_sha256, spans, n_layers and n_oversized for each row of `docs` (doc_id, text).
+
+    Defined cases: a null or empty text has no spans, counts of 0 and the digest of no bytes; a null doc_id stays null; repeated rows come back
+    repeated; equal spans found in several layers count once; other columns are ignored; an empty table gives an empty result.
+    """
     rows = scan_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text", "redacted")
     text = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *[count(k) for k in KINDS], F.sha2(text("base_spans"), 256).alias("base_sha256"), text("all_spans").alias("spans"), F.col("layers").alias("n_layers"))
+    return rows.select("doc_id", *[count(k) for k in KINDS], F.sha2(text("base_spans"), 256).alias("base_sha256"), text("all_spans").alias("spans"), F.col("layers").alias("n_layers"), F.col("oversized").alias("n_oversized"))
