@@ -38,11 +38,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, "edges")
     was = _state(e)
-    for _ in range(MAX_STEPS if was[0] else 0):
+    steps = 0
+    while was[0]:
         e = materialise(_stars(e), "stars")
         now = _state(e)
         if now == was:
             break
-        was = now
+        was, steps = now, steps + 1
+        if steps > MAX_STEPS:
+            raise RuntimeError(f"components have not settled after {MAX_STEPS} steps")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
