@@ -5,15 +5,18 @@ longest match over the vocabulary proposes tokens. The proposal is the exact enc
 across any border of two adjacent tokens could come before the merges inside them, which is a
 property of the pair alone: it is tested for all adjacent pairs of all new pieces at once, on arrays.
 Only pieces with a failing pair, or with a token that its own merges do not produce, go through
-exact merging. Encoded pieces are remembered, up to a bound.
+exact merging. That is done for many words at once, on arrays of their parts. Encoded chunks are remembered in two generations of a bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -30,10 +33,17 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPAC
 #: A piece always starts at a blank that something visible follows: chunks of text that can be encoded apart.
 ODD_BLANK = regex.compile(rf" (?=[{SPACE}]|$)")
 CHUNK_START = regex.compile(rf"(?= [^{SPACE}])")
-#: Chunks that a worker remembers, and the longest it does.
-CHUNK_CACHE = 600_000
+BLANK = regex.compile(rf" (?=[^{SPACE}])")
+#: Chunks in one generation of what a worker remembers, and the longest it does (some 200 bytes each).
+CHUNK_CACHE = 120_000
 CHUNK_CHARS = 64
-NEVER = np.int64(1) << 40
+#: Marks that are a piece of their own behind a word: what stands before one is looked up without it.
+MARKS = frozenset(",.;:!?")
+#: Characters that are cut and encoded at a time: bounds what a very long text needs besides itself.
+SLICE_CHARS = 4 << 20
+NEVER = (1 << 31) - 1
+#: A character that stands for no byte.
+SEPARATOR = "\u0100"
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,7 +74,12 @@ class Vocabulary:
         for (a, b), (r, t) in self.rank.items():
             if t not in made or r < made[t][0]:
                 made[t] = (r, a, b)
-        self.longest = max(map(len, self.ids))
+        if odd := [t["content"] for t in spec["added_tokens"] if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]:
+            raise ValueError(f"added tokens with options that this encoder does not have: {odd}")
+        self.greedy = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self.greedy.add_word(b.decode("latin-1"), i)
+        self.greedy.make_automaton()
         #: Tokens that exact merging of their own bytes does not give: a proposal that has one fails.
         self.odd = np.zeros(self.size, bool)
         for i, b in self.bytes.items():
@@ -75,6 +90,11 @@ class Vocabulary:
         keys = np.array([a * self.size + b for a, b in self.rank], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
+        self.result = np.zeros(len(pairs), np.int32)
+        for r, t in self.rank.values():
+            self.result[r] = t
+        self.first_ranks = self.rank_of(*(x.ravel() for x in np.meshgrid(self.byte_ids, self.byte_ids, indexing="ij"))).reshape(256, 256)
         self.splitter = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def _edge(self, made: dict, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +107,7 @@ class Vocabulary:
                 chain.append(made[chain[-1]][side])
             chains.append((chain, used))
         depth = max(len(c) for c, _ in chains)
-        pieces, used = np.full((self.size, depth), -1, np.int64), np.full((self.size, depth), -1, np.int64)
+        pieces, used = np.full((self.size, depth), -1, np.int32), np.full((self.size, depth), -1, np.int32)
         for t, (c, u) in enumerate(chains):
             pieces[t, : len(c)], used[t, : len(u)] = c, u
         return pieces, used
@@ -133,21 +153,71 @@ class Vocabulary:
                     heapq.heappush(heap, (self.rank[p][0], k, p))
         return [t for t in ids if t >= 0]
 
-    def exact(self, piece: bytes) -> list[int]:
-        return self.merge(piece) if len(piece) <= 64 else self.merge_long(piece)
-
-    def propose(self, piece: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, i, n, ids = [], 0, len(piece), self.ids
-        while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                t = ids.get(piece[i:j])
-                if t is not None:
-                    out.append(t)
-                    i = j
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of the merges of pairs; NEVER where there is none."""
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER).astype(np.int32)
+
+    def _merge_block(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        """Exact merging of pieces of at most `width` bytes: in each round, each of them has its first pair of least rank merged."""
+        n = len(pieces)
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)
+        size = np.fromiter(map(len, pieces), np.int64, n)
+        part, rank = self.byte_ids[raw], self.first_ranks[raw[:, :-1], raw[:, 1:]]
+        column = np.arange(width)
+        rank[column[None, :-1] >= size[:, None] - 1] = NEVER
+        who, out = np.arange(n), [[]] * n
+        while len(who):
+            at = rank.argmin(axis=1)
+            least = np.take_along_axis(rank, at[:, None], 1)[:, 0]
+            live = least < NEVER
+            if not live.all():
+                for k, row, m in zip(who[~live].tolist(), part[~live].tolist(), size[~live].tolist(), strict=True):
+                    out[k] = row[:m]
+                who, at, least, size, part, rank = who[live], at[live], least[live], size[live], part[live], rank[live]
+                if not len(who):
                     break
+            row = np.arange(len(who))
+            part[row, at] = self.result[least]
+            size -= 1
+            # what stands right of the pair moves one to the left
+            step = column[None, :-1] + (column[None, :-1] > at[:, None])
+            part[:, :-1] = np.take_along_axis(part, step, 1)
+            step = column[None, :-2] + (column[None, :-2] >= at[:, None])
+            rank[:, :-1] = np.take_along_axis(rank, step, 1)
+            rank[:, -1] = NEVER
+            for side, has in ((at - 1, at > 0), (at, at < size - 1)):
+                r, c = row[has], side[has]
+                rank[r, c] = self.rank_of(part[r, c], part[r, c + 1])
+            ended = row[at >= size - 1]
+            rank[ended, np.minimum(at[ended], width - 2)] = NEVER
         return out
 
+    def exact(self, pieces: list[bytes]) -> list[list[int]]:
+        """Exact merging, of pieces of about the same length together."""
+        out: list[list[int]] = [[]] * len(pieces)
+        blocks: dict[int, list[int]] = {}
+        for k, p in enumerate(pieces):
+            blocks.setdefault(max(3, (len(p) - 1).bit_length()), []).append(k)
+        for bits, members in blocks.items():
+            if bits > 6:
+                done = [self.merge_long(pieces[k]) for k in members]
+            elif len(members) < 8:
+                done = [self.merge(pieces[k]) for k in members]
+            else:
+                done = self._merge_block([pieces[k] for k in members], 1 << bits)
+            for k, ids in zip(members, done, strict=True):
+                out[k] = ids
+        return out
+
+    def propose(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match: tokens of all pieces, and the piece that each belongs to. Every byte is a token, so matches leave no gaps."""
+        joined = SEPARATOR.join([p.decode("latin-1") for p in pieces])
+        found = np.fromiter(chain.from_iterable(self.greedy.iter_long(joined)), np.int64).reshape(-1, 2)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        return found[:, 1], np.searchsorted(ends, found[:, 0], side="right")
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each pair of adjacent tokens stands: no merge across the border comes before those inside."""
         bad = np.zeros(len(a), bool)
@@ -161,26 +231,30 @@ class Vocabulary:
                 live, y, y_used = live[y >= 0], y[y >= 0], y_used[y >= 0]
                 if not len(live):
                     break
-                key = x[live] * self.size + y
+                key = x[live].astype(np.int64) * self.size + y
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 # the leftmost of equal merges goes first, so a tie is lost on the left and won on the right
                 bad[live] |= (self.keys[at] == key) & (self.ranks[at] < x_used[live]) & (self.ranks[at] <= y_used)
         return ~bad
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        proposed = [self.propose(p) for p in pieces]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(proposed)), sizes)
-        fails = np.zeros(len(proposed), bool)
-        np.logical_or.at(fails, owner, self.odd[flat])
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian 32-bit integers."""
+        if not pieces:
+            return []
+        flat, owner = self.propose(pieces)
+        fails = np.zeros(len(pieces), bool)
+        fails[owner[self.odd[flat]]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)[back] if len(pairs) else np.empty(0, bool)
         fails[owner[inner[~good]]] = True
-        for k in np.flatnonzero(fails):
-            proposed[k] = self.exact(pieces[k])
-        return proposed
+        ids = flat.astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(owner, np.arange(len(pieces) + 1))).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        failing = np.flatnonzero(fails).tolist()
+        for k, exact in zip(failing, self.exact([pieces[k] for k in failing]), strict=True):
+            out[k] = array("I", exact).tobytes()
+        return out
 
 
 class Encoder:
@@ -188,60 +262,92 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.mark_ids = {m: array("I", [vocabulary.ids[m.encode()]]).tobytes() for m in MARKS}
+
+    @staticmethod
+    def slices(text: str) -> Iterator[str]:
+        """The text in parts of about SLICE_CHARS that can be encoded apart."""
+        at = 0
+        while len(text) - at > SLICE_CHARS and (m := CHUNK_START.search(text, at + SLICE_CHARS)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        if ODD_BLANK.search(text):
-            return [c for c in CHUNK_START.split(text) if c]
-        first, *rest = text.split(" ")
-        return [c for c in (first, *[f" {c}" for c in rest]) if c]
+        """The text at the blanks that start a chunk, without them: the first chunk has none, the others have one each."""
+        return BLANK.split(text) if ODD_BLANK.search(text) else text.split(" ")
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of chunks that have their blank."""
         cut = [[p.encode("utf-8", "surrogatepass") for p in PIECE.findall(c)] for c in new]
-        known = self.pieces
+        fresh = list({p for c in cut for p in c})
+        known = dict(zip(fresh, self.v.encode_pieces(fresh), strict=True))
+        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut]
+
+    def _encode_lists(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of lists of chunks: what they have is moved to the young generation, which becomes the old one when it is full."""
+        heads = [c[0] for c in lists]
+        lists = [c[1:] for c in lists]
+        new: set[str] = set().union(*lists).difference(self.young)
+        known, old = self.young, self.old
+        if old:
+            kept = new.intersection(old)
+            known.update(zip(kept, map(old.__getitem__, kept), strict=True))
+            new -= kept
+        marked = [c for c in new if c[-1] in MARKS and c[:-1].isalpha()]
+        bare = {c[:-1] for c in marked}.difference(known)
+        for c in bare.intersection(old):
+            known[c] = old[c]
+        fresh = [*new.difference(marked).union(bare.difference(known))]
+        learnt = self._learn([*heads, *[f" {c}" for c in fresh]])
+        known.update(zip(fresh, learnt[len(heads) :], strict=True))
+        mark_ids = self.mark_ids
+        for c in marked:
+            known[c] = known[c[:-1]] + mark_ids[c[-1]]
+        out = [h + b"".join(map(known.__getitem__, c)) for h, c in zip(learnt, lists, strict=False)]
+        for c in (*fresh, *marked):
+            if len(c) > CHUNK_CHARS:
+                del known[c]
         if len(known) > CHUNK_CACHE:
-            known.clear()
-        fresh = list({p for c in cut for p in c if p not in known})
-        tokens = dict(zip(fresh, (np.asarray(t, "<u4").tobytes() for t in self.v.encode_pieces(fresh)), strict=True))
-        long = [p for p in tokens if len(p) > CHUNK_CHARS]
-        known.update(tokens)
-        out = {c: b"".join([known[p] for p in ps]) for c, ps in zip(new, cut, strict=True)}
-        for p in long:
-            del known[p]
+            self.young, self.old = {}, known
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         split = self.v.splitter
-        segments: list[tuple[int, list[str] | bytes]] = []
+        out: list[list[bytes]] = [[] for _ in texts]
+        lists: list[list[str]] = []
+        places: list[tuple[int, int]] = []
+        held = 0
+
+        def flush() -> None:
+            for (k, i), ids in zip(places, self._encode_lists(lists), strict=True):
+                out[k][i] = ids
+            lists.clear()
+            places.clear()
+
         for k, text in enumerate(texts):
-            at = 0
+            at, parts = 0, []
             if split is not None and any(s in text for s in self.v.special):
                 for m in split.finditer(text):
-                    segments.append((k, self.chunks(text[at : m.start()])))
-                    segments.append((k, np.asarray([self.v.special[m[0]]], "<u4").tobytes()))
+                    parts += [text[at : m.start()], array("I", [self.v.special[m[0]]]).tobytes()]
                     at = m.end()
-            segments.append((k, self.chunks(text[at:] if at else text)))
-        new: set[str] = set()
-        for _, c in segments:
-            if isinstance(c, list):
-                new.update(c)
-        known = self.known
-        new.difference_update(known)
-        if len(known) + len(new) > CHUNK_CACHE:
-            known.clear()
-            for _, c in segments:
-                if isinstance(c, list):
-                    new.update(c)
-        learnt = self._learn(list(new)) if new else {}
-        known.update(learnt)
-        out: list[list[bytes]] = [[] for _ in texts]
-        for k, c in segments:
-            out[k].append(b"".join(map(known.__getitem__, c)) if isinstance(c, list) else c)
-        for c in learnt:
-            if len(c) > CHUNK_CHARS:
-                del known[c]
+            parts.append(text[at:] if at else text)
+            for part in parts:
+                if isinstance(part, bytes):
+                    out[k].append(part)
+                    continue
+                for piece in self.slices(part):
+                    places.append((k, len(out[k])))
+                    out[k].append(b"")
+                    lists.append(self.chunks(piece))
+                    held += len(piece)
+                    if held >= SLICE_CHARS:
+                        flush()
+                        held = 0
+        flush()
         return [b"".join(p) for p in out]
 
     def decode(self, ids: bytes) -> str:
@@ -262,52 +368,66 @@ def _local(path: str, shipped: str | None) -> str:
     return SparkFiles.get(shipped) if shipped else path
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ship: bool = False) -> DataFrame:
-    """`docs` with `tokens` (array of ints) and `decoded` (the text that they give back).
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
+
+def _shipped(docs: DataFrame, vocabulary: str, ship: bool) -> str | None:
+    if ship:
+        docs.sparkSession.sparkContext.addFile(vocabulary)
+    return vocabulary.rsplit("/", 1)[-1] if ship else None
+
+
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ship: bool = False, decode: bool = True) -> DataFrame:
+    """`docs` with `tokens` (array of ints) and, if asked for, `decoded` (the text that they give back).
 
     The ids are those that byte-level tokenizers give for the vocabulary file, strings of added
-    tokens included, without truncation or padding. A null text counts as empty: no tokens, an
-    empty decoded text. Columns of these names are replaced. `ship` sends the file to the
+    tokens included, without truncation or padding. Defined cases: a null text counts as empty, with no tokens and an
+    empty decoded text; long texts are encoded in parts and whole; repeated rows come back repeated; an empty table gives an
+    empty result; columns named `tokens` or `decoded` are replaced and others pass through. `ship` sends the file to the
     executors where they do not have it at that path.
     """
     has_columns(docs, text)
     tune(docs.sparkSession)
-    shipped = None
-    if ship:
-        docs.sparkSession.sparkContext.addFile(vocabulary)
-        shipped = vocabulary.rsplit("/", 1)[-1]
+    shipped = _shipped(docs, vocabulary, ship)
     rest = [c for c in docs.columns if c not in ("tokens", "decoded")]
     inputs = docs.select(*[docs[c] for c in rest])
     at = rest.index(text)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", tokens array<int>, decoded string"
+    new = ["tokens", "decoded"] if decode else ["tokens"]
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", tokens array<int>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(_local(vocabulary, shipped))
         for batch in batches:
-            coded = enc.encode_batch([t or "" for t in batch.column(at).to_pylist()])
+            coded = enc.encode_batch(_texts(batch.column(at)))
             offsets = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
-            tokens = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, tokens, pa.array([enc.decode(c) for c in coded], pa.string())], [*rest, "tokens", "decoded"])
+            made = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))]
+            if decode:
+                made.append(pa.array([enc.decode(c) for c in coded], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*rest, *new])
 
     return inputs.mapInArrow(run, schema)
 
 
-def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: `encode` with digests in the worker, so that tokens stay there."""
+def encode_digests(docs: DataFrame, vocabulary: str, ship: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of `docs` (doc_id, text): `encode` with digests in the worker, so that tokens stay there.
+
+    Defined cases as for `encode`: a null or empty text has no tokens and the digests of no bytes; a null doc_id stays null; other columns are ignored.
+    """
+    has_columns(docs, "doc_id", "text")
     tune(docs.sparkSession)
+    shipped = _shipped(docs, vocabulary, ship)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(_local(vocabulary, shipped))
         for batch in batches:
-            coded = enc.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(c) // 4 for c in coded], pa.int64()),
-                    pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
-                    pa.array([hashlib.sha256(enc.decode(c).encode("utf-8", "surrogatepass")).hexdigest() for c in coded], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            coded = enc.encode_batch(_texts(batch.column(1)))
+            columns = [
+                batch.column(0),
+                pa.array([len(c) // 4 for c in coded], pa.int64()),
+                pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
+                pa.array([hashlib.sha256(enc.decode(c).encode("utf-8", "surrogatepass")).hexdigest() for c in coded], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
