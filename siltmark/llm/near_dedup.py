@@ -42,6 +42,8 @@ SIGMAS = 5.0
 ESTIMATE_FROM = 2 * REGISTERS
 #: Ids of candidates that may be broadcast to read their texts (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 500_000
+#: Shingle hashes that a worker remembers while it verifies (8 bytes each).
+KNOWN_SHINGLES = 2_000_000
 
 _TOP = np.uint64(64 - 7)
 _REST = np.uint64((1 << 57) - 1)
@@ -119,16 +121,19 @@ def estimate(a: Column, b: Column, n: Column, m: Column) -> Column:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, known = WordHasher(), OrderedDict()
+    held = 0
 
     def of(doc: int, text: str) -> np.ndarray:
+        nonlocal held
         key = (doc, len(text), hash(text))
         if key in known:
             known.move_to_end(key)
-        else:
-            known[key] = shingles(hasher(words_of(text)))
-            if len(known) > 256:
-                known.popitem(last=False)
-        return known[key]
+            return known[key]
+        made = known[key] = shingles(hasher(words_of(text)))
+        held += len(made)
+        while held > KNOWN_SHINGLES and len(known) > 1:
+            held -= len(known.popitem(last=False)[1])
+        return made
 
     for batch in batches:
         a_ids, b_ids, a_text, b_text = (batch.column(i).to_pylist() for i in range(4))
@@ -180,7 +185,8 @@ def _pivot_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (key, band, id, label) of buckets that hold more than one label, without the pivot, which has been compared with all."""
     m = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    # a table, so that the join reads two shuffles, of which adaptive execution can split a hot bucket
+    mixed = materialise(m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "mixed")
     return m.where("id <> pivot").join(mixed, "key", "left_semi").select("key", "band", "id", "label")
 
 
@@ -221,7 +227,9 @@ def _rest_pairs(able: DataFrame) -> DataFrame:
     """
     rows = materialise(able, "rest")
     most = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("x"))
-    minor = rows.join(most.select("key", F.col("x.label").alias("most")), "key").where("label <> most")
+    # tables, so that both joins read two shuffles, of which adaptive execution can split a hot bucket
+    most = materialise(most.select("key", F.col("x.label").alias("most")), "most")
+    minor = materialise(rows.join(most, "key").where("label <> most"), "minor")
     x = minor.select("key", *[F.col(c).alias(f"{c}_x") for c in ("band", "id", "label", "c", "n", "regs", "cells", "most")])
     y = rows.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "label", "c", "n", "regs", "cells")])
     once = (F.col("label_y") == F.col("most_x")) | (F.col("id_x") < F.col("id_y"))
@@ -252,7 +260,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = classes.select("id", "n", "regs", "cells")
     banded = nodes.select("id", F.posexplode("regs").alias("band", "four")).select(F.xxhash64("band", "four").alias("key"), "band", "id")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
-    members = materialise(banded.join(shared, "key"), "members")
+    # a table, so that the join reads two shuffles, of which adaptive execution can split a hot bucket
+    members = materialise(banded.join(materialise(shared, "shared"), "key"), "members")
     nodes = materialise(nodes.join(members.select("id").distinct(), "id", "left_semi"), "nodes")
     ids = nodes.select("id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
