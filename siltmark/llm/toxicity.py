@@ -2,46 +2,57 @@
 
 Words become symbols (insult, threat, target, negation, report, other). Four small transducers, one each for
 negation, reported speech, targets, and the hits themselves, are composed into one
-automaton that reads the symbols of a clause and adds up weights; clauses are scored, not words alone.
-Insult words and word beginnings are learned from labelled rows, with a test that holds over all candidates; threat,
-target, negation and report words are fixed short lists. A logistic layer, fitted on the same
-rows, turns the clause scores of a text into a probability.
+automaton that reads the symbols of a clause and adds up weights; clauses are scored, not words alone. A hit waits in its state for a
+target or a verb of speech that comes after it.
+Insult words, threat words and word beginnings are learned from labelled rows, with a test that holds over all candidates; a learned word is a
+threat where it follows words of intent. Target, negation and report words and the stems of some threats are fixed short lists. A logistic layer,
+fitted on the same rows, turns the clause scores of a text into a probability. Texts stay on the executors: the fit gathers counts,
+sketches and features.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, tune
+from siltmark.llm.common import WordHasher, has_columns, materialise, shingles, tune, words_of
 
 #: Labelled rows that the fit reads at most, by a hash of their id.
 FIT_ROWS = 20_000
 #: Word beginnings that may enter the lexicon.
 PREFIX_LENGTHS = (4, 5, 6, 7)
-MAX_LEXICON = 4_000
+#: Least hashes that tell copies among the labelled rows, and the similarity from which they are.
+SKETCH = 32
+COPY_SIMILARITY = 0.75
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 #: Short word lists of the grammar's classes in four languages.
 TARGETS = "you your yours u he she they them him her tu vous toi te ton ta vos il elle ils du dich dir dein sie ihr er usted ustedes ti él ella ellos".split()
-NEGATIONS = "not no never isn't aren't don't ain't ne pas jamais nicht kein keine nie nunca jamás".split()
+NEGATIONS = "not no never cannot ne pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says wrote claimed called quoted dit écrit sagte schrieb dijo escribió".split()
-THREATS = "kill hurt destroy murder shoot stab burn töten umbringen tuer matar".split()
+INTENTS = "will shall gonna going i'll we'll werde werden vais allons voy vamos".split()
+#: Stems of threats; their inflections end in one of the endings.
+THREATS = "kill hurt destroy murder shoot shot stab stabb burn töt umbring tuer tuerai matar mataré".split()
+ENDINGS = ("", "s", "d", "ed", "ing", "er", "e", "en", "et", "t", "é", "ez")
 
-WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
 
+def lowered(text: str | None) -> str:
+    """Lower case, with one kind of apostrophe."""
+    return (text or "").lower().replace("\u2019", "'")
+
+
 @dataclass
 class Transducer:
     """States are numbers; step(state, symbol) gives (state, symbol out, weight). No entry: stay, copy, 0."""
@@ -77,27 +88,37 @@ def negation(reach: int = 3, discount: float = 0.5) -> Transducer:
 
 
 def reported(discount: float = 0.25) -> Transducer:
-    """Hits after a verb of speech, to the end of the clause, cost."""
-    t = Transducer(2)
-    t.arcs[0, REPORT] = (1, OTHER, 0.0)
-    t.arcs[1, REPORT] = (1, OTHER, 0.0)
+    """Hits after a verb of speech, to the end of the clause, cost; so does the last one before it. The verb is passed on."""
+    plain, said, waiting = range(3)
+    t = Transducer(3)
+    for s in (plain, said):
+        t.arcs[s, REPORT] = (said, REPORT, 0.0)
+    t.arcs[waiting, REPORT] = (said, REPORT, -discount)
     for x in (INSULT, THREAT):
-        t.arcs[1, x] = (1, x, -discount)
+        t.arcs[plain, x] = t.arcs[waiting, x] = (waiting, x, 0.0)
+        t.arcs[said, x] = (said, x, -discount)
     return t
 
 
-def targeted(bonus: float = 0.25) -> Transducer:
-    """A hit in a clause that has named a target before weighs more."""
-    t = Transducer(2)
-    t.arcs[0, TARGET] = (1, OTHER, 0.0)
-    t.arcs[1, TARGET] = (1, OTHER, 0.0)
-    for x in (INSULT, THREAT):
-        t.arcs[1, x] = (1, x, bonus)
+def targeted(insult: float = 0.25, threat: float = 0.5) -> Transducer:
+    """A hit weighs more in a clause that names a target before it, or after it. Who speaks, right before a verb of speech, is no target."""
+    plain, aimed, insulted, threatened, late_insult, late_threat = range(6)
+    bonus = {INSULT: insult, THREAT: threat}
+    t = Transducer(6)
+    for s in range(6):
+        t.arcs[s, TARGET] = (aimed, OTHER, 0.0)
+        t.arcs[s, REPORT] = (plain, OTHER, 0.0)
+        for x, waits in ((INSULT, insulted), (THREAT, threatened)):
+            t.arcs[s, x] = (aimed, x, bonus[x]) if s in (aimed, late_insult, late_threat) else (waits, x, 0.0)
+    for waits, late, w in ((insulted, late_insult, insult), (threatened, late_threat, threat)):
+        t.arcs[waits, TARGET] = (late, OTHER, w)
+        t.arcs[late, REPORT] = (plain, OTHER, -w)
+        t.arcs[late, OTHER] = (aimed, OTHER, 0.0)
     return t
 
 
 def hits(insult: float = 1.0, threat: float = 0.5) -> Transducer:
-    """The hits themselves; a threat counts in full once a target precedes it, which `targeted` adds."""
+    """The hits themselves; a threat counts in full once a target is near, which `targeted` adds."""
     t = Transducer(1)
     t.arcs[0, INSULT] = (0, INSULT, insult)
     t.arcs[0, THREAT] = (0, THREAT, threat)
@@ -108,36 +129,39 @@ def grammar() -> Transducer:
     return negation().then(reported()).then(targeted()).then(hits())
 
 
+Entry = tuple[str, bool, float, bool]
+
+
 class Scorer:
     """Clause scores of texts under a lexicon."""
 
-    def __init__(self, lexicon: list[tuple[str, bool, float]]) -> None:
-        """lexicon: (word or beginning, whether it must be the whole word, weight)."""
+    def __init__(self, lexicon: list[Entry]) -> None:
+        """lexicon: (word or beginning, whether it must be the whole word, weight, whether it is a threat)."""
         g = grammar()
         self.next = [[g.step(s, x)[0] for x in range(6)] for s in range(g.states)]
         self.add = [[g.step(s, x)[2] for x in range(6)] for s in range(g.states)]
-        self.words = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS} | {w: THREAT for w in THREATS}
-        self.whole = {w: x for w, full, x in lexicon if full}
-        self.starts = {w: x for w, full, x in lexicon if not full}
+        self.words = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS} | {w + e: THREAT for w in THREATS for e in ENDINGS}
+        self.whole = {w: (x, THREAT if threat else INSULT) for w, full, x, threat in lexicon if full}
+        self.starts = {w: (x, THREAT if threat else INSULT) for w, full, x, threat in lexicon if not full}
         self.lengths = sorted({len(w) for w in self.starts}, reverse=True)
         self.find = ahocorasick.Automaton()
         for w in {*self.whole, *self.starts, *THREATS}:
             self.find.add_word(w, w)
-        if len(self.find):
-            self.find.make_automaton()
+        self.find.make_automaton()
 
-    def weight(self, word: str) -> float:
-        x = self.whole.get(word, 0.0)
+    def symbol(self, word: str) -> tuple[int, float]:
+        """The symbol of a word and its scale: the heaviest entry that it has or begins with."""
+        best = self.whole.get(word, (0.0, OTHER))
         for n in self.lengths:
-            x = max(x, self.starts.get(word[:n], 0.0))
-        return x
+            best = max(best, self.starts.get(word[:n], (0.0, OTHER)))
+        if best[0] > 0:
+            return best[1], best[0]
+        return NEGATION if word.endswith("n't") else self.words.get(word, OTHER), 1.0
 
     def clauses(self, text: str | None) -> list[float]:
         """Scores of the clauses that have a hit."""
-        low = (text or "").lower()
-        if not low or not len(self.find):
-            return []
-        marks = [end + 1 - len(w) for end, w in self.find.iter(low)]
+        low = lowered(text)
+        marks = [end + 1 - len(w) for end, w in self.find.iter(low)] if low else []
         marks = [a for a in marks if a == 0 or not low[a - 1].isalnum()]
         if not marks:
             return []
@@ -147,9 +171,7 @@ class Scorer:
             clause = low[cuts[k - 1] if k else 0 : cuts[k] if k < len(cuts) else len(low)]
             state, score, found = 0, 0.0, False
             for w in WORD.findall(clause):
-                x = self.weight(w)
-                symbol = INSULT if x > 0 else self.words.get(w, OTHER)
-                scale = x if x > 0 else 1.0
+                symbol, scale = self.symbol(w)
                 found |= symbol in (INSULT, THREAT)
                 score += self.add[state][symbol] * scale
                 state = self.next[state][symbol]
@@ -158,8 +180,11 @@ class Scorer:
         return out
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        c = self.clauses(text)
-        return (max(c, default=0.0), math.log1p(max(0.0, sum(c))), math.log1p(sum(x > 0.5 for x in c)))
+        return features_of(self.clauses(text))
+
+
+def features_of(clauses: list[float]) -> tuple[float, float, float]:
+    return (max(clauses, default=0.0), math.log1p(max(0.0, sum(clauses))), math.log1p(sum(x > 0.5 for x in clauses)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -175,51 +200,92 @@ def _gain(pos: int, neg: int, base: float) -> float:
     return out + (neg * math.log(neg / n / (1 - base)) if neg else 0.0)
 
 
-def distinct_rows(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Toxic rows once for each group of near copies, told by the least hash of their long words: copies are no further evidence."""
-    seen: set[int] = set()
-    out = []
-    for t, y in rows:
-        if y:
-            key = min((xxhash.xxh3_64_intdigest(w) for w in WORD.findall(t.lower()) if len(w) > 8), default=None)
-            if key is not None and key in seen:
-                continue
-            seen.add(key)
-        out.append((t, y))
-    return out
+def parts_of(text: str | None) -> set[tuple[str, bool]]:
+    """Candidates for the lexicon: (word, True) and (beginning, False)."""
+    words = set(WORD.findall(lowered(text)))
+    return {(w, True) for w in words} | {(w[:n], False) for w in words for n in PREFIX_LENGTHS if len(w) >= n}
+
+
+def distinct_ids(sketched: list[tuple[int, int, list[int]]]) -> set[int]:
+    """Of rows (doc_id, y, least shingle hashes in order), the ids that stay when copies of an earlier row with the same label go: copies are no further evidence."""
+    kept: dict[tuple[int, int], list[int]] = {}
+    by_hash: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for doc, y, least in sorted(sketched):
+        mine = set(least)
+        shared = Counter(other for h in least for other in by_hash[y, h])
+        near = [other for other, n in shared.items() if n >= COPY_SIMILARITY * min(SKETCH, len(least))]
+        # the least hashes of the union are a sample of it
+        if any(len(mine.intersection(kept[y, o]).intersection(union)) >= COPY_SIMILARITY * len(union) for o in near for union in [sorted(mine.union(kept[y, o]))[:SKETCH]]):
+            continue
+        kept[y, doc] = least
+        for h in least:
+            by_hash[y, h].append(doc)
+    return {doc for _, doc in kept}
+
+
+def _counted(rows: DataFrame, wanted: int, among: frozenset | None = None) -> DataFrame:
+    """part, full, n: in how many rows with the label a candidate is; only those of `among`, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if y == wanted:
+                    counts.update(parts_of(text) if among is None else parts_of(text) & among)
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([counts[k] for k in keys], pa.int64())], ["part", "full", "n"])
 
+    return rows.select("text", "y").mapInArrow(run, "part string, full boolean, n long").groupBy("part", "full").agg(F.sum("n").alias("n"))
 
-def learn_lexicon(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
-    """Words and word beginnings that toxic rows have and others have not.
+
+def _intended(rows: DataFrame, lexicon: list[Entry]) -> dict[tuple[str, bool], tuple[int, int]]:
+    """For each entry, how often it stands in toxic rows, and how often within three words after one of intent."""
+    scorer, intents = Scorer(lexicon), set(INTENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, meant = Counter(), Counter()
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = WORD.findall(lowered(text)) if y else []
+                for i, w in enumerate(words):
+                    if scorer.symbol(w)[0] != INSULT:
+                        continue
+                    for key in [(w, True), *((w[:n], False) for n in scorer.lengths)]:
+                        if key[0] in (scorer.whole if key[1] else scorer.starts):
+                            seen[key] += 1
+                            meant[key] += bool(intents.intersection(words[max(0, i - 3) : i]))
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([meant[k] for k in keys], pa.int64())], ["part", "full", "n", "m"])
+
+    out = rows.select("text", "y").mapInArrow(run, "part string, full boolean, n long, m long").groupBy("part", "full").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return {(r["part"], r["full"]): (r["n"], r["m"]) for r in out.collect()}
+
+
+def learn_lexicon(rows: DataFrame) -> list[Entry]:
+    """Words and word beginnings that toxic rows (text, y) have and others have not.
 
     A candidate stays if its likelihood ratio beats the number of candidates (a union bound, with a margin),
-    and a longer one only if no shorter one that it starts with does as well.
+    and a longer one only if no shorter one that it starts with does as well. It is a threat if half of its uses follow a word of intent.
     """
-    total, toxic = len(rows), sum(y for _, y in rows)
-    rows = distinct_rows(rows)
+    total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic or toxic == total:
         return []
     base = toxic / total
-    parts = lambda t: {(w, True) for w in set(WORD.findall(t.lower()))} | {(w[:n], False) for w in set(WORD.findall(t.lower())) for n in PREFIX_LENGTHS if len(w) >= n}
-    pos: Counter = Counter()
-    for t, y in rows:
-        if y:
-            pos.update(parts(t or ""))
-    pos = Counter({k: c for k, c in pos.items() if c >= 3})
-    neg: Counter = Counter()
-    for t, y in rows:
-        if not y:
-            neg.update(pos.keys() & parts(t or ""))
+    pos = {(r["part"], r["full"]): r["n"] for r in _counted(rows, 1).where("n >= 3").collect()}
+    neg = {(r["part"], r["full"]): r["n"] for r in _counted(rows, 0, frozenset(pos)).collect()}
     bar = math.log(max(2, len(pos))) + 2.0
-    good = {k: g for k, c in pos.items() if (g := _gain(c, neg[k], base)) > bar and c / (c + neg[k]) >= 0.8}
-    out = []
+    good = {k: g for k, c in pos.items() if (g := _gain(c, neg.get(k, 0), base)) > bar and c / (c + neg.get(k, 0)) >= 0.8}
+    out: list[Entry] = []
     for (w, full), g in sorted(good.items(), key=lambda x: (-x[1], x[0])):
         starts = [(w[:n], False) for n in PREFIX_LENGTHS if n < len(w) or (full and n == len(w))]
         if any(good.get(s, 0.0) >= g for s in starts):
             continue
         c = pos[w, full]
-        out.append((w, full, min(1.0, c / (c + neg[w, full]))))
-    return out[:MAX_LEXICON]
+        out.append((w, full, min(1.0, c / (c + neg.get((w, full), 0))), False))
+    if not out:
+        return out
+    meant = _intended(rows, out)
+    return [(w, full, x, (use := meant.get((w, full), (0, 0)))[0] >= 3 and 2 * use[1] >= use[0]) for w, full, x, _ in out]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -241,11 +307,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 @dataclass
 class Model:
-    lexicon: list[tuple[str, bool, float]]
+    lexicon: list[Entry]
     weights: list[float]
 
-    def score(self, scorer: Scorer, text: str | None) -> float:
-        z = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], scorer.features(text), strict=True))
+    def score(self, clauses: list[float]) -> float:
+        z = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], features_of(clauses), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -258,22 +324,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").select("doc_id", "text", "y")
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = WordHasher()
+    for batch in batches:
+        least = [(shingles(hasher(words_of(t)))[:SKETCH] >> np.uint64(1)).view(np.int64) for t in batch.column(1).to_pylist()]
+        offsets = np.cumsum([0, *map(len, least)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(least) if least else np.empty(0, np.int64)))], ["doc_id", "y", "least"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
-    """Learn the lexicon and the logistic layer from labelled rows (labels: doc_id, toxic). Without rows of both kinds, scores are the base rate."""
-    rows = [(r["text"] or "", r["y"]) for r in training_rows(docs, labels, "toxic", limit).select("text", "y").toLocalIterator(prefetchPartitions=True)]
-    lexicon = learn_lexicon(rows)
-    y = np.array([r[1] for r in rows], float)
+    """Learn the lexicon and the logistic layer from labelled rows (labels: doc_id, toxic), at most about `limit` of them. Without rows of both kinds, scores are the base rate."""
+    tune(docs.sparkSession)
+    rows = materialise(training_rows(docs, labels, "toxic", limit), "labelled")
+    sketched = [(r["doc_id"], r["y"], r["least"]) for r in rows.mapInArrow(_sketched, "doc_id long, y int, least array<long>").collect()]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(distinct_ids(sketched))], "doc_id long")
+    # as many ids as the fit has rows at most, so they may be broadcast
+    lexicon = learn_lexicon(rows.join(F.broadcast(ids), "doc_id", "left_semi"))
     if not lexicon:
-        base = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
+        y = [r[1] for r in sketched]
+        base = (sum(y) + 0.5) / (len(y) + 1) if y else 0.1
         return Model([], [math.log(base / (1 - base)), 0.0, 0.0, 0.0])
-    scorer = Scorer(lexicon)
-    return Model(lexicon, fit_logistic(np.array([scorer.features(t) for t, _ in rows]), y).tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            got = [scorer.features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([g[i] for g in got], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
+
+    table = rows.select("text", "y").mapInArrow(run, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").collect()
+    return Model(lexicon, fit_logistic(np.array([r[1:] for r in table]), np.array([r[0] for r in table], float)).tolist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, clauses (matched) and worst (score of the worst clause) of each row of `docs` (doc_id, text).
 
-    Null and empty texts get the score of a text without matches. A null doc_id is not held out. Repeated rows come back repeated.
+    Defined cases: null and empty texts get the score of a text without matches; a null doc_id is not held out; repeated rows and equal texts
+    get equal scores and all come back; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     has_columns(docs, "doc_id", "text")
     tune(docs.sparkSession)
@@ -281,9 +367,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.lexicon)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [scorer.clauses(t) for t in texts]
-            scores = [model.score(scorer, t) if c else model.score(scorer, None) for t, c in zip(texts, found, strict=True)]
+            found = [scorer.clauses(t) for t in batch.column(1).to_pylist()]
+            scores = [model.score(c) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([len(c) for c in found], pa.int64()), pa.array([max(c, default=0.0) for c in found], pa.float64())], ["doc_id", "score", "clauses", "worst"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, clauses long, worst double")
