@@ -40,6 +40,7 @@ def shape(text: Column) -> list[Column]:
         per_word(r"[.?](?=\s|$)"),
         per_word(r"(?<!\S)\p{Ll}+(?!\S)"),
         per_word(r"\n"),
+        per_word(r"(?<!\S)(\S+)(?=\s+\1(?!\S))"),
         F.log1p(words) / 10,
         F.least(n / F.greatest(words, F.lit(1)), F.lit(40)) / 40,
     ]
@@ -83,10 +84,20 @@ def _prior_rows(n_sites: float, rows: float, squares: float, mean: float, spread
     return float(np.clip(within / between - 1 if between > 1e-9 else PRIOR_ROWS[1], *PRIOR_ROWS))
 
 
+def with_sites(docs: DataFrame, url: str = "url") -> DataFrame:
+    """`docs` with `host` (in lower case) and `path` (the first section of the path, empty at the root) of a URL; both null where it is none. Columns of these names are replaced."""
+    u = F.col(url).cast("string")
+    section = F.regexp_extract(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), r"^/*([^/]*)/", 1)
+    host = F.lower(F.try_parse_url(u, F.lit("HOST")))
+    return docs.withColumns({"host": host, "path": F.when(host.isNotNull(), section)})
+
+
 def score(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, doc_score, host_rate, path_rate, score and kept of each row of `docs` (doc_id, text, host and path columns).
 
-    Null hosts and paths are sites of their own. Null and empty texts have features of 0. Repeated rows come back repeated, an empty table gives an empty result.
+    `with_sites` makes the columns from URLs; documents without one have the source as host and the language as its section.
+    Defined cases: null hosts and paths are sites of their own; null and empty texts have features of 0; a null doc_id stays null; repeated rows
+    come back repeated and count as often in their site; other columns are ignored; an empty table gives an empty result.
     """
     has_columns(docs, "doc_id", "text", host, path)
     site = [F.col(c).cast("string") for c in (host, path)]
