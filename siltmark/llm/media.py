@@ -7,8 +7,6 @@ Program tables come first and are repeated. Both ways work on arrays of packets,
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, tune
+from siltmark.llm.common import has_columns, materialise, tune
 
 PACKET = 188
 SYNC = 0x47
@@ -125,88 +123,123 @@ def _packets(stream: bytes) -> tuple[np.ndarray, int]:
     return (np.stack(rows) if rows else np.empty((0, PACKET), np.uint8)), skipped
 
 
+def _payloads(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packets that carry data, and where it begins in each."""
+    data = q[(q[:, 3] & 0x10) > 0]
+    with_field = (data[:, 3] & 0x20) > 0
+    return data, np.where(with_field, 5 + data[:, 4].astype(np.int64), 4)
+
+
 def _sections(p: np.ndarray, pid: int, pids: np.ndarray, table: int) -> list[bytes]:
-    """Sections of a table whose checksum holds; each is in one packet here and in most streams."""
-    out = []
-    seen: set[bytes] = set()
-    for row in p[(pids == pid) & ((p[:, 1] & 0x40) > 0)]:
-        if (raw := row[4:].tobytes()) in seen:
+    """Sections of a table whose checksum holds, each once; they may go on over packets and begin behind one another."""
+    out: dict[bytes, None] = {}
+    open_part: bytearray | None = None
+    last, runs = -1, set()
+
+    def take(buffer: bytearray) -> bytearray | None:
+        while len(buffer) >= 3 and buffer[0] != 0xFF:
+            size = 3 + (int.from_bytes(buffer[1:3], "big") & 0x0FFF)
+            if len(buffer) < size:
+                return buffer
+            raw = bytes(buffer[:size])
+            if raw not in out and raw[0] == table and size >= 12 and crc32_mpeg(raw) == 0:
+                out[raw] = None
+            del buffer[:size]
+        return buffer if buffer and buffer[0] != 0xFF else None
+
+    data, start = _payloads(p[pids == pid])
+    for row, at in zip(data, start.tolist(), strict=True):
+        counter, begins = int(row[3]) & 0x0F, bool(row[1] & 0x40)
+        raw = row[at:].tobytes()
+        if begins and open_part is None and raw in runs:  # a repeat of tables that have been read
+            last = counter
             continue
-        seen.add(raw)
-        if row[3] & 0x20:
-            raw = raw[1 + raw[0] :]
-        raw = raw[1 + raw[0] :]
-        if len(raw) < 12 or raw[0] != table:
+        if counter == last:
             continue
-        size = 3 + (int.from_bytes(raw[1:3], "big") & 0x0FFF)
-        if size <= len(raw) and crc32_mpeg(raw[:size]) == 0:
-            out.append(raw[8 : size - 4])
-    return out
-
-
-def demux(stream: bytes) -> dict:
-    """Program tables, elementary payload, timestamps and errors of a transport stream.
-
-    payload: of the first elementary stream; pts: one for each elementary packet (-1: none);
-    access: indices of packets at random-access points; pcr: clock bases; gaps: breaks of the
-    continuity counter (a repeated packet is not one, and counts once); skipped: bytes without sync.
-    """
-    p, skipped = _packets(stream)
-    none = {"payload": b"", "pts": np.empty(0, np.int64), "access": np.empty(0, np.int64), "pcr": np.empty(0, np.int64), "gaps": 0, "repeats": 0, "skipped": skipped, "pid": None, "stream_type": None, "packets": len(p)}
-    pids = ((p[:, 1] & 0x1F).astype(np.int64) << 8) | p[:, 2]
-    programs = [(int.from_bytes(s[i : i + 2], "big"), int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF) for s in _sections(p, 0, pids, 0) for i in range(0, len(s) - 3, 4)]
-    streams = []
-    for number, pid in programs:
-        for s in _sections(p, pid, pids, 2) if number else []:
-            at = 4 + (int.from_bytes(s[2:4], "big") & 0x0FFF)
-            while at + 5 <= len(s):
-                streams.append((s[at], int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF))
-                at += 5 + (int.from_bytes(s[at + 3 : at + 5], "big") & 0x0FFF)
-    if not streams:
-        return none
-    kind, pid = streams[0]
-    q = p[(pids == pid) & ((p[:, 1] & 0x80) == 0)]
+        if open_part is not None and counter != (last + 1) % 16:
+            open_part = None
+        last = counter
+        if begins:
+            pointer = raw[0] if raw else 0
+            if open_part is not None:
+                take(open_part + raw[1 : 1 + pointer])
+            open_part = take(bytearray(raw[1 + pointer :]))
+            if open_part is None:
+                runs.add(raw)
+        elif open_part is not None:
+            open_part = take(open_part + raw)
+    return [raw[8:-4] for raw in out]
+
+
+def _stream(q: np.ndarray) -> dict:
+    """The elementary packets of one stream, with their timestamps, and what is wrong with them."""
     has_data, has_field = (q[:, 3] & 0x10) > 0, (q[:, 3] & 0x20) > 0
     data = q[has_data]
-    counter = (data[:, 3] & 0x0F).astype(np.int64)
-    step = np.diff(counter) % 16
+    flags = np.where(has_field[has_data] & (data[:, 4] > 0), data[:, 5], 0)
+    step = np.diff((data[:, 3] & 0x0F).astype(np.int64)) % 16
     repeat = np.concatenate([[False], (step == 0) & (data[1:] == data[:-1]).all(axis=1)]) if len(data) else np.empty(0, bool)
-    gaps = int(((step != 1) & ~repeat[1:]).sum()) if len(data) else 0
+    # the discontinuity flag announces a break
+    gap = np.concatenate([[False], (step != 1) & ~repeat[1:] & ((flags[1:] & 0x80) == 0)]) if len(data) else np.empty(0, bool)
     field = q[has_field & (q[:, 4] > 0)]
     clock = field[(field[:, 5] & 0x10) > 0].astype(np.int64)
     pcr = (clock[:, 6] << 25) | (clock[:, 7] << 17) | (clock[:, 8] << 9) | (clock[:, 9] << 1) | (clock[:, 10] >> 7)
-    data = data[~repeat]
-    with_field = (data[:, 3] & 0x20) > 0
-    start = np.where(with_field, 5 + data[:, 4].astype(np.int64), 4)
-    column = np.arange(PACKET)
-    body = data[column[None, :] >= start[:, None]]
+    data, flags, gap = data[~repeat], flags[~repeat], gap[~repeat]
+    data, start = _payloads(data)
+    body = data[np.arange(PACKET)[None, :] >= start[:, None]]
     begins = (data[:, 1] & 0x40) > 0
-    sizes = np.maximum(PACKET - start, 0)
-    offset = np.concatenate([[0], np.cumsum(sizes)])
+    offset = np.concatenate([[0], np.cumsum(np.maximum(PACKET - start, 0))])
     at = offset[:-1][begins]
-    mark = (with_field & (data[:, 4] > 0) & ((data[:, 5] & 0x40) > 0))[begins]
-    upto = np.append(at[1:], len(body))
-    out, pts, kept = [], [], []
+    mark = ((flags & 0x40) > 0)[begins]
+    # a break inside an elementary packet: at a packet that does not begin one
+    hurt = np.bincount(np.maximum(np.cumsum(begins)[gap & ~begins] - 1, 0), minlength=len(at)) > 0 if len(at) else np.empty(0, bool)
+    upto = np.append(at[1:], len(body)) if len(at) else at
+    out, pts, kept, damaged = [], [], [], []
     for i, (a, b) in enumerate(zip(at.tolist(), upto.tolist(), strict=True)):
         h = body[a : min(b, a + 19)].tobytes()
         if len(h) < 9 or h[:3] != b"\x00\x00\x01":
             continue
-        kept.append(i)
         size = int.from_bytes(h[4:6], "big")
+        if hurt[i] or (size and b - a < 6 + size):
+            damaged.append(len(kept))
+        kept.append(i)
         pts.append(((h[9] >> 1 & 7) << 30) | (h[10] << 22) | (h[11] >> 1 << 15) | (h[12] << 7) | (h[13] >> 1) if h[7] & 0x80 and len(h) >= 14 else -1)
         out.append(body[a + 9 + h[8] : min(b, a + 6 + size) if size else b])
-    return none | {
+    return {
         "payload": np.concatenate(out).tobytes() if out else b"",
         "pts": np.array(pts, np.int64),
         "access": np.flatnonzero(mark[kept]) if kept else np.empty(0, np.int64),
         "pcr": pcr,
-        "gaps": gaps,
+        "gaps": int(gap.sum()),
         "repeats": int(repeat.sum()),
-        "pid": pid,
-        "stream_type": kind,
+        "damaged": damaged,
     }
 
 
+def demux(stream: bytes) -> dict:
+    """Program tables, elementary streams, timestamps and errors of a transport stream.
+
+    `streams` has one entry for each elementary stream of the tables, in their order; the first one's fields stand in the result as well.
+    payload: of its elementary packets; pts: one for each (-1: none); access: indices of those at random-access points; pcr: clock bases;
+    gaps: breaks of the continuity counter that no flag announces (a repeated packet is not one, and counts once); damaged: indices of
+    elementary packets that lack a part, which are passed on as far as they are there; skipped: bytes without sync.
+    """
+    p, skipped = _packets(stream)
+    pids = ((p[:, 1] & 0x1F).astype(np.int64) << 8) | p[:, 2]
+    whole = {"skipped": skipped, "packets": len(p)}
+    streams = []
+    programs = [(int.from_bytes(s[i : i + 2], "big"), int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF) for s in _sections(p, 0, pids, 0) for i in range(0, len(s) - 3, 4)]
+    for number, table in programs:
+        for s in _sections(p, table, pids, 2) if number else []:
+            at = 4 + (int.from_bytes(s[2:4], "big") & 0x0FFF)
+            while at + 5 <= len(s):
+                pid = int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF
+                if pid not in {x["pid"] for x in streams}:
+                    streams.append({"program": number, "pid": pid, "stream_type": s[at]} | _stream(p[(pids == pid) & ((p[:, 1] & 0x80) == 0)]))
+                at += 5 + (int.from_bytes(s[at + 3 : at + 5], "big") & 0x0FFF)
+    none = {"pid": None, "stream_type": None} | _stream(np.empty((0, PACKET), np.uint8))
+    return whole | (streams[0] if streams else none) | {"streams": streams}
+
+
 def features(got: dict) -> str:
     """What the stored stream says: units, random-access points, times, and level and spread of its 8-bit samples."""
     samples = np.frombuffer(got["payload"], np.uint8)
@@ -236,13 +269,17 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def parse(media: DataFrame, column: str = "media") -> DataFrame:
-    """`media` with payload, pts and access_points (arrays), gaps, skipped and feature read from the stored bytes; a null stream gives an empty payload."""
+    """`media` with payload, pts and access_points (arrays), gaps, damaged, skipped, n_streams and feature read from the stored bytes.
+
+    They are those of the first elementary stream; `demux` gives all. A null stream gives an empty payload; columns of these names are replaced.
+    """
+    has_columns(media, column)
     tune(media.sparkSession)
-    new = ("payload", "pts", "access_points", "gaps", "skipped", "feature")
+    new = ("payload", "pts", "access_points", "gaps", "damaged", "skipped", "n_streams", "feature")
     rest = [c for c in media.columns if c not in new]
     inputs = media.select(*[media[c] for c in rest])
     at = rest.index(column)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", payload binary, pts array<long>, access_points array<long>, gaps long, skipped long, feature string"
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", payload binary, pts array<long>, access_points array<long>, gaps long, damaged array<long>, skipped long, n_streams long, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +289,9 @@ def parse(media: DataFrame, column: str = "media") -> DataFrame:
                 pa.array([g["pts"].tolist() for g in got], pa.list_(pa.int64())),
                 pa.array([g["access"].tolist() for g in got], pa.list_(pa.int64())),
                 pa.array([g["gaps"] for g in got], pa.int64()),
+                pa.array([g["damaged"] for g in got], pa.list_(pa.int64())),
                 pa.array([g["skipped"] for g in got], pa.int64()),
+                pa.array([len(g["streams"]) for g in got], pa.int64()),
                 pa.array([features(g) for g in got], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*rest, *new])
@@ -260,22 +299,26 @@ def parse(media: DataFrame, column: str = "media") -> DataFrame:
     return inputs.mapInArrow(run, schema)
 
 
-def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(8)]
-        for text in batch.column(1).to_pylist():
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            media = mux(padded(raw))
-            got = demux(media)
-            back = got["payload"]
-            row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(got), got["gaps"])
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "gaps"])
-
-
 def media_digests(docs: DataFrame) -> DataFrame:
-    """doc_id and digests of what is stored and read back, for each row of `docs` (doc_id, text); store and parse in one worker, so that media stay there."""
-    tune(docs.sparkSession)
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, gaps and points of each row of `docs` (doc_id, text).
+
+    Media are stored as a table in the shared folder and read back from it. Defined cases: a null or empty text is one unit of padding; a null
+    doc_id stays null; equal texts have equal values; repeated rows come back repeated; other columns are ignored; an empty table gives an empty result.
+    """
+    has_columns(docs, "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_round_trip, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, gaps long")
+    stored = store(rows).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    got = parse(materialise(stored, "media"))
+    last = F.substring("payload", -32, 32)
+    return got.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(last).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "gaps",
+        F.size("access_points").cast("long").alias("points"),
+    )
