@@ -5,14 +5,15 @@ Rows of each source are shuffled by a seeded key and ranked; the rank r of n is
 into equal runs of rows gives shards that all match the mixture (each source within one row or so of its share).
 
 No window spans a source: rows are dealt to buckets by the leading bits of their key, buckets are
-counted and summed up per source (a small table), and only rows of one bucket are
+counted and summed up per source (a small table, in blocks of buckets), and only rows of one bucket are
 ranked together. The same is done for the order of all rows, over buckets of the fraction. So a source
-that holds a third of all rows is split over as many tasks as it fills buckets.
+that holds a third of all rows is split over as many tasks as it fills buckets. Rows that repeat have one key: they are counted
+first, ranked as one, and take that many ranks in a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.llm.common import has_columns, materialise, unsigned_crc32
@@ -22,12 +23,18 @@ BUCKET_ROWS = 5_000
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
 PHASES = 1024
+#: Buckets whose sums are added up in one task.
+BLOCK_BUCKETS = 4_096
 
 
-def _prefix(counts: DataFrame, by: list[str], bucket: str, count: str) -> Column:
-    """Rows in earlier buckets."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return F.coalesce(F.sum(count).over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def _with_before(counts: DataFrame, by: list[str], bucket: str, count: str) -> DataFrame:
+    """`counts` with `before`: rows in earlier buckets, by blocks of buckets first, so that no window holds all of them."""
+    blocks = counts.withColumn("_block", F.expr(f"{bucket} div {BLOCK_BUCKETS}"))
+    earlier = lambda w, order, c: F.coalesce(F.sum(c).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = blocks.groupBy(*by, "_block").agg(F.sum(count).alias("_sum"))
+    sums = sums.select(*by, "_block", earlier(Window.partitionBy(*(by or [F.lit(0)])), "_block", "_sum").alias("_base"))
+    inside = earlier(Window.partitionBy(*by, "_block"), bucket, count)
+    return blocks.join(sums, [*by, "_block"]).withColumn("before", F.col("_base") + inside).drop("_block", "_base")
 
 
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, source: str = "source") -> DataFrame:
@@ -47,21 +54,28 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, source: str =
         (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         unsigned_crc32(text).alias("text_crc32"),
     ).withColumn("h", F.xxhash64(F.lit(seed), "stratum", "doc_id", "text_crc32", "size"))
-    rows = materialise(rows, "rows")
-    total = rows.count()
+    key = ["doc_id", "stratum", "size", "text_crc32", "h"]
+    rows = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")), "rows")
+    total, most = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
     buckets = max(1, -(-total // BUCKET_ROWS))
     rows = rows.withColumn("b", F.pmod(F.shiftrightunsigned("h", 33), F.lit(buckets)))
-    counts = rows.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.select("stratum", "b", _prefix(counts, ["stratum"], "b", "c").alias("before"), F.sum("c").over(Window.partitionBy("stratum")).alias("n"))
-    ranked = rows.join(counts, ["stratum", "b"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "text_crc32", "size")))
+    counts = rows.groupBy("stratum", "b").agg(F.sum("copies").alias("c"))
+    sources = counts.groupBy("stratum").agg(F.sum("c").alias("n"))
+    counts = _with_before(counts, ["stratum"], "b", "c").join(sources, "stratum").drop("c")
+    earlier = F.sum("copies").over(Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("copies")
+    ranked = rows.join(counts, ["stratum", "b"]).withColumn("first", F.col("before") + earlier)
+    # copies take ranks in a row; a row of very many is cut into blocks, which are dealt out before they are expanded
+    ranked = ranked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(BUCKET_ROWS).cast("long"))))
+    if most > BUCKET_ROWS:
+        ranked = ranked.repartition("h", "block")
+    ranked = ranked.withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + (BUCKET_ROWS - 1), F.col("copies") - 1)))).withColumn("r", F.col("first") + 1 + F.col("copy"))
     # a seeded phase for each source, so that sources of equal size do not come in step
     phase = F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(PHASES - 1)) + 1
     above = F.col("r") * PHASES - phase
     ranked = ranked.withColumns({"above": above, "below": F.col("n") * PHASES})
     ranked = ranked.select("doc_id", "stratum", "size", "text_crc32", "h", (F.col("above") / F.col("below")).alias("f"), F.expr(f"(above * {buckets}) div below").alias("g"))
     ranked = materialise(ranked, "ranked")
-    heads = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    heads = heads.select("g", _prefix(heads, [], "g", "c").alias("before"))
+    heads = _with_before(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c")), [], "g", "c").select("g", "before")
     order = Window.partitionBy("g").orderBy("f", "stratum", "h", "doc_id", "text_crc32", "size")
     placed = ranked.join(heads, "g").withColumn("place", F.col("before") + F.row_number().over(order) - 1)
     shard = F.expr(f"place * {shards} div {max(total, 1)}")
