@@ -55,9 +55,13 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), sha1_base32(html).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.max("page_id").alias("response")).where("c > 1").select("digest", "response")
     groups = materialise(groups, "groups")  # small or large, it is written once and counted from its footers
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     other = F.when((F.col("response") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("response").isNotNull()), F.col("response"))
-    return rows.join(groups, "digest", "left").withColumn("refers_to", other).drop("response")
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), "digest", "left").withColumn("refers_to", other).drop("response")
+    # payloads are not dealt by digest, as one may be that of a third of all pages: ids and digests are, in a join that adaptive execution can split
+    ids = materialise(rows.select("page_id", "digest"), "ids")
+    marks = ids.join(groups, "digest").withColumn("refers_to", other).where("refers_to IS NOT NULL").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    return rows.join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
 
 
 def _clean(c: Column) -> Column:
@@ -138,12 +142,13 @@ class WarcReader(DataSourceReader):
         name = lambda i: i.path.rsplit("/", 1)[-1]
         files = [i for i in found if i.is_file and i.size and name(i)[0] not in "._"]
         prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
-        return [WarcFile(prefix + i.path) for i in sorted(files, key=lambda i: -i.size)]
+        # Spark reads one partition at least
+        return [WarcFile(prefix + i.path) for i in sorted(files, key=lambda i: -i.size)] or [WarcFile("")]
 
     def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for row in read_records(partition.path, self.types, self.headers, self.payload):
+        for row in read_records(partition.path, self.types, self.headers, self.payload) if partition.path else ():
             rows.append(row)
             held += len(row[8] or "")
             if len(rows) >= 2000 or held > 8 << 20:
@@ -163,7 +168,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_records(path: str, types: set[str] | None = None, headers: list[tuple[str, set[str]]] | tuple = (), payload: str = "full") -> Iterator[tuple]:
     """Records of one archive (plain or gzip members) as tuples of the source's columns."""
     fs, local = _fs(path)
-    with fs.open_input_stream(local, compression=None, buffer_size=1 << 20) as raw:
+    with fs.open_input_file(local) as raw:
         f = io.BufferedReader(raw, 1 << 20)
         if f.peek(2)[:2] == b"\x1f\x8b":
             f = io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20)
@@ -202,11 +207,9 @@ def read_records(path: str, types: set[str] | None = None, headers: list[tuple[s
 
 
 def _skip(f: io.BufferedReader, size: int) -> None:
-    while size > 0:
-        got = len(f.read(min(size, 1 << 20)))
-        if not got:
-            return
-        size -= got
+    """Past a payload: by seeking where it is not in the buffer, which a plain file does without reading."""
+    if size > 0:
+        f.seek(size, io.SEEK_CUR)
 
 
 class WarcSource(DataSource):
@@ -224,16 +227,27 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
-    """Records of the archives under `path`. Filters on record_type, record_id, target_uri, payload_digest and page_id are pushed into the reader."""
+    """Records of the archives under `path`, of which there may be none. Filters on record_type, record_id, target_uri, payload_digest and page_id are pushed into the reader.
+
+    Turns on the session's switch for pushdown into Python data sources, which is read when the query is planned.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", payload).load(path)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and digest_ok of each row of `pages`, written and read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and digest_ok of each row of `pages` (page_id, url, html), written and read back.
+
+    Two scans, each of which skips the other's records by their headers: payloads of responses are read and hold their digests, or the query ends
+    with an error; those of revisits are not. Defined cases: a null html is an empty payload; a null url leaves its header out; a null page_id stays
+    null; repeated rows come back repeated, with the response's page_id all as responses; other columns are ignored; no pages give no rows.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    rows = read_warc(spark, path, "verify").where(F.col("record_type").isin("response", "revisit"))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok"]
+    broken = F.raise_error(F.concat(F.lit("payload and digest differ in "), "source_file", F.lit(" at "), F.col("source_offset").cast("string"))).cast("string")
+    responses = read_warc(spark, path, "verify").where("record_type = 'response'").withColumn("payload_digest", F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(broken))
+    revisits = read_warc(spark, path, "none").where("record_type = 'revisit'")
+    return responses.select(*columns).unionByName(revisits.select(*columns))
