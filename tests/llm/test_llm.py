@@ -56,7 +56,7 @@ def test_odd_and_empty_tables(spark, odd, empty):
         assert decontam.leaks(table, bench).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert chat.chat_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-    assert warc.plan_records(pages).count() == 0
+    assert warc.plan_records(pages).count() == 0 and warc.warc_round_trip(pages).count() == 0
 
 
 def brute_components(rows):
@@ -248,19 +248,71 @@ def test_chat_digests(spark):
 
 
 def test_toxicity_clauses():
-    s = toxicity.Scorer([("idiot", False, 1.0)])
-    plain, negated, said, aimed = (s.clauses(t)[0] for t in ("an idiot came", "not an idiot", "one said idiot", "you idiot"))
-    assert negated < plain and said < plain < aimed
+    s = toxicity.Scorer([("idiot", False, 1.0, False), ("splat", True, 1.0, True)])
+    score = lambda t: s.clauses(t)[0]
+    plain = score("an idiot came")
+    assert score("not an idiot") < plain and score("one said idiot") < plain < score("you idiot")
+    assert score("idiot, you came") == score("you idiot") and score("he said idiot") < plain and score('"idiot" he said') < plain
+    assert score("you aren't an idiot") == score("you aren\u2019t an idiot") < score("you idiot")
+    assert score("kill the cat") < score("I will kill you") == score("you will be killed") == score("he kills you")
+    assert score("I will splat you") == 1.0 and score("splat the cat") == 0.5
     assert s.clauses("preidiot. fine") == [] and s.clauses(None) == []
 
 
+def plain_score(scorer, text):
+    """The grammar clause by clause, as rules that look at all of a clause's symbols."""
+    out = []
+    for clause in toxicity.CLAUSE.split(toxicity.lowered(text)):
+        line = [scorer.symbol(w) for w in toxicity.WORD.findall(clause)]
+        kinds = [k for k, _ in line]
+        total = 0.0
+        for i, (k, x) in enumerate(line):
+            if k not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            w = 1.0 if k == toxicity.INSULT else 0.5
+            since = max([j for j in range(i) if kinds[j] in (toxicity.INSULT, toxicity.THREAT)], default=-1)
+            if any(kinds[j] == toxicity.NEGATION for j in range(max(since + 1, i - 3), i)):
+                w -= 0.5
+            if toxicity.REPORT in kinds[:i]:
+                w -= 0.25
+            last_report = max([j for j in range(i) if kinds[j] == toxicity.REPORT], default=-1)
+            if toxicity.TARGET in kinds[last_report + 1 : i]:
+                w += 0.25 if k == toxicity.INSULT else 0.5
+            total += w * x
+        # what comes after a hit: a target or a verb of speech, before the next hit
+        for i, (k, _) in enumerate(line):
+            if k not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            after = [j for j in range(i + 1, len(line)) if kinds[j] in (toxicity.INSULT, toxicity.THREAT, toxicity.REPORT)]
+            end = after[0] if after else len(line)
+            if end < len(line) and kinds[end] == toxicity.REPORT and toxicity.REPORT not in kinds[:i]:
+                total -= 0.25
+            last_report = max([j for j in range(i) if kinds[j] == toxicity.REPORT], default=-1)
+            if toxicity.TARGET not in kinds[last_report + 1 : i] and toxicity.TARGET in kinds[i:end]:
+                j = kinds.index(toxicity.TARGET, i)
+                speaker = kinds[j + 1 : j + 2] == [toxicity.REPORT]
+                total += 0.0 if speaker else 0.25 if k == toxicity.INSULT else 0.5
+        if set(kinds) & {toxicity.INSULT, toxicity.THREAT}:
+            out.append(total)
+    return out
+
+
+def test_composed_grammar_is_the_rules():
+    rng = random.Random(9)
+    scorer = toxicity.Scorer([("idiot", False, 1.0, False), ("zapp", False, 0.5, False)])
+    words = ["you", "he", "idiot", "idiotic", "zapper", "kill", "killed", "not", "isn’t", "said", "wrote", "a", "cat", "came", "."]
+    for _ in range(3000):
+        text = " ".join(rng.choices(words, k=rng.randrange(1, 14)))
+        assert scorer.clauses(text) == pytest.approx(plain_score(scorer, text)), text
+
+
 def test_held_out_accuracy(spark):
     got = queries.op1_toxicity(spark, "/root/testdata/sf0.1").toPandas().merge(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas(), on="doc_id")
     test = got[got.held_out]
     assert (test[test.toxic == 0].predicted == 0).mean() > 0.98 and (test[test.toxic == 1].predicted == 1).mean() > 0.8
     q = queries.op7_quality(spark, "/root/testdata/sf0.1").toPandas().merge(got[["doc_id", "quality", "held_out"]], on="doc_id")
     q = q[q.held_out]
-    assert q[q.quality == 1].kept.mean() > 0.98 and q[q.quality == 0].kept.mean() < 0.4
+    assert q[q.quality == 1].kept.mean() > 0.98 and q[q.quality == 0].kept.mean() < 0.1
 
 
 def test_leaks(spark):
