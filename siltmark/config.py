@@ -10,6 +10,7 @@ TRUE_SPELLINGS = ("true", "t", "yes", "y", "1", "1.0")
 FALSE_SPELLINGS = ("false", "f", "no", "n", "0", "0.0")
 EMAIL = r"^[^@\s]+@[^@\s]+$"
 KNOWN_PATTERNS = {
+    # inside of the class, the two backslashes admit a backslash and an s, not white space: kept, as it defines results
     "phone_intl": r"^\+\d{1,3}[-.\\s]?\d{1,14}$",
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
     "date_iso": r"^\d{4}-\d{2}-\d{2}$",
@@ -21,13 +22,16 @@ SINGAPORE_PATTERNS = {"phone_sg": r"^[689]\d{7}$", "nric_sg": r"^[STFGM]\d{7}[A-
 SUSPICIOUS = (r"^0{3,}$", r"^1{3,}$", r"^9{3,}$", r"^x{3,}", r"^dummy")
 DESCRIPTIVE_PREFIXES = ("billing", "shipping", "mailing", "home", "work", "customer", "supplier", "vendor", "contact", "delivery", "invoice")
 DESCRIPTIVE_TERMS = (
-    "name firstname lastname fullname address street city state province region country postalcode postcode zipcode zip phone mobile fax email title description comment notes"
-).split()
-HIERARCHY_TERMS = "reportsto manager managerid parent parentid supervisor supervisorid boss lead owner ownerid".split()
-ASSIGNMENT_PARENTS = "employee staff person people user agent representative rep accountmanager".split()
-ASSIGNMENT_KEYS = "rep representative agent staff employee salesperson owner manager assignee".split()
+    "name", "firstname", "lastname", "fullname", "address", "street", "city", "state", "province", "region", "country", "postalcode", "postcode", "zipcode", "zip",
+    "phone", "mobile", "fax", "email", "title", "description", "comment", "notes",
+)
+HIERARCHY_TERMS = ("reportsto", "manager", "managerid", "parent", "parentid", "supervisor", "supervisorid", "boss", "lead", "owner", "ownerid")
+ASSIGNMENT_PARENTS = ("employee", "staff", "person", "people", "user", "agent", "representative", "rep", "accountmanager")
+ASSIGNMENT_KEYS = ("rep", "representative", "agent", "staff", "employee", "salesperson", "owner", "manager", "assignee")
 ID_TOKENS = ("id", "key", "identifier", "uuid", "ssn")
-OWNER_NAMES = "reportsto manager managerid parent parentid supervisor supervisorid owner ownerid".split()
+#: Names of identifiers that hold a separator, and so are no token.
+ID_PHRASES = ("soc_sec",)
+OWNER_NAMES = ("reportsto", "manager", "managerid", "parent", "parentid", "supervisor", "supervisorid", "owner", "ownerid")
 NA_TOKENS = ("", "#N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 

@@ -17,7 +17,7 @@ from siltmark.config import DEFAULT, FALSE_SPELLINGS, TRUE_SPELLINGS, Config
 from siltmark.functions import canon
 from siltmark.operators import detectors
 from siltmark.operators.profile import column_types, fingerprints
-from siltmark.operators.relations import id_like
+from siltmark.operators.names import is_identifier
 from siltmark.operators.rules import Rule
 
 CODE_SHARE = 0.5
@@ -240,7 +240,7 @@ def offline_rules(columns: Iterable[dict]) -> list[Rule]:
     out = []
     for c in columns:
         name = c["column"]
-        if id_like(name) or c.get("missing_count"):
+        if is_identifier(name) or c.get("missing_count"):
             out.append(Rule("", "not_null", name, {}, f"{name} must be filled"))
         values = c.get("permissible")
         if values and c.get("storage_type") == "string" and len(values) <= ENUMERATION_VALUES:

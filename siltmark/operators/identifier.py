@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.config import DESCRIPTIVE_PREFIXES, DESCRIPTIVE_TERMS, ID_TOKENS
-from siltmark.operators.relations import norm
+from siltmark.operators import names
 
-SEQUENCE_NAMES = ("sn", "sno", "seq", "sequence", "rowno", "recordno")
 LEAST_UNIQUENESS = 0.9
 
 
-def name_rank(column: str) -> int:
-    """100 for a token such as id, 90 for an ending, 70 for a number (10 where the name describes a person or place), 60 for a sequence."""
-    tokens = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", column).lower()))
-    n = norm(column)
-    if tokens & set(ID_TOKENS):
-        return 100
-    if n.endswith(ID_TOKENS):
-        return 90
-    if n.endswith(("no", "number")) or "serial" in n:
-        return 10 if any(d in n for d in (*DESCRIPTIVE_TERMS, *DESCRIPTIVE_PREFIXES)) else 70
-    return 60 if n in SEQUENCE_NAMES else 0
-
-
 def identifier_candidates(vh: DataFrame) -> DataFrame:
-    """table, column, uniqueness and avg_len of each column that has values."""
+    """table, column, rank of the name, uniqueness and avg_len of each column that has values."""
     v = vh.where("value IS NOT NULL")
-    return v.groupBy("table", "column").agg((F.count(F.lit(1)) / F.sum("cnt")).alias("uniqueness"), (F.sum(F.char_length("value") * F.col("cnt")) / F.sum("cnt")).alias("avg_len"))
-
-
-def record_identifiers(vh: DataFrame) -> dict[str, str]:
-    """The identifier of each table that has one; candidates are rows of metadata size, ranked here. Ties go by name."""
-    best: dict[str, tuple] = {}
-    for r in identifier_candidates(vh).collect():
-        rank = name_rank(r["column"])
-        if rank or r["uniqueness"] >= LEAST_UNIQUENESS:
-            key = (-rank, -r["uniqueness"], r["avg_len"], r["column"])
-            best[r["table"]] = min(key, best.get(r["table"], key))
-    return {t: k[-1] for t, k in best.items()}
+    found = v.groupBy("table", "column").agg((F.count(F.lit(1)) / F.sum("cnt")).alias("uniqueness"), (F.sum(F.char_length("value") * F.col("cnt")) / F.sum("cnt")).alias("avg_len"))
+    return names.record_rank(found)
+
+
+def record_identifiers(vh: DataFrame) -> DataFrame:
+    """table, column: the identifier of each table that has one, by rank, uniqueness and length. Ties go by name. One row for each column is ranked."""
+    able = identifier_candidates(vh).where((F.col("rank") > 0) | (F.col("uniqueness") >= LEAST_UNIQUENESS))
+    w = Window.partitionBy("table").orderBy(F.desc("rank"), F.desc("uniqueness"), "avg_len", "column")
+    return able.withColumn("place", F.row_number().over(w)).where("place = 1").select("table", "column")

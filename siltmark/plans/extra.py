@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENS = ", ".join(f"'{t}'" for t in C.PLACEHOLDERS)
 #: Columns compared by their values and k-grams.
 ALIKE = {"customer": ["c_name", "c_mktsegment", "c_nationkey"], "part": ["p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderpriority"], "nation": ["n_nationkey", "n_name"], "supplier": ["s_nationkey"]}
+#: Columns of which one names the rows of each table.
+IDENTIFIERS = ALIKE | {"orders": ["o_orderkey", "o_orderpriority"], "documents": ["doc_id", "source", "lang"], "labels": ["quality", "toxic"], "conversations": ["turn", "role", "conv_id"]}
 #: A small dirty table: every column has values that pass, values that fail, and gaps. Fixed values.
 DIRTY_COLUMNS = "id int, email string, code string, day string, start string, stop string, flag string, amount string, nric string, dob string, phone string, num string"
 DIRTY = [
@@ -51,6 +53,11 @@ def _rows_sql(columns: dict[str, list[str]]) -> str:
     return " UNION ALL ".join(f'SELECT \'{t}\' AS "table", \'{c}\' AS "column", CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL' for t, cs in columns.items() for c in cs)
 
 
+RANKED_SQL = f"""WITH r AS ({_rows_sql(IDENTIFIERS)}), u AS (SELECT "table", "column", round(count(DISTINCT value) / count(*), 6) AS uniqueness, round(avg(length(value)), 6) AS avg_len FROM r GROUP BY 1, 2),
+    k AS (SELECT *, CAST(CASE WHEN list_has_any(string_split_regex(lower("column"), '[^a-z0-9]+'), ['id', 'key', 'identifier', 'uuid', 'ssn']) THEN 100 WHEN regexp_matches(replace("column", '_', ''), '(id|key|identifier|uuid|ssn|socsec)$') THEN 90
+      WHEN regexp_matches(replace("column", '_', ''), '(no|number)$|serial') THEN 70 WHEN replace("column", '_', '') IN ('sn', 'seq') THEN 60 ELSE 0 END AS BIGINT) AS rank FROM u)"""
+
+
 def _alike_sql(k: int) -> str:
     value = f"v AS (SELECT DISTINCT \"table\" t, \"column\" c, trim(regexp_replace(regexp_replace(lower(value), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) x FROM r), w AS (SELECT * FROM v WHERE x <> '' AND x NOT IN ({TOKENS}))"
     tokens = f"g AS (SELECT DISTINCT t, c, substr(x, CAST(i AS BIGINT), {k}) x FROM (SELECT *, unnest(range(1, greatest(length(x) - {k - 1}, 1) + 1)) i FROM w))" if k else "g AS (SELECT * FROM w)"
@@ -117,8 +124,12 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
             SELECT "table", "column", k AS digits, round(q, 6) AS share FROM s WHERE g AND q >= 0.5""",
         ),
         "w3_identifier_candidates": (
-            lambda s, d: _rounded(identifier.identifier_candidates(_vh(s, d, ALIKE)), 6, "uniqueness", "avg_len"),
-            f'WITH r AS ({_rows_sql(ALIKE)}) SELECT "table", "column", round(count(DISTINCT value) / count(*), 6) AS uniqueness, round(avg(length(value)), 6) AS avg_len FROM r GROUP BY 1, 2',
+            lambda s, d: _rounded(longs(identifier.identifier_candidates(_vh(s, d, IDENTIFIERS)), "rank"), 6, "uniqueness", "avg_len"),
+            f"""{RANKED_SQL} SELECT "table", "column", uniqueness, avg_len, rank FROM k""",
+        ),
+        "t5_record_identifiers": (
+            lambda s, d: identifier.record_identifiers(_vh(s, d, IDENTIFIERS)),
+            f"""{RANKED_SQL} SELECT "table", "column" FROM (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY rank DESC, uniqueness DESC, avg_len, "column") AS place FROM k WHERE rank > 0 OR uniqueness >= 0.9) WHERE place = 1""",
         ),
         "m5_suspicious_values": (
             lambda s, d: facts.suspicious_values(_vh(s, d, {"orders": ["o_orderkey"]})),

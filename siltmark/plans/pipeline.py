@@ -54,13 +54,13 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
     try:
         found = facts.column_facts(vh, config)
         columns = [(t, c) for t, df in tables.items() for c in df.columns]
-        paths = [r.asDict() for r in relations.join_paths(vh, spark, columns, config).collect()]
+        paths = [r.asDict() for r in relations.join_paths(vh, spark, columns, config, sketches.column_kinds(vh)).collect()]
         codes = {(r["table"], r["column"]): r["digits"] for r in generate.code_formats(vh).collect()}
         keys = {(r["table"], r["column"]) for r in sketches.column_kinds(vh).where("kind = 'key_like'").collect()}
         truth: dict[tuple[str, str], dict[bool, str]] = {}
         for r in generate.truth_spellings(vh).collect():
             truth.setdefault((r["table"], r["column"]), {})[r["truth"]] = r["value"]
-        ids = record_identifiers(vh)
+        ids = {r["table"]: r["column"] for r in record_identifiers(vh).collect()}
         out = Result({}, paths, {}, {}, {})
         for t, df in tables.items():
             rows = [found[t, c] | {"storage_type": _kind(df, c, found[t, c]["storage_type"])} for c in df.columns if (t, c) in found]

@@ -13,6 +13,7 @@ from siltmark.operators import profile as P
 from siltmark.operators import relations as R
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.rules import Rule, masks, referential, rule_summary, sibling_lookup, violation_records
+from siltmark.operators.sketches import column_kinds
 from siltmark.plans import extra
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,18 +50,32 @@ def _sql_vh(columns: dict[str, list[str]]) -> str:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys and one-to-one keys."""
-    found = R.join_paths(_vh(spark, sf_dir, KEYS), spark, [(t, c) for t, cs in KEYS.items() for c in cs])
+    vh = _vh(spark, sf_dir, KEYS)
+    found = R.join_paths(vh, spark, [(t, c) for t, cs in KEYS.items() for c in cs], kinds=column_kinds(vh))
     return found.select("child", "parent", "interpretation", F.col("overlap").cast("long").alias("overlap"), F.round("coverage_a", 6).alias("coverage_a"), F.round("coverage_b", 6).alias("coverage_b"), F.round("jaccard", 6).alias("jaccard"), F.round("quality", 3).alias("quality"))
 
 
+def _names_sql(columns: list[tuple[str, str]]) -> str:
+    """Names of columns, and the pairs of them that may be compared with their scores, in DuckDB's own terms."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    any_of = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    score = """CASE WHEN {p}.f = {c}.f AND {p}.i THEN 1.0 WHEN {p}.i AND ({c}.st = {p}.e OR {c}.st = {p}.st) THEN 0.95 WHEN {c}.i AND {p}.e <> '' AND contains({c}.st, {p}.e) THEN 0.9
+      WHEN {p}.e = {c}.e AND ({p}.h OR {c}.h) THEN 0.95 WHEN {p}.pe AND {c}.w THEN 0.85 ELSE 0.0 END"""
+    return f"""names(n, t, c) AS (VALUES {", ".join(f"({i}, '{t}', '{c}')" for i, (t, c) in enumerate(columns))}),
+    fl AS (SELECT *, regexp_replace(lower(c), '[^a-z0-9]', '', 'g') f, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') ft FROM names),
+    nm AS (SELECT *, CASE WHEN ft LIKE '%s' AND length(ft) > 3 THEN ft[:-2] ELSE ft END e, CASE WHEN f LIKE '_%identifier' THEN f[:-11] WHEN f LIKE '_%id' THEN f[:-3] WHEN f LIKE '_%key' THEN f[:-4] ELSE f END st,
+      f LIKE '%id' OR f LIKE '%key' OR f LIKE '%identifier%' OR f IN ({quoted(C.OWNER_NAMES)}) OR list_has_any(string_split_regex(lower(c), '[^a-z0-9]+'), [{quoted(C.ID_TOKENS)}]) i,
+      regexp_replace(f, '^({"|".join(C.DESCRIPTIVE_PREFIXES)})+(.)', '\\2') ba, {any_of("f", C.HIERARCHY_TERMS)} h, {any_of("f", C.ASSIGNMENT_KEYS)} w FROM fl),
+    nn AS (SELECT *, e IN ({quoted(C.ASSIGNMENT_PARENTS)}) pe, ba IN ({quoted(C.DESCRIPTIVE_TERMS)}) de FROM nm),
+    pp AS (SELECT a.t ta, a.c ca, b.t tb, b.c cb, {score.format(p="a", c="b")} sa, {score.format(p="b", c="a")} sb, a.i ia, b.i ib, a.ba = b.ba AND a.de sh, a.f = b.f same, a.f fa, b.f fb, a.e = b.e AND (a.h OR b.h) hier FROM nn a JOIN nn b ON a.n < b.n),
+    p AS (SELECT * FROM pp WHERE CASE WHEN ta = tb THEN hier ELSE same OR (fa = 'id' AND ib) OR (fb = 'id' AND ia) OR sh OR greatest(sa, sb) >= 0.65 END)"""
+
+
 def _flagship_sql() -> str:
     columns = [(t, c) for t, cs in KEYS.items() for c in cs]
-    pairs = [(*a, *b, R.name_score(a, b), R.name_score(b, a), R.id_like(a[1]), R.id_like(b[1]), R.shared_domain(a[1], b[1]), R.norm(a[1]) == R.norm(b[1])) for i, a in enumerate(columns) for b in columns[i + 1 :] if R.gate(a, b)]
-    values = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in p) + ")" for p in pairs)
     return f"""
-    WITH vh AS ({_sql_vh(KEYS)}), v AS (SELECT "table" t, "column" c, value k, cnt FROM vh WHERE value IS NOT NULL),
+    WITH vh AS ({_sql_vh(KEYS)}), v AS (SELECT "table" t, "column" c, value k, cnt FROM vh WHERE value IS NOT NULL), {_names_sql(columns)},
     s AS (SELECT t, c, count(*) d, sum(cnt) n FROM v GROUP BY 1, 2),
-    p(ta, ca, tb, cb, sa, sb, ia, ib, sh, same) AS (VALUES {values}),
     o AS (SELECT p.*, x.overlap, a.d da, b.d db, x.overlap / a.d cova, x.overlap / b.d covb, a.d / a.n ua, b.d / b.n ub FROM p
       JOIN (SELECT v1.t ta, v1.c ca, v2.t tb, v2.c cb, count(*) overlap FROM v v1 JOIN v v2 ON v1.k = v2.k GROUP BY 1, 2, 3, 4) x USING (ta, ca, tb, cb)
       JOIN s a ON a.t = ta AND a.c = ca JOIN s b ON b.t = tb AND b.c = cb WHERE a.d >= 2 AND b.d >= 2),

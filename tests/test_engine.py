@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltmark.functions import canon
-from siltmark.operators import detectors, profile, relations
+from siltmark.operators import detectors, names, profile, relations
 from siltmark.operators.histogram import value_histogram
 from siltmark.operators.rules import Rule, Unsupported, compile_expression, compile_rule, masks, referential, sibling_lookup
 from siltmark.plans import registry
@@ -114,11 +114,16 @@ def test_detectors(spark):
     assert profile.column_types(vh(["1", "2.0"])).first().storage_type == "int64"
 
 
-def test_names():
-    assert relations.gate(("orders", "customer_id"), ("customers", "id"))
-    assert not relations.gate(("orders", "o_custkey"), ("customer", "c_custkey"))
-    assert relations.shared_domain("BillingCity", "City")
-    assert relations.hierarchy(("employees", "reports_to"), ("employees", "employee_id"))
+def test_names(spark):
+    cols = [("orders", "customer_id"), ("customers", "id"), ("orders", "o_custkey"), ("customer", "c_custkey"), ("invoice", "BillingCity"), ("address", "City"), ("employees", "reports_to"), ("employees", "employee_id"), ("employees", "staff_rep"), ("staffing", "code"), ("staff", "nr"), ("id_card", "soc_sec_id")]
+    got = {(r.column_a, r.column_b): r for r in names.pairs(spark, cols).collect()}
+    assert ("customer_id", "id") in got and ("o_custkey", "c_custkey") not in got
+    assert got["BillingCity", "City"].shared and not got["customer_id", "id"].shared
+    assert got["reports_to", "employee_id"].score_b == 0.95 and ("customer_id", "o_custkey") not in got
+    assert got["staff_rep", "nr"].score_b == 0.85 and ("staff_rep", "code") not in got  # the whole table's name, not a part of it
+    assert ("id", "soc_sec_id") in got and names.is_identifier("ID_No") and names.is_identifier("paid") and not names.is_identifier("amount")
+    ranked = names.record_rank(spark.createDataFrame([(c,) for c in ("soc_sec", "userId", "grid", "PhoneNo", "SerialCode", "S_N", "amount")], "column string"))
+    assert {r.column: r["rank"] for r in ranked.collect()} == {"soc_sec": 90, "userId": 100, "grid": 90, "PhoneNo": 10, "SerialCode": 70, "S_N": 60, "amount": 0}
 
 
 def test_sources(spark, tmp_path):
