@@ -34,8 +34,10 @@ def try_number(c: Column) -> Column:
 
 
 def try_date(c: Column, formats: tuple[str, ...] = DEFAULT.date_formats) -> Column:
-    """A timestamp by the first format that fits, or null."""
-    return F.coalesce(*[F.try_to_timestamp(strip(c), F.lit(f)) for f in formats])
+    """A timestamp by the first format that fits, or null. Years have four digits: signs and long runs of digits are no dates, and would overflow the reader of a format."""
+    s = strip(c)
+    able = F.when(~s.rlike(r"^[+-]|\d{5}") | s.rlike(r"^\d{8}$"), s)
+    return F.coalesce(*[F.try_to_timestamp(able, F.lit(f)) for f in formats])
 
 
 def text(c: Column, kind: T.DataType) -> Column:

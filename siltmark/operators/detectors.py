@@ -2,34 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import DEFAULT, EMAIL, FALSE_SPELLINGS, PLACEHOLDERS, TRUE_SPELLINGS, Config
 from siltmark.functions import canon
+from siltmark.operators.quantiles import quantiles
+
+#: Values that fences need, and below how many they are tighter.
+LEAST_VALUES, FEW_VALUES, FEW_MULTIPLIER = 10, 100, 1.5
+
+
+@dataclass(frozen=True)
+class Fences:
+    """Quartiles of n values, and the bounds of what is expected."""
+
+    n: int
+    q1: float
+    q3: float
+
+    @property
+    def multiplier(self) -> float:
+        return FEW_MULTIPLIER if self.n < FEW_VALUES else DEFAULT.outlier_multiplier
+
+    @property
+    def lower(self) -> float:
+        return self.q1 - self.multiplier * (self.q3 - self.q1)
+
+    @property
+    def upper(self) -> float:
+        return self.q3 + self.multiplier * (self.q3 - self.q1)
+
+
+def fences(df: DataFrame, columns: list[str]) -> dict[str, Fences]:
+    """2 IQR beyond the quartiles, 1.5 below 100 values, of all columns together; none below 10 values or without spread."""
+    read = {c: canon.try_number(canon.text(df[c], df.schema[c].dataType)) for c in columns}
+    found = quantiles(df, read, [0.25, 0.75]) if columns else {}
+    return {c: Fences(n, *q) for c, (n, q) in found.items() if n >= LEAST_VALUES and q[1] > q[0]}
 
 
 def iqr_fences(df: DataFrame, column: str) -> DataFrame:
-    """Quartiles and fences: 2 IQR beyond the quartiles, 1.5 below 100 values; none below 10 values or without spread."""
-    x = F.col(column).cast("double")
-    a = df.where(x.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"))
-    m = F.when(F.col("n") < 100, 1.5).otherwise(2.0)
-    a = a.where((F.col("n") >= 10) & (F.col("q3") > F.col("q1")))
-    return a.select(F.lit(column).alias("column"), "n", "q1", "q3", (F.col("q1") - m * (F.col("q3") - F.col("q1"))).alias("lower_fence"), (F.col("q3") + m * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
+    """The fences of a column as a row: column, n, q1, q3, lower_fence, upper_fence; no row where there are none."""
+    rows = [(c, f.n, f.q1, f.q3, f.lower, f.upper) for c, f in fences(df, [column]).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, n long, q1 double, q3 double, lower_fence double, upper_fence double")
 
 
 def iqr_outliers(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Rows beyond the fences; the fences are one row."""
-    fences = F.broadcast(iqr_fences(df, column).select("lower_fence", "upper_fence"))
+    """Rows beyond the fences: a filter against two numbers."""
+    f = fences(df, [column]).get(column)
     x = F.col(column).cast("double")
-    side = F.when(x > F.col("upper_fence"), "high").when(x < F.col("lower_fence"), "low")
-    return df.join(fences).withColumn("side", side).where(F.col("side").isNotNull()).select(*keys, column, "side")
+    side = F.when(x > f.upper, "high").when(x < f.lower, "low") if f else F.lit(None).cast("string")
+    return df.withColumn("side", side).where(F.col("side").isNotNull()).select(*keys, column, "side")
+
+
+def all_sentinels(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """column, side, value, cnt, share: values that make up 80 % or more of a column's outliers on one side, of all columns with bounds (lower, upper) in one aggregation."""
+    parts = []
+    for c, (low, high) in bounds.items():
+        x = canon.try_number(canon.text(df[c], df.schema[c].dataType))
+        side = F.when(x > high, "high").when(x < low, "low")
+        parts.append(F.when(side.isNotNull(), F.struct(F.lit(c).alias("column"), side.alias("side"), x.alias("value"))))
+    empty = F.array().cast("array<struct<column:string,side:string,value:double>>")
+    by = df.select(F.explode(F.array_compact(F.array(*parts)) if parts else empty).alias("o")).groupBy("o.column", "o.side", "o.value").agg(F.count(F.lit(1)).alias("cnt"))
+    sides = by.groupBy("column", "side").agg(F.sum("cnt").alias("total"))
+    return by.join(sides, ["column", "side"]).withColumn("share", F.col("cnt") / F.col("total")).where("share >= 0.8").drop("total")
 
 
 def sentinels(df: DataFrame, column: str) -> DataFrame:
     """Values that make up 80 % or more of the outliers on one side."""
-    by = iqr_outliers(df, column, []).groupBy("side", F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    return by.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("side"))).where("share >= 0.8")
+    return all_sentinels(df, {c: (f.lower, f.upper) for c, f in fences(df, [column]).items()}).drop("column")
 
 
 def sign_anomalies(df: DataFrame, column: str) -> DataFrame:
@@ -44,13 +87,17 @@ def numeric_outliers(df: DataFrame, column: str, config: Config = DEFAULT) -> Da
     """Distinct outliers: by extreme quantiles where values are skewed or few, by z-score else."""
     x = F.col(column).cast("double")
     rows = df.select(x.alias("value")).where("value IS NOT NULL")
-    n = F.count(F.lit(1))
-    a = rows.agg(n.alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), (F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.percentile("value", F.lit([0.001, 0.25, 0.75, 0.999])).alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[1]
-    tail = (F.abs("skew") > 1) | (F.col("n") < 100)
-    far = (F.col("value") > F.col("q")[3] + config.outlier_multiplier * iqr) | (F.col("value") < F.col("q")[0] - config.outlier_multiplier * iqr)
-    z = F.abs(F.col("value") - F.col("mean")) > config.outlier_z * F.col("std")
-    return rows.join(F.broadcast(a)).where(F.when(tail, far).otherwise(z)).select("value").distinct()
+    n, q = quantiles(df, {column: x}, [0.001, 0.25, 0.75, 0.999])[column]
+    if not n:
+        return rows.limit(0)
+    count = F.count(F.lit(1))
+    mean, std, skew = rows.agg(F.avg("value"), F.stddev_samp("value"), F.when(count > 2, F.skewness("value") * F.sqrt(count * (count - 1)) / (count - 2))).first()
+    if n < FEW_VALUES or abs(skew or 0.0) > 1:
+        reach = config.outlier_multiplier * (q[2] - q[1])
+        far = (F.col("value") > q[3] + reach) | (F.col("value") < q[0] - reach)
+    else:
+        far = F.abs(F.col("value") - mean) > config.outlier_z * std
+    return rows.where(far).distinct()
 
 
 def email_issues(vh: DataFrame) -> DataFrame:
@@ -131,8 +178,8 @@ def domain_concentration(vh: DataFrame) -> DataFrame:
     """Address columns of which one domain of several has over 80 %: table, column, domain, share."""
     v = F.col("value")
     by = vh.where(canon.is_value(v) & v.rlike(EMAIL)).groupBy("table", "column", F.substring_index(F.lower(v), "@", -1).alias("domain")).agg(F.sum("cnt").alias("cnt"))
-    w = Window.partitionBy("table", "column")
-    return by.withColumns({"share": F.col("cnt") / F.sum("cnt").over(w), "n": F.count(F.lit(1)).over(w)}).where("share > 0.8 AND n > 1").select("table", "column", "domain", "share")
+    totals = by.groupBy("table", "column").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("n"))
+    return by.join(totals, ["table", "column"]).withColumn("share", F.col("cnt") / F.col("total")).where("share > 0.8 AND n > 1").select("table", "column", "domain", "share")
 
 
 def under_age(df: DataFrame, column: str, least: int = 13) -> DataFrame:

@@ -74,18 +74,17 @@ def reference_rules(table: str, paths: Iterable[dict], rules: list[Rule]) -> lis
     return out
 
 
-def sentinel_rules(df: DataFrame, columns: list[str], rules: list[Rule]) -> list[Rule]:
-    """A check for each numeric column whose outliers are mostly one value."""
-    out = []
-    for c in columns:
-        found = sorted(r["value"] for r in detectors.sentinels(df, c).collect()) if not has(rules, "sentinel_check", c) else []
-        if found:
-            out.append(Rule("", "sentinel_check", c, {"numbers": found}, f"{c} must not hold placeholder numbers"))
-    return out
+def sentinel_rules(df: DataFrame, bounds: dict[str, tuple[float, float]], rules: list[Rule]) -> list[Rule]:
+    """A check for each column with bounds (lower, upper) whose outliers are mostly one value; one job for all."""
+    bounds = {c: b for c, b in bounds.items() if not has(rules, "sentinel_check", c)}
+    found: dict[str, list[float]] = {}
+    for r in detectors.all_sentinels(df, bounds).collect() if bounds else ():
+        found.setdefault(r["column"], []).append(r["value"])
+    return [Rule("", "sentinel_check", c, {"numbers": sorted(found[c])}, f"{c} must not hold placeholder numbers") for c in bounds if c in found]
 
 
-def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], paths: Iterable[dict] = (), numeric: Iterable[str] = (), codes: Iterable[str] = (), config: Config = DEFAULT) -> list[Rule]:
-    """`rules` with what the data themselves ask for: references, uniqueness, code formats and sentinels, numbered anew. `codes` are numeric columns meant as text."""
+def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], paths: Iterable[dict] = (), bounds: dict[str, tuple[float, float]] | None = None, codes: Iterable[str] = (), config: Config = DEFAULT) -> list[Rule]:
+    """`rules` with what the data themselves ask for: references, uniqueness, code formats and sentinels, numbered anew. `bounds` are of numeric columns, `codes` such that are meant as text."""
     mine = vh.where(F.col("table") == table)
     out = [*rules]
     out += reference_rules(table, paths, out)
@@ -96,7 +95,7 @@ def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], path
     for r in sorted(code_formats(mine).collect()):
         if r["column"] in codes and not has(out, "format", r["column"]):
             out.append(Rule("", "format", r["column"], {"regex": rf"^\d{{{r['digits']}}}$"}, f"{r['column']} must be a {r['digits']}-digit code"))
-    out += sentinel_rules(df, [c for c in numeric if c not in codes], out)
+    out += sentinel_rules(df, {c: b for c, b in (bounds or {}).items() if c not in codes}, out)
     return renumber(out)
 
 

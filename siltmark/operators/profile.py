@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltmark.config import DEFAULT, KNOWN_PATTERNS, SINGAPORE_PATTERNS, Config
 from siltmark.functions import canon
+from siltmark.operators.quantiles import quantiles
 
 
 def missing_profile(vh: DataFrame) -> DataFrame:
@@ -23,16 +24,24 @@ def missing_profile(vh: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact moments and quantiles of numeric columns, one wide aggregation; skewness is corrected for bias."""
+    """Exact moments and quartiles of numeric columns: passes for the quartiles of all of them, and one wide aggregation; skewness is corrected for bias."""
+    quartiles = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75])
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         n = F.count(x)
         skew = F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
-        aggs.append(F.struct(F.lit(c).alias("column"), n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew.alias("skew")).alias(f"s_{c}"))
+        q1, q3 = (F.lit(q).cast("double") for q in quartiles[c][1])
+        aggs.append(F.struct(F.lit(c).alias("column"), n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), q1.alias("q1"), q3.alias("q3"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), skew.alias("skew")).alias(f"s_{c}"))
     return df.agg(*aggs).select(F.explode(F.array(*[f"s_{c}" for c in columns])).alias("s")).select("s.*")
 
 
+def with_share(counts: DataFrame) -> DataFrame:
+    """`counts` (table, column, cnt) and the share of each row in its column: totals are summed apart and joined, so that no task holds a whole column."""
+    totals = counts.groupBy("table", "column").agg(F.sum("cnt").alias("_total"))
+    return counts.join(totals, ["table", "column"]).withColumn("share", F.col("cnt") / F.col("_total")).drop("_total")
+
+
 def top_values(vh: DataFrame, k: int = 20) -> DataFrame:
     """The k most frequent values of each column; ties by value."""
     w = Window.partitionBy("table", "column").orderBy(F.desc("cnt"), "value")
@@ -42,7 +51,7 @@ def top_values(vh: DataFrame, k: int = 20) -> DataFrame:
 def length_distribution(vh: DataFrame) -> DataFrame:
     """Lengths of values with their share; the share of the most frequent one decides what a code is."""
     by = vh.where(canon.is_value(F.col("value"))).groupBy("table", "column", F.char_length("value").alias("length")).agg(F.sum("cnt").alias("cnt"))
-    return by.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("table", "column")))
+    return with_share(by)
 
 
 def permissible_values(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -55,9 +64,11 @@ def permissible_values(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def fingerprints(vh: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent character-class shapes of each column, with their share."""
     by = vh.where(canon.is_value(F.col("value"))).groupBy("table", "column", canon.fingerprint(F.col("value")).alias("fingerprint")).agg(F.sum("cnt").alias("cnt"))
-    w = Window.partitionBy("table", "column")
-    ranked = by.withColumn("share", F.col("cnt") / F.sum("cnt").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("cnt"), "fingerprint")))
-    return ranked.where(F.col("rank") <= k)
+    w = Window.partitionBy("table", "column").orderBy(F.desc("cnt"), "fingerprint")
+    # the rank is bounded before the totals are joined, so that each task keeps k rows of a column
+    ranked = by.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    totals = by.groupBy("table", "column").agg(F.sum("cnt").alias("_total"))
+    return ranked.join(totals, ["table", "column"]).withColumn("share", F.col("cnt") / F.col("_total")).drop("_total")
 
 
 def known_patterns(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -58,7 +58,7 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
         mask = df[p["col_a"]].isNotNull() & df[p["col_b"]].isNull()
     elif rule.type == "valid_yyyymmdd_date":
         d = canon.key_text(s)
-        mask = filled & (~d.rlike(r"^\d{8}$") | F.try_to_timestamp(d, F.lit("yyyyMMdd")).isNull())
+        mask = filled & (~d.rlike(r"^\d{8}$") | canon.try_date(d, ("yyyyMMdd",)).isNull())
     elif rule.type == "numeric_parseable":
         mask = filled & number.isNull()
     elif rule.type == "integer_parseable":

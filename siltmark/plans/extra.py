@@ -1,4 +1,4 @@
-"""More named queries with their SQL: similarity of columns, rule candidates, casts, and rules and detectors on a small dirty table."""
+"""More named queries with their SQL: similarity of columns, rule candidates, casts, and rules and detectors on a dirty copy of a table."""
 
 from __future__ import annotations
 
@@ -19,30 +19,43 @@ TOKENS = ", ".join(f"'{t}'" for t in C.PLACEHOLDERS)
 ALIKE = {"customer": ["c_name", "c_mktsegment", "c_nationkey"], "part": ["p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderpriority"], "nation": ["n_nationkey", "n_name"], "supplier": ["s_nationkey"]}
 #: Columns of which one names the rows of each table.
 IDENTIFIERS = ALIKE | {"orders": ["o_orderkey", "o_orderpriority"], "documents": ["doc_id", "source", "lang"], "labels": ["quality", "toxic"], "conversations": ["turn", "role", "conv_id"]}
-#: A small dirty table: every column has values that pass, values that fail, and gaps. Fixed values.
-DIRTY_COLUMNS = "id int, email string, code string, day string, start string, stop string, flag string, amount string, nric string, dob string, phone string, num string"
-DIRTY = [
-    (1, "a@x.com", "123456", "20230101", "2023-01-01", "2023-01-05", "Yes", "10", "S8012345A", "1980-02-03", "+65 91234567", "1"),
-    (2, "B@x.com", "223456", "20230230", "2023-02-01", "2023-01-05", "no", "x", "S8012345A", "1990-02-03", "91234567", "2"),
-    (3, "bad", "32345", "2023", "2023/02/15", None, "Yes", "1.5", "bad", "1980-02-03", "123", "3.5"),
-    (4, "unknown@x.com", "423456", None, "March 1, 2023", "2024-01-01", "no", None, None, None, None, None),
-    (5, "p+q@x.com", "523456", "20991231", "2023-13-01", "2024-01-01", "Yes", "99999", "T0512345B", "2005-07-01", "+6581234567", "7"),
-    (6, "r@y.com", "623456.0", "20240229", "n/a", "2022-01-01", None, "-3", "S8112345C", "1981-01-01", "6591234567x", "-2"),
-    (7, None, None, "", "2024-05-06", "2024-05-06", "no", "n/a", "", "", "", "0"),
-]
+#: A dirty copy of `customer`: each column has values that pass, values that fail, and gaps. Expressions that both engines read alike.
+DIRTY = {
+    "id": "c_custkey",
+    "email": """CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 89 = 0 THEN 'n/a' WHEN c_custkey % 53 = 0 THEN 'no address' WHEN c_custkey % 41 = 0 THEN 'unknown@mail.com' WHEN c_custkey % 37 = 0 THEN concat('User', c_custkey, '@Mail.com')
+      WHEN c_custkey % 13 = 0 THEN concat('user+', c_custkey, '@shop.org') ELSE concat('user', c_custkey, '@mail.com') END""",
+    "code": "CASE WHEN c_custkey % 61 = 0 THEN NULL WHEN c_custkey % 31 = 0 THEN concat(10000 + c_custkey % 90000, '') WHEN c_custkey % 29 = 0 THEN concat(100000 + c_custkey % 900000, '.0') ELSE concat(100000 + (c_custkey * 7919) % 900000, '') END",
+    "day": """CASE WHEN c_custkey % 59 = 0 THEN NULL WHEN c_custkey % 61 = 0 THEN '' WHEN c_custkey % 43 = 0 THEN '20230230' WHEN c_custkey % 47 = 0 THEN '2023' WHEN c_custkey % 67 = 0 THEN '20991231'
+      ELSE concat(2000 + c_custkey % 24, lpad(concat(1 + c_custkey % 12, ''), 2, '0'), lpad(concat(1 + c_custkey % 28, ''), 2, '0')) END""",
+    "start": """CASE WHEN c_custkey % 71 = 0 THEN 'n/a' WHEN c_custkey % 73 = 0 THEN '2023-13-01' WHEN c_custkey % 7 = 0 THEN concat('March ', 1 + c_custkey % 28, ', 2023') WHEN c_custkey % 5 = 0 THEN concat('2023/', lpad(concat(1 + c_custkey % 12, ''), 2, '0'), '/15')
+      ELSE concat('2023-', lpad(concat(1 + c_custkey % 12, ''), 2, '0'), '-', lpad(concat(1 + c_custkey % 28, ''), 2, '0')) END""",
+    "stop": "CASE WHEN c_custkey % 79 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN '2023-02-20' ELSE concat('2024-', lpad(concat(1 + c_custkey % 12, ''), 2, '0'), '-05') END",
+    "joined": "CASE WHEN c_custkey % 83 = 0 THEN 'soon' ELSE concat('20', lpad(concat(c_custkey % 24, ''), 2, '0'), '-', lpad(concat(1 + c_custkey % 12, ''), 2, '0'), '-', lpad(concat(1 + c_custkey % 28, ''), 2, '0')) END",
+    "flag": "CASE WHEN c_custkey % 23 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'no' END",
+    "amount": "CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 101 = 0 THEN 'x' WHEN c_custkey % 17 = 0 THEN 'n/a' WHEN c_custkey % 11 = 0 THEN '99999' WHEN c_custkey % 29 = 0 THEN '-3' ELSE concat(c_custkey % 90, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '.5' END) END",
+    "nric": "CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 37 = 0 THEN 'bad' ELSE concat(CASE WHEN c_custkey % 10 < 2 THEN 'T' ELSE 'S' END, lpad(concat(c_custkey % 100, ''), 2, '0'), lpad(concat(c_custkey % 100000, ''), 5, '0'), 'A') END",
+    "dob": "CASE WHEN c_custkey % 41 = 0 THEN NULL WHEN c_custkey % 43 = 0 THEN '' ELSE concat(CASE WHEN c_custkey % 10 < 2 THEN '20' ELSE '19' END, lpad(concat(c_custkey % 100, ''), 2, '0'), '-02-03') END",
+    "phone": "CASE WHEN c_custkey % 47 = 0 THEN NULL WHEN c_custkey % 53 = 0 THEN '' WHEN c_custkey % 59 = 0 THEN '123' WHEN c_custkey % 7 = 0 THEN concat('+65 ', 91000000 + c_custkey) WHEN c_custkey % 5 = 0 THEN concat('65', 91000000 + c_custkey, 'x') ELSE concat('+65', 81000000 + c_custkey) END",
+    "num": "CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN '3.5' WHEN c_custkey % 13 = 0 THEN '-2' ELSE concat(c_custkey % 100, '') END",
+    "age": "CASE WHEN c_custkey % 37 = 0 THEN 7 ELSE 18 + c_custkey % 60 END",
+    "city": "CASE WHEN c_custkey % 97 = 0 THEN 'New Springfields' WHEN c_custkey % 89 = 0 THEN 'New-Springfield' WHEN c_custkey % 3 = 0 THEN 'New Springfield' WHEN c_custkey % 3 = 1 THEN 'Ostbrunn' ELSE 'Varda' END",
+    "batch": "concat('b', c_custkey % 60)",
+    "account_id": "concat('A', CASE WHEN c_custkey % 149 = 0 THEN c_custkey - 1 ELSE c_custkey END)",
+    "price": "concat(c_custkey % 700, '.00')",
+    "member": "CASE WHEN c_custkey % 10 = 3 THEN 'y' ELSE 'N' END",
+}
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _dirty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DIRTY, DIRTY_COLUMNS)
+def _dirty(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").select(*[F.expr(e).alias(c) for c, e in DIRTY.items()])
 
 
 def _dirty_sql() -> str:
-    lit = lambda x: "CAST(NULL AS VARCHAR)" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
-    return f"WITH fx({', '.join(c.split()[0] for c in DIRTY_COLUMNS.split(', '))}) AS (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in DIRTY)})"
+    return f"WITH fx AS (SELECT {', '.join(f'{e} AS {c}' for c, e in DIRTY.items())} FROM customer)"
 
 
 def _vh(spark: SparkSession, d: str, columns: dict[str, list[str]]) -> DataFrame:
@@ -72,7 +85,7 @@ def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
 
 def _rule(rule: Rule) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        df = _dirty(spark)
+        df = _dirty(spark, d)
         return df.select("id", compile_rule(df, rule).alias("_bad")).where("_bad").select("id")
 
     return run
@@ -91,7 +104,7 @@ def full_run(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog() -> dict[str, tuple[Query, str | None]]:
     fx = _dirty_sql()
-    dirty_vh = lambda s, *cs: value_histogram(_dirty(s), "fx", list(cs))
+    dirty_vh = lambda s, d, *cs: value_histogram(_dirty(s, d), "fx", list(cs))
     longs = lambda df, *cs: df.withColumns({c: F.col(c).cast("long") for c in cs})
     nan = f"(email IS NOT NULL AND lower(email) NOT IN ({TOKENS}))"
     sizes = "n AS (SELECT \"table\", \"column\", count(*) n, count(DISTINCT value) d, avg(length(value)) l, avg(CAST(regexp_matches(value, '^[0-9]+$') AS DOUBLE)) g FROM r GROUP BY 1, 2)"
@@ -140,30 +153,30 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
             "SELECT o_orderkey, i AS _row_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i BETWEEN 100 AND 149",
         ),
         "p6_auto_cast": (
-            lambda s, d: casts.auto_cast(_dirty(s).select("id", "num", "flag"), "fx", casts.decide(dirty_vh(s, "num", "flag")), upper=True),
+            lambda s, d: casts.auto_cast(_dirty(s, d).select("id", "num", "flag"), "fx", casts.decide(dirty_vh(s, d, "num", "flag")), upper=True),
             f"{fx} SELECT id, TRY_CAST(num AS DOUBLE) AS num, upper(flag) AS flag FROM fx",
         ),
         "d3_non_numeric": (lambda s, d: detectors.non_numeric(value_histogram(_t(s, d, "events").select(F.when(F.col("event_id") % 100 == 7, "bad").otherwise(F.col("event_id").cast("string")).alias("v")), "events")), "SELECT 'events' AS \"table\", 'v' AS \"column\", 'bad' AS value, count(*) AS cnt FROM events WHERE event_id % 100 = 7 HAVING count(*) > 0"),
         "d4_d8_email": (
-            lambda s, d: longs(detectors.email_issues(dirty_vh(s, "email")), "malformed", "mixed_case", "placeholder_local", "plus_tag", "n_domains"),
+            lambda s, d: longs(detectors.email_issues(dirty_vh(s, d, "email")), "malformed", "mixed_case", "placeholder_local", "plus_tag", "n_domains"),
             f"""{fx} SELECT 'fx' AS "table", 'email' AS "column", count(*) FILTER (NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+$')) AS malformed, count(*) FILTER (email <> lower(email)) AS mixed_case, count(*) FILTER (split_part(lower(email), '@', 1) IN ({TOKENS})) AS placeholder_local,
             count(*) FILTER (contains(email, '+')) AS plus_tag, count(DISTINCT CASE WHEN contains(email, '@') THEN split_part(lower(email), '@', 2) END) AS n_domains FROM fx WHERE {nan}""",
         ),
-        "d7_domain_concentration": (lambda s, d: _rounded(detectors.domain_concentration(value_histogram(_dirty(s).where("id < 6").select("email").union(_dirty(s).select("email")), "fx")), 6, "share"), f"{fx}, e AS (SELECT email FROM fx WHERE id < 6 UNION ALL SELECT email FROM fx), h AS (SELECT split_part(lower(email), '@', 2) AS domain, count(*) c FROM e WHERE contains(email, '@') GROUP BY 1), q AS (SELECT domain, c / sum(c) OVER () AS share, count(*) OVER () n FROM h) SELECT 'fx' AS \"table\", 'email' AS \"column\", domain, round(share, 6) AS share FROM q WHERE share > 0.8 AND n > 1"),
+        "d7_domain_concentration": (lambda s, d: _rounded(detectors.domain_concentration(value_histogram(_dirty(s, d).where("id % 5 = 0").select("email").union(_dirty(s, d).select("email")), "fx")), 6, "share"), f"{fx}, e AS (SELECT email FROM fx WHERE id % 5 = 0 UNION ALL SELECT email FROM fx), h AS (SELECT split_part(lower(email), '@', 2) AS domain, count(*) c FROM e WHERE contains(email, '@') GROUP BY 1), q AS (SELECT domain, c / sum(c) OVER () AS share, count(*) OVER () n FROM h) SELECT 'fx' AS \"table\", 'email' AS \"column\", domain, round(share, 6) AS share FROM q WHERE share > 0.8 AND n > 1"),
         "d10_d11_codes": (
-            lambda s, d: _rounded(longs(detectors.code_issues(dirty_vh(s, "code")), "dominant_length", "shorter"), 6, "decimal_share", "digit_share"),
+            lambda s, d: _rounded(longs(detectors.code_issues(dirty_vh(s, d, "code")), "dominant_length", "shorter"), 6, "decimal_share", "digit_share"),
             f"""{fx}, v AS (SELECT code, regexp_replace(code, '\\.0+$', '') k FROM fx WHERE code IS NOT NULL), l AS (SELECT length(k) n, count(*) c FROM v GROUP BY 1), t AS (SELECT n FROM l ORDER BY c DESC, n DESC LIMIT 1)
             SELECT 'fx' AS "table", 'code' AS "column", round(avg(CAST(regexp_matches(code, '^\\d+\\.0+$') AS DOUBLE)), 6) AS decimal_share, round(avg(CAST(regexp_matches(k, '^\\d+$') AS DOUBLE)), 6) AS digit_share, max(t.n) AS dominant_length, count(*) FILTER (length(k) < t.n) AS shorter FROM v, t""",
         ),
         "d12_d14_dates": (
-            lambda s, d: _rounded(longs(detectors.date_issues(dirty_vh(s, "start", "day")), "unparseable"), 6, "compact_share", "iso_share"),
+            lambda s, d: _rounded(longs(detectors.date_issues(dirty_vh(s, d, "start", "day")), "unparseable"), 6, "compact_share", "iso_share"),
             f"""{fx}, v AS (SELECT 'start' AS "column", start AS v FROM fx UNION ALL SELECT 'day', day FROM fx) SELECT 'fx' AS "table", "column", round(avg(CAST(regexp_matches(v, '^\\d{{8}}(\\.0+)?$') AS DOUBLE)), 6) AS compact_share, round(avg(CAST(regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') AS DOUBLE)), 6) AS iso_share,
             count(*) FILTER ({day("v")} IS NULL) AS unparseable FROM v WHERE v <> '' AND lower(v) NOT IN ({TOKENS}) GROUP BY 2""",
         ),
         "d15_under_age": (lambda s, d: detectors.under_age(_t(s, d, "part").select("p_partkey", F.col("p_size").alias("age")), "age"), "SELECT p_partkey, p_size AS age FROM part WHERE p_size < 13"),
-        "d18_booleans": (lambda s, d: detectors.boolean_spellings(dirty_vh(s, "flag", "code")), f"{fx} SELECT 'fx' AS \"table\", 'flag' AS \"column\", min(lower(flag)) AS lo, max(lower(flag)) AS hi FROM fx WHERE flag IS NOT NULL HAVING count(DISTINCT lower(flag)) = 2"),
+        "d18_booleans": (lambda s, d: detectors.boolean_spellings(dirty_vh(s, d, "flag", "code")), f"{fx} SELECT 'fx' AS \"table\", 'flag' AS \"column\", min(lower(flag)) AS lo, max(lower(flag)) AS hi FROM fx WHERE flag IS NOT NULL HAVING count(DISTINCT lower(flag)) = 2"),
         "w5_failed_values": (
-            lambda s, d: failed_values(_dirty(s), [Rule("1", "not_null", "email"), Rule("2", "date_ordering", "start", {"col_a": "start", "col_b": "stop"}), Rule("3", "range", "amount", {"min": 0})], ["id"]),
+            lambda s, d: failed_values(_dirty(s, d), [Rule("1", "not_null", "email"), Rule("2", "date_ordering", "start", {"col_a": "start", "col_b": "stop"}), Rule("3", "range", "amount", {"min": 0})], ["id"]),
             f"{fx} SELECT id, '1' AS rule_id, 'email' AS \"column\", email AS value FROM fx WHERE email IS NULL UNION ALL SELECT id, '2', 'stop', stop FROM fx WHERE {day('start')} > {day('stop')} UNION ALL SELECT id, '3', 'amount', amount FROM fx WHERE TRY_CAST(amount AS DOUBLE) < 0",
         ),
         "j18_stratified_sample": (

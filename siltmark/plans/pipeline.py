@@ -65,7 +65,7 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
         for t, df in tables.items():
             rows = [found[t, c] | {"storage_type": _kind(df, c, found[t, c]["storage_type"])} for c in df.columns if (t, c) in found]
             numeric = [c for c in _numeric(df, {r["column"]: r["storage_type"] for r in rows}) if (t, c) not in keys]
-            fences = {c: (f["lower_fence"], f["upper_fence"]) for c in numeric if (f := detectors.iqr_fences(df, c).first())} if df.columns else {}
+            fences = {c: (f.lower, f.upper) for c, f in detectors.fences(df, numeric).items()}
             said = with_references(provider.describe(t, [facts.evidence(r, config) for r in rows]), paths, t)
             out.dictionaries[t] = [r | s | {"facts": facts.sentences(r)} for r, s in zip(rows, said, strict=True)]
             coded = {c: n for (u, c), n in codes.items() if u == t and isinstance(df.schema[c].dataType, T.StringType)}
@@ -75,7 +75,7 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
                 provider.propose(t, rows, sample), [c for u, c in keys if u == t], fences, {c: n for c, n in coded.items() if c in numeric},
                 {r["column_name"]: r["recommended_actions"] for r in said}, {c: v for (u, c), v in truth.items() if u == t}, config,
             )
-            rules = generate.supplement(t, vh, df, proposed, paths, numeric, coded, config)
+            rules = generate.supplement(t, vh, df, proposed, paths, fences, coded, config)
             summary = _check(df, rules, tables, config)
             for _ in range(MAX_ROUNDS):
                 suspect = _inspected(provider, t, df, rules, [s for s in summary if (s["rate"] or 0) >= SUSPECT_RATE], key, tables, config)

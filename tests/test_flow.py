@@ -66,7 +66,7 @@ def test_generated_rules(spark):
     assert {(r.truth, r.value) for r in generate.truth_spellings(h).where("column = 'flag'").collect()} == {(True, "Y"), (False, "n")}
     df = spark.createDataFrame([(c, float(i)) for i, c in enumerate(codes)] + [(None, 99999.0)], "code string, x double")
     paths = [{"child": "t.code", "parent": "p.k", "interpretation": "foreign_key"}, {"child": "t.name", "parent": "q.k", "interpretation": "one_to_one_key"}]
-    rules = generate.supplement("t", h, df, [], paths, ["x"], ["code"])
+    rules = generate.supplement("t", h, df, [], paths, {"x": (-100.0, 200.0)}, ["code"])
     assert [(r.rule_id, r.type, r.column) for r in rules] == [("1", "referential_cross_table", "code"), ("2", "referential_cross_table", "name"), ("3", "uniqueness", "name"), ("4", "format", "code"), ("5", "sentinel_check", "x")]
 
 
