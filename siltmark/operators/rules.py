@@ -23,18 +23,33 @@ class Rule:
     text: str = ""
 
 
+#: What a report shows where there is no value.
+NOTHING = "—"
+
+
 class Unsupported(ValueError):
     """The rule cannot be compiled."""
 
 
+#: Rules whose columns are named by parameters.
+COLUMNS_OF = {"numeric_sum": ("col_a", "col_b", "col_sum"), "date_ordering": ("col_a", "col_b"), "null_consistency": ("col_a", "col_b")}
+#: Rules that need other rows, of the table or of another one.
+NEEDS_ROWS = ("uniqueness", "numeric_sum", "referential_cross_table")
+
+
 def _never() -> Column:
     return F.lit(False)
 
 
 def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
-    """The violation mask of a rule that needs no other table; null masks count as no violation."""
+    """The violation mask of a rule that needs no other rows; null masks count as no violation. A rule on a column that is not there is Unsupported."""
     p, c = rule.params, rule.column
     kind = lambda name: df.schema[name].dataType
+    needed = [p.get(k) for k in COLUMNS_OF[rule.type]] if rule.type in COLUMNS_OF else [] if rule.type == "custom" else [c]
+    if rule.type.startswith("nric"):
+        needed.append(p.get("col_b"))
+    if absent := [x for x in needed if x not in df.columns]:
+        raise Unsupported(f"{rule.type} needs columns that are not there: {absent}")
     raw = df[c] if c in df.columns else F.lit(None)
     s = canon.strip(canon.text(df[c], kind(c))) if c in df.columns else F.lit(None).cast("string")
     filled = s.isNotNull() & (s != "")
@@ -78,8 +93,6 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
         low = number < float(p["min"]) if p.get("min") is not None else _never()
         high = number > float(p["max"]) if p.get("max") is not None else _never()
         mask = low | high
-    elif rule.type == "uniqueness":
-        mask = raw.isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(raw)) > 1)
     elif rule.type == "phone_validity":
         cc, n = p.get("country_code"), int(p.get("length", 8))
         mask = filled & ~canon.matches(s, (rf"\+?{re.escape(str(cc))}[\s-]?" if cc else "") + rf"\d{{{n}}}", full=True)
@@ -98,11 +111,20 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
 
 
 _COMPARE = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
-_ARITHMETIC = {ast.Add: "__add__", ast.Sub: "__sub__", ast.Mult: "__mul__", ast.Div: "__truediv__", ast.Mod: "__mod__"}
+_ARITHMETIC = {ast.Add: "__add__", ast.Sub: "__sub__", ast.Mult: "__mul__"}
+
+
+def _modulo(a: Column, b: Column) -> Column:
+    """The remainder with the sign of the divisor, null for a divisor of 0."""
+    return F.when(b > 0, F.pmod(a, F.nullif(b, F.lit(0)))).when(b < 0, -F.pmod(-a, F.nullif(-b, F.lit(0))))
 
 
 def compile_expression(df: DataFrame, text: str, config: Config = DEFAULT) -> Column:
-    """A Python-like expression over row['c'] or df['c'], by a whitelist of syntax; anything else is Unsupported."""
+    """A Python-like expression over row['c'] or df['c'], by a whitelist of syntax; anything else is Unsupported.
+
+    A gap compares as not-a-number does there: it is neither equal, less nor greater, is unequal to everything, and is in no list. Remainders have
+    the sign of the divisor; what is divided by 0 is a gap.
+    """
     try:
         tree = ast.parse(text, mode="eval").body
     except SyntaxError as e:
@@ -124,9 +146,10 @@ def compile_expression(df: DataFrame, text: str, config: Config = DEFAULT) -> Co
             return -go(n.operand)
         if isinstance(n, ast.BinOp) and isinstance(n.op, (ast.BitAnd, ast.BitOr)):
             return go(n.left) & go(n.right) if isinstance(n.op, ast.BitAnd) else go(n.left) | go(n.right)
+        if isinstance(n, ast.BinOp) and isinstance(n.op, (ast.Div, ast.Mod)):
+            return (F.try_divide if isinstance(n.op, ast.Div) else _modulo)(go(n.left), go(n.right))
         if isinstance(n, ast.BinOp) and type(n.op) in _ARITHMETIC:
-            left, right = go(n.left), go(n.right)
-            return F.try_divide(left, right) if isinstance(n.op, ast.Div) else getattr(left, _ARITHMETIC[type(n.op)])(right)
+            return getattr(go(n.left), _ARITHMETIC[type(n.op)])(go(n.right))
         if isinstance(n, ast.Compare):
             parts, left = [], n.left
             for op, right in zip(n.ops, n.comparators, strict=True):
@@ -138,6 +161,7 @@ def compile_expression(df: DataFrame, text: str, config: Config = DEFAULT) -> Co
                     hit = getattr(go(left), _COMPARE[type(op)])(go(right))
                 else:
                     raise no(op)
+                hit = F.coalesce(hit, F.lit(isinstance(op, ast.NotEq)))
                 parts.append(~hit if isinstance(op, ast.NotIn) else hit)
                 left = right
             return reduce(lambda a, b: a & b, parts)
@@ -243,34 +267,69 @@ def masks(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: di
     return df.select("*", *out), done, failed
 
 
-def rule_summary(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Violations and their rate for each rule, in one pass."""
-    marked, done, _ = masks(df, rules, config, tables)
+def _marked(df: DataFrame, rules: list[Rule], config: Config, tables: dict[str, DataFrame] | None, skip: bool) -> tuple[DataFrame, list[Rule]]:
+    """`df` with masks and the rules that they are of. Rules that do not compile end this, or are passed over where the caller lists them itself."""
+    marked, done, failed = masks(df, rules, config, tables)
+    if failed and not skip:
+        raise Unsupported(f"rules that cannot be checked: {[(r.rule_id, r.type) for r in failed]}")
+    return marked, done
+
+
+def rule_summary(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None, skip: bool = False) -> DataFrame:
+    """Violations and their rate for each rule, in one pass. Unsupported rules raise, or are passed over with `skip`."""
+    marked, done = _marked(df, rules, config, tables, skip)
     total = F.count(F.lit(1))
     parts = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.count_if(F.col(f"_v_{r.rule_id}")).alias("violations"), F.round(F.try_divide(F.count_if(F.col(f"_v_{r.rule_id}")), total), 3).alias("rate")) for r in done]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "rule_id string, violations long, rate double")
     return marked.agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def violation_records(df: DataFrame, rules: list[Rule], keys: list[str], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Rows that violate some rule, with the ids of the rules joined, without a shuffle where no rule needs one."""
-    marked, done, _ = masks(df, rules, config, tables)
-    ids = F.array_compact(F.array(*[F.when(F.col(f"_v_{r.rule_id}"), F.lit(r.rule_id)) for r in done]))
-    return marked.select(*keys, ids.alias("_ids")).where(F.size("_ids") > 0).select(*keys, F.concat_ws(" | ", "_ids").alias("rules"), F.size("_ids").cast("long").alias("n_rules"))
+def rule_totals(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None, skip: bool = False) -> DataFrame:
+    """One row: rows that were checked, rules, rules that some row violates, and rows that violate some rule, each counted once."""
+    marked, done = _marked(df, rules, config, tables, skip)
+    each = [F.coalesce(F.bool_or(F.col(f"_v_{r.rule_id}")), F.lit(False)).cast("long") for r in done]
+    some = reduce(lambda a, b: a | b, [F.col(f"_v_{r.rule_id}") for r in done], F.lit(False))
+    return marked.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(done)).cast("long").alias("n_rules"), sum(each, F.lit(0)).cast("long").alias("rules_violated"), F.count_if(some).alias("failing_rows"))
 
 
-def failed_values(df: DataFrame, rules: list[Rule], keys: list[str], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One row for each violation: keys, rule_id, column and the value that failed (that of `col_b` where the rule names a second column)."""
-    marked, done, _ = masks(df, rules, config, tables)
+def _failures(df: DataFrame, done: list[Rule]) -> Column:
+    """The violations of a row: rule_id, label (`#id: text`), column, and the value that failed (that of `col_b` where the rule names a second column)."""
     parts = []
     for r in done:
         second = r.params.get("col_b")
-        column = second if second in df.columns and second != r.column else r.column if r.column in df.columns else r.params.get("col_a")
-        value = canon.text(F.col(f"`{column}`"), df.schema[column].dataType) if column in df.columns else F.lit("—")
-        parts.append(F.when(F.col(f"_v_{r.rule_id}"), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(column or "—").alias("column"), value.alias("value"))))
-    return marked.select(*keys, F.explode(F.array_compact(F.array(*parts))).alias("_f")).select(*keys, "_f.*")
-
-
-def sample_violations(df: DataFrame, rules: list[Rule], keys: list[str], k: int = 5, config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+        column = second if second in df.columns and second != r.column else r.column if r.column in df.columns else next((c for c in (r.params.get("col_a"), *r.params.get("related_cols", ())) if c in df.columns), None)
+        value = canon.text(F.col(f"`{column}`"), df.schema[column].dataType) if column else F.lit(NOTHING)
+        shown = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(f"#{r.rule_id}: {r.text}").alias("label"), F.lit(column or NOTHING).alias("column"), value.alias("value"))
+        parts.append(F.when(F.col(f"_v_{r.rule_id}"), shown))
+    empty = F.array().cast("array<struct<rule_id:string,label:string,column:string,value:string>>")
+    return F.array_compact(F.array(*parts)) if parts else empty
+
+
+def violation_records(df: DataFrame, rules: list[Rule], keys: list[str], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None, skip: bool = False) -> DataFrame:
+    """Rows that violate some rule, without a shuffle where no rule needs one: keys, rules (ids), n_rules, and for a report failed_columns and failed_values
+    (each pair of them once, in the order of rules; a gap is shown as `—`) and labels."""
+    marked, done = _marked(df, rules, config, tables, skip)
+    rows = marked.withColumn("_f", _failures(df, done)).where(F.size("_f") > 0)
+    pairs = F.array_distinct(F.transform("_f", lambda f: F.struct(f["column"].alias("c"), F.coalesce(f["value"], F.lit(NOTHING)).alias("v"))))
+    joined = lambda sep, a, get: F.array_join(F.transform(a, get), sep)
+    return rows.select(
+        *keys,
+        joined(" | ", "_f", lambda f: f["rule_id"]).alias("rules"),
+        F.size("_f").cast("long").alias("n_rules"),
+        joined(", ", pairs, lambda x: x["c"]).alias("failed_columns"),
+        joined(" | ", pairs, lambda x: x["v"]).alias("failed_values"),
+        joined(" | ", "_f", lambda f: f["label"]).alias("labels"),
+    )
+
+
+def failed_values(df: DataFrame, rules: list[Rule], keys: list[str], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None, skip: bool = False) -> DataFrame:
+    """One row for each violation: keys, rule_id, column and the value that failed."""
+    marked, done = _marked(df, rules, config, tables, skip)
+    return marked.select(*keys, F.explode(_failures(df, done)).alias("_f")).select(*keys, "_f.rule_id", "_f.column", "_f.value")
+
+
+def sample_violations(df: DataFrame, rules: list[Rule], keys: list[str], k: int = 5, config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None, skip: bool = False) -> DataFrame:
     """The first k violations of each rule by the keys, which is what a report shows."""
     w = Window.partitionBy("rule_id").orderBy(*keys)
-    return failed_values(df, rules, keys, config, tables).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return failed_values(df, rules, keys, config, tables, skip).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

@@ -86,7 +86,7 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
             out.rules[t], out.summaries[t] = rules, summary
             out.unsupported[t] = masks(df, rules, config, tables)[2]
             if summary:
-                out.records[t] = violation_records(df, rules, [ids.get(t, df.columns[0])], config, tables)
+                out.records[t] = violation_records(df, rules, [ids.get(t, df.columns[0])], config, tables, skip=True)
         return out
     finally:
         vh.unpersist()
@@ -113,7 +113,7 @@ def _inspected(provider: Provider, table: str, df: DataFrame, rules: list[Rule],
     chosen = set(provider.assess(table, rules, suspect))
     doubtful = [r for r in rules if r.rule_id in chosen]
     failing: dict[str, list] = {}
-    for r in sample_violations(df, doubtful, [key], FAILING_VALUES, config, tables).collect() if doubtful and type(provider) is not Offline else ():
+    for r in sample_violations(df, doubtful, [key], FAILING_VALUES, config, tables, skip=True).collect() if doubtful and type(provider) is not Offline else ():
         failing.setdefault(r["rule_id"], []).append(r["value"])
     issues = {r.rule_id: provider.inspect(table, r, failing.get(r.rule_id, [])) for r in doubtful}
     return [s | {"issue": issues[s["rule_id"]]} for s in suspect if s["rule_id"] in issues]
@@ -121,9 +121,7 @@ def _inspected(provider: Provider, table: str, df: DataFrame, rules: list[Rule],
 
 def _check(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame], config: Config) -> list[dict]:
     text = {r.rule_id: r.text for r in rules}
-    if not masks(df, rules, config, tables)[1]:
-        return []
-    return [r.asDict() | {"text": text[r["rule_id"]]} for r in rule_summary(df, rules, config, tables).collect()]
+    return [r.asDict() | {"text": text[r["rule_id"]]} for r in rule_summary(df, rules, config, tables, skip=True).collect()]
 
 
 def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | None = None, config: Config = DEFAULT, replies: str | None = None) -> Result:

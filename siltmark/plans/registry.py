@@ -12,7 +12,7 @@ from siltmark.operators import detectors as D
 from siltmark.operators import profile as P
 from siltmark.operators import relations as R
 from siltmark.operators.histogram import union, value_histogram
-from siltmark.operators.rules import Rule, masks, referential, rule_summary, sibling_lookup, violation_records
+from siltmark.operators.rules import Rule, masks, referential, rule_summary, rule_totals, sibling_lookup, violation_records
 from siltmark.operators.sketches import column_kinds
 from siltmark.plans import columns, extra
 
@@ -24,7 +24,7 @@ KEYS = {
 TEXTS = {"customer": ["c_name", "c_mktsegment"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"]}
 TOKENS = ", ".join(f"'{t}'" for t in C.PLACEHOLDERS)
 RULES = [
-    Rule("r1", "range", "o_totalprice", {"min": 1000, "max": 400000}),
+    Rule("r1", "range", "o_totalprice", {"min": 1000, "max": 400000}, "a price in range"),
     Rule("r2", "enumeration", "o_orderstatus", {"values": ["F", "O"]}),
     Rule("r3", "format", "o_orderpriority", {"regex": r"\d-[A-Z ]+$"}),
     Rule("r4", "not_null", "o_custkey"),
@@ -40,6 +40,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+SHOWN = {"r1": "o_totalprice", "r2": "o_orderstatus", "r3": "o_orderpriority", "r4": "o_custkey", "r5": "o_totalprice"}
+FAILED_SQL = f"""WITH m0 AS (SELECT o_orderkey, list_filter([{", ".join(f"CASE WHEN {q} THEN {{'id': '{r.rule_id}', 'label': '#{r.rule_id}: {r.text}', 'c': '{SHOWN[r.rule_id]}', 'v': coalesce(CAST({SHOWN[r.rule_id]} AS VARCHAR), '—')}} END" for r, q in zip(RULES, RULE_SQL.values(), strict=True))}], lambda x: x IS NOT NULL) l FROM orders),
+    m AS (SELECT *, list_filter(list_transform(l, lambda x, i: CASE WHEN list_position(list_transform(l, lambda y: y.c || '=' || y.v), x.c || '=' || x.v) = i THEN {{'c': x.c, 'v': x.v}} END), lambda x: x IS NOT NULL) p FROM m0)"""
+
+
 def _vh(spark: SparkSession, d: str, columns: dict[str, list[str]]) -> DataFrame:
     return union([value_histogram(_t(spark, d, t), t, cs) for t, cs in columns.items()])
 
@@ -211,7 +216,20 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         ),
         "w6_violation_records": (
             lambda s, d: violation_records(_t(s, d, "orders"), RULES, order),
-            "WITH m AS (SELECT o_orderkey, list_filter([" + ", ".join(f"CASE WHEN {q} THEN '{k}' END" for k, q in RULE_SQL.items()) + "], lambda x: x IS NOT NULL) l FROM orders) SELECT o_orderkey, array_to_string(l, ' | ') AS rules, CAST(len(l) AS BIGINT) AS n_rules FROM m WHERE len(l) > 0",
+            f"""{FAILED_SQL} SELECT o_orderkey, array_to_string(list_transform(l, lambda x: x.id), ' | ') AS rules, CAST(len(l) AS BIGINT) AS n_rules, array_to_string(list_transform(p, lambda x: x.c), ', ') AS failed_columns,
+            array_to_string(list_transform(p, lambda x: x.v), ' | ') AS failed_values, array_to_string(list_transform(l, lambda x: x.label), ' | ') AS labels FROM m WHERE len(l) > 0""",
+        ),
+        "a17_rule_totals": (
+            lambda s, d: rule_totals(_t(s, d, "orders"), RULES),
+            f"SELECT count(*) AS n_rows, CAST({len(RULES)} AS BIGINT) AS n_rules, CAST({' + '.join(f'CAST(coalesce(bool_or({q}), false) AS INT)' for q in RULE_SQL.values())} AS BIGINT) AS rules_violated, count(*) FILTER ({' OR '.join(f'coalesce({q}, false)' for q in RULE_SQL.values())}) AS failing_rows FROM orders",
+        ),
+        "v19_modulo": (
+            _rule(Rule("x", "custom", "c_nationkey", {"logic": "(row['c_nationkey'] - 12) % 5 == 3 and (row['c_nationkey'] - 12) % -7 < -2"}), "customer", ["c_custkey"]),
+            "WITH t AS (SELECT c_custkey, c_nationkey - 12 AS k FROM customer) SELECT c_custkey FROM t WHERE ((k % 5) + 5) % 5 = 3 AND -(((-k % 7) + 7) % 7) < -2",
+        ),
+        "v19_gaps": (
+            lambda s, d: masks(_t(s, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("kind")), [Rule("a", "custom", "kind", {"logic": "row['kind'] != 'click' and not row['value'] > 50"})])[0].where("_v_a").select("event_id"),
+            "SELECT event_id FROM events WHERE coalesce(CASE WHEN event_id % 5 <> 0 THEN event_type END <> 'click', true) AND NOT coalesce(CASE WHEN event_id % 7 <> 0 THEN value END > 50, false)",
         ),
         "j9_duplicate_columns": (
             lambda s, d: _rounded(R.duplicate_columns(value_histogram(_t(s, d, "lineitem").select("l_orderkey", F.col("l_orderkey").alias("l_copy"), "l_partkey"), "lineitem")), 6, "jaccard"),

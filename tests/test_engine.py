@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from siltmark.functions import canon
 from siltmark.operators import detectors, names, profile, relations
 from siltmark.operators.histogram import value_histogram
-from siltmark.operators.rules import Rule, Unsupported, compile_expression, compile_rule, masks, referential, sibling_lookup
+from siltmark.operators.rules import Rule, Unsupported, compile_expression, masks, referential, rule_summary, rule_totals, sibling_lookup, violation_records
 from siltmark.plans import registry
 from siltmark.sources import readers
 
@@ -38,7 +38,7 @@ def test_entry(spark):
 
 def bad(spark, rows, schema, rule):
     df = spark.createDataFrame(rows, schema)
-    return [r[0] for r in df.select(df.columns[0], compile_rule(df, rule).alias("b")).where("b").orderBy(df.columns[0]).collect()]
+    return [r[0] for r in masks(df, [rule])[0].where(f"`_v_{rule.rule_id}`").select(df.columns[0]).orderBy(df.columns[0]).collect()]
 
 
 @pytest.mark.parametrize(
@@ -81,6 +81,27 @@ def test_expressions(spark):
     assert [r.rule_id for r in masks(df, [Rule("x", "custom", "a", {"logic": "eval('1')"}), Rule("y", "cross_table_semantic", "a")])[2]] == ["x", "y"]
 
 
+def test_rules_that_cannot_be_checked(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string")
+    for rule in (Rule("1", "not_null", "absent"), Rule("1", "format", "absent", {"regex": "x"}), Rule("1", "date_ordering", "v", {"col_a": "v", "col_b": "absent"}), Rule("1", "custom", "v", {"logic": "row['absent'] > 1"}), Rule("1", "referential", "v", {"ref_table": "t", "ref_column": "k"})):
+        assert masks(df, [rule])[2]
+        for checked in (rule_summary, rule_totals):
+            with pytest.raises(Unsupported):
+                checked(df, [rule])
+            assert checked(df, [rule], skip=True).columns
+        with pytest.raises(Unsupported):
+            violation_records(df, [rule], ["id"])
+        assert violation_records(df, [rule], ["id"], skip=True).count() == 0
+
+
+def test_expressions_read_gaps_and_remainders_as_python_does(spark):
+    df = spark.createDataFrame([(1, -7, "x"), (2, 7, None), (3, None, "y"), (4, 0, "x")], "id int, n int, v string")
+    hits = lambda logic: [r.id for r in df.where(compile_expression(df, logic)).orderBy("id").collect()]
+    assert hits("row['n'] % 3 == 2") == [1] and hits("row['n'] % -3 == -2") == [2] and hits("row['n'] % 0 == 0") == []
+    assert hits("row['v'] != 'x'") == [2, 3] and hits("row['v'] == 'x'") == [1, 4] and hits("not row['n'] > 0") == [1, 3, 4]
+    assert hits("row['v'] not in ['x']") == [2, 3] and hits("row['v'] in ['x']") == [1, 4]
+
+
 def test_referential_and_sibling(spark):
     child = spark.createDataFrame([(1, "10.05"), (2, "7"), (3, None), (4, "1.0")], "id int, k string")
     parent = spark.createDataFrame([("10.05", "x"), ("1", "y"), ("2", "p"), ("2", "q")], "k string, v string")

@@ -85,7 +85,7 @@ def test_rules_on_other_tables(spark):
     child = spark.createDataFrame([(1, "a"), (2, "z"), (3, None)], "id int, k string")
     tables = {"p": spark.createDataFrame([("a",), ("b",), ("a",)], "k string"), "child": child}
     rules = [Rule("1", "referential", "k", {"ref_table": "p", "ref_column": "k"}), Rule("2", "referential_cross_table", "id", {"parent_table": "child", "parent_column": "id"}), Rule("3", "referential_cross_table", "k", {"parent_table": "no", "parent_column": "k"}), Rule("4", "not_null", "k")]
-    assert {r.rule_id: r.violations for r in rule_summary(child, rules, tables=tables).collect()} == {"1": 1, "2": 0, "4": 1}
+    assert {r.rule_id: r.violations for r in rule_summary(child, rules, tables=tables, skip=True).collect()} == {"1": 1, "2": 0, "4": 1}
 
 
 def test_replies():
