@@ -213,7 +213,7 @@ def _able(left: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows of `left` with c, n and regs of nodes that may link to another one; twice, as what is set aside takes its shingles with it."""
     able = _shareable(left.select("id").distinct(), nodes, texts)
     rows = materialise(left.join(able, "id"), "able")
-    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    least = materialise(rows.groupBy("key").agg(F.min("n").alias("least")), "least")
     ids = rows.join(least, "key").where(_may_link(F.col("c"), F.col("n"), F.col("least"))).select("id").distinct()
     able = materialise(_shareable(ids, nodes, texts), "able")
     return left.join(able.join(nodes.select("id", "regs", "cells"), "id"), "id")

@@ -351,7 +351,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
             got = [scorer.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([g[i] for g in got], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
 
-    table = rows.select("text", "y").mapInArrow(run, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").collect()
+    table = rows.select("text", "y").mapInArrow(run, "y int, a double, b double, c double").collect()
+    table.sort()  # as many rows as the fit has: in one order, whatever the order of tasks
     return Model(lexicon, fit_logistic(np.array([r[1:] for r in table]), np.array([r[0] for r in table], float)).tolist())
 
 
