@@ -54,6 +54,12 @@ def length_distribution(vh: DataFrame) -> DataFrame:
     return with_share(by)
 
 
+def length_summary(vh: DataFrame) -> DataFrame:
+    """Average length of values and the length that 95 % of them do not exceed (interpolated), over counts by length."""
+    by = vh.where(canon.is_value(F.col("value"))).groupBy("table", "column", F.char_length("value").alias("length")).agg(F.sum("cnt").alias("cnt"))
+    return by.groupBy("table", "column").agg((F.sum(F.col("length") * F.col("cnt")) / F.sum("cnt")).alias("avg_length"), F.percentile(F.col("length"), 0.95, F.col("cnt")).alias("p95_length"))
+
+
 def permissible_values(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Values of columns that have few of them."""
     values = vh.where(canon.is_value(F.col("value")))

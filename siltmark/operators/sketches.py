@@ -22,8 +22,6 @@ def column_kinds(vh: DataFrame) -> DataFrame:
         F.sum(w).alias("n"),
         F.count_distinct(v).alias("d"),
         (F.sum(F.char_length(v) * w) / F.sum(w)).alias("avg_len"),
-        (F.sum(F.when(v.rlike(r"^\d+$"), w).otherwise(0)) / F.sum(w)).alias("digits"),
-        F.percentile(F.char_length(v), 0.95, w).alias("p95"),
     )
     named = F.lower(F.regexp_replace("column", "(?<=[a-z])(?=[A-Z])", "_")).rlike(f"(^|[^a-z0-9])({'|'.join(ID_TOKENS)})($|[^a-z0-9])")
     ratio = F.col("d") / F.col("n")
@@ -86,12 +84,12 @@ def sketch_resemblance(sketches: DataFrame, threshold: float = EXACT_THRESHOLD)
     return found.select("table_a", "column_a", "table_b", "column_b", (same / F.size("sketch_a")).alias("estimate"))
 
 
-def similar_columns(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def similar_columns(vh: DataFrame, config: Config = DEFAULT, kinds: DataFrame | None = None) -> DataFrame:
     """Pairs of columns with compatible kinds whose values or k-grams are alike enough; both similarities are given.
 
     Numbers are compared where both are keys, or within a table.
     """
-    kinds = column_kinds(vh)
+    kinds = column_kinds(vh) if kinds is None else kinds
     some = vh.join(F.broadcast(sketchable(kinds, config)), ["table", "column"])
     names = ["table_a", "column_a", "table_b", "column_b"]
     exact = resemblance(value_tokens(some)).withColumnRenamed("jaccard", "exact").drop("shared")
