@@ -14,7 +14,7 @@ from siltmark.operators import relations as R
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.rules import Rule, masks, referential, rule_summary, rule_totals, sibling_lookup, violation_records
 from siltmark.operators.sketches import column_kinds
-from siltmark.plans import columns, extra, paths
+from siltmark.plans import columns, extra, files, paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = {
@@ -145,7 +145,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         ),
         "a10_length_summary": (
             lambda s, d: _rounded(P.length_summary(text(s, d)), 6, "avg_length", "p95_length"),
-            f'{VH} SELECT "table", "column", round(sum(length(value) * cnt) / sum(cnt), 6) AS avg_length, round(quantile_cont(length(value), 0.95), 6) AS p95_length FROM (SELECT *, unnest(range(cnt)) FROM v) v GROUP BY 1, 2',
+            f'{VH} SELECT "table", "column", round(avg(length(value)), 6) AS avg_length, round(quantile_cont(length(value), 0.95), 6) AS p95_length FROM (SELECT *, unnest(range(cnt)) FROM v) v GROUP BY 1, 2',
         ),
         "e3_permissible_values": (lambda s, d: P.permissible_values(text(s, d)), f'{VH}, n AS (SELECT "table", "column" FROM v GROUP BY 1, 2 HAVING count(*) <= 50) SELECT "table", "column", value FROM v JOIN n USING ("table", "column")'),
         "m3_fingerprints": (
@@ -253,7 +253,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     gaps = lambda s, d: _t(s, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     for name, rule in (("v5_null_consistency_gaps", Rule("a", "null_consistency", "", {"col_a": "event_id", "col_b": "value"})), ("v13_not_null_gaps", Rule("a", "not_null", "value"))):
         out[name] = (lambda s, d, rule=rule: masks(gaps(s, d), [rule])[0].where("_v_a").select("event_id"), "SELECT event_id FROM events WHERE event_id % 7 = 0 OR value IS NULL")
-    return out | extra.catalog() | columns.catalog() | paths.catalog()
+    return out | extra.catalog() | columns.catalog() | paths.catalog() | files.catalog()
 
 
 def queries() -> dict[str, Query]:

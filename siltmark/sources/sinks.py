@@ -8,6 +8,7 @@ import html
 import json
 import math
 import os
+import shutil
 from collections.abc import Iterable
 from dataclasses import asdict, is_dataclass
 from typing import Any
@@ -80,6 +81,11 @@ def run_folder(base: str, names: Iterable[str], now: datetime.datetime | None =
     return out
 
 
+def pack(folder: str) -> str:
+    """The files of a run's folder as an archive beside it."""
+    return shutil.make_archive(folder.rstrip("/"), "zip", folder)
+
+
 def relationship_lines(paths: list[dict]) -> list[str]:
     """Join paths as text: foreign keys, then one-to-one keys, then shared domains; the best coverage first."""
     order = {"foreign_key": 0, "one_to_one_key": 1, "shared_value_domain": 2}

@@ -148,17 +148,35 @@ def test_names(spark):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("Na me,x/y,x/y\ncafé,NA,1\n".encode("cp1252"))
+    (tmp_path / "a.csv").write_bytes("Na me,x/y,x/y\ncafé “x” €,NA,1\n".encode("cp1252"))
     (tmp_path / "b.json").write_text('{"v": 1, "rows": [{"a": 1, "b": {"c": 2}}, {"a": 3, "b": {"c": 4}}]}')
     (tmp_path / "c.geojson").write_text('{"features": [{"properties": {"n": "p"}, "geometry": {"type": "Point"}}]}')
-    got = readers.read_all(spark, [p for p in readers.discover(str(tmp_path)) if p.endswith("json")])
+    (tmp_path / "d.txt").write_text("p;q\n1;x,y\n")
+    (tmp_path / "lines.json").write_text('{"a": {"z": 1, "b": null}}\n{"a": {"z": 2, "b": "x"}}\n')
+    found = readers.discover(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[1] for f in found] == ["a.csv", "b.json", "c.geojson", "d.txt", "lines.json"]
+    got = readers.read_all(spark, found)
     assert [tuple(r) for r in got["b"].select("a", "`b.c`", "v").orderBy("a").collect()] == [(1, 2, 1), (3, 4, 1)]
-    assert got["c"].first()["_geometry_type"] == "Point"
-    row = readers.clean(readers.read_csv(spark, str(tmp_path / "a.csv"))).first().asDict()
-    assert "café" in row.values() and None in row.values()
+    assert got["c"].first()["_geometry_type"] == "Point" and got["d"].first().asDict() == {"p": "1", "q": "x,y"}
+    assert got["lines"].columns == ["a.b", "a.z"] and got["lines"].count() == 2
+    row = readers.clean(got["a"]).first().asDict()
+    assert "café “x” €" in row.values() and None in row.values()
     assert readers.clean_names([" a b", "a/b", "a-b"]) == ["a_b", "a_b_1", "a_b_2"]
+    nested = spark.createDataFrame([((1, [("q", None)]), {"y": 1, "a": 2})], "n struct<z:int,b:array<struct<t:string,c:string>>>, m map<string,int>")
+    assert tuple(readers.clean(nested).first()) == ('{"b":[{"c":null,"t":"q"}],"z":1}', '{"a":2,"y":1}')
     with pytest.raises(ValueError):
-        readers.read_file(spark, "x.txt")
+        readers.read_file(spark, "x.doc")
+
+
+def test_encodings(spark, tmp_path):
+    for name, text, code in (("utf8", "é,ß", "utf-8"), ("mark", "é,ß", "utf-8-sig"), ("wide", "é,ß", "utf-16"), ("latin", "é,ß", "iso-8859-1"), ("windows", "é“,€", "cp1252")):
+        path = tmp_path / f"{name}.csv"
+        path.write_bytes(f"k,v\n{text}\n".encode(code))
+        df = readers.read_csv(spark, str(path))
+        assert df.columns == ["k", "v"] and tuple(df.first()) == tuple(text.split(",")), name
+    (tmp_path / "two.csv").write_text('k,v\n1,"a\nb ""c"""\n2,x\n')
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "two.csv")).collect()] == [("1", 'a\nb "c"'), ("2", "x")]
+    assert readers.head_of(spark, str(tmp_path / "two.csv"))[:3] == b"k,v"
 
 
 def test_canon(spark):
