@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.config import DEFAULT, SUSPICIOUS, Config
+from siltmark.config import DEFAULT, EMAIL, SUSPICIOUS, Config
 from siltmark.functions import canon
 from siltmark.operators import profile
 
@@ -24,9 +24,17 @@ def suspicious_values(vh: DataFrame) -> DataFrame:
 
 
 def sample_values(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A few values of each column, in a fixed order that a hash gives: table, column, value."""
-    w = Window.partitionBy("table", "column").orderBy(F.xxhash64("value"), "value")
-    return vh.where(canon.is_value(F.col("value"))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= config.max_sample_values).select("table", "column", "value")
+    """A few values of each column, in a fixed order that a hash gives: table, column, value.
+
+    Values that are none of their column are left out: malformed addresses, and what is no number in a column of numbers.
+    """
+    v = F.col("value")
+    types = profile.column_types(vh).select("table", "column", F.col("storage_type").isin("int64", "float64").alias("numeric"))
+    # a row for each column
+    rows = vh.where(canon.is_value(v)).join(F.broadcast(types), ["table", "column"])
+    fits = (~F.lower("column").contains("email") | canon.strip(v).rlike(EMAIL)) & (~F.col("numeric") | canon.try_number(canon.strip(v)).isNotNull())
+    w = Window.partitionBy("table", "column").orderBy(F.md5("value"), "value")
+    return rows.where(fits).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= config.max_sample_values).select("table", "column", "value")
 
 
 def coercibility(shapes: list[tuple[str, float]]) -> dict:

@@ -83,17 +83,21 @@ def sentinel_rules(df: DataFrame, bounds: dict[str, tuple[float, float]], rules:
     return [Rule("", "sentinel_check", c, {"numbers": sorted(found[c])}, f"{c} must not hold placeholder numbers") for c in bounds if c in found]
 
 
-def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], paths: Iterable[dict] = (), bounds: dict[str, tuple[float, float]] | None = None, codes: Iterable[str] = (), config: Config = DEFAULT) -> list[Rule]:
-    """`rules` with what the data themselves ask for: references, uniqueness, code formats and sentinels, numbered anew. `bounds` are of numeric columns, `codes` such that are meant as text."""
+def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], paths: Iterable[dict] = (), bounds: dict[str, tuple[float, float]] | None = None, codes: Iterable[str] = (), config: Config = DEFAULT, unique: list | None = None, formats: list | None = None) -> list[Rule]:
+    """`rules` with what the data themselves ask for: references, uniqueness, code formats and sentinels, numbered anew.
+
+    `bounds` are of numeric columns, `codes` such that are meant as text; `unique` and `formats` are the rows of `uniqueness_candidates` and
+    `code_formats` of all tables, where they have been read.
+    """
     mine = vh.where(F.col("table") == table)
     out = [*rules]
     out += reference_rules(table, paths, out)
-    for r in sorted(uniqueness_candidates(mine, config).collect()):
-        if not has(out, "uniqueness", r["column"]):
+    for r in sorted(uniqueness_candidates(mine, config).collect() if unique is None else unique):
+        if r["table"] == table and not has(out, "uniqueness", r["column"]):
             out.append(Rule("", "uniqueness", r["column"], {}, f"{r['column']} must be unique within {table}"))
     codes = set(codes)
-    for r in sorted(code_formats(mine).collect()):
-        if r["column"] in codes and not has(out, "format", r["column"]):
+    for r in sorted(code_formats(mine).collect() if formats is None else formats):
+        if r["table"] == table and r["column"] in codes and not has(out, "format", r["column"]):
             out.append(Rule("", "format", r["column"], {"regex": rf"^\d{{{r['digits']}}}$"}, f"{r['column']} must be a {r['digits']}-digit code"))
     out += sentinel_rules(df, {c: b for c, b in (bounds or {}).items() if c not in codes}, out)
     return renumber(out)

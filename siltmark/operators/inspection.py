@@ -138,6 +138,12 @@ def measures(values: DataFrame, declared: dict[tuple[str, str], str] | None = No
     )
 
 
+def known_columns(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, config: Config = DEFAULT) -> DataFrame:
+    """The measures of all columns, read once: a row for each column, which the plans that use them hold as a table."""
+    found = measures(stripped(vh), declared, config)
+    return vh.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
 def column_types(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, config: Config = DEFAULT) -> DataFrame:
     """table, column, storage_type and intended_type of each column."""
     return measures(stripped(vh), declared, config).select("table", "column", F.col("storage").alias("storage_type"), F.col("intended").alias("intended_type"))
@@ -175,13 +181,13 @@ def _faults(config: Config) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def column_errors(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, foreign_keys: list[tuple[str, str]] = (), config: Config = DEFAULT, faults: tuple[str, ...] = ()) -> DataFrame:
+def column_errors(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, foreign_keys: list[tuple[str, str]] = (), config: Config = DEFAULT, faults: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
     """table, column, fault, n (rows), share (of all rows) and examples (the five least values) of each fault that a column has.
 
-    All faults are looked for, or those of `faults`. Repeated keys are no fault of `foreign_keys`. Near-duplicate values are grouped: `examples` are then the least groups, `n` their rows.
+    All faults are looked for, or those of `faults`; `known` are the columns' measures, if they have been read. Repeated keys are no fault of `foreign_keys`. Near-duplicate values are grouped: `examples` are then the least groups, `n` their rows.
     """
     values = stripped(vh)
-    known = measures(values, declared, config)
+    known = known_columns(vh, declared, config) if known is None else known
     # a row for each column: of metadata size
     rows = values.join(F.broadcast(known.drop("chars")), ["table", "column"])
     is_foreign = F.lit(False)

@@ -67,14 +67,17 @@ def permissible_values(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return values.join(few.select("table", "column"), ["table", "column"]).select("table", "column", "value")
 
 
-def fingerprints(vh: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent character-class shapes of each column, with their share."""
-    by = vh.where(canon.is_value(F.col("value"))).groupBy("table", "column", canon.fingerprint(F.col("value")).alias("fingerprint")).agg(F.sum("cnt").alias("cnt"))
+def fingerprints(vh: DataFrame, k: int = 10, examples: int = 3) -> DataFrame:
+    """The k most frequent character-class shapes of each column, with their share and some examples (the least values)."""
+    values = vh.where(canon.is_value(F.col("value"))).withColumn("fingerprint", canon.fingerprint(F.col("value")))
+    by = values.groupBy("table", "column", "fingerprint").agg(F.sum("cnt").alias("cnt"))
     w = Window.partitionBy("table", "column").orderBy(F.desc("cnt"), "fingerprint")
     # the rank is bounded before the totals are joined, so that each task keeps k rows of a column
     ranked = by.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     totals = by.groupBy("table", "column").agg(F.sum("cnt").alias("_total"))
-    return ranked.join(totals, ["table", "column"]).withColumn("share", F.col("cnt") / F.col("_total")).drop("_total")
+    first = values.withColumn("_r", F.row_number().over(Window.partitionBy("table", "column", "fingerprint").orderBy("value"))).where(F.col("_r") <= examples)
+    shown = first.groupBy("table", "column", "fingerprint").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    return ranked.join(totals, ["table", "column"]).join(shown, ["table", "column", "fingerprint"]).withColumn("share", F.col("cnt") / F.col("_total")).drop("_total")
 
 
 def known_patterns(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:

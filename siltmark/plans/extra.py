@@ -148,6 +148,11 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
             lambda s, d: facts.suspicious_values(_vh(s, d, {"orders": ["o_orderkey"]})),
             "SELECT 'orders' AS \"table\", 'o_orderkey' AS \"column\", CAST(o_orderkey AS VARCHAR) AS value, count(*) AS cnt FROM orders WHERE regexp_matches(CAST(o_orderkey AS VARCHAR), '^(0{3,}|1{3,}|9{3,})$') GROUP BY 3",
         ),
+        "e2_f10_sample_values": (
+            lambda s, d: facts.sample_values(dirty_vh(s, d, "email", "num", "city")),
+            f"""{fx}, r AS (SELECT 'email' AS "column", email AS value FROM fx UNION ALL SELECT 'num', num FROM fx UNION ALL SELECT 'city', city FROM fx), v AS (SELECT DISTINCT * FROM r WHERE value IS NOT NULL AND lower(value) NOT IN ({TOKENS}) AND ("column" <> 'email' OR regexp_matches(value, '^[^@\s]+@[^@\s]+$')))
+            SELECT 'fx' AS "table", "column", value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY md5(value), value) AS k FROM v) WHERE k <= 5""",
+        ),
         "p17_row_slice": (
             lambda s, d: casts.row_slice(casts.with_row_id(_t(s, d, "orders").select("o_orderkey"), ["o_orderkey"]), 100, 50),
             "SELECT o_orderkey, i AS _row_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i BETWEEN 100 AND 149",

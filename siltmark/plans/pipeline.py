@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from siltmark.config import DEFAULT, Config
 from siltmark.functions import canon
-from siltmark.operators import detectors, facts, generate, relations, samples, sketches
+from siltmark.operators import casts, detectors, facts, generate, inspection, relations, samples, sketches
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.identifier import record_identifiers
-from siltmark.operators.rules import Rule, masks, rule_summary, sample_violations, violation_records
+from siltmark.operators.rules import Rule, masks, rule_summary, rule_totals, sample_violations, violation_records
+from siltmark.plans import judging
 from siltmark.plans.replies import SUSPECT_RATE, Offline, Provider, Remembering, with_references
 from siltmark.sources import readers, sinks
 
@@ -32,6 +33,11 @@ class Result:
     summaries: dict[str, list[dict]]
     records: dict[str, DataFrame]
     unsupported: dict[str, list[Rule]] = field(default_factory=dict)
+    #: Rows (rule_id, key) that the provider finds in breach of rules that do not compile, where it looks at rows.
+    judged: dict[str, DataFrame] = field(default_factory=dict)
+    totals: dict[str, dict] = field(default_factory=dict)
+    #: What the provider says of each table, of the relationships and of the whole.
+    texts: dict[str, str] = field(default_factory=dict)
     folder: str | None = None
 
 
@@ -55,15 +61,26 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
         found = facts.column_facts(vh, config)
         columns = [(t, c) for t, df in tables.items() for c in df.columns]
         paths = [r.asDict() for r in relations.join_paths(vh, spark, columns, config, sketches.column_kinds(vh)).collect()]
-        codes = {(r["table"], r["column"]): r["digits"] for r in generate.code_formats(vh).collect()}
+        formats, unique = generate.code_formats(vh).collect(), generate.uniqueness_candidates(vh, config).collect()
+        codes = {(r["table"], r["column"]): r["digits"] for r in formats}
         keys = {(r["table"], r["column"]) for r in sketches.column_kinds(vh).where("kind = 'key_like'").collect()}
         truth: dict[tuple[str, str], dict[bool, str]] = {}
         for r in generate.truth_spellings(vh).collect():
             truth.setdefault((r["table"], r["column"]), {})[r["truth"]] = r["value"]
+        declared = inspection.declared_types(tables)
+        known = inspection.known_columns(vh, declared, config)
+        intended = {(r["table"], r["column"]): r["intended"] for r in known.select("table", "column", "intended").collect()}
+        foreign = [tuple(p["child"].split(".", 1)) for p in paths if p["interpretation"] == "foreign_key"]
+        errors: dict[tuple[str, str], list[str]] = {}
+        for r in inspection.column_errors(vh, declared, foreign, config, known=known).orderBy("table", "column", "fault").collect():
+            errors.setdefault((r["table"], r["column"]), []).append(f"{r['n']} rows ({r['share']:.1%}) {r['fault'].replace('_', ' ')}" + (f", such as {', '.join(r['examples'])}" if r["examples"] else ""))
+        decisions = casts.decide(vh, config)
         ids = {r["table"]: r["column"] for r in record_identifiers(vh).collect()}
         out = Result({}, paths, {}, {}, {})
         for t, df in tables.items():
-            rows = [found[t, c] | {"storage_type": _kind(df, c, found[t, c]["storage_type"])} for c in df.columns if (t, c) in found]
+            profiled = dict(casts.auto_cast(casts.dates_in_bounds(df), t, decisions, upper=True).dtypes)
+            more = lambda c: {"intended_type": intended.get((t, c)), "errors": errors.get((t, c), []), "profile_type": (d.schema if (d := decisions.get((t, c))) else None) or profiled[c]}  # noqa: B023, E731
+            rows = [found[t, c] | {"storage_type": _kind(df, c, found[t, c]["storage_type"])} | more(c) for c in df.columns if (t, c) in found]
             numeric = [c for c in _numeric(df, {r["column"]: r["storage_type"] for r in rows}) if (t, c) not in keys]
             fences = {c: (f.lower, f.upper) for c, f in detectors.fences(df, numeric).items()}
             said = with_references(provider.describe(t, [facts.evidence(r, config) for r in rows]), paths, t)
@@ -75,7 +92,7 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
                 provider.propose(t, rows, sample), [c for u, c in keys if u == t], fences, {c: n for c, n in coded.items() if c in numeric},
                 {r["column_name"]: r["recommended_actions"] for r in said}, {c: v for (u, c), v in truth.items() if u == t}, config,
             )
-            rules = generate.supplement(t, vh, df, proposed, paths, fences, coded, config)
+            rules = generate.supplement(t, vh, df, proposed, paths, fences, coded, config, unique, formats)
             summary = _check(df, rules, tables, config)
             for _ in range(MAX_ROUNDS):
                 suspect = _inspected(provider, t, df, rules, [s for s in summary if (s["rate"] or 0) >= SUSPECT_RATE], key, tables, config)
@@ -85,8 +102,15 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
                 rules, summary = revised, _check(df, revised, tables, config)
             out.rules[t], out.summaries[t] = rules, summary
             out.unsupported[t] = masks(df, rules, config, tables)[2]
+            judge = getattr(provider, "judge", None)
+            if out.unsupported[t] and key and judge and (look := judge()):
+                out.judged[t] = judging.judged(df, out.unsupported[t], key, look, tables)
+            out.totals[t] = rule_totals(df, rules, config, tables, skip=True).first().asDict()
+            out.texts[t] = provider.summarise(f"The table {t}", [s for r in rows for s in (*[f"{r['column']}: {x}" for x in facts.sentences(r)], *[f"{r['column']}: {x}" for x in r["errors"]])])
             if summary:
                 out.records[t] = violation_records(df, rules, [ids.get(t, df.columns[0])], config, tables, skip=True)
+        out.texts["relationships"] = provider.summarise("Relationships of the tables", sinks.relationship_lines(paths))
+        out.texts["overall"] = provider.summarise("All tables", [f"{t}: {out.totals[t]['failing_rows']} of {out.totals[t]['n_rows']} rows break a rule" for t in tables])
         return out
     finally:
         vh.unpersist()
@@ -137,10 +161,12 @@ def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | No
         sinks.write_dictionary_csv(result.dictionaries[t], at(f"{t}_dictionary.csv"))
         sinks.write_json({"rules": [asdict(r) for r in result.rules[t]], "unsupported": [r.rule_id for r in result.unsupported[t]]}, at(f"{t}_rules.json"))
         sinks.write_json(result.summaries[t], at(f"{t}_checks.json"))
+        if t in result.judged:
+            sinks.write_rows(result.judged[t], at(f"{t}_judged"))
         if t in result.records:
             sinks.write_rows(result.records[t], at(f"{t}_violations"))
     sinks.write_json(result.relationships, at("relationships.json"))
-    payload = sinks.report_payload(result.dictionaries, result.relationships, result.summaries)
+    payload = sinks.report_payload(result.dictionaries, result.relationships, result.summaries) | {"totals": result.totals, "texts": result.texts}
     sinks.write_json(payload, at("report.json"))
     text = sinks.report_markdown(payload, result.dictionaries)
     for name, body in (("report.md", text), ("report.html", sinks.report_html(text))):

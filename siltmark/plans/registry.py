@@ -149,8 +149,8 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
         ),
         "e3_permissible_values": (lambda s, d: P.permissible_values(text(s, d)), f'{VH}, n AS (SELECT "table", "column" FROM v GROUP BY 1, 2 HAVING count(*) <= 50) SELECT "table", "column", value FROM v JOIN n USING ("table", "column")'),
         "m3_fingerprints": (
-            lambda s, d: _rounded(_longs(P.fingerprints(text(s, d)), "cnt", "rank"), 6, "share"),
-            f"""{VH}, f AS (SELECT "table", "column", regexp_replace(regexp_replace(value, '\\p{{L}}', 'a', 'g'), '\\p{{Nd}}', 'X', 'g') AS fingerprint, CAST(sum(cnt) AS BIGINT) AS cnt FROM v GROUP BY 1, 2, 3),
+            lambda s, d: _rounded(_longs(P.fingerprints(text(s, d)), "cnt", "rank"), 6, "share").withColumn("examples", F.concat_ws(" | ", "examples")),
+            f"""{VH}, f AS (SELECT "table", "column", regexp_replace(regexp_replace(value, '\\p{{L}}', 'a', 'g'), '\\p{{Nd}}', 'X', 'g') AS fingerprint, CAST(sum(cnt) AS BIGINT) AS cnt, array_to_string(list_sort(list(value))[1:3], ' | ') AS examples FROM v GROUP BY 1, 2, 3),
             r AS (SELECT *, round(cnt / sum(cnt) OVER (PARTITION BY "table", "column"), 6) AS share, row_number() OVER (PARTITION BY "table", "column" ORDER BY cnt DESC, fingerprint) AS rank FROM f) SELECT * FROM r WHERE rank <= 10""",
         ),
         "m2_known_patterns": (

@@ -11,6 +11,7 @@ from typing import Any, Protocol
 
 from siltmark.operators.generate import offline_rules
 from siltmark.operators.rules import Rule
+from siltmark.plans.judging import Judge, prompting_judge
 from siltmark.plans.ordering import Embed, semantic_chunks, trigram_vectors
 from siltmark.sources import sinks
 
@@ -118,6 +119,10 @@ class Prompting(Offline):
         revised = self._ask(prompt, lambda reply: rules_of(parse_reply(reply)))
         return revised or rules
 
+    def judge(self) -> Judge:
+        """What looks at rows for rules that do not compile; it goes to the executors with `call`."""
+        return prompting_judge(self.call)
+
     def summarise(self, subject: str, facts: list[str]) -> str:
         return without_thoughts(self.call(f"Summarise in one paragraph. {subject}\n" + "\n".join(facts))).strip() or super().summarise(subject, facts)
 
@@ -156,6 +161,10 @@ class Remembering:
     def revise(self, table: str, rules: list[Rule], suspect: list[dict]) -> list[Rule]:
         return [Rule(**r) for r in self._kept("revision", table, [rules, suspect], lambda: self.provider.revise(table, rules, suspect))]
 
+    def judge(self) -> Judge | None:
+        made = getattr(self.provider, "judge", None)
+        return made() if made else None
+
     def summarise(self, subject: str, facts: list[str]) -> str:
         return self._kept("summary", "", [subject, facts], lambda: self.provider.summarise(subject, facts))
 

@@ -209,3 +209,34 @@ def test_inspection_and_memory(spark, tmp_path):
 def test_repeats(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "k string")
     assert rule_summary(df, [Rule("1", "uniqueness", "k"), Rule("2", "not_null", "k")]).collect()[0].violations == 2
+
+
+def test_rows_are_judged_in_batches(spark):
+    from siltmark.plans import judging
+
+    df = spark.createDataFrame([(i, f"k{i % 3}", f"v{i}") for i in range(25)], "id int, k string, v string")
+    parent = spark.createDataFrame([("k0", "zero"), ("k1", "one"), ("k2", "two"), ("k2", "again")], "k string, name string")
+    rules = [Rule("7", "cross_table_semantic", "k", {"parent_table": "p", "parent_column": "k", "join_col": "k", "take": ["name"], "logic": "row['v'] fits"}, "a name of one")]
+
+    def judge(said, rows):
+        assert len(rows) <= 4 and set(rows[0]) == {"_key", "k", "v", "p__name"} and said[0]["rule_id"] == "7"
+        return judging.read_judgement([{"rule_id": "7", "failing": [r["_key"] for r in rows if r["p__name"] == "one"]}], said, rows)
+
+    got = judging.judged(df, rules, "id", judge, {"p": parent}, batch=4).collect()
+    assert {(r.rule_id, r.key) for r in got} == {("7", str(i)) for i in range(25) if i % 3 == 1}
+    assert judging.judged(df, [], "id", judge).count() == 0
+    for reply in ([], [{"rule_id": "8", "failing": []}], [{"rule_id": "7", "failing": ["99"]}], [{"rule_id": "7", "failing": "1"}]):
+        with pytest.raises(ValueError):
+            judging.read_judgement(reply, [{"rule_id": "7"}], [{"_key": "1"}])
+    call = judging.prompting_judge(lambda prompt: 'so: [{"rule_id": "7", "failing": ["1"]}]')
+    assert call([{"rule_id": "7"}], [{"_key": "1"}]) == {"7": ["1"]}
+
+
+def test_run_lists_types_faults_totals_and_texts(spark):
+    df = spark.createDataFrame([(i, f"u{i}@x.com" if i % 9 else "bad", "yes" if i % 2 else "no", str(20230101 + i % 28)) for i in range(60)], "account_id int, email string, member string, day string")
+    got = pipeline.run_tables(spark, {"accounts": df})
+    rows = {r["column"]: r for r in got.dictionaries["accounts"]}
+    assert rows["day"]["intended_type"] == "datetime64[ns]" and rows["member"]["intended_type"] == "bool" and rows["member"]["profile_type"] == "categorical"
+    assert any("malformed email" in e and "bad" in e for e in rows["email"]["errors"]) and any("compact date" in e for e in rows["day"]["errors"])
+    assert "bad" not in rows["email"]["samples"] and got.totals["accounts"]["n_rows"] == 60
+    assert set(got.texts) == {"accounts", "relationships", "overall"} and "break a rule" in got.texts["overall"]
