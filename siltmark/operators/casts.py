@@ -88,10 +88,11 @@ def drop_duplicate_columns(df: DataFrame, pairs: list[tuple[str, str]], keep: st
 def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
     """`_row_id` from 0 without gaps in the order of `order`.
 
-    The rows are range-partitioned and sorted once and kept, as both uses must see the same partitions; counts per partition
-    (one row each) give the offsets, so no task sees all rows.
+    The rows are range-partitioned and sorted once and kept (until the session drops them), as both uses must see the same partitions; counts per
+    partition (one row each) give the offsets, so no task sees all rows. Ties go by a hash of the row, so that equal keys are spread as well.
     """
-    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
+    keys = [*[F.col(c) for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).persist()
     local = placed.withColumn("_r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")

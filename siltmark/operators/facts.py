@@ -74,6 +74,16 @@ def uniformity(shapes: list[tuple[str, float]]) -> float:
     return round(max((p for _, p in shapes), default=0.0) / 100, 4)
 
 
+def extremes(vh: DataFrame) -> DataFrame:
+    """Least and greatest text, number and length of each column, the share of numbers, and of distinct values."""
+    v, w = F.col("value"), F.col("cnt")
+    x = canon.try_number(canon.strip(v))
+    return vh.where(canon.is_value(v)).groupBy("table", "column").agg(
+        F.min(v).alias("min_text"), F.max(v).alias("max_text"), F.min(x).alias("min_number"), F.max(x).alias("max_number"), F.min(F.char_length(v)).alias("min_length"), F.max(F.char_length(v)).alias("max_length"),
+        (F.sum(F.when(x.isNotNull(), w).otherwise(0)) / F.sum(w)).alias("numeric_share"), (F.count(F.lit(1)) / F.sum(w)).alias("uniqueness"),
+    )
+
+
 def column_facts(vh: DataFrame, config: Config = DEFAULT) -> dict[tuple[str, str], dict]:
     """Facts of each column by (table, column): counts, type, extremes, top values, shapes with advice, samples, permissible values.
 
@@ -85,13 +95,7 @@ def column_facts(vh: DataFrame, config: Config = DEFAULT) -> dict[tuple[str, str
         facts = {key(r): r.asDict() for r in profile.missing_profile(vh).collect()}
         for r in profile.column_types(vh).collect():
             facts[key(r)]["storage_type"] = r["storage_type"]
-        v, w = F.col("value"), F.col("cnt")
-        x = canon.try_number(canon.strip(v))
-        ends = vh.where(canon.is_value(v)).groupBy("table", "column").agg(
-            F.min(v).alias("min_text"), F.max(v).alias("max_text"), F.min(x).alias("min_number"), F.max(x).alias("max_number"), F.min(F.char_length(v)).alias("min_length"), F.max(F.char_length(v)).alias("max_length"),
-            (F.sum(F.when(x.isNotNull(), w).otherwise(0)) / F.sum(w)).alias("numeric_share"), (F.count(F.lit(1)) / F.sum(w)).alias("uniqueness"),
-        )
-        for r in ends.collect():
+        for r in extremes(vh).collect():
             facts[key(r)] |= r.asDict()
         lists = {"top_values": (profile.top_values(vh).orderBy("table", "column", "rank"), lambda r: (r["value"], r["cnt"])), "formats": (profile.fingerprints(vh).orderBy("table", "column", "rank"), lambda r: (r["fingerprint"], round(100 * r["share"], 1)))}
         lists |= {"samples": (sample_values(vh, config), lambda r: r["value"]), "permissible": (profile.permissible_values(vh, config).orderBy("table", "column", "value"), lambda r: r["value"])}

@@ -80,6 +80,18 @@ def fingerprints(vh: DataFrame, k: int = 10, examples: int = 3) -> DataFrame:
     return ranked.join(totals, ["table", "column"]).join(shown, ["table", "column", "fingerprint"]).withColumn("share", F.col("cnt") / F.col("_total")).drop("_total")
 
 
+def uniformity(vh: DataFrame) -> DataFrame:
+    """The share of the most frequent shape of each column."""
+    return fingerprints(vh, k=1).select("table", "column", F.col("share").alias("uniformity"))
+
+
+def quantile_table(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """column, share and value: exact quantiles of numeric columns."""
+    found = quantiles(df, {c: F.col(c) for c in columns}, shares)
+    rows = [(c, s, q) for c, (_, qs) in found.items() for s, q in zip(shares, qs, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column string, share double, value double")
+
+
 def known_patterns(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Counts of values that match well-known patterns from their start, in either case."""
     patterns = KNOWN_PATTERNS | (SINGAPORE_PATTERNS if config.country_patterns else {})
