@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, tune
+from siltmark.llm.common import has_columns, hold, make_room, tune
 
 #: White space of the Unicode standard.
 SPACE = r"\p{White_Space}"
@@ -355,6 +355,7 @@ class Encoder:
 
 
 _LOADED: dict[str, Encoder] = {}
+hold("bpe", _LOADED.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -397,6 +398,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ship: bool = Fa
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", tokens array<int>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("bpe")
         enc = encoder(_local(vocabulary, shipped))
         for batch in batches:
             coded = enc.encode_batch(_texts(batch.column(at)))
@@ -419,6 +421,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, ship: bool = False) -> Data
     shipped = _shipped(docs, vocabulary, ship)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("bpe")
         enc = encoder(_local(vocabulary, shipped))
         for batch in batches:
             coded = enc.encode_batch(_texts(batch.column(1)))

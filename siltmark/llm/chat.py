@@ -44,6 +44,8 @@ MAPPINGS = (
     Mapping("messages", ({"messages": [{"role": "r", "content": "c"}]}, {"id": 1, "messages": [{"role": "r", "content": "c"}]}), turns=("$.messages", "role", "content")),
     Mapping("conversations", ({"conversations": [{"from": "r", "value": "c"}]}, {"id": 1, "conversations": [{"from": "r", "value": "c"}]}), turns=("$.conversations", "from", "value")),
     Mapping("message", ({"role": "r", "content": "c"},), turn=("$.role", "$.content")),
+    Mapping("utterance", ({"from": "r", "value": "c"},), turn=("$.from", "$.value")),
+    Mapping("speech", ({"speaker": {"name": "r"}, "said": {"text": "c"}},), turn=("$.speaker.name", "$.said.text")),
 )
 
 
@@ -78,7 +80,8 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mappi
     df = df.withColumn("_paths", field_paths(F.col(record))).withColumn("fingerprint", F.xxhash64("_paths"))
     for m in reversed(mappings):
         known = [paths_of(e) for e in m.examples]
-        hit = F.col("_paths").isin(known)
+        # by the fingerprint; on a hit, the paths rule out that two layouts share one
+        hit = F.col("fingerprint").isin(*[F.xxhash64(F.lit(p)) for p in known]) & F.col("_paths").isin(known)
         if m.turns:
             path, role, text = m.turns
             got = F.transform(F.try_variant_get(v, path, f"array<struct<`{role}`:string,`{text}`:string>>"), _turn(role, text))
@@ -178,10 +181,21 @@ def format_records(df: DataFrame, record: str = "record") -> DataFrame:
     return format_turn_arrays(canonical_turns(df, record)).drop("parsed")
 
 
+#: Layouts that `records` writes, in turn by conv_id.
+WRITTEN = ("message", "utterance", "speech")
+
+
 def records(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn and one JSON record in the message layout for each row (conv_id, turn, role, text); null roles and texts are empty."""
-    message = F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.to_json(message).alias("record"))
+    """conv_id, turn and one JSON record for each row (conv_id, turn, role, text), of one of three layouts by conv_id, as from three sources; null roles and texts are empty."""
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    conv = F.col("conv_id").cast("long")
+    layouts = (
+        F.to_json(F.struct(role.alias("role"), text.alias("content"))),
+        F.to_json(F.struct(role.alias("from"), text.alias("value"))),
+        F.to_json(F.struct(F.struct(role.alias("name")).alias("speaker"), F.struct(text.alias("text")).alias("said"))),
+    )
+    at = F.pmod(conv, F.lit(len(WRITTEN)))
+    return conversations.select(conv.alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.when(at == 1, layouts[1]).when(at == 2, layouts[2]).otherwise(layouts[0]).alias("record"))
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
@@ -197,7 +211,11 @@ def conversations_of(rows: DataFrame) -> DataFrame:
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, layout, read back from the template."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, layout, read back from the template, of each conversation of rows (conv_id, turn, role, text).
+
+    Defined cases: null roles and texts are empty; rows without a conv_id are one conversation; rows of one turn go by role and text, repeated rows are
+    repeated turns; a conversation without assistant texts has no characters under the mask; other columns are ignored; no rows give none.
+    """
     done = format_turn_arrays(conversations_of(records(conversations))).drop("turns")
     # texts under the mask, cut from the turn that each span lies in: an offset into the whole text is found by walking it
     turn = lambda s, t: F.struct(s.alias("segment"), t["role"].alias("role"), (t["start"] - F.char_length(F.split(s, r"<\|text\|>", 2)[0]) - len(MIDDLE)).alias("at"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,26 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: What operators remember in a Python worker from task to task, by operator, and how it is dropped.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    _HELD[owner] = drop
+
+
+def make_room(owner: str) -> None:
+    """At the beginning of a task: drop what other operators remember in this worker, as workers serve one after another, and give freed memory back."""
+    for name, drop in _HELD.items():
+        if name != owner:
+            drop()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # of this C library only
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 

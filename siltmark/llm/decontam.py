@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, materialise, tune
+from siltmark.llm.common import has_columns, make_room, materialise, tune
 
 #: Passages in a block, and bytes of its spaces: bound what goes to every worker.
 BLOCK_ITEMS = 4_000
@@ -173,6 +173,7 @@ def document_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.n
     """How many documents hold each word of the vocabulary, and how many there are: one count for each task and word, summed up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("decontam")
         counts, n = np.zeros(len(vocab) + 1, np.int64), 0
         known = vocab.keys()
         for batch in batches:
@@ -349,6 +350,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(fit_block(texts, items))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make_room("decontam")
             block, cache = sent.value, {}
             for batch in batches:
                 rows = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, materialise, tune
+from siltmark.llm.common import has_columns, make_room, materialise, tune
 
 PACKET = 188
 SYNC = 0x47
@@ -261,6 +261,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", media binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("media")
         for batch in batches:
             made = [mux(padded((t or "").encode("utf-8", "surrogatepass"))) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*rest, "media"])
@@ -282,6 +283,7 @@ def parse(media: DataFrame, column: str = "media") -> DataFrame:
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", payload binary, pts array<long>, access_points array<long>, gaps long, damaged array<long>, skipped long, n_streams long, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("media")
         for batch in batches:
             got = [demux(m or b"") for m in batch.column(at).to_pylist()]
             arrays = [

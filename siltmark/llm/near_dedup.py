@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import WordHasher, has_columns, materialise, shingles, tune, words_of
+from siltmark.llm.common import WordHasher, has_columns, make_room, materialise, shingles, tune, words_of
 from siltmark.llm.components import connected_components
 
 REGISTERS = 128
@@ -78,6 +78,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("near_dedup")
     hasher = WordHasher()
     for batch in batches:
         n, high, low, packed, cells = [], [], [], [], []
@@ -120,6 +121,7 @@ def estimate(a: Column, b: Column, n: Column, m: Column) -> Column:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("near_dedup")
     hasher, known = WordHasher(), OrderedDict()
     held = 0
 
@@ -191,6 +193,7 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("near_dedup")
     hasher = WordHasher()
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

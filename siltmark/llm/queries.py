@@ -97,7 +97,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, length(regexp_replace(role, '<(\|+)', '<\1|', 'g')) + length(regexp_replace(text, '<(\|+)', '<\1|', 'g')) + length('<|turn|><|text|><|end|>') k FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(k) AS BIGINT) AS formatted_chars, 'message' AS layout FROM e GROUP BY 1"""
+  CAST(sum(k) AS BIGINT) AS formatted_chars, ['message', 'utterance', 'speech'][((conv_id % 3) + 3) % 3 + 1] AS layout FROM e GROUP BY 1"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, tune
+from siltmark.llm.common import has_columns, make_room, tune
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -424,6 +424,7 @@ def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + f", base_spans {SPAN_TYPE}, all_spans {SPAN_TYPE}, redacted string, layers long, oversized long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("secrets")
         tuples = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for batch in batches:
             texts = batch.column(at).to_pylist()

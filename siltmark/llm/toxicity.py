@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import WordHasher, has_columns, materialise, shingles, tune, words_of
+from siltmark.llm.common import WordHasher, has_columns, make_room, materialise, shingles, tune, words_of
 
 #: Labelled rows that the fit reads at most, by a hash of their id.
 FIT_ROWS = 20_000
@@ -366,6 +366,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("toxicity")
         scorer = Scorer(model.lexicon)
         for batch in batches:
             found = [scorer.clauses(t) for t in batch.column(1).to_pylist()]

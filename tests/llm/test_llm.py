@@ -243,6 +243,7 @@ def test_chat_digests(spark):
         loss = "".join(t for r, t in mine if r == "assistant")
         assert (got[key].n_turns, got[key].turns_sha256) == (len(mine), sha("".join(f"{r}\n{t}\n" for r, t in mine)))
         assert (got[key].loss_chars, got[key].loss_sha256) == (len(loss), sha(loss))
+    assert [got[k].layout for k in (1, 2, 3, None)] == ["utterance", "speech", "message", "message"]
     starts = spark.createDataFrame([([],), ([5],), (list(range(50)),)], "x array<int>").select(chat._running(F.col("x"))).collect()
     assert [r[0] for r in starts] == [[], [0], [sum(range(k)) for k in range(50)]]
 
