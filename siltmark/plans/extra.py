@@ -150,7 +150,7 @@ def catalog() -> dict[str, tuple[Query, str | None]]:
         ),
         "e2_f10_sample_values": (
             lambda s, d: facts.sample_values(dirty_vh(s, d, "email", "num", "city")),
-            f"""{fx}, r AS (SELECT 'email' AS "column", email AS value FROM fx UNION ALL SELECT 'num', num FROM fx UNION ALL SELECT 'city', city FROM fx), v AS (SELECT DISTINCT * FROM r WHERE value IS NOT NULL AND lower(value) NOT IN ({TOKENS}) AND ("column" <> 'email' OR regexp_matches(value, '^[^@\s]+@[^@\s]+$')))
+            f"""{fx}, r AS (SELECT 'email' AS "column", email AS value FROM fx UNION ALL SELECT 'num', num FROM fx UNION ALL SELECT 'city', city FROM fx), v AS (SELECT DISTINCT * FROM r WHERE value IS NOT NULL AND lower(value) NOT IN ({TOKENS}) AND ("column" <> 'email' OR regexp_matches(value, '^[^@\\s]+@[^@\\s]+$')))
             SELECT 'fx' AS "table", "column", value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY md5(value), value) AS k FROM v) WHERE k <= 5""",
         ),
         "p17_row_slice": (
