@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -85,14 +87,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+#: Paths of the shared tables that the function at work has written.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *kept: list[DataFrame]) -> Iterator[None]:
+    """Shared tables that are written in this block go at its end, but for those that `kept` lists by then: what is returned may read those alone."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+        stay = {df.table_path for dfs in kept for df in dfs}
+        for path in made:
+            if path not in stay:
+                _delete(spark, path)
+    finally:
+        _MADE.reset(token)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Remove every shared table that this application has written."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 def words_of(text: str | None) -> list[bytes]:

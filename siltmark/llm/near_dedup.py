@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import WordHasher, has_columns, make_room, materialise, shingles, tune, words_of
+from siltmark.llm.common import WordHasher, has_columns, make_room, materialise, scratch, shingles, tune, words_of
 from siltmark.llm.components import connected_components
 
 REGISTERS = 128
@@ -242,6 +242,27 @@ def _rest_pairs(able: DataFrame) -> DataFrame:
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
+def _components(docs: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (fp1, fp2, id, ...) of sketched documents, and the labels (node, label) of those that link."""
+    classes = materialise(some.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n", "regs", "cells")).alias("x")).select("fp1", "fp2", F.col("x.doc_id").alias("id"), "x.n", "x.regs", "x.cells"), "classes")
+    nodes = classes.select("id", "n", "regs", "cells")
+    banded = nodes.select("id", F.posexplode("regs").alias("band", "four")).select(F.xxhash64("band", "four").alias("key"), "band", "id")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
+    # a table, so that the join reads two shuffles, of which adaptive execution can split a hot bucket
+    members = materialise(banded.join(materialise(shared, "shared"), "key"), "members")
+    nodes = materialise(nodes.join(members.select("id").distinct(), "id", "left_semi"), "nodes")
+    ids = nodes.select("id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    texts = materialise(texts.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
+    links = materialise(_links(materialise(_pivot_pairs(members, nodes), "pairs"), texts), "links")
+    labels = materialise(connected_components(links), "labels")
+    left = materialise(_unresolved(members, labels), "unresolved")
+    more = materialise(_links(materialise(_rest_pairs(_able(left, nodes, texts)), "pairs"), texts), "links")
+    if not more.isEmpty():
+        labels = materialise(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
+    return classes, labels
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of `docs` (doc_id, text; others are ignored).
 
@@ -259,22 +280,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     has_columns(docs, "doc_id", "text")
     rows = materialise(sketches(docs), "sketches")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n", "regs", "cells")).alias("x")).select("fp1", "fp2", F.col("x.doc_id").alias("id"), "x.n", "x.regs", "x.cells"), "classes")
-    nodes = classes.select("id", "n", "regs", "cells")
-    banded = nodes.select("id", F.posexplode("regs").alias("band", "four")).select(F.xxhash64("band", "four").alias("key"), "band", "id")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1").select("key", "pivot")
-    # a table, so that the join reads two shuffles, of which adaptive execution can split a hot bucket
-    members = materialise(banded.join(materialise(shared, "shared"), "key"), "members")
-    nodes = materialise(nodes.join(members.select("id").distinct(), "id", "left_semi"), "nodes")
-    ids = nodes.select("id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    texts = materialise(texts.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
-    links = materialise(_links(materialise(_pivot_pairs(members, nodes), "pairs"), texts), "links")
-    labels = materialise(connected_components(links), "labels")
-    left = materialise(_unresolved(members, labels), "unresolved")
-    more = materialise(_links(materialise(_rest_pairs(_able(left, nodes, texts)), "pairs"), texts), "links")
-    if not more.isEmpty():
-        labels = materialise(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
+    kept: list[DataFrame] = []
+    with scratch(spark, kept):  # of the tables of this block, the result reads two
+        classes, labels = _components(docs, some)
+        kept += [classes, labels]
     named = classes.select("fp1", "fp2", "id")
     named = named.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("fp1", "fp2", F.coalesce("label", "id").alias("component"))
     inside = some.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"]).select("doc_id", "n", "component")
