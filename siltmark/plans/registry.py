@@ -55,8 +55,8 @@ def _sql_vh(columns: dict[str, list[str]]) -> str:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys and one-to-one keys."""
-    vh = _vh(spark, sf_dir, KEYS)
-    found = R.join_paths(vh, spark, [(t, c) for t, cs in KEYS.items() for c in cs], kinds=column_kinds(vh))
+    vh = union([value_histogram(_t(spark, sf_dir, t), t, cs, keys=True) for t, cs in KEYS.items()])
+    found = R.join_paths(vh, spark, [(t, c) for t, cs in KEYS.items() for c in cs], kinds=column_kinds(vh), keyed=True)
     return found.select("child", "parent", "interpretation", F.col("overlap").cast("long").alias("overlap"), F.round("coverage_a", 6).alias("coverage_a"), F.round("coverage_b", 6).alias("coverage_b"), F.round("jaccard", 6).alias("jaccard"), F.round("quality", 3).alias("quality"))
 
 
