@@ -53,7 +53,8 @@ def is_identifier(name: str) -> bool:
 
 def catalog(spark: SparkSession, columns: list[tuple[str, str]]) -> DataFrame:
     """A row for each (table, column), in their order, with what the names hold."""
-    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(columns)], "at int, table string, column string")
+    rows = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(t).alias("table"), F.lit(c).alias("column")) for i, (t, c) in enumerate(columns)])
+    df = spark.range(0, 1, 1, 1).select(F.inline(rows if columns else F.array().cast("array<struct<at:int,table:string,column:string>>")))
     one_of = lambda c, words: F.col(c).rlike("|".join(words))
     tokens = lambda c: F.split(F.lower(c), SEPARATORS)
     df = df.withColumns({"flat": flat(F.col("column")), "entity": F.regexp_replace(flat(F.col("table")), r"^(.{3,})s$", "$1"), "tokens": tokens(F.regexp_replace("column", CAMEL, "_"))})

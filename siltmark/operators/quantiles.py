@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of the logarithm in each factor of e, and of an even split.
 LOG_BUCKETS, BUCKETS = 1_000, 4_096
+#: Estimated bytes of the columns up to which one aggregation holds all their values.
+SMALL_BYTES = 64 << 20
 #: Rows of a bucket that are counted by value.
 FEW_ROWS = 20_000
 
@@ -57,12 +59,25 @@ def _holding(buckets: list, below: int, rank: int) -> Interval:
     raise ValueError("the table has changed between two passes over it")
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _at_once(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, tuple[int, list[float | None]]]:
+    value = {c: F.when(~F.isnan(x), x) for c, x in ((c, columns[c].cast("double")) for c in columns)}
+    row = df.agg(*[f.alias(f"{k}{i}") for i, x in enumerate(value.values()) for k, f in (("n", F.count(x)), ("q", F.percentile(x, F.lit(shares))))]).first()
+    return {c: (row[f"n{i}"], list(row[f"q{i}"]) if row[f"n{i}"] else [None] * len(shares)) for i, c in enumerate(columns)}
+
+
 def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, tuple[int, list[float | None]]]:
     """For each named double: how many values it has (nulls and NaN are none), and its quantiles by linear interpolation, None without values.
 
-    Infinite values are values. The passes are made here; `df` should give the same rows each time that it is read.
+    Infinite values are values. The passes are made here; `df` should give the same rows each time that it is read. Tables that are small by the
+    optimizer's estimate, which is from above, take one aggregation with the same result.
     """
     names = list(columns)
+    if columns and shares and _estimated_bytes(df.select(*[x.alias(str(k)) for k, x in enumerate(columns.values())])) <= SMALL_BYTES:
+        return _at_once(df, columns, shares)
     value = {c: F.when(~F.isnan(x), x) for c, x in ((c, columns[c].cast("double")) for c in names)}
     end = lambda x: F.when(x.isin(float("inf"), float("-inf")), F.when(x > 0, F.lit(1 << 40)).otherwise(F.lit(-(1 << 40)))).otherwise(_log_bucket(x))
     first = _counted(df, [(k, value[c], F.when(value[c].isNotNull(), end(value[c]))) for k, c in enumerate(names)])

@@ -13,7 +13,6 @@ from siltmark.operators import profile as P
 from siltmark.operators import relations as R
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.rules import Rule, masks, referential, rule_summary, rule_totals, sibling_lookup, violation_records
-from siltmark.operators.sketches import column_kinds
 from siltmark.plans import columns, extra, files, parts, paths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +55,7 @@ def _sql_vh(columns: dict[str, list[str]]) -> str:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys and one-to-one keys."""
     vh = union([value_histogram(_t(spark, sf_dir, t), t, cs, keys=True) for t, cs in KEYS.items()])
-    found = R.join_paths(vh, spark, [(t, c) for t, cs in KEYS.items() for c in cs], kinds=column_kinds(vh), keyed=True)
+    found = R.join_paths(vh, spark, [(t, c) for t, cs in KEYS.items() for c in cs], keyed=True)
     return found.select("child", "parent", "interpretation", F.col("overlap").cast("long").alias("overlap"), F.round("coverage_a", 6).alias("coverage_a"), F.round("coverage_b", 6).alias("coverage_b"), F.round("jaccard", 6).alias("jaccard"), F.round("quality", 3).alias("quality"))
 
 
