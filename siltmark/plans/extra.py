@@ -91,7 +91,7 @@ def _rule(rule: Rule) -> Query:
     return run
 
 
-FULL = ("region", "nation", "customer", "supplier", "part")
+FULL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def full_run(spark: SparkSession, d: str) -> DataFrame:
