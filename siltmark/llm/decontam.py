@@ -161,7 +161,7 @@ class Space:
     def fit(self, spark: SparkSession, rank: int) -> float:
         """The projection, with passages at length 1 in the latent space; the least share of its energy that one of them has kept."""
         table = spark.createDataFrame([(c.tolist(), x.tolist()) for c, x in self.rows], "cols array<long>, vals array<double>").coalesce(4)
-        basis = randomised_svd(table, len(self.counts), min(rank, len(self.rows)))
+        basis = randomised_svd(table, len(self.counts), min(rank, len(self.rows)), rank >= len(self.rows))
         latent = np.stack([x.astype(np.float32) @ basis[c] for c, x in self.rows])
         kept = np.linalg.norm(latent, axis=1)
         self.projection = basis @ (latent / np.maximum(kept, 1e-9)[:, None]).T
@@ -192,9 +192,11 @@ def document_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.n
     return out[:-1], int(out[-1])
 
 
-def randomised_svd(rows: DataFrame, terms: int, rank: int, seed: int = 11) -> np.ndarray:
+def randomised_svd(rows: DataFrame, terms: int, rank: int, whole: bool = False, seed: int = 11) -> np.ndarray:
     """Right singular vectors (terms x rank) of sparse rows (cols array<long>, vals array<double>).
 
+    `whole`: the rank takes all rows, so that one pass finds all of the space they span, and its directions are in no certain order.
+
     The rows stay distributed: each product with the matrix is a pass in which a task adds up its rows' share. What
     comes back is one terms x rank matrix for each of few tasks, bounded by the block; QR and the small SVD are done here.
     """
@@ -216,6 +218,9 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, seed: int = 11) -> np
         return total
 
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
+    if whole:
+        left, values, _ = np.linalg.svd(gram(q), full_matrices=False)
+        return left[:, values > 1e-7 * values[0]][:, :rank].astype(np.float32)
     for _ in range(POWER_STEPS):
         q = np.linalg.qr(gram(q))[0]
     small = q.T @ gram(q)  # of A'A in the subspace

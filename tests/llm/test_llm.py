@@ -334,20 +334,6 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(20)}
 
 
-def test_leaks_of_a_large_benchmark(spark):
-    rng = random.Random(7)
-    words = [f"v{k}" for k in range(3000)]
-    items = [(k, " ".join(rng.choices(words, k=15 + k % 45 if k % 50 else 200))) for k in range(2500)]
-    rows = []
-    for i in range(300):  # copies word by word, at any place of a long text
-        text = rng.choices([*words, *(f"u{k}" for k in range(3000))], k=400)
-        at = rng.randrange(len(text))
-        text[at:at] = items[i * 8][1].split()
-        rows.append((i, " ".join(text)))
-    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i * 8) for i in range(300)}
-
-
 def test_leaks_among_words_of_no_passage(spark):
     common = [f"c{k}" for k in range(30)]
     items = [(0, " ".join(common[:15])), (1, " ".join(common[15:]))]

@@ -458,3 +458,14 @@ def test_links_are_found_at_the_threshold(spark):
     want = {2 * g for g in range(300) if 100 * len(sets[2 * g] & sets[2 * g + 1]) >= 75 * len(sets[2 * g] | sets[2 * g + 1])}
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("NOT kept").collect()
     assert {r.component_id for r in got} == want and 100 <= len(want) <= 200
+
+
+def test_randomised_svd_finds_the_leading_space(spark):
+    rng = np.random.default_rng(4)
+    rows = (rng.normal(size=(60, 8)) * [50, 40, 30, 20, 10, 0.1, 0.1, 0.1]) @ rng.normal(size=(8, 30))
+    table = spark.createDataFrame([(list(range(30)), r.tolist()) for r in rows], "cols array<long>, vals array<double>")
+    want = np.linalg.svd(rows)[2][:5]
+    got = decontam.randomised_svd(table, 30, 5)
+    assert np.allclose(np.linalg.svd(want @ got)[1], 1, atol=1e-4)
+    all_of_it = decontam.randomised_svd(table, 30, 60, whole=True)
+    assert np.allclose(rows @ all_of_it @ all_of_it.T, rows, atol=1e-2)
