@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltmark.llm import bpe, chat, decontam, media, near_dedup, quality, secrets, sharding, toxicity, warc
+from siltmark.llm import bpe, chat, decontam, infill, media, near_dedup, quality, secrets, sharding, toxicity, warc
 from siltmark.llm.common import table
 
 #: Where the vocabulary file is; every function takes another path.
@@ -67,8 +67,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_secrets, op4_decontam, op5_media, op6_near_dedup, op7_quality, op8_warc, op9_chat, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_secrets, op4_decontam, op5_media, op6_near_dedup, op7_quality, op8_warc, op9_chat, op10_bpe, op13_infill)}
 
 
 #: 100 * intersection >= 75 * union over sets of 5-word shingles; components by closure of the links.
@@ -100,6 +104,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(k) AS BIGINT) AS formatted_chars, ['message', 'utterance', 'speech'][((conv_id % 3) + 3) % 3 + 1] AS layout FROM e GROUP BY 1"""
 
 
+INFILL_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(d, i, 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 50 AS plain FROM h),
+f AS (SELECT *, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:n], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN plain THEN NULL ELSE CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN plain THEN NULL ELSE CAST(length(y) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express: the others fit a model, search a latent space, decode, tokenize or hash by functions that it lacks, and are tested against plain versions."""
-    return {"op6_near_dedup": NEAR_SQL, "op8_warc": WARC_SQL, "op9_chat": CHAT_SQL}
+    return {"op6_near_dedup": NEAR_SQL, "op8_warc": WARC_SQL, "op9_chat": CHAT_SQL, "op13_infill": INFILL_SQL}
