@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltmark.llm import bpe, chat, decontam, infill, media, near_dedup, privacy, quality, secrets, sharding, toxicity, warc
+from siltmark.llm import bpe, chat, decontam, infill, media, near_dedup, privacy, quality, repair, secrets, sharding, toxicity, warc
 from siltmark.llm.common import table
 
 #: Where the vocabulary file is; every function takes another path.
@@ -67,6 +67,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def op12_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.privacy_digests(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_secrets, op4_decontam, op5_media, op6_near_dedup, op7_quality, op8_warc, op9_chat, op10_bpe, op12_privacy, op13_infill)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_secrets, op4_decontam, op5_media, op6_near_dedup, op7_quality, op8_warc, op9_chat, op10_bpe, op11_repair, op12_privacy, op13_infill)}
 
 
 #: 100 * intersection >= 75 * union over sets of 5-word shingles; components by closure of the links.
