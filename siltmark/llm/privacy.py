@@ -3,8 +3,8 @@
 A protected entity is a value that a pattern finds (an address, a number). Corpus counts say what a term tells about it: of the documents
 that hold term t, the share p in which entity c stands near t leaves -log2 p bits of doubt about c, and t adds log2(p N / N_c) bits
 to what one knows without it. A term that leaves at most GENERALISE_BITS is replaced by its kind, one that leaves at most REMOVE_BITS is removed, wherever it
-stands, with the entity or without. Terms need SUPPORT different surroundings of the entity on either side, so that
-copies of one text are no evidence, and must add GAIN_BITS, so that an entity that is everywhere gives nothing away.
+stands, with the entity or without. Terms need SUPPORT different surroundings of the entity on either side, and one for each COPIES documents, so that
+copies of one text, near ones too, are no evidence; and they must add GAIN_BITS, so that an entity that is everywhere gives nothing away.
 
 Counts cover all documents: contexts of entities in one pass, frequencies of the terms in them in a second one, documents that hold a disclosing term in
 a third. Which terms count is told by bit maps of fixed size; what passes them is joined exactly.
@@ -44,10 +44,10 @@ _DIGITS = bytes(100 if 48 <= b <= 57 else 46 if b == 46 else 32 for b in range(2
 
 #: Terms on either side of an entity that count as near it.
 NEAR = 8
-#: Different surroundings that a term needs on either side.
-SUPPORT = 3
+#: Different surroundings that a term needs on either side, and documents for each of them at most.
+SUPPORT, COPIES = 3, 2
 #: Bits of doubt about an entity under which a term is generalised or removed, and bits that it must add.
-GENERALISE_BITS, REMOVE_BITS, GAIN_BITS = 2.0, 1.0, 3.0
+GENERALISE_BITS, REMOVE_BITS, GAIN_BITS = 1.0, 0.5, 3.0
 #: Bits of a map of terms, and places that a term takes in it. A full map only lets more terms through to the exact join.
 MAP_BITS, MAP_PLACES = 1 << 23, 3
 #: Rows of contexts that a task holds before it hands them on.
@@ -220,7 +220,7 @@ def cooccurrence(docs: DataFrame, text: str = "text") -> DataFrame:
     tune(docs.sparkSession)
     rows = _text_only(docs, text).mapInArrow(run, "entity long, term long, before long, after long, first long")
     counts = rows.groupBy("entity", "term").agg(F.sum("first").alias("n"), F.count_distinct("before").alias("_b"), F.count_distinct("after").alias("_a"))
-    return counts.select("entity", "term", "n", F.least("_a", "_b").alias("support")).where(f"term IS NULL OR support >= {SUPPORT}")
+    return counts.select("entity", "term", "n", F.least("_a", "_b").alias("support")).where(f"term IS NULL OR (support >= {SUPPORT} AND n <= {COPIES} * support)")
 
 
 def document_frequencies(docs: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
