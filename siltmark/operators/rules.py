@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import ast
 import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.config import DEFAULT, Config
-from siltmark.functions import canon
+from siltmark.functions import canon, patterns
+from siltmark.operators.expressions import Compiled, Unsupported, compiled
 
 
 @dataclass(frozen=True)
@@ -27,8 +28,11 @@ class Rule:
 NOTHING = "—"
 
 
-class Unsupported(ValueError):
-    """The rule cannot be compiled."""
+@dataclass(frozen=True)
+class Failed(Rule):
+    """A rule that cannot be checked, and why."""
+
+    error: str = ""
 
 
 #: Rules whose columns are named by parameters.
@@ -55,7 +59,9 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
     filled = s.isNotNull() & (s != "")
     number = canon.try_number(s)
     if rule.type == "format":
-        bad = filled & ~canon.matches(s, p["regex"]) if "regex" in p else _never()
+        bad = filled & ~patterns.matches(s, p["regex"]) if "regex" in p else _never()
+        if p.get("pattern_name") == "datetime_string":
+            bad = bad | (filled & canon.try_date(s, config.date_formats).isNull())
         if "expected_length" in p:
             bad = bad | (filled & (F.char_length(s) != p["expected_length"]))
         mask = bad
@@ -64,8 +70,9 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
     elif rule.type == "numeric_sum":
         a, b, t = (canon.try_number(canon.text(df[p[k]], kind(p[k]))) for k in ("col_a", "col_b", "col_sum"))
         whole = a.isNotNull() & b.isNotNull() & t.isNotNull()
-        scale = df.where(whole).agg(F.avg(F.abs(t))).first()[0]
-        mask = whole & (F.abs(a + b - t) > (0.01 * scale if scale else 0.01))
+        # a subquery of one row: it runs with the query that asks for the mask
+        scale = df.where(whole).agg(F.avg(F.abs(t))).scalar()
+        mask = whole & (F.abs(a + b - t) > F.when(scale > 0, 0.01 * scale).otherwise(0.01))
     elif rule.type == "date_ordering":
         a, b = (canon.try_date(df[p[k]].cast("string"), config.date_formats) for k in ("col_a", "col_b"))
         mask = a > b
@@ -110,88 +117,16 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
     return F.coalesce(mask, F.lit(False))
 
 
-_COMPARE = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
-_ARITHMETIC = {ast.Add: "__add__", ast.Sub: "__sub__", ast.Mult: "__mul__"}
-
-
-def _modulo(a: Column, b: Column) -> Column:
-    """The remainder with the sign of the divisor, null for a divisor of 0."""
-    return F.when(b > 0, F.pmod(a, F.nullif(b, F.lit(0)))).when(b < 0, -F.pmod(-a, F.nullif(-b, F.lit(0))))
-
-
 def compile_expression(df: DataFrame, text: str, config: Config = DEFAULT) -> Column:
-    """A Python-like expression over row['c'] or df['c'], by a whitelist of syntax; anything else is Unsupported.
+    """The rows for which an expression holds; see `expressions.compiled`. Rows on which it cannot be evaluated are none of them."""
+    return compiled(df, text, config).mask
 
-    A gap compares as not-a-number does there: it is neither equal, less nor greater, is unequal to everything, and is in no list. Remainders have
-    the sign of the divisor; what is divided by 0 is a gap.
-    """
-    try:
-        tree = ast.parse(text, mode="eval").body
-    except SyntaxError as e:
-        raise Unsupported(text) from e
-
-    def no(node: ast.AST) -> Unsupported:
-        return Unsupported(f"{type(node).__name__} in {text!r}")
-
-    def go(n: ast.AST) -> Column:
-        if isinstance(n, ast.Constant) and isinstance(n.value, (int, float, str, bool, type(None))):
-            return F.lit(n.value)
-        if isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and n.value.id in ("row", "df") and isinstance(n.slice, ast.Constant) and n.slice.value in df.columns:
-            return df[n.slice.value]
-        if isinstance(n, ast.BoolOp):
-            return reduce(lambda a, b: a & b if isinstance(n.op, ast.And) else a | b, map(go, n.values))
-        if isinstance(n, ast.UnaryOp) and isinstance(n.op, (ast.Not, ast.Invert)):
-            return ~go(n.operand)
-        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
-            return -go(n.operand)
-        if isinstance(n, ast.BinOp) and isinstance(n.op, (ast.BitAnd, ast.BitOr)):
-            return go(n.left) & go(n.right) if isinstance(n.op, ast.BitAnd) else go(n.left) | go(n.right)
-        if isinstance(n, ast.BinOp) and isinstance(n.op, (ast.Div, ast.Mod)):
-            return (F.try_divide if isinstance(n.op, ast.Div) else _modulo)(go(n.left), go(n.right))
-        if isinstance(n, ast.BinOp) and type(n.op) in _ARITHMETIC:
-            return getattr(go(n.left), _ARITHMETIC[type(n.op)])(go(n.right))
-        if isinstance(n, ast.Compare):
-            parts, left = [], n.left
-            for op, right in zip(n.ops, n.comparators, strict=True):
-                if isinstance(op, (ast.In, ast.NotIn)) and isinstance(right, (ast.List, ast.Tuple, ast.Set)) and all(isinstance(e, ast.Constant) for e in right.elts):
-                    hit = go(left).isin(*[e.value for e in right.elts])
-                elif isinstance(op, (ast.In, ast.NotIn)):
-                    hit = F.contains(go(right), go(left))
-                elif type(op) in _COMPARE:
-                    hit = getattr(go(left), _COMPARE[type(op)])(go(right))
-                else:
-                    raise no(op)
-                hit = F.coalesce(hit, F.lit(isinstance(op, ast.NotEq)))
-                parts.append(~hit if isinstance(op, ast.NotIn) else hit)
-                left = right
-            return reduce(lambda a, b: a & b, parts)
-        if isinstance(n, ast.Call) and not n.keywords:
-            return call(n)
-        raise no(n)
-
-    def call(n: ast.Call) -> Column:
-        f = n.func
-        if isinstance(f, ast.Name) and len(n.args) == 1:
-            made = {"len": lambda x: F.char_length(x.cast("string")), "str": lambda x: x.cast("string"), "float": lambda x: canon.try_number(x.cast("string")), "int": lambda x: x.try_cast("bigint"), "abs": F.abs}.get(f.id)
-            if made:
-                return made(go(n.args[0]))
-        if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id == "re" and f.attr in ("match", "search", "fullmatch") and len(n.args) == 2 and isinstance(n.args[0], ast.Constant):
-            x, pattern = go(n.args[1]).cast("string"), n.args[0].value
-            return x.rlike(pattern) if f.attr == "search" else canon.matches(x, pattern, full=f.attr == "fullmatch")
-        if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id == "pd" and len(n.args) == 1:
-            x = go(n.args[0])
-            made = {"isna": lambda: x.isNull(), "isnull": lambda: x.isNull(), "notna": lambda: x.isNotNull(), "to_numeric": lambda: canon.try_number(x.cast("string")), "to_datetime": lambda: canon.try_date(x.cast("string"), config.date_formats)}.get(f.attr)
-            if made:
-                return made()
-        if isinstance(f, ast.Attribute) and not n.args:
-            made = {"strip": canon.strip, "lower": F.lower, "upper": F.upper, "isdigit": lambda x: x.rlike(r"^\d+$")}.get(f.attr)
-            if made:
-                return made(go(f.value).cast("string"))
-        if isinstance(f, ast.Attribute) and f.attr in ("startswith", "endswith") and len(n.args) == 1:
-            return getattr(go(f.value).cast("string"), f.attr)(go(n.args[0]))
-        raise no(n)
-
-    return go(tree)
+
+def compile_checked(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Compiled:
+    """The violation mask of a rule, and the rows on which it cannot be evaluated; analysed by itself, so that what is wrong with it is known here."""
+    made = compiled(df, rule.params["logic"], config) if rule.type == "custom" else Compiled(compile_rule(df, rule, config), None)
+    df.select(made.mask, *([] if made.raises is None else [made.raises]))
+    return made
 
 
 def referential(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
@@ -216,6 +151,11 @@ def named(rule: Rule) -> Rule:
     for old, new in (("ref_table", "parent_table"), ("ref_column", "parent_column")):
         if old in p:
             p.setdefault(new, p.pop(old))
+    for kind, old, new in (("numeric_sum", "col_c", "col_sum"), ("date_not_future", "cutoff_date", "cutoff")):
+        if rule.type == kind and old in p:
+            p.setdefault(new, p.pop(old))
+    if rule.type == "null_consistency":
+        p.setdefault("col_a", rule.column)
     if rule.type == "sentinel_check" and "sentinel_values" in p:
         values = p.pop("sentinel_values")
         p.setdefault("strings", [v for v in values if isinstance(v, str)])
@@ -248,30 +188,60 @@ def _repeated(df: DataFrame, rule: Rule) -> tuple[DataFrame, Column]:
 
 
 def masks(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[Rule], list[Rule]]:
-    """`df` with one boolean column `_v_<id>` for each rule, in one projection; and the rules that compiled and those that did not.
+    """`df` with one boolean column `_v_<id>` for each rule, in one projection; and the rules that compiled and those that did not, each with its error.
 
-    Rules on another table join its distinct keys, one join for each such rule; they need `tables`. Uniqueness joins the values that repeat.
+    A rule that some rows may raise on also has `_e_<id>`, which is true for those. Each rule is compiled and analysed by itself, so that one that is wrong
+    costs no other. Rules on another table join its distinct keys, one join for each such rule; they need `tables`. Uniqueness joins the values that repeat.
     """
     done, out, failed = [], [], []
     for r in map(named, rules):
         try:
             if r.type in ("referential_cross_table", "uniqueness"):
                 df, bad = _orphan(df, r, tables or {}) if r.type == "referential_cross_table" else _repeated(df, r)
-                out.append(F.coalesce(bad, F.lit(False)).alias(f"_v_{r.rule_id}"))
-                done.append(r)
-                continue
-            out.append(compile_rule(df, r, config).alias(f"_v_{r.rule_id}"))
+                made = Compiled(F.coalesce(bad, F.lit(False)), None)
+            else:
+                made = compile_checked(df, r, config)
+        except PySparkException as e:
+            failed.append(Failed(**vars(r), error=str(e).splitlines()[0]))
+        except KeyError as e:
+            failed.append(Failed(**vars(r), error=f"no parameter {e}"))
+        except (ValueError, TypeError, AttributeError) as e:
+            failed.append(Failed(**vars(r), error=str(e)))
+        else:
+            out.append(made.mask.alias(f"_v_{r.rule_id}"))
+            if made.raises is not None:
+                out.append(made.raises.alias(f"_e_{r.rule_id}"))
             done.append(r)
-        except (Unsupported, KeyError):
-            failed.append(r)
     return df.select("*", *out), done, failed
 
 
+def rule_results(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Each rule with rule_id, type, column, n_rows, violations, rate, passed and error, in one aggregation.
+
+    A rule that does not compile, or that cannot be evaluated on some row, has an error and no counts; the others are not touched by it.
+    """
+    marked, done, failed = masks(df, rules, config, tables)
+    total, parts = F.count(F.lit(1)), []
+    for r in done:
+        e = f"_e_{r.rule_id}"
+        wrong = F.count_if(F.col(f"`{e}`")) if e in marked.columns else F.lit(0).cast("long")
+        n = F.when(wrong == 0, F.count_if(F.col(f"`_v_{r.rule_id}`")))
+        error = F.when(wrong > 0, F.concat(F.lit("cannot be evaluated on "), wrong.cast("string"), F.lit(" rows")))
+        parts.append((r, n, error))
+    parts += [(r, F.lit(None).cast("long"), F.lit(r.error)) for r in failed]
+    order = {r.rule_id: k for k, r in enumerate(rules)}
+    parts.sort(key=lambda p: order[p[0].rule_id])
+    found = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.type).alias("type"), F.lit(r.column).alias("column"), total.alias("n_rows"), n.alias("violations"), F.round(F.try_divide(n, total), 3).alias("rate"), (n == 0).alias("passed"), error.alias("error")) for r, n, error in parts]
+    if not found:
+        return df.sparkSession.createDataFrame([], "rule_id string, type string, column string, n_rows long, violations long, rate double, passed boolean, error string")
+    return marked.agg(F.array(*found).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def _marked(df: DataFrame, rules: list[Rule], config: Config, tables: dict[str, DataFrame] | None, skip: bool) -> tuple[DataFrame, list[Rule]]:
     """`df` with masks and the rules that they are of. Rules that do not compile end this, or are passed over where the caller lists them itself."""
     marked, done, failed = masks(df, rules, config, tables)
     if failed and not skip:
-        raise Unsupported(f"rules that cannot be checked: {[(r.rule_id, r.type) for r in failed]}")
+        raise Unsupported(f"rules that cannot be checked: {[(r.rule_id, r.type, r.error) for r in failed]}")
     return marked, done
 
 

@@ -14,7 +14,7 @@ from siltmark.functions import canon
 from siltmark.operators import casts, detectors, facts, generate, inspection, relations, samples, sketches
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.identifier import record_identifiers
-from siltmark.operators.rules import Rule, masks, rule_summary, rule_totals, sample_violations, violation_records
+from siltmark.operators.rules import Rule, named, rule_results, rule_totals, sample_violations, violation_records
 from siltmark.plans import judging
 from siltmark.plans.replies import SUSPECT_RATE, Offline, Provider, Remembering, with_references
 from siltmark.sources import readers, sinks
@@ -32,7 +32,9 @@ class Result:
     rules: dict[str, list[Rule]]
     summaries: dict[str, list[dict]]
     records: dict[str, DataFrame]
+    #: Rules that cannot be checked, and why, by rule_id.
     unsupported: dict[str, list[Rule]] = field(default_factory=dict)
+    errors: dict[str, dict[str, str]] = field(default_factory=dict)
     #: Rows (rule_id, key) that the provider finds in breach of rules that do not compile, where it looks at rows.
     judged: dict[str, DataFrame] = field(default_factory=dict)
     totals: dict[str, dict] = field(default_factory=dict)
@@ -93,22 +95,24 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
                 {r["column_name"]: r["recommended_actions"] for r in said}, {c: v for (u, c), v in truth.items() if u == t}, config,
             )
             rules = generate.supplement(t, vh, df, proposed, paths, fences, coded, config, unique, formats)
-            summary = _check(df, rules, tables, config)
+            summary, wrong = _check(df, rules, tables, config)
             for _ in range(MAX_ROUNDS):
                 suspect = _inspected(provider, t, df, rules, [s for s in summary if (s["rate"] or 0) >= SUSPECT_RATE], key, tables, config)
                 revised = generate.renumber(provider.revise(t, rules, suspect)) if suspect else rules
                 if revised == rules:
                     break
-                rules, summary = revised, _check(df, revised, tables, config)
-            out.rules[t], out.summaries[t] = rules, summary
-            out.unsupported[t] = masks(df, rules, config, tables)[2]
+                rules = revised
+                summary, wrong = _check(df, rules, tables, config)
+            out.rules[t], out.summaries[t], out.errors[t] = rules, summary, wrong
+            out.unsupported[t] = [named(r) for r in rules if r.rule_id in wrong]
+            able = [r for r in rules if r.rule_id not in wrong]
             judge = getattr(provider, "judge", None)
             if out.unsupported[t] and key and judge and (look := judge()):
                 out.judged[t] = judging.judged(df, out.unsupported[t], key, look, tables)
-            out.totals[t] = rule_totals(df, rules, config, tables, skip=True).first().asDict()
+            out.totals[t] = rule_totals(df, able, config, tables).first().asDict()
             out.texts[t] = provider.summarise(f"The table {t}", [s for r in rows for s in (*[f"{r['column']}: {x}" for x in facts.sentences(r)], *[f"{r['column']}: {x}" for x in r["errors"]])])
             if summary:
-                out.records[t] = violation_records(df, rules, [ids.get(t, df.columns[0])], config, tables, skip=True)
+                out.records[t] = violation_records(df, able, [ids.get(t, df.columns[0])], config, tables)
         out.texts["relationships"] = provider.summarise("Relationships of the tables", sinks.relationship_lines(paths))
         out.texts["overall"] = provider.summarise("All tables", [f"{t}: {out.totals[t]['failing_rows']} of {out.totals[t]['n_rows']} rows break a rule" for t in tables])
         return out
@@ -143,9 +147,12 @@ def _inspected(provider: Provider, table: str, df: DataFrame, rules: list[Rule],
     return [s | {"issue": issues[s["rule_id"]]} for s in suspect if s["rule_id"] in issues]
 
 
-def _check(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame], config: Config) -> list[dict]:
+def _check(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame], config: Config) -> tuple[list[dict], dict[str, str]]:
+    """Counts of the rules that can be checked, and the errors of those that cannot."""
     text = {r.rule_id: r.text for r in rules}
-    return [r.asDict() | {"text": text[r["rule_id"]]} for r in rule_summary(df, rules, config, tables, skip=True).collect()]
+    found = [r.asDict() for r in rule_results(df, rules, config, tables).collect()]
+    done = [{k: r[k] for k in ("rule_id", "violations", "rate")} | {"text": text[r["rule_id"]]} for r in found if r["error"] is None]
+    return done, {r["rule_id"]: r["error"] for r in found if r["error"] is not None}
 
 
 def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | None = None, config: Config = DEFAULT, replies: str | None = None) -> Result:
@@ -160,7 +167,8 @@ def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | No
         sinks.write_json(result.dictionaries[t], at(f"{t}_dictionary.json"))
         sinks.write_dictionary_csv(result.dictionaries[t], at(f"{t}_dictionary.csv"))
         sinks.write_json({"rules": [asdict(r) for r in result.rules[t]], "unsupported": [r.rule_id for r in result.unsupported[t]]}, at(f"{t}_rules.json"))
-        sinks.write_json(result.summaries[t], at(f"{t}_checks.json"))
+        text = {r.rule_id: r.text for r in result.rules[t]}
+        sinks.write_json(result.summaries[t] + [{"rule_id": k, "text": text[k], "error": e} for k, e in result.errors[t].items()], at(f"{t}_checks.json"))
         if t in result.judged:
             sinks.write_rows(result.judged[t], at(f"{t}_judged"))
         if t in result.records:
