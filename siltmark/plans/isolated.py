@@ -56,13 +56,13 @@ def _guarded(spark: SparkSession, d: str) -> DataFrame:
 def catalog() -> dict[str, tuple[Query, str | None]]:
     count = lambda sql: f"count(*) FILTER ({sql})"
     rows = [
-        f"SELECT '{r.rule_id}' AS rule_id, '{r.type}' AS type, count(*) AS n_rows, " + (f"{count(sql)} AS violations, round({count(sql)} / count(*), 3) AS rate, {count(sql)} = 0 AS passed, false AS failed" if sql else "NULL AS violations, NULL AS rate, NULL AS passed, true AS failed") + " FROM orders"
+        f"SELECT '{r.rule_id}' AS rule_id, '{r.type}' AS type, count(*) AS n_rows, " + (f"{count(sql)} AS violations, round({count(sql)} / count(*), 3) AS rate, {count(sql)} = 0 AS passed, false AS failed" if sql else "CAST(-1 AS BIGINT) AS violations, CAST(-1 AS DOUBLE) AS rate, false AS passed, true AS failed") + " FROM orders"
         for r, sql in RULES
     ]
     words = "WITH w AS (SELECT o_orderkey, o_custkey % 90 AS number, CASE WHEN o_custkey % 11 = 0 THEN 'none' WHEN o_custkey % 13 <> 0 THEN CAST(o_custkey % 60 AS VARCHAR) END AS word FROM orders)"
     return {
         "w4_isolated_errors": (
-            lambda s, d: rule_results(s.read.parquet(f"{d}/orders.parquet"), [r for r, _ in RULES]).select("rule_id", "type", "n_rows", "violations", "rate", "passed", F.col("error").isNotNull().alias("failed")),
+            lambda s, d: rule_results(s.read.parquet(f"{d}/orders.parquet"), [r for r, _ in RULES]).select("rule_id", "type", "n_rows", F.coalesce("violations", F.lit(-1)).alias("violations"), F.coalesce("rate", F.lit(-1.0)).alias("rate"), F.coalesce("passed", F.lit(False)).alias("passed"), F.col("error").isNotNull().alias("failed")),
             " UNION ALL ".join(rows),
         ),
         "v19_guarded": (_guarded, f"{words} SELECT o_orderkey, {', '.join(f'coalesce({sql}, false) AS {k}' for k, _, sql in GUARDED)}, false AS raised FROM w"),
