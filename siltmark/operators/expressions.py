@@ -276,7 +276,7 @@ class Compiler:
             return self.function(f.id, n.args)
         if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id == "re" and f.attr in ("match", "search", "fullmatch") and len(n.args) == 2 and isinstance(n.args[0], ast.Constant):
             x = self.needs(self.go(n.args[1]), "text")
-            return Node(F.coalesce(patterns.matches(x.value, n.args[0].value, full=f.attr == "fullmatch", search=f.attr == "search"), F.lit(False)), "truth", x.raises)
+            return Node(patterns.matches(x.value, n.args[0].value, full=f.attr == "fullmatch", search=f.attr == "search"), "truth", x.raises)
         if isinstance(f, ast.Attribute):
             return self.method(f.attr, self.needs(self.go(f.value), "text"), [self.go(a) for a in n.args])
         raise self.refuse(n)
