@@ -59,7 +59,9 @@ def resemblance(tokens: DataFrame) -> DataFrame:
     """
     sizes = tokens.groupBy("table", "column").agg(F.count(F.lit(1)).alias("n"))
     held = tokens.groupBy("token").agg(F.array_sort(F.collect_set(F.struct("table", "column"))).alias("c")).where(F.size("c") > 1)
-    pairs = held.select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    # pairs come from the few different sets of columns, not from every token
+    sets = held.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    pairs = sets.select(F.posexplode("c").alias("i", "a"), "c", "n").select("a", "n", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b")).groupBy("a", "b").agg(F.sum("n").alias("shared"))
     out = pairs.select(F.col("a.table").alias("table_a"), F.col("a.column").alias("column_a"), F.col("b.table").alias("table_b"), F.col("b.column").alias("column_b"), "shared")
     for s in "ab":
         out = out.join(sizes.select(F.col("table").alias(f"table_{s}"), F.col("column").alias(f"column_{s}"), F.col("n").alias(f"n_{s}")), [f"table_{s}", f"column_{s}"])
