@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, make_room, tune
+from siltmark.llm.common import has_columns, make_room, named, tune
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,6 +44,9 @@ RUN_BYTES = 16 << 20
 OVERLAP = 1 << 16
 PIECE = 1 << 20
 SPACES = (b" ", b"\n", b"\t", b"\r")
+NOT_WHITE = re.compile(rb"[^ \t\r\n]")
+#: Keys of assignments, which a cut must not part from their values.
+KEYS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 REDACTED = "[SECRET]"
 
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -179,8 +182,41 @@ def _opened(data: bytes) -> tuple[Iterator[tuple[str, int]], bool]:
     return iter([] if text is None else [(text, 0)]), whole
 
 
+def _begun(held: bytearray, cut: int) -> int:
+    """Where the next text begins after a cut at white space: at the cut, or at the key of an assignment whose value may stand behind it."""
+    if held[cut] != 32:
+        return cut
+    end = len(held[:cut].rstrip(b" "))
+    if end and held[end - 1] in b":=":
+        end = len(held[: end - 1].rstrip(b" "))
+    end -= bool(end and held[end - 1] in b"\"'")
+    key = next((k for k in KEYS if bytes(held[max(0, end - len(k)) : end]).lower() == k), b"")
+    return end - len(key) if key else cut
+
+
+def _wraps(held: bytearray, cut: int) -> bool:
+    """Whether a cut at white space may part two lines of wrapped base64."""
+    stop = len(held[:cut].rstrip(b" \t\r\n"))
+    m = NOT_WHITE.search(held, cut)
+    after = m.start() if m else len(held)
+    return held.find(b"\n", stop, after) >= 0 and held[max(0, stop - 16) : stop].translate(_B64_MAP) == _B64_RUN and (m is None or held[after : after + 1].translate(_B64_MAP) == b"b")
+
+
+def _cut_at(held: bytearray) -> tuple[int, int]:
+    """The last white space at which nothing is parted, and where the next text begins; 0, 0 where there is none."""
+    cut = len(held)
+    while (cut := max(held.rfind(c, 0, cut) for c in SPACES)) > 0:
+        if not _wraps(held, cut):
+            begin = _begun(held, cut)
+            return (cut, begin) if begin > 0 else (0, 0)
+    return 0, 0
+
+
 def _blocks(chunks: Iterator[bytes]) -> Iterator[tuple[str, int]]:
-    """Texts of a long stream, itself inflated as long as it is compressed, cut at white space; a run that is too long is cut with an overlap."""
+    """Texts of a long stream, itself inflated as long as it is compressed, cut at white space; a run that is too long is cut with an overlap.
+
+    Lines of wrapped base64 stay together as a run does. A key before the cut is repeated in the next text, so that its value is found there.
+    """
     seen: set[bytes] = set()
     while _kind(head := next(chunks, b"")) and (key := hashlib.sha1(head).digest()) not in seen:
         seen.add(key)
@@ -188,15 +224,16 @@ def _blocks(chunks: Iterator[bytes]) -> Iterator[tuple[str, int]]:
         if not first:  # it only looks compressed
             break
         head, chunks = b"", chain([first], inner)
-    held, space = bytearray(head), max(map(head.rfind, SPACES))
+    held = bytearray(head)
     for piece in chunks:
-        if (at := max(map(piece.rfind, SPACES))) >= 0:
-            space = len(held) + at
         held += piece
-        if len(held) < LAYER_BYTES or (space <= 0 and len(held) < RUN_BYTES):
+        if len(held) < LAYER_BYTES:
+            continue
+        cut, begin = _cut_at(held)
+        if not cut and len(held) < RUN_BYTES:
             continue
-        yield (held[:space] if space > 0 else held).decode("utf-8", "replace"), int(space <= 0)
-        held, space = held[space:] if space > 0 else held[-OVERLAP:], -1
+        yield (held[:cut] if cut else held).decode("utf-8", "replace"), int(not cut)
+        held = held[begin:] if cut else held[-OVERLAP:]
     if held:
         yield held.decode("utf-8", "replace"), 0
 
@@ -419,7 +456,7 @@ def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     tune(docs.sparkSession)
     new = ("base_spans", "all_spans", "redacted", "layers", "oversized")
     rest = [c for c in docs.columns if c not in new]
-    inputs = docs.select(*[docs[c] for c in rest])
+    inputs = docs.select(*[named(c) for c in rest])
     at = rest.index(text)
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + f", base_spans {SPAN_TYPE}, all_spans {SPAN_TYPE}, redacted string, layers long, oversized long"
 
