@@ -13,7 +13,7 @@ first, ranked as one, and take that many ranks in a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.llm.common import has_columns, materialise, unsigned_crc32
@@ -37,6 +37,11 @@ def _with_before(counts: DataFrame, by: list[str], bucket: str, count: str) -> D
     return blocks.join(sums, [*by, "_block"]).withColumn("before", F.col("_base") + inside).drop("_block", "_base")
 
 
+def bucket_of(above: str, below: str, buckets: int) -> Column:
+    """above * buckets div below, where the product does not fit a long: the fraction is below 1, so the result does."""
+    return F.expr(f"CAST((CAST({above} AS DECIMAL(20,0)) * CAST({buckets} AS DECIMAL(17,0))) div CAST({below} AS DECIMAL(20,0)) AS BIGINT)")
+
+
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, source: str = "source") -> DataFrame:
     """doc_id, source, size, text_crc32, law, shard, slot and grown_shard of each row of `docs` (doc_id, text, source).
 
@@ -73,7 +78,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 17, source: str =
     phase = F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(PHASES - 1)) + 1
     above = F.col("r") * PHASES - phase
     ranked = ranked.withColumns({"above": above, "below": F.col("n") * PHASES})
-    ranked = ranked.select("doc_id", "stratum", "size", "text_crc32", "h", (F.col("above") / F.col("below")).alias("f"), F.expr(f"(above * {buckets}) div below").alias("g"))
+    ranked = ranked.select("doc_id", "stratum", "size", "text_crc32", "h", (F.col("above") / F.col("below")).alias("f"), bucket_of("above", "below", buckets).alias("g"))
     ranked = materialise(ranked, "ranked")
     heads = _with_before(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("c")), [], "g", "c").select("g", "before")
     order = Window.partitionBy("g").orderBy("f", "stratum", "h", "doc_id", "text_crc32", "size")
