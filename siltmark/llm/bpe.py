@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, hold, make_room, tune
+from siltmark.llm.common import has_columns, hold, make_room, numbered, tune
 
 #: White space of the Unicode standard.
 SPACE = r"\p{White_Space}"
@@ -392,8 +392,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ship: bool = Fa
     tune(docs.sparkSession)
     shipped = _shipped(docs, vocabulary, ship)
     rest = [c for c in docs.columns if c not in ("tokens", "decoded")]
-    inputs = docs.select(*[docs[c] for c in rest])
-    at = rest.index(text)
+    inputs, names, at = numbered(docs, rest), rest, rest.index(text)
+    rest = inputs.columns
     new = ["tokens", "decoded"] if decode else ["tokens"]
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", tokens array<int>" + ", decoded string" * decode
 
@@ -408,7 +408,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ship: bool = Fa
                 made.append(pa.array([enc.decode(c) for c in coded], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*rest, *new])
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*names, *new)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, ship: bool = False) -> DataFrame:

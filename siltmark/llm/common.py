@@ -32,6 +32,11 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns by place (c0, c1, ...), as what goes to Python workers is named without quotes."""
+    return df.select(*[named(c) for c in columns]).toDF(*[f"c{k}" for k in range(len(columns))])
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the batches that go to Python workers. A session's own bounds stay where they are tighter."""
     for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):

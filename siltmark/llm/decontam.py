@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, make_room, materialise, tune
+from siltmark.llm.common import has_columns, make_room, materialise, named, tune
 
 #: Passages in a block, and bytes of its spaces: bound what goes to every worker.
 BLOCK_ITEMS = 4_000
@@ -387,4 +387,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no passage, with their columns. Rows are matched by doc_id; rows without one are kept."""
     bad = materialise(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, make_room, materialise, tune
+from siltmark.llm.common import has_columns, make_room, materialise, numbered, tune
 
 PACKET = 188
 SYNC = 0x47
@@ -256,8 +256,8 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     has_columns(docs, text)
     tune(docs.sparkSession)
     rest = [c for c in docs.columns if c != "media"]
-    inputs = docs.select(*[docs[c] for c in rest])
-    at = rest.index(text)
+    inputs, names, at = numbered(docs, rest), rest, rest.index(text)
+    rest = inputs.columns
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", media binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             made = [mux(padded((t or "").encode("utf-8", "surrogatepass"))) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*rest, "media"])
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*names, "media")
 
 
 def parse(media: DataFrame, column: str = "media") -> DataFrame:
@@ -278,8 +278,8 @@ def parse(media: DataFrame, column: str = "media") -> DataFrame:
     tune(media.sparkSession)
     new = ("payload", "pts", "access_points", "gaps", "damaged", "skipped", "n_streams", "feature")
     rest = [c for c in media.columns if c not in new]
-    inputs = media.select(*[media[c] for c in rest])
-    at = rest.index(column)
+    inputs, names, at = numbered(media, rest), rest, rest.index(column)
+    rest = inputs.columns
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + ", payload binary, pts array<long>, access_points array<long>, gaps long, damaged array<long>, skipped long, n_streams long, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +298,7 @@ def parse(media: DataFrame, column: str = "media") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*rest, *new])
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*names, *new)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, materialise
+from siltmark.llm.common import has_columns, materialise, named
 from siltmark.llm.toxicity import FIT_ROWS, fit_logistic, training_rows
 
 #: Documents are kept from this probability of good quality on.
@@ -125,4 +125,4 @@ def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     """The rows of `docs` that are kept, with their columns. Rows are matched to their scores by doc_id; a doc_id that stands for several texts is kept if one of them is. Rows without doc_id are kept."""
     scored = score(docs, fit(docs, labels), host, path)
     gone = scored.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])

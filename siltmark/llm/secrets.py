@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import has_columns, make_room, named, tune
+from siltmark.llm.common import has_columns, make_room, numbered, tune
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -456,8 +456,8 @@ def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     tune(docs.sparkSession)
     new = ("base_spans", "all_spans", "redacted", "layers", "oversized")
     rest = [c for c in docs.columns if c not in new]
-    inputs = docs.select(*[named(c) for c in rest])
-    at = rest.index(text)
+    inputs, names, at = numbered(docs, rest), rest, rest.index(text)
+    rest = inputs.columns
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in inputs.schema) + f", base_spans {SPAN_TYPE}, all_spans {SPAN_TYPE}, redacted string, layers long, oversized long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +478,7 @@ def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
                 [*rest, *new],
             )
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*names, *new)
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:

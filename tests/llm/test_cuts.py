@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.llm import secrets, sharding
+from siltmark.llm import bpe, decontam, media, queries, secrets, sharding
 
 SECRET = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 FORMS = {
@@ -56,7 +56,12 @@ def test_places_of_very_many_rows(spark):
     assert {(r.r, r.phase): r.g for r in got.collect()} == {(r, p): (r * phases - p) * buckets // (n * phases) for r in (1, n // 3, n - 1, n) for p in (1, 500, phases - 1)}
 
 
-def test_secrets_pass_columns_with_dots(spark):
+def test_columns_with_dots_pass(spark):
     df = spark.createDataFrame([(1, f"token = '{SECRET}'", "x")], "doc_id long, text string, `a.b` string")
     done = secrets.scan_documents(df)
     assert done.columns[:3] == ["doc_id", "text", "a.b"] and done.first()["a.b"] == "x" and done.first()["redacted"].count("[SECRET]") == 1
+    coded = bpe.encode(df, queries.vocabulary_path())
+    assert coded.columns == ["doc_id", "text", "a.b", "tokens", "decoded"] and coded.first()["decoded"] == df.first()["text"]
+    parsed = media.parse(media.store(df))
+    assert parsed.columns[:4] == ["doc_id", "text", "a.b", "media"] and bytes(parsed.first()["payload"]).startswith(b"token")
+    assert decontam.clean(df, spark.createDataFrame([(1, "another passage that is not in there at all")], "item_id long, text string")).columns == df.columns
