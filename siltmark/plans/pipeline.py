@@ -15,7 +15,7 @@ from siltmark.operators import casts, detectors, facts, generate, inspection, re
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.identifier import record_identifiers
 from siltmark.operators.rules import Rule, named, rule_results, rule_totals, sample_violations, violation_records
-from siltmark.plans import judging
+from siltmark.plans import judging, related
 from siltmark.plans.replies import SUSPECT_RATE, Offline, Provider, Remembering, with_references
 from siltmark.sources import readers, sinks
 
@@ -40,6 +40,8 @@ class Result:
     totals: dict[str, dict] = field(default_factory=dict)
     #: What the provider says of each table, of the relationships and of the whole.
     texts: dict[str, str] = field(default_factory=dict)
+    #: Merged relationships, hints, roles, groups, types and odd values, where a report is asked for.
+    related: dict[str, list[dict]] = field(default_factory=dict)
     folder: str | None = None
 
 
@@ -52,8 +54,8 @@ def _kind(df: DataFrame, column: str, text: str) -> str:
     return "datetime" if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) else text
 
 
-def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Provider | None = None, config: Config = DEFAULT) -> Result:
-    """Profile, relate, propose rules, check them, and revise those that fail nearly everywhere.
+def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Provider | None = None, config: Config = DEFAULT, report: bool = False) -> Result:
+    """Profile, relate, propose rules, check them, and revise those that fail nearly everywhere. With `report`, also what a report says of relationships, types and odd values.
 
     The histogram is read by all steps and kept while they run. What reaches the driver is of metadata size; rows that violate a rule stay a DataFrame.
     """
@@ -74,16 +76,23 @@ def run_tables(spark: SparkSession, tables: dict[str, DataFrame], provider: Prov
         intended = {(r["table"], r["column"]): r["intended"] for r in known.select("table", "column", "intended").collect()}
         foreign = [tuple(p["child"].split(".", 1)) for p in paths if p["interpretation"] == "foreign_key"]
         errors: dict[tuple[str, str], list[str]] = {}
-        for r in inspection.column_errors(vh, declared, foreign, config, known=known).orderBy("table", "column", "fault").collect():
+        faults = inspection.column_errors(vh, declared, foreign, config, known=known).orderBy("table", "column", "fault").collect()
+        for r in faults:
             errors.setdefault((r["table"], r["column"]), []).append(f"{r['n']} rows ({r['share']:.1%}) {r['fault'].replace('_', ' ')}" + (f", such as {', '.join(r['examples'])}" if r["examples"] else ""))
         decisions = casts.decide(vh, config)
         ids = {r["table"]: r["column"] for r in record_identifiers(vh).collect()}
         out = Result({}, paths, {}, {}, {})
+        if report:
+            wrong_columns = spark.createDataFrame([(r["table"], r["column"], r["fault"]) for r in faults], "table string, column string, fault string")
+            out.related = related.related(spark, vh, columns, declared, wrong_columns, config)
+            out.related["far"] = []
         for t, df in tables.items():
             profiled = dict(casts.auto_cast(casts.dates_in_bounds(df), t, decisions, upper=True).dtypes)
             more = lambda c: {"intended_type": intended.get((t, c)), "errors": errors.get((t, c), []), "profile_type": (d.schema if (d := decisions.get((t, c))) else None) or profiled[c]}  # noqa: B023, E731
             rows = [found[t, c] | {"storage_type": _kind(df, c, found[t, c]["storage_type"])} | more(c) for c in df.columns if (t, c) in found]
             numeric = [c for c in _numeric(df, {r["column"]: r["storage_type"] for r in rows}) if (t, c) not in keys]
+            if report:
+                out.related["far"] += related.far_numbers({t: df}, {t: numeric}, config)
             fences = {c: (f.lower, f.upper) for c, f in detectors.fences(df, numeric).items()}
             said = with_references(provider.describe(t, [facts.evidence(r, config) for r in rows]), paths, t)
             out.dictionaries[t] = [r | s | {"facts": facts.sentences(r)} for r, s in zip(rows, said, strict=True)]
@@ -160,7 +169,7 @@ def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | No
     if provider and replies:
         provider = Remembering(provider, replies)
     tables = {t: readers.clean(df) for t, df in readers.read_all(spark, paths).items()}
-    result = run_tables(spark, tables, provider, config)
+    result = run_tables(spark, tables, provider, config, report=True)
     folder = result.folder = sinks.run_folder(out, tables)
     at = lambda name: os.path.join(folder, name)
     for t in tables:
@@ -174,9 +183,10 @@ def run(spark: SparkSession, paths: list[str], out: str, provider: Provider | No
         if t in result.records:
             sinks.write_rows(result.records[t], at(f"{t}_violations"))
     sinks.write_json(result.relationships, at("relationships.json"))
-    payload = sinks.report_payload(result.dictionaries, result.relationships, result.summaries) | {"totals": result.totals, "texts": result.texts}
+    sinks.write_json(result.related, at("related.json"))
+    payload = sinks.report_payload(result.dictionaries, result.relationships, result.summaries) | {"totals": result.totals, "texts": result.texts, "related": result.related}
     sinks.write_json(payload, at("report.json"))
-    text = sinks.report_markdown(payload, result.dictionaries)
+    text = sinks.report_markdown(payload, result.dictionaries) + "\n" + "\n".join(related.report_lines(result.related))
     for name, body in (("report.md", text), ("report.html", sinks.report_html(text))):
         with open(at(name), "w", encoding="utf-8") as f:
             f.write(body)

@@ -123,6 +123,21 @@ def test_whole_run(spark, tmp_path):
     by = {(r.type, r.column): s for r, s in zip(got.rules["staff"], got.summaries["staff"], strict=True)}
     assert by["not_null", "staff_id"]["violations"] == 0 and ("enumeration", "grade") in by
     assert {d["column"]: d["role"] for d in got.dictionaries["staff"]}["department_id"] == "foreign_key"
+    found = sinks.read_json_file(os.path.join(got.folder, "related.json"))
+    assert {(r["table"], r["column"]): r["role"] for r in found["roles"]} == {("departments", "department_id"): "primary_key", ("staff", "department_id"): "foreign_key"}
+    assert found["referenced_keys"] == [{"key": "departments.department_id", "children": ["staff.department_id"], "n": 1}]
+    assert any(r["table"] == "staff" and "refers to key departments.department_id" in r["hint"] for r in found["hints"])
+    assert {g["kind"]: g["n"] for g in found["groups"]}["foreign_key"] == 1 and {r["value"] for r in found["fillers"]} <= {"99", "11", "1", "9"}
+    assert sum(r["n_columns"] for r in found["types"]) == 6
+    text = open(os.path.join(got.folder, "report.md")).read()
+    assert "departments.department_id is referred to by staff.department_id" in text and "## Types" in text
+
+
+def test_far_numbers(spark):
+    from siltmark.plans import related
+
+    df = spark.createDataFrame([(str(k % 20), "x") for k in range(200)] + [("9000", "x"), ("n/a", "x")], "`n` string, t string")
+    assert related.far_numbers({"t": df}, {"t": ["n"]}) == [{"table": "t", "column": "n", "n": 1, "least": 9000.0, "most": 9000.0}]
 
 
 def test_stream(spark, tmp_path):
