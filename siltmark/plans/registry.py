@@ -146,7 +146,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
             lambda s, d: _rounded(P.length_summary(text(s, d)), 6, "avg_length", "p95_length"),
             f'{VH} SELECT "table", "column", round(avg(length(value)), 6) AS avg_length, round(quantile_cont(length(value), 0.95), 6) AS p95_length FROM (SELECT *, unnest(range(cnt)) FROM v) v GROUP BY 1, 2',
         ),
-        "e3_permissible_values": (lambda s, d: P.permissible_values(text(s, d)), f'{VH}, n AS (SELECT "table", "column" FROM v GROUP BY 1, 2 HAVING count(*) <= 50) SELECT "table", "column", value FROM v JOIN n USING ("table", "column")'),
+        "e3_permissible_values": (lambda s, d: P.permissible_values(text(s, d)), f'{VH} SELECT "table", "column", value FROM v QUALIFY count(*) OVER (PARTITION BY "table", "column") <= 50'),
         "m3_fingerprints": (
             lambda s, d: _rounded(_longs(P.fingerprints(text(s, d)), "cnt", "rank"), 6, "share").withColumn("examples", F.concat_ws(" | ", "examples")),
             f"""{VH}, f AS (SELECT "table", "column", regexp_replace(regexp_replace(value, '\\p{{L}}', 'a', 'g'), '\\p{{Nd}}', 'X', 'g') AS fingerprint, CAST(sum(cnt) AS BIGINT) AS cnt, array_to_string(list_sort(list(value))[1:3], ' | ') AS examples FROM v GROUP BY 1, 2, 3),
