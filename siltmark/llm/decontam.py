@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences and answer checks.
 
 Benchmark passages are TF-IDF vectors (document frequencies are counted over all documents). A distributed randomised
-SVD gives latent spaces in which every window of every document is compared with all passages by
-cosine. A space takes no more passages than its rank and is split while one of them loses energy in it. Candidates are verified on the words: the longest common subsequence of the passage and a stretch of
+SVD gives latent spaces, of a rank well below their passages, in which every window of every document is compared with all passages: by the cosine with a
+passage's latent direction, with the window's length taken as that of a copy, and of the window's words those that point away from the passage left out. So whatever else a window holds only adds, and a copy is found at any rank.
+Passages of which a space keeps too little go to a further one, which keeps more of fewer. Candidates are verified on the words: the longest common subsequence of the passage and a stretch of
 the document of about its length, and for weaker matches, as paraphrases are, whether the passage's last sentence (the answer) is there as well.
 
 Passages are the query set. They are taken in blocks of a bounded size, each block, with its spaces, against all documents.
@@ -26,17 +27,18 @@ from siltmark.llm.common import has_columns, make_room, materialise, named, tune
 #: Passages in a block, and bytes of its spaces: bound what goes to every worker.
 BLOCK_ITEMS = 4_000
 BLOCK_BYTES = 64 << 20
-#: Rank of a space, which takes as many passages at most, and its bytes.
-RANK = 192
+#: Rank of a space, passages in it at most, and its bytes.
+RANK = 64
+SPACE_ITEMS = 256
 SPACE_BYTES = 16 << 20
-#: The share of its energy that each passage keeps in its space.
-ENERGY_SHARE = 0.999
+#: The share of its energy that each passage keeps in its space at least.
+ENERGY_SHARE = 0.25
 OVERSAMPLE = 16
 POWER_STEPS = 2
 #: Words in half a window; windows overlap by half.
 HALF = 32
-#: A candidate window's projection on a passage is this share of what one window at least has where the passage is copied word by word.
-#: The bound is on the projection and not on the cosine, whose norm would take in whatever else the window holds.
+#: A candidate window's projection on a passage is this share of what one window at least has where the passage is copied word by word:
+#: a cosine whose norm is not the window's, which would take in whatever else it holds.
 CONTAINED_SHARE = 0.25
 #: Words of a text that are compared at a time, and the characters that are cut into words at a time: bound what a text of any length needs.
 SECTION_WORDS = 16_384
@@ -155,18 +157,25 @@ class Space:
         #: Words of the passage that a text must have, and its weight that a window must hold.
         self.least_words = PARAPHRASE_SHARE * sizes
         self.least_weight = (CONTAINED_SHARE * norms * [least_held(int(n)) for n in sizes]).astype(np.float32)
-        #: The basis times the passages in it: what a word adds to a window's projection on each passage.
+        #: The basis times the passages in it, where positive: what a word adds to a window's projection on each passage.
         self.projection = np.zeros((len(terms), len(members)), np.float32)
 
-    def fit(self, spark: SparkSession, rank: int) -> float:
-        """The projection, with passages at length 1 in the latent space; the least share of its energy that one of them has kept."""
+    def fit(self, spark: SparkSession, rank: int) -> np.ndarray:
+        """The projection, with passages at length 1 in the latent space; the share of its energy that each of them has kept."""
         table = spark.createDataFrame([(c.tolist(), x.tolist()) for c, x in self.rows], "cols array<long>, vals array<double>").coalesce(4)
-        basis = randomised_svd(table, len(self.counts), min(rank, len(self.rows)), rank >= len(self.rows))
+        basis = randomised_svd(table, len(self.counts), min(rank, len(self.rows)))
         latent = np.stack([x.astype(np.float32) @ basis[c] for c, x in self.rows])
         kept = np.linalg.norm(latent, axis=1)
-        self.projection = basis @ (latent / np.maximum(kept, 1e-9)[:, None]).T
-        self.rows = []
-        return float(kept.min() ** 2)
+        # a passage's own words sum up to `kept` at least, as those below zero are left out
+        self.projection = np.maximum(basis @ (latent / np.maximum(kept, 1e-9)[:, None]).T, 0)
+        self.least_weight *= kept
+        return kept**2
+
+    def only(self, chosen: np.ndarray) -> Space:
+        """The space with some of its passages."""
+        self.members, self.least_words, self.least_weight = self.members[chosen], self.least_words[chosen], self.least_weight[chosen]
+        self.counts, self.projection, self.rows = self.counts[:, chosen], self.projection[:, chosen], []
+        return self
 
 
 def document_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -192,11 +201,9 @@ def document_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.n
     return out[:-1], int(out[-1])
 
 
-def randomised_svd(rows: DataFrame, terms: int, rank: int, whole: bool = False, seed: int = 11) -> np.ndarray:
+def randomised_svd(rows: DataFrame, terms: int, rank: int, seed: int = 11) -> np.ndarray:
     """Right singular vectors (terms x rank) of sparse rows (cols array<long>, vals array<double>).
 
-    `whole`: the rank takes all rows, so that one pass finds all of the space they span, and its directions are in no certain order.
-
     The rows stay distributed: each product with the matrix is a pass in which a task adds up its rows' share. What
     comes back is one terms x rank matrix for each of few tasks, bounded by the block; QR and the small SVD are done here.
     """
@@ -218,9 +225,6 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, whole: bool = False,
         return total
 
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
-    if whole:
-        left, values, _ = np.linalg.svd(gram(q), full_matrices=False)
-        return left[:, values > 1e-7 * values[0]][:, :rank].astype(np.float32)
     for _ in range(POWER_STEPS):
         q = np.linalg.qr(gram(q))[0]
     small = q.T @ gram(q)  # of A'A in the subspace
@@ -239,18 +243,23 @@ def fit_block(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -
     for k, words in enumerate(block.words):
         terms.update(words)
         members.append(k)
-        if len(members) == rank or 8 * len(members) * len(terms) >= SPACE_BYTES:
+        if len(members) == SPACE_ITEMS or 8 * len(members) * len(terms) >= SPACE_BYTES:
             work.append(members)
             members, terms = [], set()
     work = [m for m in (*work, members) if m][::-1]
     while work:
         members = work.pop()
         space = Space(block, members)
-        if space.fit(docs.sparkSession, rank) < ENERGY_SHARE and len(members) > 1:
+        good = space.fit(docs.sparkSession, rank) >= ENERGY_SHARE
+        if len(members) <= rank:
+            good[:] = True  # nothing is left out of such a space
+        if 2 * good.sum() < len(members):
             half = len(members) // 2
             work += [members[half:], members[:half]]
-        else:
-            block.spaces.append(space)
+            continue
+        if rest := [m for m, g in zip(members, good, strict=True) if not g]:
+            work.append(rest)
+        block.spaces.append(space.only(good))
     return block
 
 
@@ -369,9 +378,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id").toLocalIterator():
         if words := tokens(r["text"]):
-            if len(items) % RANK == 0:
+            if len(items) % SPACE_ITEMS == 0:
                 terms.clear()
-            space += 8 * RANK * len(set(words) - terms)
+            space += 8 * SPACE_ITEMS * len(set(words) - terms)
             terms.update(words)
             items.append((r["item_id"], r["text"]))
         if len(items) == BLOCK_ITEMS or space >= BLOCK_BYTES:

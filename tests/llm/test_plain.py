@@ -467,5 +467,23 @@ def test_randomised_svd_finds_the_leading_space(spark):
     want = np.linalg.svd(rows)[2][:5]
     got = decontam.randomised_svd(table, 30, 5)
     assert np.allclose(np.linalg.svd(want @ got)[1], 1, atol=1e-4)
-    all_of_it = decontam.randomised_svd(table, 30, 60, whole=True)
-    assert np.allclose(rows @ all_of_it @ all_of_it.T, rows, atol=1e-2)
+
+
+def test_latent_spaces_compress_and_a_copy_reaches_its_bound(spark):
+    """Spaces hold more passages than their rank; whatever stands around a copy, its projection is what the passage keeps at least."""
+    rng = random.Random(21)
+    topics = [[f"t{j}w{i}" for i in range(60)] for j in range(40)]
+    words = [w for t in topics for w in t]
+    items = [(k, " ".join(rng.choices(topics[k % 40], k=25))) for k in range(240)]
+    block = decontam.fit_block(spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string"), items, rank=48)
+    assert sorted(int(m) for s in block.spaces for m in s.members) == list(range(240))
+    assert len(block.spaces[0].members) > 2 * 48
+    for space in block.spaces:
+        full = space.least_weight / decontam.CONTAINED_SHARE
+        assert space.projection.min() >= 0 and full.min() > 0
+        for at, k in enumerate(space.members):
+            cut = decontam.tokens(" ".join([*rng.choices(words, k=20), items[k][1], *rng.choices(words, k=18)]))
+            cols = np.array([block.vocab.get(w, len(block.vocab)) for w in cut])
+            local = space.local[cols]
+            held = (space.projection[local[local >= 0], at] * block.idf[cols[local >= 0]]).sum()
+            assert held >= full[at] * (1 - 1e-3)
