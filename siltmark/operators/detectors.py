@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltmark.config import DEFAULT, EMAIL, FALSE_SPELLINGS, PLACEHOLDERS, TRUE_SPELLINGS, Config
 from siltmark.functions import canon
+from siltmark.operators import dates
 from siltmark.operators.quantiles import quantiles
 
 #: Values that fences need, and below how many they are tighter.
@@ -124,12 +125,12 @@ def code_issues(vh: DataFrame) -> DataFrame:
 
 
 def date_issues(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Shares of compact and ISO dates, and values that no known format reads."""
+    """Shares of compact and ISO dates, and values that no known format or layout reads."""
     v, w = F.col("value"), F.col("cnt")
     return vh.where(canon.is_value(v)).groupBy("table", "column").agg(
         (F.sum(F.when(v.rlike(r"^\d{8}(\.0+)?$"), w).otherwise(0)) / F.sum(w)).alias("compact_share"),
         (F.sum(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), w).otherwise(0)) / F.sum(w)).alias("iso_share"),
-        F.coalesce(F.sum(F.when(canon.try_date(v, config.date_formats).isNull(), w)), F.lit(0)).alias("unparseable"),
+        F.coalesce(F.sum(F.when(dates.parse(v, formats=config.date_formats).isNull(), w)), F.lit(0)).alias("unparseable"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltmark.config import DEFAULT, Config
 from siltmark.functions import canon, patterns
+from siltmark.operators import dates
 from siltmark.operators.expressions import Compiled, Unsupported, compiled
 
 
@@ -45,6 +46,15 @@ def _never() -> Column:
     return F.lit(False)
 
 
+def _moment(df: DataFrame, column: str, config: Config) -> Column:
+    """The dates of a column. Texts in which day and month may change places are read in the order that the column's other values tell; on a stream the month comes first."""
+    c = df[column]
+    if df.schema[column].dataType.simpleString() != "string":
+        return canon.try_date(c.cast("string"), config.date_formats)
+    # a subquery of one row, over this column alone
+    return dates.parse(c, None if df.isStreaming else df.agg(dates.days_lead(c)).scalar(), config.date_formats)
+
+
 def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
     """The violation mask of a rule that needs no other rows; null masks count as no violation. A rule on a column that is not there is Unsupported."""
     p, c = rule.params, rule.column
@@ -61,7 +71,7 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
     if rule.type == "format":
         bad = filled & ~patterns.matches(s, p["regex"]) if "regex" in p else _never()
         if p.get("pattern_name") == "datetime_string":
-            bad = bad | (filled & canon.try_date(s, config.date_formats).isNull())
+            bad = bad | (filled & dates.parse(s, formats=config.date_formats).isNull())
         if "expected_length" in p:
             bad = bad | (filled & (F.char_length(s) != p["expected_length"]))
         mask = bad
@@ -74,7 +84,7 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
         scale = df.where(whole).agg(F.avg(F.abs(t))).scalar()
         mask = whole & (F.abs(a + b - t) > F.when(scale > 0, 0.01 * scale).otherwise(0.01))
     elif rule.type == "date_ordering":
-        a, b = (canon.try_date(df[p[k]].cast("string"), config.date_formats) for k in ("col_a", "col_b"))
+        a, b = (_moment(df, p[k], config) for k in ("col_a", "col_b"))
         mask = a > b
     elif rule.type == "null_consistency":
         mask = df[p["col_a"]].isNotNull() & df[p["col_b"]].isNull()
@@ -86,10 +96,10 @@ def compile_rule(df: DataFrame, rule: Rule, config: Config = DEFAULT) -> Column:
     elif rule.type == "integer_parseable":
         mask = filled & (number.isNull() | (number != F.floor(number)))
     elif rule.type == "datetime_parseable":
-        mask = filled & canon.try_date(s, config.date_formats).isNull()
+        mask = filled & dates.parse(s, formats=config.date_formats).isNull()
     elif rule.type == "date_not_future":
         cutoff = F.lit(p["cutoff"]).cast("timestamp") if "cutoff" in p else F.date_trunc("day", F.current_timestamp())
-        mask = canon.try_date(s, config.date_formats) > cutoff
+        mask = _moment(df, c, config) > cutoff
     elif rule.type == "sentinel_check":
         strings = [str(v) for v in p.get("strings", [])]
         numbers = [float(v) for v in p.get("numbers", [])]

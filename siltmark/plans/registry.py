@@ -13,7 +13,7 @@ from siltmark.operators import profile as P
 from siltmark.operators import relations as R
 from siltmark.operators.histogram import union, value_histogram
 from siltmark.operators.rules import Rule, masks, referential, rule_summary, rule_totals, sibling_lookup, violation_records
-from siltmark.plans import columns, extra, files, isolated, parts, paths
+from siltmark.plans import columns, dated, extra, files, isolated, parts, paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = {
@@ -252,7 +252,7 @@ def _catalog() -> dict[str, tuple[Query, str | None]]:
     gaps = lambda s, d: _t(s, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     for name, rule in (("v5_null_consistency_gaps", Rule("a", "null_consistency", "", {"col_a": "event_id", "col_b": "value"})), ("v13_not_null_gaps", Rule("a", "not_null", "value"))):
         out[name] = (lambda s, d, rule=rule: masks(gaps(s, d), [rule])[0].where("_v_a").select("event_id"), "SELECT event_id FROM events WHERE event_id % 7 = 0 OR value IS NULL")
-    return out | extra.catalog() | columns.catalog() | paths.catalog() | files.catalog() | parts.catalog() | isolated.catalog()
+    return out | extra.catalog() | columns.catalog() | paths.catalog() | files.catalog() | parts.catalog() | isolated.catalog() | dated.catalog()
 
 
 def queries() -> dict[str, Query]:
