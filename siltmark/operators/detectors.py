@@ -152,19 +152,25 @@ def contaminated(vh: DataFrame) -> DataFrame:
 def near_duplicate_values(vh: DataFrame, config: Config = DEFAULT, k: int = 3) -> DataFrame:
     """Pairs of values of a column whose k-gram sets have a Jaccard similarity of 0.88 or more.
 
-    Candidates share a k-gram and have sizes that allow the similarity; columns with more values than the limit are left out, as is the rule.
+    Candidates have sizes that allow the similarity and share one of their rarest k-grams: of two sets that are alike, each holds so much of the other that
+    the few it may lack are fewer than those. Columns with more values than the limit are left out, as is the rule.
     """
     v = vh.where(canon.is_value(F.col("value"))).select("table", "column", canon.strip(F.col("value")).alias("value")).distinct()
     few = v.groupBy("table", "column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, config.near_dupe_max_values))
     size = F.greatest(F.char_length("value") - (k - 1), F.lit(1))
-    grams = v.join(few.select("table", "column"), ["table", "column"]).withColumn("grams", F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.col("value"), i, F.lit(k))))).withColumn("size", F.size("grams"))
-    one = grams.select("table", "column", "value", "size", F.explode("grams").alias("gram"))
-    x, y = one.alias("x"), one.alias("y")
+    one = v.join(few.select("table", "column"), ["table", "column"]).select("table", "column", "value", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.col("value"), i, F.lit(k))))).alias("gram"))
+    held = one.groupBy("table", "column", "gram").agg(F.count(F.lit(1)).alias("n"))
+    sets = one.join(held, ["table", "column", "gram"]).groupBy("table", "column", "value").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("sorted"))
+    sets = sets.select("table", "column", "value", F.transform("sorted", lambda g: g["gram"]).alias("grams"), F.size("sorted").alias("size"))
+    # a little less than the threshold, so that rounding leaves no gram out
+    least = F.ceil(F.col("size") * F.lit(config.near_dupe_threshold) - 1e-9).cast("int")
+    rare = sets.withColumn("gram", F.explode(F.slice("grams", F.lit(1), F.col("size") - least + 1)))
+    x, y = rare.alias("x"), rare.alias("y")
     near = (F.col("x.value") < F.col("y.value")) & (F.least("x.size", "y.size") >= config.near_dupe_threshold * F.greatest("x.size", "y.size"))
     both = x.join(y, (F.col("x.table") == F.col("y.table")) & (F.col("x.column") == F.col("y.column")) & (F.col("x.gram") == F.col("y.gram")) & near)
-    shared = both.groupBy(F.col("x.table").alias("table"), F.col("x.column").alias("column"), F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b")).agg(F.count(F.lit(1)).alias("shared"))
-    j = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    return shared.withColumn("jaccard", j).where(F.col("jaccard") >= config.near_dupe_threshold).select("table", "column", "value_a", "value_b", "jaccard")
+    shared = F.size(F.array_intersect("x.grams", "y.grams"))
+    pairs = both.select(F.col("x.table").alias("table"), F.col("x.column").alias("column"), F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b"), (shared / (F.col("x.size") + F.col("y.size") - shared)).alias("jaccard"))
+    return pairs.where(F.col("jaccard") >= config.near_dupe_threshold).distinct()
 
 
 def non_numeric(vh: DataFrame) -> DataFrame:

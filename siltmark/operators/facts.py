@@ -87,9 +87,10 @@ def extremes(vh: DataFrame) -> DataFrame:
 def column_facts(vh: DataFrame, config: Config = DEFAULT) -> dict[tuple[str, str], dict]:
     """Facts of each column by (table, column): counts, type, extremes, top values, shapes with advice, samples, permissible values.
 
-    Each part is a few rows for each column, whatever the size of the table.
+    Each part is a few rows for each column, whatever the size of the table. A histogram that the caller keeps is left to it.
     """
-    vh = vh.persist()
+    own = not vh.is_cached
+    vh = vh.persist() if own else vh
     try:
         key = lambda r: (r["table"], r["column"])
         facts = {key(r): r.asDict() for r in profile.missing_profile(vh).collect()}
@@ -108,7 +109,8 @@ def column_facts(vh: DataFrame, config: Config = DEFAULT) -> dict[tuple[str, str
             f["coercibility"] = coercibility(f["formats"])
         return facts
     finally:
-        vh.unpersist()
+        if own:
+            vh.unpersist()
 
 
 def sentences(f: dict) -> list[str]:

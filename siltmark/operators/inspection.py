@@ -227,15 +227,16 @@ def near_duplicate_groups(vh: DataFrame, declared: dict[tuple[str, str], str] |
 
 def _groups(values: DataFrame, known: DataFrame, config: Config) -> DataFrame:
     gate = F.col("is_text") & ~F.col("date_like") & (F.col("held_numbers") <= 0.7 * F.col("held")) & (F.col("chars") <= 30 * F.col("held")) & F.col("n_values").between(2, config.near_dupe_max_values)
-    able = values.join(F.broadcast(known.where(gate).select("table", "column")), ["table", "column"], "left_semi").where(canon.is_value(F.col("s")))
+    # columns have few values here (`near_dupe_max_values`); all that follows reads them, and not the histogram anew
+    able = values.join(F.broadcast(known.where(gate).select("table", "column")), ["table", "column"], "left_semi").where(canon.is_value(F.col("s"))).localCheckpoint()
     short = able.groupBy("table", "column").agg(F.avg(F.char_length("s")).alias("mean")).where("mean <= 4").select("table", "column")
     renamed = able.select("table", "column", F.col("s").alias("value"), "cnt")
     two = near_duplicate_values(renamed.join(F.broadcast(short), ["table", "column"], "left_semi"), config, k=2)
     three = near_duplicate_values(renamed.join(F.broadcast(short), ["table", "column"], "left_anti"), config, k=3)
     near = two.unionByName(three)
-    both = near.select("table", "column", F.col("value_a").alias("v"), F.col("value_b").alias("o")).unionByName(near.select("table", "column", F.col("value_b").alias("v"), F.col("value_a").alias("o")))
-    around = both.groupBy("table", "column", "v").agg(F.array_sort(F.collect_set("o")).alias("others"))
-    # columns have few values here (`near_dupe_max_values`), so that a column's list of neighbourhoods is bounded
+    ends = F.array(F.struct(F.col("value_a").alias("v"), F.col("value_b").alias("o")), F.struct(F.col("value_b").alias("v"), F.col("value_a").alias("o")))
+    around = near.select("table", "column", F.inline(ends)).groupBy("table", "column", "v").agg(F.array_sort(F.collect_set("o")).alias("others"))
+    # a column's list of neighbourhoods is bounded as its values are
     lists = around.groupBy("table", "column").agg(F.array_sort(F.collect_list(F.struct("v", "others"))).alias("all"))
     zero = F.struct(F.array().cast("array<array<string>>").alias("groups"), F.array().cast("array<string>").alias("seen"))
 
@@ -248,7 +249,7 @@ def _groups(values: DataFrame, known: DataFrame, config: Config) -> DataFrame:
 
 
 def _variants(values: DataFrame, known: DataFrame, config: Config) -> DataFrame:
-    groups = _groups(values, known, config)
+    groups = _groups(values, known, config).localCheckpoint()
     rows = groups.select("table", "column", F.explode("values").alias("s")).distinct().join(values, ["table", "column", "s"])
     n = rows.groupBy("table", "column").agg(F.sum("cnt").alias("rows")).join(known.select("table", "column", F.col("n").alias("total")), ["table", "column"])
     w = Window.partitionBy("table", "column").orderBy("values")
