@@ -13,6 +13,8 @@ from siltmark.functions import canon
 
 #: Values of a column that is profiled as categorical, whatever its type. Fixed values.
 FLAG_VALUES = ("yes", "no", "true", "false", "0", "1")
+#: Parts of the names of columns that are profiled as dates where they hold some.
+DATE_NAMES = ("date", "time")
 #: Least and greatest date of the copy that is profiled; a column with others stays text.
 DATE_BOUNDS = ("1677-09-22", "2262-04-11")
 UPPER_MAX_VALUES, UPPER_MAX_RATIO = 50, 0.5
@@ -28,16 +30,17 @@ class Decision:
 
 
 def cast_facts(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """One row for each column: counts of values, of numbers, whole numbers, flags and dates among the non-null ones."""
+    """One row for each column: counts of values, of numbers, whole numbers, flags and (where the name says so) dates among the non-null ones."""
     v, w = canon.strip(F.col("value")), F.col("cnt")
     x = canon.try_number(v)
+    named = F.lower("column").rlike("|".join(DATE_NAMES))
     return vh.where(F.col("value").isNotNull()).groupBy("table", "column").agg(
         F.sum(w).alias("n"),
         F.count(F.lit(1)).alias("n_distinct"),
         F.bool_and(x.isNotNull()).alias("numeric"),
         F.coalesce(F.bool_and(F.when(x.isNotNull(), x == F.floor(x))), F.lit(False)).alias("whole"),
         F.bool_and(F.lower(v).isin(*FLAG_VALUES)).alias("flags"),
-        F.bool_or(canon.try_date(v, config.date_formats).isNotNull()).alias("dated"),
+        F.coalesce(F.bool_or(F.when(named, canon.try_date(v, config.date_formats).isNotNull())), F.lit(False)).alias("dated"),
     )
 
 
@@ -47,8 +50,7 @@ def decide(vh: DataFrame, config: Config = DEFAULT) -> dict[tuple[str, str], Dec
     for r in cast_facts(vh, config).collect():
         target = ("bigint" if r["whole"] else "double") if r["numeric"] else "category" if r["n_distinct"] <= config.categorical_threshold else None
         upper = r["n_distinct"] <= UPPER_MAX_VALUES and r["n_distinct"] / r["n"] < UPPER_MAX_RATIO
-        named = any(t in r["column"].lower() for t in ("date", "time"))
-        out[r["table"], r["column"]] = Decision(target, upper, "categorical" if r["flags"] else "datetime" if named and r["dated"] else None)
+        out[r["table"], r["column"]] = Decision(target, upper, "categorical" if r["flags"] else "datetime" if r["dated"] else None)
     return out
 
 

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from siltmark.config import DEFAULT, EMAIL, FALSE_SPELLINGS, PLACEHOLDERS, TRUE_SPELLINGS, Config
 from siltmark.functions import canon
 from siltmark.operators import dates
+from siltmark.operators.histogram import is_of
 from siltmark.operators.quantiles import quantiles
 
 #: Values that fences need, and below how many they are tighter.
 LEAST_VALUES, FEW_VALUES, FEW_MULTIPLIER = 10, 100, 1.5
 
+#: Different values of columns whose quartiles are taken in one aggregation, which holds them all.
+AT_ONCE = 1_000_000
+
 
 @dataclass(frozen=True)
 class Fences:
@@ -44,6 +48,30 @@ def fences(df: DataFrame, columns: list[str]) -> dict[str, Fences]:
     return {c: Fences(n, *q) for c, (n, q) in found.items() if n >= LEAST_VALUES and q[1] > q[0]}
 
 
+def histogram_fences(vh: DataFrame, columns: dict[tuple[str, str], int]) -> dict[tuple[str, str], Fences]:
+    """`fences` of columns of any tables, from their histogram: a value is read once, however many rows it stands for.
+
+    `columns` have the number of their different values: as many columns as have few together take one aggregation, the others the passes of `quantiles`.
+    """
+    held, few = 0, []
+    for c in sorted(columns, key=lambda c: columns[c]):
+        held += columns[c]
+        if held <= AT_ONCE:
+            few.append(c)
+    rows = vh.where(is_of(few)).select("table", "column", canon.try_number(F.col("value")).alias("x"), "cnt").where("x IS NOT NULL")
+    got = rows.groupBy("table", "column").agg(F.sum("cnt").alias("n"), F.percentile("x", F.lit([0.25, 0.75]), F.col("cnt")).alias("q")).collect() if few else []
+    out = {(r["table"], r["column"]): Fences(r["n"], *r["q"]) for r in got if r["n"] >= LEAST_VALUES and r["q"][1] > r["q"][0]}
+    return out | _long_fences(vh, [c for c in columns if c not in few])
+
+
+def _long_fences(vh: DataFrame, columns: list[tuple[str, str]]) -> dict[tuple[str, str], Fences]:
+    at = {str(k): c for k, c in enumerate(columns)}
+    read = {k: F.when((F.col("table") == t) & (F.col("column") == c), F.col("x")) for k, (t, c) in at.items()}
+    numbers = vh.where(is_of(columns)).select("table", "column", canon.try_number(F.col("value")).alias("x"), "cnt").where("x IS NOT NULL")
+    found = quantiles(numbers, read, [0.25, 0.75], F.col("cnt")) if columns else {}
+    return {at[k]: Fences(n, *q) for k, (n, q) in found.items() if n >= LEAST_VALUES and q[1] > q[0]}
+
+
 def iqr_fences(df: DataFrame, column: str) -> DataFrame:
     """The fences of a column as a row: column, n, q1, q3, lower_fence, upper_fence; no row where there are none."""
     rows = [(c, f.n, f.q1, f.q3, f.lower, f.upper) for c, f in fences(df, [column]).items()]
@@ -71,6 +99,17 @@ def all_sentinels(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Data
     return by.join(sides, ["column", "side"]).withColumn("share", F.col("cnt") / F.col("total")).where("share >= 0.8").drop("total")
 
 
+def histogram_sentinels(vh: DataFrame, bounds: dict[tuple[str, str], tuple[float, float]]) -> DataFrame:
+    """`all_sentinels` of columns of any tables, from their histogram: table, column, side, value, cnt, share."""
+    # a row for each column
+    known = vh.sparkSession.createDataFrame([(*k, *b) for k, b in bounds.items()], "table string, column string, low double, high double")
+    numbers = vh.where(is_of(bounds)).select("table", "column", canon.try_number(F.col("value")).alias("value"), "cnt").join(F.broadcast(known), ["table", "column"])
+    rows = numbers.withColumn("side", F.when(F.col("value") > F.col("high"), "high").when(F.col("value") < F.col("low"), "low")).where("side IS NOT NULL")
+    by = rows.groupBy("table", "column", "side", "value").agg(F.sum("cnt").alias("cnt"))
+    sides = by.groupBy("table", "column", "side").agg(F.sum("cnt").alias("total"))
+    return by.join(sides, ["table", "column", "side"]).withColumn("share", F.col("cnt") / F.col("total")).where("share >= 0.8").drop("total")
+
+
 def sentinels(df: DataFrame, column: str) -> DataFrame:
     """Values that make up 80 % or more of the outliers on one side."""
     return all_sentinels(df, {c: (f.lower, f.upper) for c, f in fences(df, [column]).items()}).drop("column")

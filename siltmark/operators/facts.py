@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.config import DEFAULT, EMAIL, SUSPICIOUS, Config
+from siltmark.config import DEFAULT, EMAIL, FALSE_SPELLINGS, SUSPICIOUS, TRUE_SPELLINGS, Config
 from siltmark.functions import canon
 from siltmark.operators import profile
+from siltmark.operators.histogram import is_of
 
 EXAMPLES = 3
 
@@ -23,13 +24,13 @@ def suspicious_values(vh: DataFrame) -> DataFrame:
     return vh.where(canon.is_value(F.col("value")) & filler).select("table", "column", "value", "cnt")
 
 
-def sample_values(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def sample_values(vh: DataFrame, config: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
     """A few values of each column, in a fixed order that a hash gives: table, column, value.
 
-    Values that are none of their column are left out: malformed addresses, and what is no number in a column of numbers.
+    Values that are none of their column are left out: malformed addresses, and what is no number in a column of numbers (by `types`, if they are known).
     """
     v = F.col("value")
-    types = profile.column_types(vh).select("table", "column", F.col("storage_type").isin("int64", "float64").alias("numeric"))
+    types = (profile.column_types(vh) if types is None else types).select("table", "column", F.col("storage_type").isin("int64", "float64").alias("numeric"))
     # a row for each column
     rows = vh.where(canon.is_value(v)).join(F.broadcast(types), ["table", "column"])
     fits = (~F.lower("column").contains("email") | canon.strip(v).rlike(EMAIL)) & (~F.col("numeric") | canon.try_number(canon.strip(v)).isNotNull())
@@ -74,32 +75,45 @@ def uniformity(shapes: list[tuple[str, float]]) -> float:
     return round(max((p for _, p in shapes), default=0.0) / 100, 4)
 
 
-def extremes(vh: DataFrame) -> DataFrame:
-    """Least and greatest text, number and length of each column, the share of numbers, and of distinct values."""
-    v, w = F.col("value"), F.col("cnt")
+def _extremes() -> list[Column]:
+    """What `extremes` gives, null where a column has no value."""
+    held = canon.is_value(F.col("value"))
+    v, w = F.when(held, F.col("value")), F.when(held, F.col("cnt"))
     x = canon.try_number(canon.strip(v))
-    return vh.where(canon.is_value(v)).groupBy("table", "column").agg(
+    return [
         F.min(v).alias("min_text"), F.max(v).alias("max_text"), F.min(x).alias("min_number"), F.max(x).alias("max_number"), F.min(F.char_length(v)).alias("min_length"), F.max(F.char_length(v)).alias("max_length"),
-        (F.sum(F.when(x.isNotNull(), w).otherwise(0)) / F.sum(w)).alias("numeric_share"), (F.count(F.lit(1)) / F.sum(w)).alias("uniqueness"),
-    )
+        F.try_divide(F.coalesce(F.sum(F.when(x.isNotNull(), w)), F.lit(0)), F.sum(w)).alias("numeric_share"), F.try_divide(F.count(v), F.sum(w)).alias("uniqueness"),
+    ]
+
+
+def _truths() -> Column:
+    """Which spellings of truth a column has: a few, in a set."""
+    low = F.lower(canon.strip(F.col("value")))
+    return F.array_sort(F.collect_set(F.when(low.isin(*TRUE_SPELLINGS, *FALSE_SPELLINGS), low))).alias("truths")
+
+
+def extremes(vh: DataFrame) -> DataFrame:
+    """Least and greatest text, number and length of each column, the share of numbers, and of distinct values."""
+    return vh.where(canon.is_value(F.col("value"))).groupBy("table", "column").agg(*_extremes())
 
 
-def column_facts(vh: DataFrame, config: Config = DEFAULT) -> dict[tuple[str, str], dict]:
-    """Facts of each column by (table, column): counts, type, extremes, top values, shapes with advice, samples, permissible values.
+def column_facts(vh: DataFrame, config: Config = DEFAULT, shapes: DataFrame | None = None) -> dict[tuple[str, str], dict]:
+    """Facts of each column by (table, column): counts, type, extremes, top values, shapes with advice, samples, permissible values and spellings of truth.
 
-    Each part is a few rows for each column, whatever the size of the table. A histogram that the caller keeps is left to it.
+    Each part is a few rows for each column, whatever the size of the table. A histogram that the caller keeps is left to it; `shapes`, if they have been read, are taken.
     """
     own = not vh.is_cached
     vh = vh.persist() if own else vh
     try:
         key = lambda r: (r["table"], r["column"])
-        facts = {key(r): r.asDict() for r in profile.missing_profile(vh).collect()}
-        for r in profile.column_types(vh).collect():
-            facts[key(r)]["storage_type"] = r["storage_type"]
-        for r in extremes(vh).collect():
-            facts[key(r)] |= r.asDict()
-        lists = {"top_values": (profile.top_values(vh).orderBy("table", "column", "rank"), lambda r: (r["value"], r["cnt"])), "formats": (profile.fingerprints(vh).orderBy("table", "column", "rank"), lambda r: (r["fingerprint"], round(100 * r["share"], 1)))}
-        lists |= {"samples": (sample_values(vh, config), lambda r: r["value"]), "permissible": (profile.permissible_values(vh, config).orderBy("table", "column", "value"), lambda r: r["value"])}
+        # counts, types and extremes in one aggregation
+        counted = vh.groupBy("table", "column").agg(*profile.missing_counts(), *profile.type_counts(), *_extremes(), _truths()).withColumn("storage_type", profile.storage_type()).drop("n", "filled", "numeric", "whole")
+        bounds = ("min_text", "max_text", "min_number", "max_number", "min_length", "max_length", "numeric_share", "uniqueness")
+        facts = {key(r): {k: x for k, x in r.asDict().items() if r["n_distinct"] or k not in bounds} for r in counted.collect()}
+        types = vh.sparkSession.createDataFrame([(*k, f["storage_type"]) for k, f in facts.items()], "table string, column string, storage_type string")
+        few = [k for k, f in facts.items() if f["n_distinct"] <= config.max_permissible_values]
+        lists = {"top_values": (profile.top_values(vh).orderBy("table", "column", "rank"), lambda r: (r["value"], r["cnt"])), "formats": ((profile.shapes(vh) if shapes is None else shapes).orderBy("table", "column", "rank"), lambda r: (r["fingerprint"], round(100 * r["share"], 1)))}
+        lists |= {"samples": (sample_values(vh, config, types), lambda r: r["value"]), "permissible": (profile.permissible_values(vh.where(is_of(few)), config).orderBy("table", "column", "value"), lambda r: r["value"])}
         for name, (df, take) in lists.items():
             for f in facts.values():
                 f[name] = []

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siltmark.config import DEFAULT, FALSE_SPELLINGS, TRUE_SPELLINGS, Config
 from siltmark.functions import canon
 from siltmark.operators import detectors
-from siltmark.operators.profile import column_types, fingerprints
+from siltmark.operators.profile import column_types, shapes
 from siltmark.operators.names import is_identifier
 from siltmark.operators.rules import Rule
 
@@ -26,16 +26,16 @@ PHONE_COUNTRY, PHONE_LENGTH = 65, 8
 ENUMERATION_VALUES = 20
 
 
-def uniqueness_candidates(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Text columns that are nearly unique: table, column, ratio."""
-    text = column_types(vh).where("storage_type = 'string'").select("table", "column")
+def uniqueness_candidates(vh: DataFrame, config: Config = DEFAULT, types: DataFrame | None = None) -> DataFrame:
+    """Text columns that are nearly unique: table, column, ratio. `types` (table, column, storage_type), if they are known, are taken."""
+    text = (column_types(vh) if types is None else types).where("storage_type = 'string'").select("table", "column")
     a = vh.where("value IS NOT NULL").groupBy("table", "column").agg((F.count(F.lit(1)) / F.sum("cnt")).alias("ratio"))
     return a.where((F.col("ratio") >= config.uniqueness_rule_min_ratio) & (F.col("ratio") < 1)).join(text, ["table", "column"], "left_semi")
 
 
-def code_formats(vh: DataFrame) -> DataFrame:
-    """Columns of which at least half of the values are digits of one length: table, column, digits, share."""
-    codes = fingerprints(vh).where(F.col("fingerprint").rlike("^X+$") & (F.col("share") >= CODE_SHARE))
+def code_formats(vh: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Columns of which at least half of the values are digits of one length: table, column, digits, share. `known`: the shapes, if they have been read."""
+    codes = (shapes(vh) if known is None else known).where(F.col("fingerprint").rlike("^X+$") & (F.col("share") >= CODE_SHARE))
     return codes.groupBy("table", "column").agg(F.min_by(F.char_length("fingerprint"), "rank").alias("digits"), F.min_by("share", "rank").alias("share"))
 
 
@@ -74,20 +74,22 @@ def reference_rules(table: str, paths: Iterable[dict], rules: list[Rule]) -> lis
     return out
 
 
-def sentinel_rules(df: DataFrame, bounds: dict[str, tuple[float, float]], rules: list[Rule]) -> list[Rule]:
-    """A check for each column with bounds (lower, upper) whose outliers are mostly one value; one job for all."""
+def sentinel_rules(df: DataFrame, bounds: dict[str, tuple[float, float]], rules: list[Rule], sentinels: Iterable[tuple[str, float]] | None = None) -> list[Rule]:
+    """A check for each column with bounds (lower, upper) whose outliers are mostly one value; one job for all, unless the `sentinels` (column, value) are known."""
     bounds = {c: b for c, b in bounds.items() if not has(rules, "sentinel_check", c)}
     found: dict[str, list[float]] = {}
-    for r in detectors.all_sentinels(df, bounds).collect() if bounds else ():
-        found.setdefault(r["column"], []).append(r["value"])
+    if sentinels is None:
+        sentinels = [(r["column"], r["value"]) for r in detectors.all_sentinels(df, bounds).collect()] if bounds else []
+    for c, x in sentinels:
+        found.setdefault(c, []).append(x)
     return [Rule("", "sentinel_check", c, {"numbers": sorted(found[c])}, f"{c} must not hold placeholder numbers") for c in bounds if c in found]
 
 
-def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], paths: Iterable[dict] = (), bounds: dict[str, tuple[float, float]] | None = None, codes: Iterable[str] = (), config: Config = DEFAULT, unique: list | None = None, formats: list | None = None) -> list[Rule]:
+def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], paths: Iterable[dict] = (), bounds: dict[str, tuple[float, float]] | None = None, codes: Iterable[str] = (), config: Config = DEFAULT, unique: list | None = None, formats: list | None = None, sentinels: Iterable[tuple[str, float]] | None = None) -> list[Rule]:
     """`rules` with what the data themselves ask for: references, uniqueness, code formats and sentinels, numbered anew.
 
     `bounds` are of numeric columns, `codes` such that are meant as text; `unique` and `formats` are the rows of `uniqueness_candidates` and
-    `code_formats` of all tables, where they have been read.
+    `code_formats` of all tables, where they have been read, `sentinels` (column, value) those of this table.
     """
     mine = vh.where(F.col("table") == table)
     out = [*rules]
@@ -99,7 +101,7 @@ def supplement(table: str, vh: DataFrame, df: DataFrame, rules: list[Rule], path
     for r in sorted(code_formats(mine).collect() if formats is None else formats):
         if r["table"] == table and r["column"] in codes and not has(out, "format", r["column"]):
             out.append(Rule("", "format", r["column"], {"regex": rf"^\d{{{r['digits']}}}$"}, f"{r['column']} must be a {r['digits']}-digit code"))
-    out += sentinel_rules(df, {c: b for c, b in (bounds or {}).items() if c not in codes}, out)
+    out += sentinel_rules(df, {c: b for c, b in (bounds or {}).items() if c not in codes}, out, sentinels)
     return renumber(out)
 
 

@@ -6,6 +6,8 @@ the values, of which each says which faults it has. Counts and the first example
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from siltmark.config import DEFAULT, EMAIL, FALSE_SPELLINGS, ID_PHRASES, ID_TOKENS, KNOWN_PATTERNS, PLACEHOLDERS, SINGAPORE_PATTERNS, TRUE_SPELLINGS, Config
 from siltmark.functions import canon
 from siltmark.operators.detectors import near_duplicate_values
+from siltmark.operators.histogram import is_of
 
 NUMERIC = ("int32", "int64", "float32", "float64")
 TEXT = ("string", "object")
@@ -42,17 +45,19 @@ def _storage(declared: dict[tuple[str, str], str], inferred: Column) -> Column:
     return out
 
 
-def stripped(vh: DataFrame) -> DataFrame:
-    """The histogram of values without white space at their ends: table, column, s, cnt."""
-    return vh.groupBy("table", "column", canon.strip(F.col("value")).alias("s")).agg(F.sum("cnt").alias("cnt"))
+def stripped(vh: DataFrame, plain: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """The histogram of values without white space at their ends: table, column, s, cnt. Those of `plain` columns have none, and stay where they are."""
+    out = vh.where(~is_of(plain)).groupBy("table", "column", canon.strip(F.col("value")).alias("s")).agg(F.sum("cnt").alias("cnt"))
+    return vh.where(is_of(plain)).select("table", "column", F.col("value").alias("s"), "cnt").unionByName(out) if plain else out
 
 
 def _code(s: Column) -> Column:
     return F.regexp_replace(s, r"\.0+$", "")
 
 
-def measures(values: DataFrame, declared: dict[tuple[str, str], str] | None = None, config: Config = DEFAULT) -> DataFrame:
-    """A row of measures for each column of a stripped histogram, with `storage` and `intended` types and what the gates ask for."""
+def measures(values: DataFrame, declared: dict[tuple[str, str], str] | None = None, config: Config = DEFAULT, plain: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """A row of measures for each column of a stripped histogram, with `storage` and `intended` types and what the gates ask for. `plain`: columns of whole numbers."""
+    same = is_of(plain)
     s, w = F.col("s"), F.col("cnt")
     held = s.isNotNull() & ~canon.is_placeholder(s)
     number = canon.try_number(s)
@@ -61,10 +66,10 @@ def measures(values: DataFrame, declared: dict[tuple[str, str], str] | None = No
     total = lambda cond, of=w: F.coalesce(F.sum(F.when(cond, of)), F.lit(0))
     full = lambda p, of=s: of.rlike(f"^(?:{p})$")
     spelled = F.lower(s).isin(*TRUE_SPELLINGS, *FALSE_SPELLINGS)
-    # distinct spellings as bits: all that there are of them is known
-    bit = F.coalesce(*[F.when(F.lower(s) == x, F.lit(1 << k)) for k, x in enumerate((*TRUE_SPELLINGS, *FALSE_SPELLINGS))], F.lit(0))
-    bits = lambda cond: F.coalesce(F.bit_count(F.bit_or(F.when(cond, bit))), F.lit(0))
-    date = canon.try_date(s, config.date_formats).isNotNull()
+    # sets of the few spellings that there are
+    spellings = lambda cond: F.size(F.collect_set(F.when(cond & spelled, F.lower(s))))
+    # dates are looked for among texts
+    date = F.when(~is_of(declared or {}), canon.try_date(s, config.date_formats)).isNotNull()
     a = values.groupBy("table", "column").agg(
         F.sum(w).alias("n"),
         total(s.isNull()).alias("nulls"),
@@ -75,15 +80,14 @@ def measures(values: DataFrame, declared: dict[tuple[str, str], str] | None = No
         total(number.isNotNull()).alias("numbers"),
         total(held & number.isNotNull()).alias("held_numbers"),
         F.coalesce(F.bool_and(F.when(number.isNotNull(), number == F.floor(number))), F.lit(False)).alias("whole"),
-        bits(held).alias("spellings"),
+        spellings(held).alias("spellings"),
         F.min(F.when(held, F.lower(s))).alias("first_spelling"),
         F.max(F.when(held, F.lower(s))).alias("last_spelling"),
         F.coalesce(F.bool_and(F.when(held, spelled)), F.lit(False)).alias("spelled"),
         F.coalesce(F.bool_and(F.when(s.isNotNull(), spelled)), F.lit(False)).alias("all_spelled"),
-        bits(s.isNotNull()).alias("all_spellings"),
+        spellings(s.isNotNull()).alias("all_spellings"),
         total(date).alias("dates"),
-        # the one distinct count: of numbers without their `.0`
-        F.count_distinct(F.when(number.isNotNull(), code)).alias("number_codes"),
+        F.count_if(number.isNotNull() & same).alias("plain_codes"),
         F.count(F.when(s.isNotNull() & number.isNull(), 1)).alias("other_codes"),
         total(s.isNotNull() & full(r"\d+", code)).alias("code_digits"),
         total(s.isNotNull() & full(r"(19|20)\d{6}", code)).alias("code_days"),
@@ -102,6 +106,9 @@ def measures(values: DataFrame, declared: dict[tuple[str, str], str] | None = No
         F.min(number).alias("least"),
         F.max(number).alias("most"),
     )
+    # the one distinct count, apart from the others, which it would send with every value: of numbers without their `.0`
+    codes = values.where(~same & number.isNotNull()).groupBy("table", "column").agg(F.count_distinct(code).alias("_codes"))
+    a = a.join(codes, ["table", "column"], "left").withColumn("number_codes", F.col("plain_codes") + F.coalesce("_codes", F.lit(0))).drop("plain_codes", "_codes")
     a = a.withColumn("codes", F.col("number_codes") + F.col("other_codes"))
     # lengths of codes: the most frequent one, of equals the longest
     by = values.where(s.isNotNull()).groupBy("table", "column", F.char_length(code).alias("length")).agg(F.sum(w).alias("c"), total(held).alias("h"))
@@ -138,9 +145,9 @@ def measures(values: DataFrame, declared: dict[tuple[str, str], str] | None = No
     )
 
 
-def known_columns(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, config: Config = DEFAULT) -> DataFrame:
+def known_columns(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, config: Config = DEFAULT, plain: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """The measures of all columns, read once: a row for each column, which the plans that use them hold as a table."""
-    found = measures(stripped(vh), declared, config)
+    found = measures(stripped(vh, plain), declared, config, plain)
     return vh.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
@@ -181,19 +188,21 @@ def _faults(config: Config) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def column_errors(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, foreign_keys: list[tuple[str, str]] = (), config: Config = DEFAULT, faults: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
+def column_errors(vh: DataFrame, declared: dict[tuple[str, str], str] | None = None, foreign_keys: list[tuple[str, str]] = (), config: Config = DEFAULT, faults: tuple[str, ...] = (), known: DataFrame | None = None, plain: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """table, column, fault, n (rows), share (of all rows) and examples (the five least values) of each fault that a column has.
 
     All faults are looked for, or those of `faults`; `known` are the columns' measures, if they have been read. Repeated keys are no fault of `foreign_keys`. Near-duplicate values are grouped: `examples` are then the least groups, `n` their rows.
     """
-    values = stripped(vh)
-    known = known_columns(vh, declared, config) if known is None else known
-    # a row for each column: of metadata size
-    rows = values.join(F.broadcast(known.drop("chars")), ["table", "column"])
-    is_foreign = F.lit(False)
-    for t, c in foreign_keys:
-        is_foreign = is_foreign | ((F.col("table") == t) & (F.col("column") == c))
-    hits = [F.when(F.coalesce(gate & fault & (~is_foreign if name == "duplicate_key" else F.lit(True)), F.lit(False)), F.lit(name)) for name, (gate, fault) in _faults(config).items() if not faults or name in faults]
+    values = stripped(vh, plain)
+    known = known_columns(vh, declared, config, plain) if known is None else known
+    looked = {name: f for name, f in _faults(config).items() if not faults or name in faults}
+    # gates are read on the columns, a table of metadata size; most values then have none to pass
+    opens = lambda name, gate: gate & (~is_of(foreign_keys) if name == "duplicate_key" else F.lit(True))
+    anywhere = ("null", "placeholder")
+    open_ = F.array_compact(F.array(*[F.when(opens(name, gate), F.lit(name)) for name, (gate, _) in looked.items() if name not in anywhere], F.lit(None).cast("string")))
+    gated = known.drop("chars").withColumn("open", open_)
+    rows = values.join(F.broadcast(gated), ["table", "column"]).where((F.size("open") > 0) | F.col("s").isNull() | (~is_of(plain) & canon.is_placeholder(F.col("s"))))
+    hits = [F.when(F.coalesce((F.lit(True) if name in anywhere else F.array_contains("open", name)) & fault, F.lit(False)), F.lit(name)) for name, (_, fault) in looked.items()]
     found = rows.select("table", "column", "s", "cnt", "n", F.explode(F.array_compact(F.array(*hits))).alias("fault"))
     counts = found.groupBy("table", "column", "fault").agg(F.sum("cnt").alias("rows"), F.max("n").alias("total"))
     w = Window.partitionBy("table", "column", "fault").orderBy("s")

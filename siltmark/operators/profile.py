@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.config import DEFAULT, KNOWN_PATTERNS, SINGAPORE_PATTERNS, Config
@@ -10,17 +10,22 @@ from siltmark.functions import canon
 from siltmark.operators.quantiles import quantiles
 
 
-def missing_profile(vh: DataFrame) -> DataFrame:
-    """Rows, nulls, placeholders, both together, and distinct values of each column."""
+def missing_counts() -> list[Column]:
+    """Rows, nulls, placeholders, both together, and distinct values."""
     v, weight = F.col("value"), F.col("cnt")
     placeholder = canon.is_placeholder(v)
-    return vh.groupBy("table", "column").agg(
+    return [
         F.sum(weight).alias("n_total"),
         F.coalesce(F.sum(F.when(v.isNull(), weight)), F.lit(0)).alias("n_null"),
         F.coalesce(F.sum(F.when(placeholder, weight)), F.lit(0)).alias("n_placeholder"),
         F.coalesce(F.sum(F.when(v.isNull() | placeholder, weight)), F.lit(0)).alias("missing_count"),
         F.count(F.when(canon.is_value(v), 1)).alias("n_distinct"),
-    )
+    ]
+
+
+def missing_profile(vh: DataFrame) -> DataFrame:
+    """Rows, nulls, placeholders, both together, and distinct values of each column."""
+    return vh.groupBy("table", "column").agg(*missing_counts())
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,17 +72,25 @@ def permissible_values(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return values.join(few.select("table", "column"), ["table", "column"]).select("table", "column", "value")
 
 
-def fingerprints(vh: DataFrame, k: int = 10, examples: int = 3) -> DataFrame:
-    """The k most frequent character-class shapes of each column, with their share and some examples (the least values)."""
-    values = vh.where(canon.is_value(F.col("value"))).withColumn("fingerprint", canon.fingerprint(F.col("value")))
-    by = values.groupBy("table", "column", "fingerprint").agg(F.sum("cnt").alias("cnt"))
+def _shaped(vh: DataFrame) -> DataFrame:
+    return vh.where(canon.is_value(F.col("value"))).withColumn("fingerprint", canon.fingerprint(F.col("value")))
+
+
+def shapes(vh: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent character-class shapes of each column, with their share: one aggregation, of which no value is sent."""
+    by = _shaped(vh).groupBy("table", "column", "fingerprint").agg(F.sum("cnt").alias("cnt"))
     w = Window.partitionBy("table", "column").orderBy(F.desc("cnt"), "fingerprint")
     # the rank is bounded before the totals are joined, so that each task keeps k rows of a column
     ranked = by.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     totals = by.groupBy("table", "column").agg(F.sum("cnt").alias("_total"))
-    first = values.withColumn("_r", F.row_number().over(Window.partitionBy("table", "column", "fingerprint").orderBy("value"))).where(F.col("_r") <= examples)
+    return ranked.join(totals, ["table", "column"]).withColumn("share", F.col("cnt") / F.col("_total")).drop("_total")
+
+
+def fingerprints(vh: DataFrame, k: int = 10, examples: int = 3) -> DataFrame:
+    """`shapes` with some examples (the least values) of each."""
+    first = _shaped(vh).withColumn("_r", F.row_number().over(Window.partitionBy("table", "column", "fingerprint").orderBy("value"))).where(F.col("_r") <= examples)
     shown = first.groupBy("table", "column", "fingerprint").agg(F.array_sort(F.collect_list("value")).alias("examples"))
-    return ranked.join(totals, ["table", "column"]).join(shown, ["table", "column", "fingerprint"]).withColumn("share", F.col("cnt") / F.col("_total")).drop("_total")
+    return shapes(vh, k).join(shown, ["table", "column", "fingerprint"]).select("table", "column", "fingerprint", "cnt", "rank", "examples", "share")
 
 
 def uniformity(vh: DataFrame) -> DataFrame:
@@ -101,20 +114,28 @@ def known_patterns(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return wide.unpivot(["table", "column"], list(patterns), "pattern", "cnt").where("cnt > 0")
 
 
-def column_types(vh: DataFrame) -> DataFrame:
-    """Storage type of text columns by what parses: int64 or float64 from 95 % of all rows on, else string; object where all is null."""
+def type_counts() -> list[Column]:
+    """What `storage_type` asks for."""
     v, w = F.col("value"), F.col("cnt")
     x = canon.try_number(canon.strip(v))
-    a = vh.groupBy("table", "column").agg(
+    return [
         F.sum(w).alias("n"),
         F.coalesce(F.sum(F.when(v.isNotNull(), w)), F.lit(0)).alias("filled"),
         F.coalesce(F.sum(F.when(x.isNotNull(), w)), F.lit(0)).alias("numeric"),
         F.coalesce(F.bool_and(F.when(x.isNotNull(), x == F.floor(x))), F.lit(False)).alias("whole"),
-        F.count(F.when(canon.is_value(v), 1)).alias("n_distinct"),
-    )
+    ]
+
+
+def storage_type() -> Column:
+    """Storage type by `type_counts`: int64 or float64 from 95 % of all rows on, else string; object where all is null."""
     numeric = F.col("numeric") >= 0.95 * F.col("n")
-    kind = F.when(F.col("filled") == 0, "object").when(numeric & F.col("whole"), "int64").when(numeric, "float64").otherwise("string")
-    return a.select("table", "column", kind.alias("storage_type"), "n_distinct")
+    return F.when(F.col("filled") == 0, "object").when(numeric & F.col("whole"), "int64").when(numeric, "float64").otherwise("string")
+
+
+def column_types(vh: DataFrame) -> DataFrame:
+    """Storage type of text columns by what parses: int64 or float64 from 95 % of all rows on, else string; object where all is null."""
+    a = vh.groupBy("table", "column").agg(*type_counts(), F.count(F.when(canon.is_value(F.col("value")), 1)).alias("n_distinct"))
+    return a.select("table", "column", storage_type().alias("storage_type"), "n_distinct")
 
 
 def candidate_keys(vh: DataFrame, config: Config = DEFAULT) -> DataFrame:

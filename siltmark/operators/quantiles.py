@@ -41,10 +41,10 @@ def _split(x: Column, i: Interval) -> Column:
     return F.floor((x / 2 - F.lit(i.low / 2)) / F.lit(width) * BUCKETS).cast("long")
 
 
-def _counted(df: DataFrame, keys: list[tuple[int, Column, Column]]) -> dict[int, list]:
+def _counted(df: DataFrame, keys: list[tuple[int, Column, Column]], weight: Column) -> dict[int, list]:
     """For each (number, value, bucket or null): bucket, rows, least and greatest value, in order."""
     found = F.array_compact(F.array(*[F.when(b.isNotNull(), F.struct(F.lit(k).alias("k"), b.alias("b"), x.alias("x"))) for k, x, b in keys]))
-    rows = df.select(F.explode(found).alias("f")).groupBy("f.k", "f.b").agg(F.count(F.lit(1)).alias("n"), F.min("f.x").alias("low"), F.max("f.x").alias("high")).collect()
+    rows = df.select(F.explode(found).alias("f"), weight.alias("w")).groupBy("f.k", "f.b").agg(F.sum("w").alias("n"), F.min("f.x").alias("low"), F.max("f.x").alias("high")).collect()
     out: dict[int, list] = {k: [] for k, _, _ in keys}
     for r in sorted(rows, key=lambda r: (r["k"], r["low"])):
         out[r["k"]].append(r)
@@ -63,24 +63,25 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _at_once(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, tuple[int, list[float | None]]]:
+def _at_once(df: DataFrame, columns: dict[str, Column], shares: list[float], weight: Column) -> dict[str, tuple[int, list[float | None]]]:
     value = {c: F.when(~F.isnan(x), x) for c, x in ((c, columns[c].cast("double")) for c in columns)}
-    row = df.agg(*[f.alias(f"{k}{i}") for i, x in enumerate(value.values()) for k, f in (("n", F.count(x)), ("q", F.percentile(x, F.lit(shares))))]).first()
+    row = df.agg(*[f.alias(f"{k}{i}") for i, x in enumerate(value.values()) for k, f in (("n", F.coalesce(F.sum(F.when(x.isNotNull(), weight)), F.lit(0))), ("q", F.percentile(x, F.lit(shares), weight)))]).first()
     return {c: (row[f"n{i}"], list(row[f"q{i}"]) if row[f"n{i}"] else [None] * len(shares)) for i, c in enumerate(columns)}
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, tuple[int, list[float | None]]]:
+def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], weight: Column | None = None) -> dict[str, tuple[int, list[float | None]]]:
     """For each named double: how many values it has (nulls and NaN are none), and its quantiles by linear interpolation, None without values.
 
     Infinite values are values. The passes are made here; `df` should give the same rows each time that it is read. Tables that are small by the
-    optimizer's estimate, which is from above, take one aggregation with the same result.
+    optimizer's estimate, which is from above, take one aggregation with the same result. With `weight`, a row stands for so many (a whole number).
     """
+    weight = F.lit(1) if weight is None else weight
     names = list(columns)
     if columns and shares and _estimated_bytes(df.select(*[x.alias(str(k)) for k, x in enumerate(columns.values())])) <= SMALL_BYTES:
-        return _at_once(df, columns, shares)
+        return _at_once(df, columns, shares, weight)
     value = {c: F.when(~F.isnan(x), x) for c, x in ((c, columns[c].cast("double")) for c in names)}
     end = lambda x: F.when(x.isin(float("inf"), float("-inf")), F.when(x > 0, F.lit(1 << 40)).otherwise(F.lit(-(1 << 40)))).otherwise(_log_bucket(x))
-    first = _counted(df, [(k, value[c], F.when(value[c].isNotNull(), end(value[c]))) for k, c in enumerate(names)])
+    first = _counted(df, [(k, value[c], F.when(value[c].isNotNull(), end(value[c]))) for k, c in enumerate(names)], weight)
     total = {c: sum(r["n"] for r in first[k]) for k, c in enumerate(names)}
     wanted = {(c, r) for c in names if total[c] for s in shares for at in [(total[c] - 1) * s] for r in (math.floor(at), math.ceil(at))}
     at = {(c, r): _holding(first[names.index(c)], 0, r) for c, r in wanted}
@@ -94,7 +95,7 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) ->
         inside = lambda c, i: (value[c] >= i.low) & (value[c] <= i.high)
         few = all(i.rows <= FEW_ROWS for _, i in parts)
         # few rows: each value is a bucket of its own
-        got = _by_value(df, [(k, value[c], inside(c, i)) for k, (c, i) in enumerate(parts)]) if few else _counted(df, [(k, value[c], F.when(inside(c, i), _split(value[c], i))) for k, (c, i) in enumerate(parts)])
+        got = _by_value(df, [(k, value[c], inside(c, i)) for k, (c, i) in enumerate(parts)], weight) if few else _counted(df, [(k, value[c], F.when(inside(c, i), _split(value[c], i))) for k, (c, i) in enumerate(parts)], weight)
         place = {p: k for k, p in enumerate(parts)}
         at = {(c, r): _holding(got[place[c, i]], i.below, r) for (c, r), i in at.items()}
     out: dict[str, tuple[int, list[float | None]]] = {}
@@ -108,9 +109,9 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) ->
     return out
 
 
-def _by_value(df: DataFrame, keys: list[tuple[int, Column, Column]]) -> dict[int, list]:
+def _by_value(df: DataFrame, keys: list[tuple[int, Column, Column]], weight: Column) -> dict[int, list]:
     found = F.array_compact(F.array(*[F.when(inside, F.struct(F.lit(k).alias("k"), x.alias("low"))) for k, x, inside in keys]))
-    rows = df.select(F.explode(found).alias("f")).groupBy("f.k", "f.low").agg(F.count(F.lit(1)).alias("n")).withColumn("high", F.col("low")).collect()
+    rows = df.select(F.explode(found).alias("f"), weight.alias("w")).groupBy("f.k", "f.low").agg(F.sum("w").alias("n")).withColumn("high", F.col("low")).collect()
     out: dict[int, list] = {k: [] for k, _, _ in keys}
     for r in sorted(rows, key=lambda r: (r["k"], r["low"])):
         out[r["k"]].append(r)

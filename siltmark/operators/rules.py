@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltmark.config import DEFAULT, Config
 from siltmark.functions import canon, patterns
@@ -36,6 +37,11 @@ class Failed(Rule):
     error: str = ""
 
 
+@dataclass(frozen=True)
+class Clear(Rule):
+    """A rule that no row violates, as is known from the values of its columns: it is not looked at again."""
+
+
 #: Rules whose columns are named by parameters.
 COLUMNS_OF = {"numeric_sum": ("col_a", "col_b", "col_sum"), "date_ordering": ("col_a", "col_b"), "null_consistency": ("col_a", "col_b")}
 #: Rules that need other rows, of the table or of another one.
@@ -49,6 +55,8 @@ def _never() -> Column:
 def _moment(df: DataFrame, column: str, config: Config) -> Column:
     """The dates of a column. Texts in which day and month may change places are read in the order that the column's other values tell; on a stream the month comes first."""
     c = df[column]
+    if df.schema[column].dataType.simpleString() in ("date", "timestamp", "timestamp_ntz"):
+        return c.cast("timestamp")
     if df.schema[column].dataType.simpleString() != "string":
         return canon.try_date(c.cast("string"), config.date_formats)
     # a subquery of one row, over this column alone
@@ -179,8 +187,11 @@ def _orphan(df: DataFrame, rule: Rule, tables: dict[str, DataFrame]) -> tuple[Da
     if p.get("parent_table") not in tables or p.get("parent_column") not in tables[p["parent_table"]].columns or rule.column not in df.columns:
         raise Unsupported(rule.type)
     parent, key, hit = tables[p["parent_table"]], p["parent_column"], f"_k_{rule.rule_id}"
-    keys = parent.select(canon.key_text(canon.text(parent[key], parent.schema[key].dataType)).alias(hit)).where(f"`{hit}` IS NOT NULL").distinct()
-    value = canon.key_text(canon.text(df[rule.column], df.schema[rule.column].dataType))
+    # whole numbers meet as such: their texts are equal where they are
+    whole = all(isinstance(x, T.IntegralType) for x in (parent.schema[key].dataType, df.schema[rule.column].dataType))
+    read = lambda of, c: of[c].cast("long") if whole else canon.key_text(canon.text(of[c], of.schema[c].dataType))
+    keys = parent.select(read(parent, key).alias(hit)).where(f"`{hit}` IS NOT NULL").distinct()
+    value = read(df, rule.column)
     return df.join(keys, value == keys[hit], "left"), value.isNotNull() & F.col(hit).isNull()
 
 
@@ -206,7 +217,9 @@ def masks(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: di
     done, out, failed = [], [], []
     for r in map(named, rules):
         try:
-            if r.type in ("referential_cross_table", "uniqueness"):
+            if isinstance(r, Clear):
+                made = Compiled(F.lit(False), None)
+            elif r.type in ("referential_cross_table", "uniqueness"):
                 df, bad = _orphan(df, r, tables or {}) if r.type == "referential_cross_table" else _repeated(df, r)
                 made = Compiled(F.coalesce(bad, F.lit(False)), None)
             else:
@@ -231,6 +244,25 @@ def rule_results(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tab
     A rule that does not compile, or that cannot be evaluated on some row, has an error and no counts; the others are not touched by it.
     """
     marked, done, failed = masks(df, rules, config, tables)
+    found = _results(marked, rules, done, failed)
+    if not found:
+        return df.sparkSession.createDataFrame([], "rule_id string, type string, column string, n_rows long, violations long, rate double, passed boolean, error string")
+    return marked.agg(F.array(*found).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def results_and_totals(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None) -> tuple[list[dict], dict]:
+    """The rows of `rule_results`, and `rule_totals` of the rules without an error, in one pass, or two where rules cannot be evaluated on some row."""
+    marked, done, failed = masks(df, rules, config, tables)
+    found = _results(marked, rules, done, failed)
+    results = F.array(*found) if found else F.array().cast("array<struct<error:string>>")
+    row = marked.agg(results.alias("_results"), *_totals(done)).first().asDict(recursive=True)
+    out = row.pop("_results")
+    if len(able := {r["rule_id"] for r in out if r["error"] is None}) < len(done):
+        row = rule_totals(df, [r for r in rules if r.rule_id in able], config, tables).first().asDict()
+    return out, row
+
+
+def _results(marked: DataFrame, rules: list[Rule], done: list[Rule], failed: list[Rule]) -> list[Column]:
     total, parts = F.count(F.lit(1)), []
     for r in done:
         e = f"_e_{r.rule_id}"
@@ -241,10 +273,7 @@ def rule_results(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tab
     parts += [(r, F.lit(None).cast("long"), F.lit(r.error)) for r in failed]
     order = {r.rule_id: k for k, r in enumerate(rules)}
     parts.sort(key=lambda p: order[p[0].rule_id])
-    found = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.type).alias("type"), F.lit(r.column).alias("column"), total.alias("n_rows"), n.alias("violations"), F.round(F.try_divide(n, total), 3).alias("rate"), (n == 0).alias("passed"), error.alias("error")) for r, n, error in parts]
-    if not found:
-        return df.sparkSession.createDataFrame([], "rule_id string, type string, column string, n_rows long, violations long, rate double, passed boolean, error string")
-    return marked.agg(F.array(*found).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.type).alias("type"), F.lit(r.column).alias("column"), total.alias("n_rows"), n.alias("violations"), F.round(F.try_divide(n, total), 3).alias("rate"), (n == 0).alias("passed"), error.alias("error")) for r, n, error in parts]
 
 
 def _marked(df: DataFrame, rules: list[Rule], config: Config, tables: dict[str, DataFrame] | None, skip: bool) -> tuple[DataFrame, list[Rule]]:
@@ -268,9 +297,13 @@ def rule_summary(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tab
 def rule_totals(df: DataFrame, rules: list[Rule], config: Config = DEFAULT, tables: dict[str, DataFrame] | None = None, skip: bool = False) -> DataFrame:
     """One row: rows that were checked, rules, rules that some row violates, and rows that violate some rule, each counted once."""
     marked, done = _marked(df, rules, config, tables, skip)
+    return marked.agg(*_totals(done))
+
+
+def _totals(done: list[Rule]) -> list[Column]:
     each = [F.coalesce(F.bool_or(F.col(f"_v_{r.rule_id}")), F.lit(False)).cast("long") for r in done]
     some = reduce(lambda a, b: a | b, [F.col(f"_v_{r.rule_id}") for r in done], F.lit(False))
-    return marked.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(done)).cast("long").alias("n_rules"), sum(each, F.lit(0)).cast("long").alias("rules_violated"), F.count_if(some).alias("failing_rows"))
+    return [F.count(F.lit(1)).alias("n_rows"), F.lit(len(done)).cast("long").alias("n_rules"), sum(each, F.lit(0)).cast("long").alias("rules_violated"), F.count_if(some).alias("failing_rows")]
 
 
 def _failures(df: DataFrame, done: list[Rule]) -> Column:

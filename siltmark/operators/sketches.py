@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.config import DEFAULT, ID_TOKENS, PLACEHOLDERS, Config
 from siltmark.functions import canon
+from siltmark.operators.histogram import is_of
 from siltmark.operators.profile import column_types
 
 PERMUTATIONS = 128
@@ -15,12 +18,16 @@ BANDS = {0.5: (25, 5), 0.6: (18, 7)}
 EXACT_THRESHOLD, SHINGLE_THRESHOLD = 0.5, 0.6
 
 
-def column_kinds(vh: DataFrame) -> DataFrame:
-    """table, column, storage_type and kind (empty, free_text, key_like, categorical, discrete_code, continuous_numeric, other) of each column."""
+def column_kinds(vh: DataFrame, plain: Iterable[tuple[str, str]] = (), types: DataFrame | None = None) -> DataFrame:
+    """table, column, storage_type and kind (empty, free_text, key_like, categorical, discrete_code, continuous_numeric, other) of each column.
+
+    Values of `plain` columns, which all differ without white space, are counted where they are; `types` (table, column, storage_type), if they are known, are taken.
+    """
+    same = is_of(plain)
     v, w = canon.strip(F.col("value")), F.col("cnt")
     a = vh.where(F.col("value").isNotNull() & (v != "")).groupBy("table", "column").agg(
         F.sum(w).alias("n"),
-        F.count_distinct(v).alias("d"),
+        (F.count_distinct(F.when(~same, v)) + F.count_if(same)).alias("d"),
         (F.sum(F.char_length(v) * w) / F.sum(w)).alias("avg_len"),
     )
     named = F.lower(F.regexp_replace("column", "(?<=[a-z])(?=[A-Z])", "_")).rlike(f"(^|[^a-z0-9])({'|'.join(ID_TOKENS)})($|[^a-z0-9])")
@@ -29,7 +36,7 @@ def column_kinds(vh: DataFrame) -> DataFrame:
     whole = F.when(named, "key_like").when((F.col("d") <= 30) | (ratio < 0.2), "categorical").when(ratio < 0.98, "discrete_code").otherwise("other")
     real = F.when(F.col("d") <= 30, "discrete_code").otherwise("continuous_numeric")
     kind = F.when(F.col("n").isNull(), "empty").when(F.col("storage_type") == "int64", whole).when(F.col("storage_type") == "float64", real).otherwise(text)
-    return column_types(vh).select("table", "column", "storage_type").join(a, ["table", "column"], "left").select("table", "column", "storage_type", kind.alias("kind"), F.coalesce("d", F.lit(0)).alias("n_distinct"))
+    return (column_types(vh) if types is None else types).select("table", "column", "storage_type").join(a, ["table", "column"], "left").select("table", "column", "storage_type", kind.alias("kind"), F.coalesce("d", F.lit(0)).alias("n_distinct"))
 
 
 def sketchable(kinds: DataFrame, config: Config = DEFAULT) -> DataFrame:
