@@ -201,7 +201,9 @@ def column_errors(vh: DataFrame, declared: dict[tuple[str, str], str] | None = N
     anywhere = ("null", "placeholder")
     open_ = F.array_compact(F.array(*[F.when(opens(name, gate), F.lit(name)) for name, (gate, _) in looked.items() if name not in anywhere], F.lit(None).cast("string")))
     gated = known.drop("chars").withColumn("open", open_)
-    rows = values.join(F.broadcast(gated), ["table", "column"]).where((F.size("open") > 0) | F.col("s").isNull() | (~is_of(plain) & canon.is_placeholder(F.col("s"))))
+    # a key that is there once is no repeated one
+    some = F.exists("open", lambda name: (name != "duplicate_key") | (F.col("cnt") > 1))
+    rows = values.join(F.broadcast(gated), ["table", "column"]).where(some | F.col("s").isNull() | (~is_of(plain) & canon.is_placeholder(F.col("s"))))
     hits = [F.when(F.coalesce((F.lit(True) if name in anywhere else F.array_contains("open", name)) & fault, F.lit(False)), F.lit(name)) for name, (_, fault) in looked.items()]
     found = rows.select("table", "column", "s", "cnt", "n", F.explode(F.array_compact(F.array(*hits))).alias("fault"))
     counts = found.groupBy("table", "column", "fault").agg(F.sum("cnt").alias("rows"), F.max("n").alias("total"))

@@ -3,7 +3,7 @@
 import datetime
 from itertools import combinations
 
-from siltmark.operators import detectors, facts, quantiles
+from siltmark.operators import detectors, facts, inspection, quantiles
 from siltmark.operators.histogram import columnar_histogram, plain_columns, value_histogram
 from siltmark.operators.rules import Clear, Rule, masks, results_and_totals
 from siltmark.plans import pipeline
@@ -63,3 +63,11 @@ def test_rules_that_values_show_to_hold_read_no_other_table(spark):
         assert (results[0]["violations"], totals["failing_rows"], totals["n_rows"]) == (bad, bad, 200)
         marked = masks(child, [rule], tables=tables)[0]
         assert ("Join" in marked._jdf.queryExecution().optimizedPlan().toString()) == bool(lost)
+
+
+def test_repeated_keys_of_plain_columns(spark):
+    df = spark.createDataFrame([(k if k != 7 else 6, f" A{k if k != 9 else 8} ", None if k % 9 == 0 else k % 13) for k in range(200)], "acct_id long, user_id string, age int")
+    vh, declared = value_histogram(df, "t"), inspection.declared_types({"t": df})
+    faults = ("null", "duplicate_key")
+    got = [[(r["column"], r["fault"], r["n"], r["examples"]) for r in inspection.column_errors(vh, declared, faults=faults, plain=p).orderBy("column", "fault").collect()] for p in ((), plain_columns({"t": df}))]
+    assert got[0] == got[1] == [("acct_id", "duplicate_key", 2, ["6"]), ("age", "null", 23, []), ("user_id", "duplicate_key", 2, ["A8"])]
